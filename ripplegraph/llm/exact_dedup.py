@@ -101,3 +101,25 @@ def exact_duplicates(docs: DataFrame, shard_keys: int = 1 << 17) -> DataFrame:
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("_digest")).alias("text_sha256"),
     )
+
+
+def kept_rows(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, one for each distinct text, with their columns.
+
+    The dropped rows, known by id and digest, are taken out; the texts of the others only
+    move where that list is too long to be sent to every task. Where rows with one id and
+    one text are repeated, one of them stays.
+    """
+    rows, groups = duplicate_groups(docs)
+    g = groups.select(F.col("_digest").alias("_d"), F.col("_new").alias("_s"), "keep_id")
+    seen = rows.join(g, (F.col("_digest") == F.col("_d")) & (F.col("_new") == F.col("_s")))
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    out = checkpointed(seen.where(~stays).select(F.col("doc_id").alias("_id"), "_d").distinct())
+    twice = checkpointed(seen.where(stays).groupBy(F.col("doc_id").alias("_id"), "_d").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n"))
+    n_out, n_twice = out.count(), twice.count()
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.unhex(F.sha2(lower_ascii(text_of()), 256)) == F.col("_d"))
+    left = docs.join(broadcast_if_small(out, n_out, 64), same, "left_anti")
+    if not n_twice:
+        return left
+    marked = broadcast_if_small(twice, n_twice, 64)
+    return left.join(marked, same, "left_anti").union(left.join(marked, same, "left_semi").dropDuplicates(["doc_id", "text"]))

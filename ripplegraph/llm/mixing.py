@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ripplegraph.llm.common import WORD, broadcast_if_small, checkpointed, text_of
 
-#: Shards over all sources, dealt to each by its size, and blocks over the whole mix.
-SHARDS, BLOCKS = 1024, 1 << 16
+#: Shards over all sources at most, dealt to each by its size; words that a shard has at
+#: least, by expectation; and blocks over the whole mix, or so many for each shard.
+SHARDS, SHARD_WORDS, BLOCKS, SHARD_BLOCKS = 1 << 16, 1 << 16, 1 << 16, 64
 #: A source's share stops at so many times its own size.
 MOST = 3
 
@@ -56,44 +57,51 @@ def source_targets(sizes: DataFrame, weights: Column | None = None) -> DataFrame
     return rows.withColumn("target", target).select("source", "source_size", "target", "_all")
 
 
-def _seats(rows: DataFrame, keys: list[str], votes: str, whole: Column, seats: Column, parties: Column, window) -> DataFrame:
-    """Seats by the highest quotients votes / (2k + 1).
+def _seats(rows: DataFrame, keys: list[str], votes: str, whole: Column, seats: Column, parties: Column, group: list[str], order: list) -> DataFrame:
+    """``_won``: seats by the highest quotients votes / (2k + 1), within each group.
 
-    Rounding moves each party's divisor by half a seat a party at most, so that no party can
-    win past the k listed here; all lists together are hardly longer than the seats.
+    Rounding moves the winning divisor by half a seat a party at most. So a party surely wins
+    its first k up to a bound, and none past another; only the quotients between the two,
+    about four for each party, have to be ranked.
     """
-    last = F.floor(F.col(votes) * (seats + parties / 2) / whole) + 2
-    return (
+    share = lambda n: F.col(votes) * n / whole
+    window = Window.partitionBy(*group)
+    open_ = (
         rows.where((F.col(votes) > 0) & (seats > 0))
-        .withColumn("_seats", seats)
-        .withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
+        .withColumn("_sure", F.greatest(F.lit(0), F.floor(share(seats - parties / 2) - 0.5)).cast("long"))
+        .withColumn("_open", seats - F.sum("_sure").over(window))
+        .withColumn("_k", F.explode(F.sequence(F.col("_sure"), F.greatest(F.col("_sure"), F.floor(share(seats + parties / 2)) + 1))))
         .withColumn("_quotient", F.col(votes) / (2 * F.col("_k") + 1))
-        .withColumn("_place", F.row_number().over(window))
-        .where(F.col("_place") <= F.col("_seats"))
-        .groupBy(*keys)
-        .agg(F.count("*").alias("_won"))
+        .withColumn("_place", F.row_number().over(window.orderBy(F.desc("_quotient"), *order)))
     )
+    return open_.groupBy(*keys).agg((F.max("_sure") + F.sum((F.col("_place") <= F.col("_open")).cast("long"))).alias("_won"))
 
 
-def shard_quotas(rows: DataFrame, size: str, seed: int, blocks: int = BLOCKS) -> DataFrame:
-    """One row per (source, shard): its size, blocks, whole passes, and the blocks of one more pass.
+def shard_quotas(rows: DataFrame, size: str, seed: int) -> DataFrame:
+    """One row per (source, shard): its size, whole passes, and the run of blocks of one more pass.
 
     ``rows`` has doc_id, source and ``size``. The sources' blocks are shared by highest
-    quotients of their targets, then each source's by those of its shards' sizes.
+    quotients of their targets, then each source's by those of its shards' sizes. A shard is
+    cut into equal blocks; it takes its quota as whole passes and as a run of blocks from a
+    seeded one on, past the end from the start again, so that few documents are cut.
     """
     cells = checkpointed(rows.groupBy("source", _bucket(seed).alias("_bucket")).agg(F.sum(size).alias("_cell")))
     targets = checkpointed(source_targets(cells.groupBy("source").agg(F.sum("_cell").alias("source_size"))))
     every = Window.partitionBy()
-    block = F.greatest(F.lit(1), F.ceil(F.col("_all") / blocks))
-    by_quotient = Window.partitionBy().orderBy(F.desc("_quotient"), F.col("source").asc_nulls_last())
-    counted = targets.withColumn("_block", block).withColumn("_parties", F.count("*").over(every))
-    won = _seats(counted, ["source"], "target", F.col("_all"), F.round(F.col("_all") / F.col("_block")), F.col("_parties"), by_quotient)
-    sources = (
-        counted.join(won.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left")
-        .withColumn("_source_seats", F.coalesce("_won", F.lit(0)))
-        .withColumn("_shards", F.greatest(F.lit(1), F.ceil(SHARDS * F.col("source_size") / F.col("_all"))))
-        .withColumn("_shards", F.coalesce("_shards", F.lit(1)))
-        .select(F.col("source").alias("_s"), "source_size", "target", "_block", "_source_seats", "_shards")
+    counted = (
+        targets.withColumn("_parts", F.least(F.lit(SHARDS), F.greatest(F.lit(1), F.ceil(F.col("_all") / SHARD_WORDS))))
+        .withColumn("_block", F.greatest(F.lit(1), F.ceil(F.col("_all") / F.greatest(F.lit(BLOCKS), SHARD_BLOCKS * F.col("_parts")))))
+        .withColumn("_parties", F.count("*").over(every))
+        .withColumn("_seats", F.round(F.col("_all") / F.col("_block")).cast("long"))
+    )
+    won = _seats(counted, ["source"], "target", F.col("_all"), F.col("_seats"), F.col("_parties"), [], [F.col("source").asc_nulls_last()])
+    sources = counted.join(won.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").select(
+        F.col("source").alias("_s"),
+        "source_size",
+        "target",
+        "_block",
+        F.coalesce("_won", F.lit(0)).cast("long").alias("_source_seats"),
+        F.coalesce(F.greatest(F.lit(1), F.ceil(F.col("_parts") * F.col("source_size") / F.col("_all"))), F.lit(1)).alias("_shards"),
     )
     of_source = ["source", "source_size", "target", "_block", "_source_seats", "_shards"]
     shards = checkpointed(
@@ -102,61 +110,55 @@ def shard_quotas(rows: DataFrame, size: str, seed: int, blocks: int = BLOCKS) ->
         .groupBy(*of_source, "_shard")
         .agg(F.sum("_cell").alias("_size"))
     )
-    own = Window.partitionBy("source").orderBy(F.desc("_quotient"), "_shard")
-    seats = _seats(shards, ["source", "_shard"], "_size", F.col("source_size"), F.col("_source_seats"), F.col("_shards"), own)
+    seats = _seats(shards, ["source", "_shard"], "_size", F.col("source_size"), F.col("_source_seats"), F.col("_shards"), ["source"], ["_shard"])
     seats = seats.select(F.col("source").alias("_s"), F.col("_shard").alias("_h"), "_won")
-    n = F.when(F.col("_size") > 0, F.greatest(F.lit(1), F.round(F.col("_size") / F.col("_block")))).otherwise(0).cast("long")
-    drawn = F.array_sort(
-        F.transform(
-            F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1),
-            lambda j: F.struct(_seeded(F.col("source"), F.col("_shard"), j, seed=seed).alias("draw"), j.alias("j")),
-        )
-    )
+    some = lambda c: F.when(F.col("_blocks") > 0, F.expr(c)).otherwise(F.lit(0)).cast("long")
+    edge = lambda j: f"(({j}) * _size + _blocks - 1) div _blocks"
     return checkpointed(
         shards.join(seats, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_shard") == F.col("_h")), "left")
-        .withColumn("_blocks", n)
-        .withColumn("_quota", F.least(F.coalesce("_won", F.lit(0)), MOST * F.col("_blocks")))
-        .withColumn("_passes", F.when(F.col("_blocks") > 0, F.expr("_quota div _blocks")).otherwise(0))
-        .withColumn("_rest", F.when(F.col("_blocks") > 0, F.col("_quota") % F.col("_blocks")).otherwise(0).cast("int"))
-        .withColumn("_drawn", F.when(F.col("_rest") > 0, F.slice(F.transform(drawn, lambda x: x["j"]), F.lit(1), F.col("_rest"))).otherwise(F.array().cast("array<bigint>")))
-        .select("source", "source_size", "target", "_shards", "_shard", "_size", "_blocks", "_passes", "_drawn")
+        .withColumn("_blocks", F.when(F.col("_size") > 0, F.greatest(F.lit(1), F.round(F.col("_size") / F.col("_block")))).otherwise(0).cast("long"))
+        .withColumn("_quota", F.least(F.coalesce("_won", F.lit(0)), MOST * F.col("_blocks")).cast("long"))
+        .withColumn("_draw", F.conv(F.substring(_seeded(F.col("source"), F.col("_shard"), seed=seed), 1, 12), 16, 10).cast("long"))
+        .withColumn("_passes", some("_quota div _blocks"))
+        .withColumn("_from", some("_draw % _blocks"))
+        .withColumn("_to", some("_draw % _blocks + _quota % _blocks"))
+        .withColumn("_run_from", some(edge("_from")))
+        .withColumn("_run_to", some(f"if(_to > _blocks, _size, {edge('_to')})"))
+        .withColumn("_wrap_to", some(f"if(_to > _blocks, {edge('_to - _blocks')}, 0)"))
+        .select("source", "source_size", "target", "_shards", "_shard", "_passes", "_run_from", "_run_to", "_wrap_to")
     )
 
 
-def mixed(rows: DataFrame, size: str, seed: int = 17, blocks: int = BLOCKS) -> DataFrame:
+def mixed(rows: DataFrame, size: str, seed: int = 17) -> DataFrame:
     """``rows`` with source_size, target, taken, ``_passes`` and ``_spans`` (start, length in words).
 
-    A shard's documents lie one after another in seeded order, cut into equal blocks of
-    words. A document is taken whole ``_passes`` times, and once more where drawn blocks
-    cover it. Documents without words take nothing. The same rows give the same mix.
+    A shard's documents lie one after another in seeded order. A document is taken whole
+    ``_passes`` times, and once more where the shard's run of blocks covers it. Documents
+    without words take nothing. The same rows give the same mix.
     """
-    quotas = shard_quotas(rows, size, seed, blocks)
+    quotas = shard_quotas(rows, size, seed)
     n = quotas.count()
     per_source = quotas.select(F.col("source").alias("_s"), F.col("_shards").alias("_own_shards")).distinct()
-    q = quotas.select(F.col("source").alias("_qs"), F.col("_shard").alias("_qh"), "source_size", "target", "_size", "_blocks", "_passes", "_drawn")
+    q = quotas.drop("_shards").withColumnsRenamed({"source": "_qs", "_shard": "_qh"})
     line = Window.partitionBy("source", "_shard").orderBy("_draw", "doc_id", size).rowsBetween(Window.unboundedPreceding, 0)
     placed = (
-        rows.join(broadcast_if_small(per_source, n, 128), F.col("source").eqNullSafe(F.col("_s")))
+        rows.join(broadcast_if_small(per_source, n, 64), F.col("source").eqNullSafe(F.col("_s")))
         .withColumn("_shard", F.floor(_bucket(seed) * F.col("_own_shards") / SHARDS).cast("int"))
         .withColumn("_draw", _seeded(F.col("doc_id"), seed=seed))
         .withColumn("_b", F.sum(size).over(line))
         .withColumn("_a", F.col("_b") - F.col(size))
     )
+    joined = placed.join(broadcast_if_small(q, n, 120), F.col("source").eqNullSafe(F.col("_qs")) & (F.col("_shard") == F.col("_qh")))
     spans = F.expr(
-        f"""CASE WHEN {size} = 0 OR size(_drawn) = 0 THEN CAST(array() AS array<struct<start: bigint, length: bigint>>)
-        ELSE transform(
-            filter(sequence((_a * _blocks) div _size, ((_b - 1) * _blocks) div _size), j -> array_contains(_drawn, j)),
-            j -> struct(
-                greatest(_a, (j * _size + _blocks - 1) div _blocks) - _a AS start,
-                least(_b, ((j + 1) * _size + _blocks - 1) div _blocks) - greatest(_a, (j * _size + _blocks - 1) div _blocks) AS length))
-        END"""
+        """filter(array(
+            struct(greatest(_a, _run_from) - _a AS start, least(_b, _run_to) - greatest(_a, _run_from) AS length),
+            struct(0L AS start, least(_b, _wrap_to) - _a AS length)), x -> x.length > 0)"""
     )
-    joined = placed.join(broadcast_if_small(q, n, 4096), F.col("source").eqNullSafe(F.col("_qs")) & (F.col("_shard") == F.col("_qh")))
     extra = F.aggregate("_spans", F.lit(0).cast("long"), lambda total, s: total + s["length"])
     return (
         joined.withColumn("_spans", spans)
         .withColumn("taken", F.col(size) * F.col("_passes") + extra)
-        .drop("_s", "_own_shards", "_shard", "_draw", "_a", "_b", "_qs", "_qh", "_size", "_blocks", "_drawn")
+        .drop("_s", "_own_shards", "_shard", "_draw", "_a", "_b", "_qs", "_qh", "_run_from", "_run_to", "_wrap_to")
     )
 
 
@@ -173,8 +175,8 @@ def mix_sizes(docs: DataFrame, seed: int = 17) -> DataFrame:
 def mix_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
     """The documents of the mix, with the columns of ``docs``.
 
-    A document appears once for each whole pass, and once for each span of it that a drawn
-    block covers, cut between words; white space within a span stays as it is.
+    A document appears once for each whole pass, and once for each span of it that a run of
+    blocks covers, cut between words; white space within a span stays as it is.
     """
     names = docs.columns
     rows = mixed(docs.withColumn("_words", word_count()), "_words", seed)

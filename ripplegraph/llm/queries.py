@@ -5,10 +5,26 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ripplegraph.llm import exact_dedup, mixing, packing, quality_model, simhash
+from ripplegraph.llm import context_tree, exact_dedup, html_text, line_dedup, mixing, packing, quality_model, quality_rules, simhash, url_filter
 from ripplegraph.llm.common import read
 
 
+def op1_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.scored(read(spark, sf_dir, "documents"))
+
+
+def op2_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(read(spark, sf_dir, "pages"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(read(spark, sf_dir, "documents"))
+
+
+def op4_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.without_repeats(read(spark, sf_dir, "documents"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(read(spark, sf_dir, "documents"))
 
@@ -17,6 +33,10 @@ def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"), words=4, radius=4)
 
 
+def op7_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(read(spark, sf_dir, "pages"))
+
+
 def op8_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
 
@@ -29,8 +49,29 @@ def op10_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classified(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+_QUERIES = (
+    op1_context_tree_scores,
+    op2_page_text,
+    op3_quality_rules,
+    op4_repeated_lines,
+    op5_mix_sources,
+    op6_simhash_components,
+    op7_url_verdicts,
+    op8_exact_duplicates,
+    op9_pack_windows,
+    op10_quality_scores,
+    pipeline,
+)
+
+
 def queries():
-    return {f.__name__: f for f in (op5_mix_sources, op6_simhash_components, op8_exact_duplicates, op9_pack_windows, op10_quality_scores)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql():
