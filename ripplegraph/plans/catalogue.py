@@ -1,13 +1,358 @@
-"""Registered queries of the graph engine."""
+"""The graph engine's registered queries over the given tables, and their SQL oracles."""
+
+from __future__ import annotations
+
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ripplegraph.functions import config, paths, selectors
+from ripplegraph.model import Graph, Snapshot, checkpointed
+from ripplegraph.operators import closure as reach
+from ripplegraph.operators import delta, graph, hashing
+from ripplegraph.plans.catalogue_sql import ORACLES
+from ripplegraph.sources import universe
+from ripplegraph.sources.universe import read
+
+
+def _base(spark: SparkSession, sf_dir: str) -> Snapshot:
+    return universe.snapshot(spark, sf_dir)
+
+
+def _both(spark: SparkSession, sf_dir: str) -> tuple[Snapshot, Snapshot]:
+    base = _base(spark, sf_dir)
+    return base, universe.edited(base)
+
+
+def _deps(s: Snapshot) -> DataFrame:
+    return graph.dependencies(s.graph.edges, s.followed)
 
 
 def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
+    """Which entities change when some orders and parts are edited."""
+    return diff_status(spark, sf_dir)
+
+
+def universe_entities(spark, sf_dir):
+    return _base(spark, sf_dir).graph.entities
+
+
+def universe_edges(spark, sf_dir):
+    return _base(spark, sf_dir).graph.edges
+
+
+def token_collect(spark, sf_dir):
+    return _base(spark, sf_dir).tokens
+
+
+def graph_validate_violations(spark, sf_dir):
+    """A graph with faults: line items by order and number alone, and events of unknown users."""
+    line, events, customer = (read(spark, sf_dir, n) for n in ("lineitem", "events", "customer"))
+    ids = line.select(F.concat_ws(":", F.lit("line"), "l_orderkey", "l_linenumber").alias("id")).union(customer.select(F.concat(F.lit("customer:"), F.col("c_custkey")).alias("id")))
+    edges = events.select(F.concat(F.lit("customer:"), F.col("user_id")).alias("src"), F.concat(F.lit("customer:"), (F.col("user_id") * 7).cast("string")).alias("dst"), F.trim(F.regexp_replace("event_type", "error", " ")).alias("kind"))
+    return graph.violations(Graph(ids.withColumn("kind", graph.namespace(F.col("id"))), edges.distinct())).distinct()
+
+
+def graph_absorb(spark, sf_dir):
+    """Entities and edges of two overlapping parts of the universe, merged: rows by kind."""
+    g = _base(spark, sf_dir).graph
+    half = lambda kinds: Graph(g.entities.where(F.col("kind").isin(*kinds)), g.edges.where(graph.namespace(F.col("dst")).isin(*kinds)))
+    one = graph.absorbed(half(["region", "nation", "customer"]), half(["nation", "customer", "order"]))
+    return one.entities.groupBy("kind").agg(F.count("*").alias("n")).union(one.edges.groupBy("kind").agg(F.count("*").alias("n")))
+
+
+def absorb_conflicts(spark, sf_dir):
+    g = _base(spark, sf_dir).graph
+    other = Graph(g.entities.where("kind in ('part', 'region')").select("id", F.when(F.col("kind") == "part", "item").otherwise(F.col("kind")).alias("kind")), g.edges.limit(0))
+    return graph.conflicts(g, other).select("id", F.array_join("kinds", ",").alias("kinds"))
+
+
+def namespace_counts(spark, sf_dir):
+    e = _base(spark, sf_dir).graph.entities
+    return e.groupBy(graph.namespace(F.col("id")).alias("namespace")).agg(F.count("*").alias("n"))
+
+
+def out_edges(spark, sf_dir):
+    g = _base(spark, sf_dir).graph
+    return graph.out_edges(g, g.entities.where("kind in ('nation', 'order')"))
+
+
+def direct_dependencies(spark, sf_dir):
+    return _deps(_base(spark, sf_dir))
+
+
+def closure_pairs(spark, sf_dir):
+    """All that each nation, customer, supplier, order and line item reaches."""
+    base = _base(spark, sf_dir)
+    return reach.closure(_deps(base), base.graph.entities.where("kind not in ('universe', 'region')"))
+
+
+def closure_sizes(spark, sf_dir):
+    found = reach.closure(_deps(_base(spark, sf_dir)))
+    return found.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"), F.min("dst").alias("least"), F.max("dst").alias("most"))
+
+
+def reverse_reachability(spark, sf_dir):
+    base = _base(spark, sf_dir)
+    return reach.dependents(_deps(base), base.graph.entities.where("kind = 'supplier'"))
+
+
+def _ring(spark, sf_dir):
+    """Nations in a ring within each region, and customers that import their nation."""
+    nation, customer = read(spark, sf_dir, "nation"), read(spark, sf_dir, "customer")
+    at = lambda k: F.concat(F.lit("nation:"), k.cast("string"))
+    a, b = nation.select("n_regionkey", F.col("n_nationkey").alias("a")), nation.select("n_regionkey", F.col("n_nationkey").alias("b"))
+    later = a.join(b, "n_regionkey").groupBy("a").agg(F.coalesce(F.min(F.when(F.col("b") > F.col("a"), F.col("b"))), F.min("b")).alias("b"))
+    deps = later.select(at(F.col("a")).alias("src"), at(F.col("b")).alias("dst")).union(customer.select(F.concat(F.lit("customer:"), F.col("c_custkey")), at(F.col("c_nationkey"))))
+    deps = deps.where("src <> dst")
+    return deps.select(F.col("src").alias("id")).union(deps.select("dst")).distinct(), deps
+
+
+def scc_cycle(spark, sf_dir):
+    return reach.components(*_ring(spark, sf_dir))
+
+
+def content_hash(spark, sf_dir):
+    base = _base(spark, sf_dir)
+    return delta.sums_of(base, base.graph.entities.where("kind not in ('universe', 'region')").select("id"))
+
+
+def uvarint_table(spark, sf_dir):
+    o = read(spark, sf_dir, "orders")
+    return o.select("o_orderkey", F.lower(F.hex(hashing.uvarint(F.pow(F.col("o_orderkey"), 2).cast("bigint")))).alias("bytes"))
+
+
+def diff_status(spark, sf_dir):
+    return delta.diff(*_both(spark, sf_dir))
+
+
+def induced_edges(spark, sf_dir):
+    base, head = map(delta.materialised, _both(spark, sf_dir))
+    changed = checkpointed(delta.diff(base, head).where("status <> 'removed'"))
+    return graph.induced(head.graph, changed).edges
+
+
+def frontier_layers(spark, sf_dir):
+    base, head = map(delta.materialised, _both(spark, sf_dir))
+    found = checkpointed(delta.diff(base, head))
+    return delta.frontiers(found.where("status <> 'removed'"), found.where("status = 'added'"), _deps(head))
+
+
+def range_hash_label(spark, sf_dir):
+    """old..new of the first twelve digits, or new: for every order of the later snapshot."""
+    base, head = _both(spark, sf_dir)
+    orders = lambda s: delta.sums_of(s, s.graph.entities.where("kind = 'order'").select("id"))
+    before = orders(base).select("id", F.col("sum").alias("_old"))
+    label = F.when(F.col("_old").isNull(), "new").when(F.col("_old") == F.col("sum"), F.left("sum", F.lit(12))).otherwise(F.concat(F.left("_old", F.lit(12)), F.lit(".."), F.left("sum", F.lit(12))))
+    return orders(head).join(before, "id", "left").select("id", label.alias("label"))
+
+
+def containment_walk(spark, sf_dir):
+    g = _base(spark, sf_dir).graph
+    return graph.contained(g, universe.ROOT).select("id", "depth", F.array_join("path", ">").alias("path"))
+
+
+def _url_paths(spark, sf_dir):
+    """page_id, host and the path of each page, without query and slash at the end."""
+    p = read(spark, sf_dir, "pages")
+    rest = F.regexp_extract("url", "://([^?#]*)", 1)
+    return p.select("page_id", F.regexp_extract(rest, "^[^/]*", 0).alias("host"), F.regexp_replace(F.regexp_replace(rest, "^[^/]*/?", ""), "/$", "").alias("path"))
+
+
+def longest_prefix_owner(spark, sf_dir):
+    """The module that owns each page: the longest of the listed trees above it, by equi-join on ancestors."""
+    pages = _url_paths(spark, sf_dir)
+    full = F.concat_ws("/", "host", "path")
+    modules = pages.groupBy(F.concat_ws("/", "host", paths.parent(F.col("path"))).alias("module")).agg(F.count("*").alias("n")).where("n >= 3").select("module")
+    above = pages.select("page_id", F.explode(paths.ancestors(full)).alias("module"))
+    best = above.join(modules, "module").groupBy("page_id").agg(F.max_by("module", F.length("module")).alias("module"))
+    return pages.select("page_id").join(best, "page_id", "left")
+
+
+def import_fallback(spark, sf_dir):
+    """Links of pages: local if a page has that path, built-in without a dot in the first segment, else external."""
+    links = read(spark, sf_dir, "pages").select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(r'href="([^"#?]+)'), F.lit(1)))).alias("link"))
+    bare = F.regexp_replace(F.regexp_replace("link", "^[a-z]+://", ""), "^/|/$", "")
+    local = _url_paths(spark, sf_dir).select(F.concat_ws("/", "host", "path").alias("_p")).distinct()
+    found = links.select("page_id", "link", bare.alias("_b")).join(local, F.col("_b") == F.col("_p"), "left")
+    kind = F.when(F.col("_p").isNotNull(), "local").when(~F.contains(F.substring_index("_b", "/", 1), F.lit(".")), "builtin").otherwise("external")
+    return found.groupBy("page_id", kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+def version_replace(spark, sf_dir):
+    """Required versions of parts: an exact replacement wins over one for any version."""
+    part, line = read(spark, sf_dir, "part"), read(spark, sf_dir, "lineitem")
+    required = line.select(F.col("l_partkey").alias("key"), F.col("l_linenumber").cast("string").alias("version")).distinct()
+    exact = part.where("p_size % 3 = 0").select(F.col("p_partkey").alias("key"), (F.col("p_size") % 7 + 1).cast("string").alias("version"), F.col("p_brand").alias("_exact"))
+    loose = part.where("p_size % 5 = 0").select(F.col("p_partkey").alias("key"), F.col("p_type").alias("_any"))
+    return required.join(exact, ["key", "version"], "left").join(loose, "key", "left").select("key", "version", F.coalesce("_exact", "_any", F.concat(F.lit("v"), "version")).alias("target"))
+
+
+def _odd_paths(spark, sf_dir):
+    """page_id, base, value: paths with dots and doubled slashes, made of the pages' urls."""
+    p = _url_paths(spark, sf_dir)
+    pick = F.col("page_id") % 6
+    value = (
+        F.when(pick == 0, F.concat(F.lit("./"), "path")).when(pick == 1, F.concat(F.lit("../"), "path")).when(pick == 2, F.concat("path", F.lit("/../../..")))
+        .when(pick == 3, F.concat(F.lit("//"), "path", F.lit("/./x"))).when(pick == 4, F.concat("path", F.lit("//y/../z"))).otherwise(F.concat(F.lit("/"), "path"))
+    )
+    return p.select("page_id", F.col("host").alias("base"), value.alias("value"))
+
+
+def path_clean(spark, sf_dir):
+    return _odd_paths(spark, sf_dir).select("page_id", paths.cleaned(F.col("value")).alias("cleaned"), paths.tree(F.col("value")).alias("tree"))
+
+
+def path_resolve(spark, sf_dir):
+    return _odd_paths(spark, sf_dir).select("page_id", paths.resolved(F.col("base"), F.col("value")).alias("resolved"), paths.parent(F.concat_ws("/", "base", "value")).alias("parent"))
+
+
+def path_within(spark, sf_dir):
+    p = _url_paths(spark, sf_dir)
+    d = F.when(F.col("page_id") % 3 == 0, "").when(F.col("page_id") % 3 == 1, F.substring_index("path", "/", 1)).otherwise(F.substring("path", 1, 1))
+    return p.select("page_id", paths.within(F.col("path"), d).alias("is_within"), paths.relative(F.col("path"), d).alias("rest"))
+
+
+def ancestor_trees(spark, sf_dir):
+    """Every tree above a page, and how many pages lie below it."""
+    p = _url_paths(spark, sf_dir).select(F.concat_ws("/", "host", "path").alias("p"))
+    return p.select(F.explode(paths.ancestors(F.col("p"))).alias("tree")).groupBy("tree").agg(F.count("*").alias("n"))
+
+
+def prune_empty(spark, sf_dir):
+    """Trees that still hold a page after pages with an even id are gone."""
+    p = _url_paths(spark, sf_dir).select("page_id", F.concat_ws("/", "host", "path").alias("p"))
+    trees = lambda df: df.select(F.explode(paths.ancestors(F.col("p"))).alias("tree")).distinct()
+    return trees(p).join(trees(p.where("page_id % 2 = 1")), "tree", "left_semi")
+
+
+GLOBS = ("en/*", "**/*.html", "{fr,de}/**", "e?/[1-4]*", "*")
+
+
+def glob_match(spark, sf_dir):
+    p = _url_paths(spark, sf_dir)
+    each = F.explode(F.array(*[F.struct(F.lit(g).alias("pattern"), paths.glob_matches(F.col("path"), g).alias("hit")) for g in GLOBS])).alias("x")
+    return p.select("page_id", each).where("x.hit").select("page_id", "x.pattern")
+
+
+def overlay_upsert(spark, sf_dir):
+    """Objects of a snapshot with edits laid over: pages by path, some replaced and some deleted."""
+    p = _url_paths(spark, sf_dir).select("page_id", F.concat_ws("/", "host", "path").alias("path"))
+    base = p.groupBy("path").agg(F.min("page_id").alias("page_id")).select("path", F.sha1(F.col("page_id").cast("string")).alias("oid"), F.lit("stored").alias("source"))
+    edit = base.where(F.length("path") % 4 == 0).select("path", F.sha1(F.concat("oid", F.lit("edit"))).alias("oid"), F.lit("edited").alias("source"))
+    gone = base.where(F.length("path") % 9 == 0).select("path")
+    return base.join(edit, "path", "left_anti").union(edit).join(gone, "path", "left_anti")
+
+
+def git_blob_hash(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    body = F.coalesce("text", F.lit("")).cast("binary")
+    return d.select("doc_id", F.sha1(F.concat(F.encode(F.concat(F.lit("blob "), F.octet_length(body).cast("string")), "UTF-8"), F.unhex(F.lit("00")), body)).alias("oid"))
+
+
+def id_codec(spark, sf_dir):
+    """Entity ids with an unpadded url-safe base64 part, and what decodes from them."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 80).alias("name"))
+    coded = F.rtrim(F.translate(config.base64encode(F.col("name")), "+/", "-_"), F.lit("="))
+    ids = d.select("doc_id", "name", F.concat(F.lit("doc:package:mod/x:"), coded).alias("id"))
+    part = F.translate(F.element_at(F.split("id", ":", 4), 4), "-_", "+/")
+    back = F.decode(F.unbase64(F.concat(part, F.expr("repeat('=', pmod(-length(element_at(split(id, ':', 4), 4)), 4))"))), "UTF-8")
+    return ids.select("doc_id", "id", (back == F.col("name")).alias("round_trip"), graph.namespace(F.col("id")).alias("namespace"))
+
+
+def _targets(spark, sf_dir):
+    """Parts as targets: their type is the path, the brand the kind, and a name for some."""
+    p = read(spark, sf_dir, "part")
+    kind, path = F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))), F.lower(F.replace("p_type", F.lit(" "), F.lit("/")))
+    named = F.when(F.col("p_partkey") % 4 == 0, "").otherwise(F.concat(F.lit("n"), (F.col("p_partkey") % 50).cast("string")))
+    return p.select(F.concat(F.lit("part:"), F.col("p_partkey")).alias("id"), path.alias("path"), kind.alias("kind"), named.alias("name"), (F.col("p_size") % 4).alias("index"), F.col("p_name").alias("label"), F.array(F.concat(F.lit("size"), F.col("p_size").cast("string"))).alias("more"))
+
+
+def selector_parse(spark, sf_dir):
+    t = _targets(spark, sf_dir)
+    asked = F.when(F.length("label") % 2 == 0, selectors.canonical(F.col("path"), F.col("kind"), F.col("name"))).otherwise(F.concat("kind", F.lit("#"), "name", F.lit("#x")))
+    return t.select("id", selectors.parsed(asked).alias("s")).select("id", "s.path", "s.identifier", "s.rooted")
+
+
+def selector_aliases(spark, sf_dir):
+    t = _targets(spark, sf_dir)
+    return t.select("id", F.posexplode(selectors.aliases(F.col("kind"), F.col("name"), F.col("index"), F.col("more"))).alias("place", "alias"))
+
+
+def selector_resolve(spark, sf_dir):
+    """What inputs made of suppliers' and parts' names resolve to: candidates by the best rule."""
+    t = _targets(spark, sf_dir)
+    s = read(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 50).alias("k"), (F.col("s_suppkey") % 5).alias("r")).distinct()
+    inputs = s.select(F.when(F.col("r") == 0, F.concat(F.lit("#n"), F.col("k"))).when(F.col("r") == 1, F.concat(F.lit("brand11.n"), F.col("k"))).when(F.col("r") == 2, F.concat(F.lit("size"), F.col("k"))).otherwise(F.concat(F.lit("//economy#n"), F.col("k"))).alias("input"), F.lit("economy").alias("cwd")).distinct()
+    found = selectors.resolved(t, inputs)
+    return found.select("input", F.size("found").alias("n"), F.element_at("found", 1)["id"].alias("first"))
+
+
+def completion_match(spark, sf_dir):
+    t = _targets(spark, sf_dir)
+    return selectors.completions(t, "brand1", "economy").union(selectors.completions(t, "//econ"))
+
+
+def kind_local_index(spark, sf_dir):
+    """Each part's place among the parts of its type and brand, and whether its name repeats there."""
+    from pyspark.sql import Window
+
+    p = read(spark, sf_dir, "part")
+    own = Window.partitionBy("p_type", "p_brand")
+    return p.select("p_partkey", (F.row_number().over(own.orderBy("p_partkey")) - 1).alias("place"), (F.count("*").over(Window.partitionBy("p_type", "p_brand", "p_name")) > 1).alias("repeats"))
+
+
+def duplicate_blobs(spark, sf_dir):
+    """Groups of documents with the same contents, by blob id."""
+    return git_blob_hash(spark, sf_dir).groupBy("oid").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
+
+
+def text_functions(spark, sf_dir):
+    p, name, kind = read(spark, sf_dir, "part"), F.col("p_name"), F.col("p_type")
+    return p.select(
+        "p_partkey", config.title(name).alias("title"), config.trimprefix(kind, "ECO").alias("trimprefix"), config.trimsuffix(name, "t").alias("trimsuffix"), config.trim(name, "ct").alias("trim"),
+        config.substr(name, 2, 5).alias("substr"), config.substr(name, -3, -1).alias("tail"), config.indent(2, F.concat(name, F.lit("\nx"))).alias("indent"), F.reverse(name).alias("strrev"),
+        config.chomp(F.concat(name, F.lit("\r\n\n"))).alias("chomp"), F.replace(name, F.lit(" "), F.lit("+")).alias("replaced"), config.base64encode(F.concat_ws(" ", *[name] * 9)).alias("base64encode"),
+        config.basename(F.concat(kind, F.lit("/"), name)).alias("basename"), config.dirname(F.concat(kind, F.lit("/"), name)).alias("dirname"), config.trimspace(F.concat(F.lit(" \t"), name, F.lit("\n "))).alias("trimspace"),
+    )
+
+
+def collection_functions(spark, sf_dir):
+    p = read(spark, sf_dir, "part").withColumn("a", F.split("p_name", "")).withColumn("a", F.filter("a", lambda x: x != ""))
+    a, text = F.col("a"), lambda x: F.array_join(x, ",")
+    m = F.map_from_arrays(F.array(F.lit("b"), F.lit("a")), F.array("p_brand", "p_type"))
+    return p.select(
+        "p_partkey", F.array_join(F.transform(config.chunklist(a, 4), lambda x: F.array_join(x, "")), "|").alias("chunks"), F.size(F.array_distinct(a)).alias("n_distinct"), text(config.compact(F.transform(a, lambda x: F.when(x == "e", "").otherwise(x)))).alias("compact"),
+        config.element(a, F.col("p_partkey")).alias("element"), text(config.slice_(a, 1, 4)).alias("slice"), text(config.keys(m)).alias("keys"), text(config.values(m)).alias("values_"), config.lookup(m, F.lit("z"), F.lit("none")).alias("lookup"),
+        text(config.range_(F.col("p_size") % 5)).alias("range"), text(F.array_sort(a)).alias("sorted"), F.size(config.setproduct(a, F.array(F.lit(1), F.lit(2)))).alias("n_product"), text(F.array_sort(F.array_intersect(a, F.array(F.lit("a"), F.lit("e"))))).alias("both"),
+        config.lookup(config.merge(m, F.create_map(F.lit("a"), F.lit("later"))), F.lit("a"), F.lit("-")).alias("merged"),
+    )
+
+
+def number_functions(spark, sf_dir):
+    p, cents = read(spark, sf_dir, "part"), F.round(F.col("p_retailprice") * 100).cast("bigint")
+    return p.select(
+        "p_partkey", F.abs(F.col("p_size") - 25).alias("abs"), F.signum(F.col("p_size") - 25).cast("int").alias("signum"), F.ceil(F.col("p_size") / 4).cast("bigint").alias("ceil"), F.floor(F.col("p_size") / 4).cast("bigint").alias("floor"),
+        F.greatest("p_size", F.lit(30)).alias("max"), F.least("p_size", F.lit(30)).alias("min"), F.pow(F.col("p_size"), 2).cast("bigint").alias("pow"), config.parseint(F.hex(cents), 16).alias("parseint"), F.round(config.log(F.col("p_size") + 1, 2), 6).alias("log"),
+    )
+
+
+def hash_functions(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    return d.select("doc_id", F.md5("t").alias("md5"), F.sha1("t").alias("sha1"), F.sha2("t", 256).alias("sha256"))
+
+
+_QUERIES = (
+    universe_entities, universe_edges, token_collect, graph_validate_violations, graph_absorb, absorb_conflicts, namespace_counts, out_edges, direct_dependencies, closure_pairs, closure_sizes,
+    reverse_reachability, scc_cycle, content_hash, uvarint_table, diff_status, induced_edges, frontier_layers, range_hash_label, containment_walk, longest_prefix_owner, import_fallback,
+    version_replace, path_clean, path_resolve, path_within, ancestor_trees, prune_empty, glob_match, overlay_upsert, git_blob_hash, duplicate_blobs, id_codec, selector_parse, selector_aliases,
+    selector_resolve, completion_match, kind_local_index, text_functions, collection_functions, number_functions, hash_functions,
+)
 
 
 def queries():
-    return {}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql():
-    return {}
+    return {k: v for k, v in ORACLES.items() if k in queries()}
