@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,17 +32,35 @@ def id_remainder(name: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a reliable checkpoint in the folder that the cluster shares.
+def _shared_folder(df: DataFrame) -> str:
+    """The folder that the cluster shares: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset
-    (as in tests on one machine) a temporary folder is taken.
+    Only where that is unset (as in tests on one machine) a temporary folder is taken.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         shared = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts lineage with a reliable checkpoint in the shared folder, in a part for each core.
+
+    For tables of small rows that come out of a shuffle.
+    """
+    _shared_folder(df)
+    return df.coalesce(df.sparkSession.sparkContext.defaultParallelism).checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Cuts lineage with a table in the shared folder, for what is worked out in a scan.
+
+    Tasks without rows leave no file. Whoever owns the folder clears it, as with checkpoints.
+    """
+    path = f"{_shared_folder(df)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int, limit: int = 8 << 20) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_right
 from dataclasses import dataclass, field
+from itertools import islice
+from math import floor
 
 import numpy as np
 import pandas as pd
@@ -12,11 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ripplegraph.llm.common import broadcast_if_small, checkpointed, text_of
+from ripplegraph.llm.common import broadcast_if_small, checkpointed, text_of, written
 
 WINDOW, END = 4096, 2
-#: Words whose ids a worker remembers; past that it starts anew.
-REMEMBERED = 300_000
+#: Words whose ids a worker remembers as they stand, and without what they end with.
+REMEMBERED, REMEMBERED_CORES = 500_000, 600_000
 
 
 @dataclass
@@ -30,8 +32,8 @@ class Phase:
 
     first: int
     windows: int
-    ends: np.ndarray
-    taken: np.ndarray
+    ends: list[float]
+    taken: list[int]
 
 
 @dataclass
@@ -58,10 +60,10 @@ class Schedule:
             n = int(np.floor((left[live] - 1) / rates[live]).min())
             if n < 1:  # a queue runs dry in this window: the others fill its place by weight
                 n, ends = 1, np.concatenate([[0], np.cumsum(self._last(left, wants_now))]).astype(float)
-            self.phases.append(Phase(first, n, ends, taken.copy()))
+            self.phases.append(Phase(first, n, ends.tolist(), taken.tolist()))
             given = np.diff(np.floor(n * ends)).astype(np.int64)
             taken, left, first = taken + given, left - given, first + n
-        self._starts = [np.array([p.taken[s] for p in self.phases]) for s in range(len(left))]
+        self._starts = [[p.taken[s] for p in self.phases] for s in range(len(left))]
 
     def _last(self, left: np.ndarray, wants: np.ndarray) -> np.ndarray:
         quota, room = np.zeros(len(left), dtype=np.int64), min(self.window, int(left.sum()))
@@ -84,36 +86,81 @@ class Schedule:
         starts = self._starts[source]
         while at < until:
             p = self.phases[bisect_right(starts, at) - 1]
-            lo, hi, y = p.ends[source], p.ends[source + 1], at - int(p.taken[source])
-            given = lambda w: int(np.floor(w * hi)) - int(np.floor(w * lo))  # noqa: E731, B023
+            lo, hi, y = p.ends[source], p.ends[source + 1], at - p.taken[source]
+            given = lambda w: floor(w * hi) - floor(w * lo)  # noqa: E731, B023
             w = min(p.windows - 1, max(0, int(y / (hi - lo))))
             while w and given(w) > y:
                 w -= 1
             while given(w + 1) <= y:
                 w += 1
             n = min(until - at, given(w + 1) - y)
-            offset = int(np.floor((w + 1) * lo)) - int(np.floor(w * lo)) + y - given(w)
+            offset = floor((w + 1) * lo) - floor(w * lo) + y - given(w)
             yield at, n, p.first + w, offset
             at += n
 
 
 class WordIds(dict):
-    """Ids of a word as bytes, from a tokenizer that never joins text across white space."""
+    """Ids of a word as bytes, from a tokenizer that never joins text across white space.
+
+    Most new words are known ones in another case or before other punctuation. Where the
+    tokenizer always cuts between a letter and such marks, and lower-cases, a word's ids are
+    those of its lower-cased core and of its end, one after the other.
+    """
+
+    ENDS = b",.!?*#$%&;:)|"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.cores = Tokenizer.from_file(path), {}
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.plain = False
+        self.lowers = self._ids(b"AbC") == self._ids(b"abc")
+        cut = self.tokenizer.pre_tokenizer
+        self.plain = self.lowers and cut is not None and [x for x, _ in cut.pre_tokenize_str("abc")] == ["abc"]
+        self.cuts = cut is not None and all([x for x, _ in cut.pre_tokenize_str(f"a{e}")] == ["a", e] for e in self.ENDS.decode())
+
+    def _ids(self, word: bytes) -> bytes:
+        if self.plain and word.isalpha() and word.islower():  # of ASCII letters alone: nothing to normalise or cut
+            return np.array([t.id for t in self.tokenizer.model.tokenize(word.decode())], dtype=self.kind).tobytes()
+        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, dtype=self.kind).tobytes()
+
+    def _core(self, word: bytes) -> bytes:
+        got = self.cores.get(word)
+        if got is None:
+            self.new = True
+            if len(self.cores) >= REMEMBERED_CORES:
+                for k in list(islice(self.cores, REMEMBERED_CORES // 2)):
+                    del self.cores[k]
+            self.cores[word] = got = self._ids(word)
+        return got
+
+    def __missing__(self, word: bytes) -> bytes:
+        self.new = False
+        whole = word.lower() if self.lowers else word
+        core = whole.rstrip(self.ENDS) if self.cuts else whole
+        if core[-1:].isalpha():
+            got = self._core(core) + (self._core(whole[len(core) :]) if len(core) < len(whole) else b"")
+        else:
+            got = self._core(whole)
+        if not self.new:  # most words that are seen for the first time are never seen again
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = got
+        return got
 
     def encode(self, text: bytes) -> bytes:
-        words = text.split()
-        if len(self) > REMEMBERED:
-            self.clear()
-        new = [w for w in set(words) if w not in self]
-        for w, ids in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self[w] = np.array(ids.ids, dtype=self.kind).tobytes()
-        return b"".join(map(self.__getitem__, words))
+        return b"".join(map(self.__getitem__, text.split()))
+
+
+_WORKER: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """The tokenizer with what this worker process remembers of earlier tasks."""
+    if path not in _WORKER:
+        _WORKER[path] = WordIds(path)
+    return _WORKER[path]
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
@@ -126,7 +173,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
-        words, part, sums = WordIds(tokenizer), TaskContext.get().partitionId(), {}
+        words, part, sums = word_ids(tokenizer), TaskContext.get().partitionId(), {}
         stop = np.array([end], dtype=words.kind).tobytes()
         width = len(stop)
         for b in batches:
@@ -156,13 +203,13 @@ def packed(docs: DataFrame, tokenizer: str, weights: dict | None = None, window:
     place by weight. Only the last window is shorter than ``window``.
 
     A source's queue is its documents in the order of their partitions. Partitions are
-    tokenized once, into a checkpoint; the queue's totals by partition are then summed, and
+    tokenized once, into a table; the queue's totals by partition are then summed, and
     each row's pieces follow from its own place alone, so that no queue is walked and no
     tokens are shuffled. The schedule holds a few numbers for each source. Null texts give the
     end mark alone, null sources are one source, repeated rows are packed one by one, and
     no rows give none.
     """
-    rows = checkpointed(tokenized(docs, tokenizer))
+    rows = written(tokenized(docs, tokenizer))
     sums = checkpointed(rows.groupBy("source", "part").agg(F.sum("n").alias("_n")))
     totals = sums.groupBy("source").agg(F.sum("_n").alias("n")).orderBy(F.col("source").asc_nulls_last()).collect()
     sources = [r["source"] for r in totals]
