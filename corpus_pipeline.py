@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ripplegraph.llm import exact_dedup, mixing, packing, quality_model, simhash
-from ripplegraph.llm.common import checkpointed, read
+from ripplegraph.llm.common import read, written
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -46,5 +46,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to the documents; each one's rows are written to the shared folder."""
     docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = checkpointed(stage(spark, docs, sf_dir))
+        docs = written(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

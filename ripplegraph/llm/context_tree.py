@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplegraph.llm.common import checkpointed, id_remainder, lower_ascii, text_of
+from ripplegraph.llm.common import checkpointed, id_remainder, lower_ascii, text_of, written
 
 #: Bytes of context, and those by which the trees are dealt out: a group's nodes lie below one pair of bytes.
 DEPTH, DEALT = 5, 2
@@ -135,6 +135,22 @@ def corpus_counts(docs: DataFrame, modulus: int) -> DataFrame:
     return rows.mapInArrow(run, "word binary, gram long, n long").groupBy("word", "gram").agg(F.sum("n").alias("n"))
 
 
+def most_frequent(words: DataFrame, most: int) -> DataFrame:
+    """The words with counts from a bound up, that at most ``most`` words reach.
+
+    The bound comes from a histogram with eight steps in each doubling, so that no task and
+    no driver ever sorts the vocabulary.
+    """
+    short, step = words.where(F.octet_length("word") <= SENT_WORD_BYTES), F.floor(8 * F.log2(F.greatest("n", F.lit(1)))).cast("int")
+    bound, taken = 1 << 30, 0
+    for r in short.groupBy(step.alias("step")).agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect():
+        taken += r["words"]
+        if taken > most:
+            break
+        bound = r["step"]
+    return short.where(step >= bound).select("word", "n")
+
+
 def _bit(byte: np.ndarray, j: int) -> tuple[np.ndarray, np.ndarray]:
     """Of a byte's j-th choice: which of the 255 trees it is in, and the bit."""
     return (np.uint64(1 << j) | (byte >> np.uint64(8 - j))), ((byte >> np.uint64(7 - j)) & np.uint64(1)).astype(np.int64)
@@ -272,7 +288,7 @@ def scored(docs: DataFrame, modulus: int = 10, sent_grams: int = SENT_GRAMS, sen
     tokens, kinds = total[0] + n_train, total[1] + (n_train > 0)
     floor = tokens + ADDED * (kinds + 1)
     log_of = lambda c: np.log10((c + ADDED) / floor)
-    head = {bytes(r[0]): r[1] for r in words.where(F.octet_length("word") <= SENT_WORD_BYTES).orderBy(F.desc("n"), "word").limit(sent_words).collect()}
+    head = {bytes(r[0]): r[1] for r in most_frequent(words, sent_words).collect()}
     frequent = spark.sparkContext.broadcast({w: log_of(n) for w, n in head.items()})
     end = log_of(n_train)
 
@@ -319,7 +335,7 @@ def scored(docs: DataFrame, modulus: int = 10, sent_grams: int = SENT_GRAMS, sen
             yield pa.RecordBatch.from_arrays([columns[k] for k in _ROWS], names=list(_ROWS))
 
     texts = docs.select(F.col("doc_id").cast("long"), (id_remainder("doc_id", modulus) == 0).alias("held_out"), lower_ascii(text_of()).cast("binary").alias("t"))
-    rows = checkpointed(texts.mapInArrow(run, _ROWS_DDL))  # rows are numbered here, once and for all
+    rows = written(texts.mapInArrow(run, _ROWS_DDL))  # rows are numbered here, once and for all
     rare = rows.select(F.col("row").alias("_r"), F.explode("rare").alias("x")).select("_r", "x.word", "x.n")
     of_word, c = words.select(F.col("word").alias("_w"), F.col("n").alias("_c")), F.coalesce("_c", F.lit(0))
     rest = (

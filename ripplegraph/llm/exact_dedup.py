@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplegraph.llm import binary_fuse
-from ripplegraph.llm.common import broadcast_if_small, checkpointed, lower_ascii, text_of
+from ripplegraph.llm.common import broadcast_if_small, checkpointed, lower_ascii, text_of, written
 
 _FILTER = "_shard int, seed int, segment int, count int, table binary"
 _HIT = "_digest binary, _inc_id long, _inc_n long"
@@ -51,7 +51,7 @@ def duplicate_groups(docs: DataFrame, shard_keys: int = 1 << 17) -> tuple[DataFr
     meets. Digests that the filter rules out are new for sure and go no further; the others
     join the snapshot's bucket by whole digest, and the bytes of the two texts are compared.
     """
-    rows = checkpointed(digests(docs))
+    rows = written(digests(docs))
     sums = checkpointed(rows.groupBy("_digest", "_new").agg(F.max("doc_id").alias("_id"), F.count("*").alias("_n")))
     shards = max(1, -(-sums.count() // shard_keys))
     shard = F.pmod(F.xxhash64("_digest"), F.lit(shards)).cast("int").alias("_shard")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplegraph.llm.common import LOWER, UPPER, checkpointed, text_of
+from ripplegraph.llm.common import LOWER, UPPER, text_of, written
 
 #: Units of fewer words are headings and the like, which repeat by chance.
 LEAST_WORDS = 5
@@ -63,7 +63,7 @@ def repeated_spans(docs: DataFrame, kind: str = "line", least_words: int = LEAST
             )
 
     texts = docs.select(_row_key().alias("key"), F.col("doc_id").cast("long"), text_of().alias("t"))
-    found = checkpointed(texts.mapInArrow(run, "key binary, doc_id long, start long, length long, digest binary"))
+    found = written(texts.mapInArrow(run, "key binary, doc_id long, start long, length long, digest binary"))
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "key", "start")
     again = found.groupBy("digest").agg(F.min(rank).alias("_first"), F.count("*").alias("_n")).where("_n > 1").select(F.col("digest").alias("_d"), "_first")
     # rows of no single key, as a copy of a row has the same rank as the row itself

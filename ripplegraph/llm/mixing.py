@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ripplegraph.llm.common import WORD, broadcast_if_small, checkpointed, text_of
+from ripplegraph.llm.common import WORD, broadcast_if_small, checkpointed, text_of, written
 
 #: Shards over all sources at most, dealt to each by its size; words that a shard has at
 #: least, by expectation; and blocks over the whole mix, or so many for each shard.
@@ -168,7 +168,7 @@ def mix_sizes(docs: DataFrame, seed: int = 17) -> DataFrame:
     A null text has size 0 and a null source is a source of its own, the last. Empty tables
     give none, other columns are ignored, and rows that are repeated are mixed one by one.
     """
-    sized = checkpointed(docs.select("doc_id", "source", word_count().alias("size")))
+    sized = written(docs.select("doc_id", "source", word_count().alias("size")))
     return mixed(sized, "size", seed).select("doc_id", "size", "source", "source_size", "target", "taken")
 
 

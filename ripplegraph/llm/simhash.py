@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplegraph.llm.common import broadcast_if_small, checkpointed, text_of
+from ripplegraph.llm.common import broadcast_if_small, checkpointed, text_of, written
 from ripplegraph.llm.components import connected_components
 
 #: Fingerprints in a tile at most, by expectation, and in a block of the comparison.
@@ -130,7 +130,7 @@ def near_links(fps: DataFrame, radius: int, within: int | None = None, tile: int
     """
     sizes = {r["_bits"]: r["n"] for r in fps.groupBy(F.bit_count("_fp").alias("_bits")).agg(F.count("*").alias("n")).collect()}
     parts = F.create_map(*[F.lit(x) for bits in range(65) for x in (bits, max(1, -(-sizes.get(bits, 0) // tile)))])
-    tiles = checkpointed(
+    tiles = (
         fps.select("_fp", "_more", F.bit_count("_fp").alias("_bits"))
         .withColumn("_part", F.pmod(F.xxhash64("_fp"), parts[F.col("_bits")]).cast("int"))
         .groupBy("_bits", "_part")
@@ -162,8 +162,8 @@ def near_links(fps: DataFrame, radius: int, within: int | None = None, tile: int
 
 def classes(docs: DataFrame, words: int, radius: int, parts: int = 1, within: int | None = None) -> DataFrame:
     """The rows of ``fingerprints`` with component_id."""
-    rows = checkpointed(fingerprints(docs, words, parts))
-    nodes = checkpointed(rows.groupBy("_fp").agg(F.min("doc_id").alias("_least"), F.min("_more").alias("_more")))
+    rows = written(fingerprints(docs, words, parts))
+    nodes = rows.groupBy("_fp").agg(F.min("doc_id").alias("_least"), F.min("_more").alias("_more"))
     roots = connected_components(near_links(nodes, radius, within))
     named = nodes.join(roots, F.col("_fp") == F.col("node"), "left").withColumn("_root", F.coalesce("root", "_fp"))
     least = named.groupBy("_root").agg(F.min("_least").alias("component_id"))
