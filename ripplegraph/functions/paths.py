@@ -30,6 +30,12 @@ def tree(path: Column) -> Column:
     return F.when(path.isin("", "."), "").otherwise(cleaned(path))
 
 
+def folded(path: Column) -> Column:
+    """Any relative path in shortest form, the root included; null if it leads past the root."""
+    segments = _folded(path)
+    return F.when(F.coalesce(F.try_element_at(segments, F.lit(1)), F.lit("")) != "..", F.array_join(segments, "/"))
+
+
 def parent(path: Column) -> Column:
     return F.regexp_replace(path, "/?[^/]*$", "")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ripplegraph.functions.paths import tree, within
+from ripplegraph.functions.paths import folded, within
 from ripplegraph.model import GraphError
 
 
@@ -40,9 +40,7 @@ def aliases(kind: Column, name: Column, index: Column, more: Column) -> Column:
 def asked_tree(selector: Column, cwd: Column) -> Column:
     """The tree that a parsed selector asks for, seen from cwd if it isn't rooted; null if it leaves the root."""
     path = selector["path"]
-    joined = F.when(selector["rooted"] | (cwd == ""), path).otherwise(F.concat(cwd, F.lit("/"), path))
-    bare = F.when(path.isin("", "."), F.when(selector["rooted"], F.lit("")).otherwise(cwd))
-    return F.coalesce(bare, tree(joined))
+    return folded(F.when(selector["rooted"] | (cwd == ""), path).otherwise(F.concat(cwd, F.lit("/"), path)))
 
 
 def resolved(targets: DataFrame, inputs: DataFrame) -> DataFrame:

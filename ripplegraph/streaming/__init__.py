@@ -1,0 +1 @@
+"""Nothing here yet: the engine compares whole snapshots, and has no operator over unbounded input."""
