@@ -66,3 +66,10 @@ def written(df: DataFrame) -> DataFrame:
 def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int, limit: int = 8 << 20) -> DataFrame:
     """Marks a counted table for broadcast where it is surely small; otherwise Spark shuffles."""
     return F.broadcast(df) if rows * row_bytes <= limit else df
+
+
+def slices(batches, rows: int = 500):
+    """Arrow batches in slices of few rows, so that a task holds the objects of few texts at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ripplegraph.llm.common import slices
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _STYLE_RULE = re.compile(r"([^{}]+)\{([^}]*)\}")
@@ -228,7 +230,8 @@ def render(root: Node, unseen: frozenset, depth: int = 0) -> list[str]:
                 undo()
             continue
         if not isinstance(child, Node):
-            page.text(child)
+            if node.tag != "details" or "open" in node.attributes:
+                page.text(child)
             continue
         tag = child.tag
         if not _visible(child, unseen):
@@ -320,7 +323,7 @@ def extracted(pages: DataFrame) -> DataFrame:
     """
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             texts = [visible_text(h) for h in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"]

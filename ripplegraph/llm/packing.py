@@ -14,11 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ripplegraph.llm.common import broadcast_if_small, checkpointed, text_of, written
+from ripplegraph.llm.common import broadcast_if_small, checkpointed, slices, text_of, written
 
 WINDOW, END = 4096, 2
 #: Words whose ids a worker remembers as they stand, and without what they end with.
-REMEMBERED, REMEMBERED_CORES = 500_000, 600_000
+REMEMBERED, REMEMBERED_CORES = 300_000, 400_000
 
 
 @dataclass
@@ -47,12 +47,16 @@ class Schedule:
     phases: list[Phase] = field(default_factory=list)
 
     def __post_init__(self) -> None:
-        left = np.array(self.lengths, dtype=np.int64)
         wants = np.array(self.weights if self.weights is not None else self.lengths, dtype=float)
+        wants = np.where(wants > 0, wants, 1e-9)
+        queues = self._pooled(self.window * wants / wants.sum() if len(wants) else wants)
+        self._place = {s: (q, sum(self.lengths[x] for x in queue[:k])) for q, queue in enumerate(queues) for k, s in enumerate(queue)}
+        left = np.array([sum(self.lengths[s] for s in queue) for queue in queues], dtype=np.int64)
+        wants = np.array([sum(wants[s] for s in queue) for queue in queues])
         taken, first = np.zeros(len(left), dtype=np.int64), 0
         while left.sum() > 0:
             live = left > 0
-            wants_now = np.where(live, np.where(wants > 0, wants, 1e-9), 0)
+            wants_now = np.where(live, wants, 0)
             rates = self.window * wants_now / wants_now.sum()
             ends = np.concatenate([[0.0], np.cumsum(rates)])
             ends[np.flatnonzero(live)[-1] + 1 :] = self.window
@@ -63,7 +67,25 @@ class Schedule:
             self.phases.append(Phase(first, n, ends.tolist(), taken.tolist()))
             given = np.diff(np.floor(n * ends)).astype(np.int64)
             taken, left, first = taken + given, left - given, first + n
-        self._starts = [[p.taken[s] for p in self.phases] for s in range(len(left))]
+        self._starts = [[p.taken[q] for p in self.phases] for q in range(len(left))]
+
+    @staticmethod
+    def _pooled(rates: np.ndarray) -> list[list[int]]:
+        """Sources with under a token a window share a queue, one after another; others have their own.
+
+        A queue with a token a window or more never has to give one back.
+        """
+        queues, pool, least = [[int(s)] for s in np.flatnonzero(rates > 1 + 1e-6)], [], 1 + 1e-6
+        for s in np.flatnonzero(rates <= least).tolist():
+            pool.append(s)
+            if rates[pool].sum() > least:
+                queues.append(pool)
+                pool = []
+        if pool and queues:
+            queues[-1].extend(pool)
+        elif pool:
+            queues.append(pool)
+        return queues
 
     def _last(self, left: np.ndarray, wants: np.ndarray) -> np.ndarray:
         quota, room = np.zeros(len(left), dtype=np.int64), min(self.window, int(left.sum()))
@@ -83,10 +105,11 @@ class Schedule:
 
     def pieces(self, source: int, at: int, until: int):
         """(position in the queue, length, window, offset) of the queue's tokens from at to until."""
-        starts = self._starts[source]
+        q, base = self._place[source]
+        starts = self._starts[q]
         while at < until:
-            p = self.phases[bisect_right(starts, at) - 1]
-            lo, hi, y = p.ends[source], p.ends[source + 1], at - p.taken[source]
+            p = self.phases[bisect_right(starts, at + base) - 1]
+            lo, hi, y = p.ends[q], p.ends[q + 1], at + base - p.taken[q]
             given = lambda w: floor(w * hi) - floor(w * lo)  # noqa: E731, B023
             w = min(p.windows - 1, max(0, int(y / (hi - lo))))
             while w and given(w) > y:
@@ -176,7 +199,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
         words, part, sums = word_ids(tokenizer), TaskContext.get().partitionId(), {}
         stop = np.array([end], dtype=words.kind).tobytes()
         width = len(stop)
-        for b in batches:
+        for b in slices(batches):
             texts, sources, ids, at, n = b.column(2).to_pylist(), b.column(1).to_pylist(), [], [], []
             for text, source in zip(texts, sources, strict=True):
                 got = words.encode(text) + stop
