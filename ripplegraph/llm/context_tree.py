@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplegraph.llm.common import checkpointed, id_remainder, lower_ascii, text_of, written
+from ripplegraph.llm.common import checkpointed, id_remainder, lower_ascii, slices, text_of, written
 
 #: Bytes of context, and those by which the trees are dealt out: a group's nodes lie below one pair of bytes.
 DEPTH, DEALT = 5, 2
@@ -112,7 +112,7 @@ def corpus_counts(docs: DataFrame, modulus: int) -> DataFrame:
             held.clear()
 
         names = ["word", "gram", "n"]
-        for b in batches:
+        for b in slices(batches):
             texts, learn = b.column(1).to_pylist(), np.array(b.column(0).to_pylist(), dtype=bool)
             for part, counted in (([t for t, x in zip(texts, learn, strict=True) if x], True), ([t for t, x in zip(texts, learn, strict=True) if not x], False)):
                 for s in chunks(part):
@@ -308,7 +308,7 @@ def scored(docs: DataFrame, modulus: int = 10, sent_grams: int = SENT_GRAMS, sen
         from pyspark import TaskContext
 
         known, row = frequent.value, TaskContext.get().partitionId() << 36
-        for b in batches:
+        for b in slices(batches):
             texts, made = b.column(2).to_pylist(), {k: [] for k in ("row", "n_tokens", "n_known", "base", "score", "rare", "grams")}
             for s in chunks(texts):
                 keys, starts = gram_keys(texts[s])

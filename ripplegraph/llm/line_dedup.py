@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplegraph.llm.common import LOWER, UPPER, text_of, written
+from ripplegraph.llm.common import LOWER, UPPER, slices, text_of, written
 
 #: Units of fewer words are headings and the like, which repeat by chance.
 LEAST_WORDS = 5
@@ -48,7 +48,7 @@ def repeated_spans(docs: DataFrame, kind: str = "line", least_words: int = LEAST
     """
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             rows = [(i, *u) for i, t in enumerate(b.column(2).to_pylist()) for u in units(t, kind, least_words)]
             at = pa.array([r[0] for r in rows], pa.int64())
             yield pa.RecordBatch.from_arrays(

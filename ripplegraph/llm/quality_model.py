@@ -11,14 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplegraph.llm.common import id_remainder, text_of
+from ripplegraph.llm.common import id_remainder, slices, text_of
 
 BUCKETS, DIM, EPOCHS, RATE, SEED = 1 << 16, 8, 12, 0.5, 7
 #: Labelled documents of each class that training takes at most, lowest id hash first.
 PER_CLASS = 2000
 #: The bucket of the pair "a word and the same word again".
 AGAIN = 0
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 
 def buckets(word: bytes) -> list[int]:
@@ -103,7 +103,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, modulus: int = 5, per_clas
     taken = F.broadcast(pick[0].union(pick[1]))  # 2 * per_class rows of two numbers
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             made = [features(t) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array([m[0] for m in made], pa.list_(pa.int32())), pa.array([m[1] for m in made], pa.list_(pa.float32()))],
@@ -150,7 +150,7 @@ def quality_scores(docs: DataFrame, model: Model, threshold: float = 0.3) -> Dat
 
     def run(batches):
         known = WordScores(model.weights)
-        for b in batches:
+        for b in slices(batches):
             scores = _scores(b.column(1).to_pylist(), known, model)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], names=["doc_id", "score", "predicted"]
@@ -176,7 +176,7 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
 
     def run(batches):
         known = WordScores(model.weights)
-        for b in batches:
+        for b in slices(batches):
             texts = [(t or "").encode() for t in b.column(at).to_pylist()]
             yield b.filter(pa.array([s >= threshold for s in _scores(texts, known, model)], pa.bool_()))
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ripplegraph.llm.common import text_of
+from ripplegraph.llm.common import slices, text_of
 
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
@@ -67,7 +67,7 @@ def text_figures(docs: DataFrame) -> DataFrame:
     """The figures of every whole text, with its doc_id, language and source."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             got = list(map(figures_of, b.column(3).to_pylist()))
             columns = [pa.array([x[k] for x in got], pa.int64()) for k in range(5)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *columns], names=[x.split()[0] for x in _FIGURES_OF_TEXT.split(", ")])
