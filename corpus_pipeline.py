@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ripplegraph.llm import exact_dedup, mixing, packing, quality_model, simhash
 from ripplegraph.llm.common import read, written
 
-TOKENIZER = "word_bpe_49k.json"
+#: Workers that ran the other stages have less memory to spare for words than packing alone.
+TOKENIZER, REMEMBERED = "word_bpe_49k.json", 300_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +34,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the tokens of what is left into windows of one mixture."""
-    return packing.packed(docs, public_tokenizers.path(TOKENIZER))
+    return packing.packed(docs, public_tokenizers.path(TOKENIZER), remembered=REMEMBERED)
 
 
 STAGES = [("quality classifier", quality), ("exact dedup", exact), ("simhash near-dedup", near), ("source mixing", mix), ("packing", pack)]

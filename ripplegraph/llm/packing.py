@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from ripplegraph.llm.common import broadcast_if_small, checkpointed, slices, text_of, written
 
 WINDOW, END = 4096, 2
-#: Words whose ids a worker remembers as they stand, and without what they end with.
-REMEMBERED, REMEMBERED_CORES = 300_000, 400_000
+#: Words whose ids a worker remembers as they stand, and a fifth more without what they end
+#: with: some 200 bytes each.
+REMEMBERED = 500_000
 
 
 @dataclass
@@ -132,9 +133,10 @@ class WordIds(dict):
 
     ENDS = b",.!?*#$%&;:)|"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
+        self.most, self.most_cores = remembered, remembered * 6 // 5
         self.tokenizer, self.cores = Tokenizer.from_file(path), {}
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.plain = False
@@ -152,8 +154,8 @@ class WordIds(dict):
         got = self.cores.get(word)
         if got is None:
             self.new = True
-            if len(self.cores) >= REMEMBERED_CORES:
-                for k in list(islice(self.cores, REMEMBERED_CORES // 2)):
+            if len(self.cores) >= self.most_cores:
+                for k in list(islice(self.cores, self.most_cores // 2)):
                     del self.cores[k]
             self.cores[word] = got = self._ids(word)
         return got
@@ -167,7 +169,7 @@ class WordIds(dict):
         else:
             got = self._core(whole)
         if not self.new:  # most words that are seen for the first time are never seen again
-            if len(self) >= REMEMBERED:
+            if len(self) >= self.most:
                 self.clear()
             self[word] = got
         return got
@@ -176,17 +178,17 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.split()))
 
 
-_WORKER: dict[str, WordIds] = {}
+_WORKER: dict[tuple, WordIds] = {}
 
 
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, remembered: int = REMEMBERED) -> WordIds:
     """The tokenizer with what this worker process remembers of earlier tasks."""
-    if path not in _WORKER:
-        _WORKER[path] = WordIds(path)
-    return _WORKER[path]
+    if (path, remembered) not in _WORKER:
+        _WORKER[path, remembered] = WordIds(path, remembered)
+    return _WORKER[path, remembered]
 
 
-def tokenized(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
+def tokenized(docs: DataFrame, tokenizer: str, end: int = END, remembered: int = REMEMBERED) -> DataFrame:
     """doc_id, source, part, at, n, ids: ``at`` is the row's place in its source's tokens of that part.
 
     A text's ids are those of its white-space separated words, one after another, which is
@@ -196,7 +198,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
-        words, part, sums = word_ids(tokenizer), TaskContext.get().partitionId(), {}
+        words, part, sums = word_ids(tokenizer, remembered), TaskContext.get().partitionId(), {}
         stop = np.array([end], dtype=words.kind).tobytes()
         width = len(stop)
         for b in slices(batches):
@@ -217,7 +219,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
     )
 
 
-def packed(docs: DataFrame, tokenizer: str, weights: dict | None = None, window: int = WINDOW) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str, weights: dict | None = None, window: int = WINDOW, remembered: int = REMEMBERED) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source.
 
     Each window gives every source its quantum, window times its share of the weights (by
@@ -232,7 +234,7 @@ def packed(docs: DataFrame, tokenizer: str, weights: dict | None = None, window:
     end mark alone, null sources are one source, repeated rows are packed one by one, and
     no rows give none.
     """
-    rows = written(tokenized(docs, tokenizer))
+    rows = written(tokenized(docs, tokenizer, remembered=remembered))
     sums = checkpointed(rows.groupBy("source", "part").agg(F.sum("n").alias("_n")))
     totals = sums.groupBy("source").agg(F.sum("_n").alias("n")).orderBy(F.col("source").asc_nulls_last()).collect()
     sources = [r["source"] for r in totals]
