@@ -15,6 +15,8 @@ from ripplegraph.llm.components import connected_components
 
 #: Fingerprints in a tile at most, by expectation, and in a block of the comparison.
 TILE, BLOCK = 1 << 15, 256
+#: Texts in a group of the similarity check at most, and bytes of their shingles, by expectation.
+TEXTS, SET_BYTES = 512, 4 << 20
 
 
 def shingles(text: bytes, words: int) -> list[bytes]:
@@ -93,15 +95,17 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return kept
 
 
-def tile_links(a: np.ndarray, b: np.ndarray, radius: int, within: int | None = None) -> list[tuple[int, int]]:
+def tile_links(a: np.ndarray, b: np.ndarray, radius: int, within: int | None = None, names: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[int, int]]:
     """Pairs within the radius of a tile and another (or itself), thinned to a spanning forest.
 
     A tile has a row of parts for each fingerprint; the radius is for the first part, and
-    ``within`` for all parts together. Blocks whose bit counts, byte by byte, differ by more
+    ``within`` for all parts together. Fingerprints go by their names, or else by their first
+    parts. Blocks whose bit counts, byte by byte, differ by more
     than the radius in sum can't hold a pair and are skipped; all others are compared in full.
     """
     (order_a, low_a, high_a), (order_b, low_b, high_b) = _ordered(a[:, 0]), _ordered(b[:, 0])
-    a, b, found = a[order_a], b[order_b], []
+    na, nb = names or (a[:, 0], b[:, 0])
+    a, b, na, nb, found = a[order_a], b[order_b], na[order_a], nb[order_b], []
     fa, fb = np.ascontiguousarray(a[:, 0]), np.ascontiguousarray(b[:, 0])
     for i in range(len(low_a)):
         gap = np.maximum(low_a[i] - high_b, low_b - high_a[i]).clip(0).sum(axis=1)
@@ -109,20 +113,28 @@ def tile_links(a: np.ndarray, b: np.ndarray, radius: int, within: int | None = N
         for j in np.flatnonzero(gap <= radius):
             right = fb[j * BLOCK : (j + 1) * BLOCK]
             x, y = np.nonzero(np.bitwise_count(left[:, None] ^ right[None, :]) <= radius)
-            near = left[x] != right[y]
+            x, y = i * BLOCK + x, j * BLOCK + y
+            near = na[x] != nb[y]
             if within is not None and near.any():
-                near &= np.bitwise_count(a[i * BLOCK + x] ^ b[j * BLOCK + y]).sum(axis=1) <= within
+                near &= np.bitwise_count(a[x] ^ b[y]).sum(axis=1) <= within
             if near.any():
-                found += _forest(left[x[near]], right[y[near]])
+                found += _forest(na[x[near]], nb[y[near]])
         if len(found) > 1 << 18:
             found = _forest(*np.array(found, dtype=np.uint64).T)
     return _forest(*np.array(found, dtype=np.uint64).T) if found else []
 
 
+def _tile_of(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+    """A row of parts for each fingerprint, and the fingerprints' names."""
+    first, names = (np.asarray(rows.field(k)).view(np.uint64) for k in (0, 2))
+    more = np.frombuffer(b"".join(rows.field(1).to_pylist()), dtype=np.uint64).reshape(len(first), -1)
+    return np.column_stack([first, more]), names
+
+
 def near_links(fps: DataFrame, radius: int, within: int | None = None, tile: int = TILE) -> DataFrame:
-    """u, v: edges that connect just the fingerprints that links of the radius connect.
+    """u, v: edges that connect just the keys of fingerprints that links of the radius connect.
 
-    ``fps`` has distinct ``_fp``, and ``_more``. A tile holds fingerprints of one bit count, and
+    ``fps`` has distinct ``_key``, and ``_fp`` and ``_more``. A tile holds fingerprints of one bit count, and
     meets only tiles whose bit count is the radius away at most. How many tiles a bit count
     needs comes from a table of 65 counts. Each pair of tiles is one row of a join of packed
     tiles. Exact comparison grows with the square of the distinct fingerprints, over the
@@ -131,10 +143,10 @@ def near_links(fps: DataFrame, radius: int, within: int | None = None, tile: int
     sizes = {r["_bits"]: r["n"] for r in fps.groupBy(F.bit_count("_fp").alias("_bits")).agg(F.count("*").alias("n")).collect()}
     parts = F.create_map(*[F.lit(x) for bits in range(65) for x in (bits, max(1, -(-sizes.get(bits, 0) // tile)))])
     tiles = (
-        fps.select("_fp", "_more", F.bit_count("_fp").alias("_bits"))
+        fps.select("_key", "_fp", "_more", F.bit_count("_fp").alias("_bits"))
         .withColumn("_part", F.pmod(F.xxhash64("_fp"), parts[F.col("_bits")]).cast("int"))
         .groupBy("_bits", "_part")
-        .agg(F.collect_list(F.struct("_fp", "_more")).alias("_tile"))
+        .agg(F.collect_list(F.struct("_fp", "_more", "_key")).alias("_tile"))
     )
     left = (
         tiles.select(F.col("_tile").alias("_a"), F.col("_bits").alias("_ab"), F.col("_part").alias("_ap"))
@@ -144,27 +156,22 @@ def near_links(fps: DataFrame, radius: int, within: int | None = None, tile: int
         .select("_a", "_bits", "_part")
     )
 
-    def tile_of(cell) -> np.ndarray:
-        rows = cell.values
-        first = np.asarray(rows.field(0)).view(np.uint64)
-        more = np.frombuffer(b"".join(rows.field(1).to_pylist()), dtype=np.uint64).reshape(len(first), -1)
-        return np.column_stack([first, more])
-
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                found = tile_links(tile_of(batch.column(0)[k]), tile_of(batch.column(1)[k]), radius, within)
+                (a, na), (b, nb) = (_tile_of(batch.column(c)[k].values) for c in (0, 1))
+                found = tile_links(a, b, radius, within, (na, nb))
                 edges = np.array(found, dtype=np.uint64).reshape(-1, 2).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["u", "v"])
 
     return left.join(tiles, ["_bits", "_part"]).select("_a", "_tile").mapInArrow(run, "u long, v long")
 
 
-def classes(docs: DataFrame, words: int, radius: int, parts: int = 1, within: int | None = None) -> DataFrame:
+def classes(docs: DataFrame, words: int, radius: int) -> DataFrame:
     """The rows of ``fingerprints`` with component_id."""
-    rows = written(fingerprints(docs, words, parts))
+    rows = written(fingerprints(docs, words))
     nodes = rows.groupBy("_fp").agg(F.min("doc_id").alias("_least"), F.min("_more").alias("_more"))
-    roots = connected_components(near_links(nodes, radius, within))
+    roots = connected_components(near_links(nodes.withColumn("_key", F.col("_fp")), radius))
     named = nodes.join(roots, F.col("_fp") == F.col("node"), "left").withColumn("_root", F.coalesce("root", "_fp"))
     least = named.groupBy("_root").agg(F.min("_least").alias("component_id"))
     return rows.join(named.select("_fp", "_root").join(least, "_root").select("_fp", "component_id"), "_fp")
@@ -185,16 +192,117 @@ def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 4) -> DataFra
 #: For five-word shingles of which four fifths are shared, texts' 256 bits differ in 39 on
 #: average and in 52 at most, but for one pair in a hundred; a first part in 18.
 PARTS, FIRST_RADIUS, WITHIN = 4, 18, 52
+#: Shared shingles of all shingles of two texts, as a fraction: from here on they are near-duplicates.
+SHARED, OF = 4, 5
+
+
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """The hashes of a text's distinct shingles, in order."""
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles(text, words), repeat(42)), dtype=np.uint64))
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets share four fifths of what either has; sets without anything do."""
+    if OF * min(len(a), len(b)) < SHARED * max(len(a), len(b)):
+        return False
+    both = np.concatenate([a, b])
+    both.sort()
+    shared = int((both[1:] == both[:-1]).sum())
+    return OF * shared >= SHARED * (len(a) + len(b) - shared)
+
+
+def similar_links(a: pa.StructArray, b: pa.StructArray | None = None) -> list[tuple[int, int]]:
+    """Of the texts of a group, and another if given, a spanning forest of the similar pairs.
+
+    Every pair whose fingerprints are near is checked by its shingles, but for pairs that
+    checked ones connect already, which no component needs.
+    """
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    one = b is None
+    sets = [[np.frombuffer(x, dtype=np.uint64) for x in rows.field(3).to_pylist()] for rows in ([a] if one else [a, b])]
+    (fa, na), (fb, nb) = _tile_of(a), _tile_of(a if one else b)
+    kept, left, right, others = [], na.view(np.int64).tolist(), nb.view(np.int64).tolist(), sets[-1]
+    for i, x in enumerate(left):
+        bits = np.bitwise_count(fb ^ fa[i])
+        near = (bits[:, 0] <= FIRST_RADIUS) & (bits.sum(axis=1) <= WITHIN)
+        for j in np.flatnonzero(near[:i] if one else near).tolist():
+            if (p := top(x)) != (q := top(right[j])) and similar(sets[0][i], others[j]):
+                up[p] = q
+                kept.append((x, right[j]))
+    return kept
+
+
+def checked_links(docs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """u, v: edges that connect just the texts' hashes that similar pairs connect.
+
+    ``texts`` has distinct ``_hash``, and ``_fp`` and ``_more``. Near fingerprints only say
+    which texts are compared: those of a component of them, in groups dealt out by hash, each
+    group with itself and each other one of its component. Work and rows grow with the square
+    of a component's groups, and with the pairs that are near without being similar.
+    """
+    keyed = texts.withColumn("_key", F.xxhash64("_fp", "_more"))
+    roots = connected_components(near_links(keyed.select("_key", "_fp", "_more").distinct(), FIRST_RADIUS, WITHIN))
+    keyed = keyed.join(roots, F.col("_key") == F.col("node"), "left").select("_hash", "_fp", "_more", F.coalesce("root", "_key").alias("_root"))
+    several = checkpointed(keyed.groupBy("_root").agg(F.count("*").alias("_n")).where("_n > 1"))
+    several = broadcast_if_small(several, several.count(), 16)
+    asked = checkpointed(keyed.join(several.select("_root"), "_root"))
+
+    def run(batches):
+        for b in slices(batches):
+            found = pa.array([shingle_set(t, words).tobytes() for t in b.column(1).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), found], names=["_text", "_set"])
+
+    bodies = docs.select(F.xxhash64(text_of()).alias("_text"), text_of().cast("binary").alias("_body"))
+    asked_for = broadcast_if_small(asked.select("_hash"), asked.count(), 8)
+    bodies = bodies.join(asked_for, F.col("_text") == F.col("_hash"), "left_semi")
+    sets = bodies.mapInArrow(run, "_text long, _set binary").groupBy("_text").agg(F.first("_set").alias("_set"))
+    full = written(asked.join(sets, F.col("_hash") == F.col("_text")).select("_root", "_hash", "_fp", "_more", "_set"))
+    sizes = full.groupBy("_root").agg(F.ceil(F.greatest(F.count("*") / TEXTS, F.sum(F.octet_length("_set")) / SET_BYTES)).cast("int").alias("_groups"))
+    sizes = checkpointed(sizes.withColumn("_groups", F.greatest("_groups", F.lit(1))))
+    dealt = full.join(broadcast_if_small(sizes, sizes.count(), 12), "_root").withColumn("_group", F.pmod(F.xxhash64("_hash"), F.col("_groups")).cast("int"))
+    groups = dealt.groupBy("_root", "_group").agg(F.first("_groups").alias("_groups"), F.collect_list(F.struct("_fp", "_more", F.col("_hash").alias("_key"), "_set")).alias("_tile"))
+    groups = written(groups)
+
+    def edges_of(found):
+        edges = np.array(found, dtype=np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["u", "v"])
+
+    def alone(batches):
+        for b in slices(batches, 16):
+            for k in range(b.num_rows):
+                yield edges_of(similar_links(b.column(0)[k].values))
+
+    def across(batches):
+        for b in slices(batches, 1):
+            yield edges_of(similar_links(b.column(0)[0].values, b.column(1)[0].values))
+
+    later = groups.where("_group + 1 < _groups").select("_root", F.col("_tile").alias("_a"), F.explode(F.expr("sequence(_group + 1, _groups - 1)")).alias("_group"))
+    pairs = later.join(groups.select("_root", "_group", "_tile"), ["_root", "_group"]).select("_a", "_tile")
+    own = groups.where(F.size("_tile") > 1).select("_tile")
+    return own.mapInArrow(alone, "u long, v long").union(pairs.mapInArrow(across, "u long, v long"))
 
 
 def representatives(docs: DataFrame, words: int = 5) -> DataFrame:
     """The rows of ``docs`` but for near-duplicates of a row with a smaller doc_id.
 
-    Similarity of about 0.8 or more on the texts' shingles, by 256-bit fingerprints. Rows that
-    share both the smallest id and the text of their group all stay, as does a group
-    without any id.
+    Near-duplicates share four fifths of their shingles, or are connected by texts that do; pairs
+    are found by 256-bit fingerprints and checked by their shingles. Texts without words are
+    alike. Rows that share both the smallest id and the text of their group all stay, as does
+    a group without any id.
     """
-    gone = classes(docs, words, FIRST_RADIUS, PARTS, WITHIN).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    gone = checkpointed(gone.select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_text")).distinct())
+    rows = written(fingerprints(docs, words, PARTS))
+    texts = rows.groupBy("_hash").agg(F.min("doc_id").alias("_least"), F.min("_fp").alias("_fp"), F.min("_more").alias("_more"))
+    roots = connected_components(checked_links(docs, texts, words))
+    named = texts.join(roots, F.col("_hash") == F.col("node"), "left").select("_hash", "_least", F.coalesce("root", "_hash").alias("_root"))
+    least = named.groupBy("_root").agg(F.min("_least").alias("component_id"))
+    found = named.join(least, "_root").select(F.col("_hash").alias("_text"), "component_id")
+    gone = rows.join(found, F.col("_hash") == F.col("_text")).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    gone = checkpointed(gone.select(F.col("doc_id").alias("_id"), "_text").distinct())
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text_of()) == F.col("_text"))
     return docs.join(broadcast_if_small(gone, gone.count(), 48), same, "left_anti")

@@ -93,3 +93,31 @@ def test_representatives(spark, odd_docs, no_docs):
     assert sorted(r.doc_id for r in simhash.representatives(docs).collect()) == [1, 3]
     assert simhash.representatives(odd_docs).columns == odd_docs.columns
     assert simhash.representatives(no_docs).collect() == []
+
+
+def test_representatives_share_four_fifths(spark):
+    """Fingerprints alone linked these: half-alike texts, and texts that one repeated run outweighs."""
+    words = [f"w{k}" for k in range(400)]
+    rows = [(0, words)]
+    for i, step in ((1, 64), (2, 46), (3, 29)):  # a changed word alters five shingles: 0.85, 0.8 and 0.7 are shared at most
+        rows.append((i, [f"new{i}" if k % step == 7 else w for k, w in enumerate(words)]))
+    run = "the same five words again".split() * 60
+    rows += [(10 + i, [*run, *[f"v{i}x{k}" for k in range(100)]]) for i in range(3)]
+    rows += [(20 + i, [f"z{k}" for k in range(300)] + [f"tail{i}"]) for i in range(30)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+    sets = {i: {tuple(t[k : k + 5]) for k in range(len(t) - 4)} for i, t in rows}
+    up = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            if j < i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = up[i], up[j]
+                up = {x: min(a, b) if y in (a, b) else y for x, y in up.items()}
+    assert sorted(r.doc_id for r in simhash.representatives(docs).collect()) == sorted(set(up.values()))
+
+
+def test_groups_lose_no_similar_pair(spark, monkeypatch):
+    """Components of more texts than a group holds are compared across groups."""
+    monkeypatch.setattr(simhash, "TEXTS", 4)
+    base = [f"w{k}" for k in range(300)]
+    docs = spark.createDataFrame([(i, " ".join([*base, f"end{i}"])) for i in range(40)], "doc_id long, text string")
+    assert [r.doc_id for r in simhash.representatives(docs).collect()] == [0]
