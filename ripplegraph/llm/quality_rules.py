@@ -19,8 +19,10 @@ LEAST_WORDS, MOST_REPEATED = 20, 30
 STEPS, LEAST_TEXTS = 32, 200
 #: How many spreads a figure may lie outside the middle half of its group.
 SPREADS = 8
-#: Figures, the least spread that they count with, and whether too little is bad too.
-FIGURES = {"symbol_rate": (20, False), "dup_line_rate": (20, False), "repeat_rate": (35, False), "word_length": (40, True)}
+#: Figures, the least spread that they count with (where a group's texts hardly differ), and whether too little is bad too.
+FIGURES = {"symbol_rate": (2, False), "dup_line_rate": (2, False), "repeat_rate": (2, False), "word_length": (2, True)}
+#: A tenth of a group's texts at an end is no exception, however narrow its middle half.
+TAIL = 0.1
 
 _FIGURES_OF_TEXT = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 _MULTIPLIERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) | 1 for k in range(1, WINDOW + 1)], dtype=np.uint64)
@@ -118,10 +120,10 @@ def thresholds(sketch: DataFrame, *keys: str) -> DataFrame:
     up_to = whole.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     ranked = sketch.withColumn("_n", F.sum("n").over(whole)).withColumn("_up", F.sum("n").over(up_to))
     at = lambda share: F.min(F.when(F.col("_up") >= F.ceil(F.col("_n") * share), F.col("step")))
-    found = ranked.groupBy(*keys, "figure").agg(F.first("_n").alias("_texts"), at(0.25).alias("_q1"), at(0.75).alias("_q3"))
+    found = ranked.groupBy(*keys, "figure").agg(F.first("_n").alias("_texts"), at(0.25).alias("_q1"), at(0.75).alias("_q3"), at(TAIL).alias("_t1"), at(1 - TAIL).alias("_t3"))
     least = F.create_map(*[F.lit(x) for f, (spread, _) in FIGURES.items() for x in (f, spread)])
     spread = SPREADS * F.greatest(F.col("_q3") - F.col("_q1"), least[F.col("figure")])
-    bounds = found.withColumn("_low", F.col("_q1") - spread).withColumn("_high", F.col("_q3") + spread)
+    bounds = found.withColumn("_low", F.least(F.col("_q1") - spread, "_t1")).withColumn("_high", F.greatest(F.col("_q3") + spread, "_t3"))
     pick = lambda c, f: F.max(F.when(F.col("figure") == f, F.col(c)))
     return bounds.groupBy(*keys).agg(
         F.max("_texts").alias("_texts"), *[pick("_high", f).alias(f"{f}_high") for f in FIGURES], *[pick("_low", f).alias(f"{f}_low") for f, (_, both) in FIGURES.items() if both]

@@ -71,3 +71,10 @@ def test_an_odd_source_is_judged_by_its_own_quantiles(spark):
     stray = [(5000, " ".join(f"v{j} #" for j in range(60)), "en", "plain")]
     rows = q.judged(spark.createDataFrame([*plain, *marked, *stray], "doc_id long, text string, lang string, source string")).collect()
     assert {r.doc_id for r in rows if not r.kept} == {5000} and {r.judged_by for r in rows} == {"source"}
+
+
+def test_narrow_groups_have_narrow_bounds(spark):
+    plain = [(k, " ".join(f"word{j:02}k{k:03}" for j in range(60)), "en", "plain") for k in range(300)]
+    odd = [(900, "\n".join(f"word{j:02}k900" for j in [*range(57), 0, 1, 2]), "en", "plain"), (901, " ".join(f"word{j:02}k901abcd" for j in range(60)), "en", "plain")]
+    rows = q.judged(spark.createDataFrame([*plain, *odd], "doc_id long, text string, lang string, source string")).collect()
+    assert {r.doc_id for r in rows if not r.kept} == {900, 901} and not any(r.base_failed for r in rows)
