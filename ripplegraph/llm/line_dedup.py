@@ -13,7 +13,9 @@ from ripplegraph.llm.common import LOWER, UPPER, slices, text_of, written
 
 #: Units of fewer words are headings and the like, which repeat by chance.
 LEAST_WORDS = 5
-_SPLIT = {"line": re.compile("\n"), "paragraph": re.compile(r"\n[ \t\r]*\n\s*")}
+_SPLIT = {"line": re.compile("\n"), "sentence": re.compile("\n"), "paragraph": re.compile(r"\n[ \t\r]*\n\s*")}
+#: Where a sentence ends inside a line, with the space that follows.
+_SENTENCE = re.compile(r"[.!?\u2026]+[\"')\]\u201d\u2019\u00bb]*[ \t\r]+|[\u3002\uff01\uff1f]+[ \t\r]*")
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _LOWERED = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
@@ -21,19 +23,37 @@ _LOWERED = bytes.maketrans(UPPER.encode(), LOWER.encode())
 def units(text: str, kind: str, least_words: int) -> list[tuple[int, int, bytes]]:
     """start, length (with the break that follows) and digest of each unit that counts.
 
-    A digest is of the words alone, with A-Z lower-cased and ASCII punctuation left out.
+    A digest is of the words alone, with A-Z lower-cased and ASCII punctuation left out. Of
+    kind sentence, units are whole lines and the sentences inside them.
     """
     found, at, size = [], 0, len(text)
+
+    def add(start: int, end: int, after: int) -> None:
+        words = text[start:end].encode().translate(_LOWERED, _PUNCTUATION).split()
+        if len(words) >= least_words:
+            found.append((start, after - start, hashlib.md5(b" ".join(words)).digest()))
+
     while at < size:
         broken = _SPLIT[kind].search(text, at)
         end, after = (broken.start(), broken.end()) if broken else (size, size)
-        words = text[at:end].encode().translate(_LOWERED, _PUNCTUATION).split()
-        if len(words) >= least_words:
-            found.append((at, after - at, hashlib.md5(b" ".join(words)).digest()))
+        add(at, end, after)
+        cuts = [m.end() for m in _SENTENCE.finditer(text, at, end) if m.end() < end] if kind == "sentence" else []
+        if cuts:
+            for a, b in zip([at, *cuts], [*cuts, end], strict=True):
+                add(a, b, after if b == end else b)
         at = after
     return found
 
 
+def joined_spans(spans: list[dict]) -> list[dict]:
+    """Spans in order of their starts, without those inside others."""
+    kept: list[dict] = []
+    for s in sorted(spans, key=lambda s: (s["start"], -s["length"])):
+        if not kept or s["start"] >= kept[-1]["start"] + kept[-1]["length"]:
+            kept.append(s)
+    return kept
+
+
 def _row_key():
     """Of a row: its id and text, so that rows that only share an id aren't mixed up."""
     return F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text_of())))
@@ -68,7 +88,16 @@ def repeated_spans(docs: DataFrame, kind: str = "line", least_words: int = LEAST
     again = found.groupBy("digest").agg(F.min(rank).alias("_first"), F.count("*").alias("_n")).where("_n > 1").select(F.col("digest").alias("_d"), "_first")
     # rows of no single key, as a copy of a row has the same rank as the row itself
     lost = found.join(again, F.col("digest") == F.col("_d")).where(~rank.eqNullSafe(F.col("_first")))
-    return lost.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("spans"))
+    spans = lost.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("spans"))
+    if kind != "sentence":
+        return spans
+
+    def join(batches):
+        for b in slices(batches):
+            found = pa.array([joined_spans(x) for x in b.column(1).to_pylist()], b.schema.field(1).type)
+            yield pa.RecordBatch.from_arrays([b.column(0), found], names=["key", "spans"])
+
+    return spans.mapInArrow(join, spans.schema)
 
 
 def without_repeats(docs: DataFrame, kind: str = "line", least_words: int = LEAST_WORDS) -> DataFrame:

@@ -22,7 +22,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.without_repeats(read(spark, sf_dir, "documents"))
+    return line_dedup.without_repeats(read(spark, sf_dir, "documents"), "sentence")
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

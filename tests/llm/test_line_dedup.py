@@ -51,3 +51,24 @@ def test_paragraphs(spark):
     docs = spark.createDataFrame([(1, f"intro\n\n{p}\n\nend"), (2, f"{p.upper()}\n \nanother end here")], "doc_id long, text string")
     got = {r.doc_id: r.text for r in without_repeats(docs, "paragraph").collect()}
     assert got == {1: f"intro\n\n{p}\n\nend", 2: "another end here"}
+
+
+def test_sentences_of_edited_lines(spark):
+    s = [" ".join(f"w{k}x{j}" for j in range(12)) + "." for k in range(6)]
+    lines = {1: " ".join(s), 2: " ".join(["Quite new words stand here now.", *s[1:5], "No."]) + "\nend", 3: s[0].upper() + "  " + " ".join(s[1:]) + "\nother"}
+    docs = spark.createDataFrame(list(lines.items()), "doc_id long, text string")
+    rows = {r.doc_id: r for r in without_repeats(docs, "sentence").collect()}
+    assert {i: r.text for i, r in rows.items()} == {1: lines[1], 2: "Quite new words stand here now. No.\nend", 3: "other"}
+    for i, r in rows.items():
+        spans = sorted([*r.kept_spans, *r.removed_spans])
+        assert "".join(lines[i][a : a + n] for a, n in spans) == lines[i] and r.n_removed == len(lines[i]) - len(r.text)
+
+
+def test_registered_query_cuts_sentences(spark, tmp_path):
+    from ripplegraph.llm import queries
+
+    shared = "a sentence of more than five words that two long lines share."
+    docs = spark.createDataFrame([(1, f"First start of it all. {shared} An end."), (2, f"Other start of it all. {shared} Another end.")], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.text for r in queries.op4_repeated_lines(spark, str(tmp_path)).collect()}
+    assert got[2] == "Other start of it all. Another end."
