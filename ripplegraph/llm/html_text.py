@@ -19,7 +19,7 @@ _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript title iframe noembed noframes object audio video canvas svg math datalist".split())
+UNSEEN = frozenset("head script style template noscript title iframe noembed noframes object audio video canvas datalist desc metadata defs symbol clippath annotation annotation-xml".split())
 BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul".split()
 )
@@ -40,6 +40,10 @@ _CLOSES = {
     "optgroup": (("option", "optgroup"), ("select",)),
 }
 _P_BARRIER = ("td", "th", "table", "button", "li", "caption", "object")
+#: What rows and cells stand in, and what only stands in it.
+_GROUPS = ("thead", "tbody", "tfoot")
+_IN_TABLE = ("table", *_GROUPS, "tr")
+_PARTS = (*_GROUPS, "tr", "td", "th", "caption", "colgroup", "col")
 #: Tables inside tables beyond this depth are laid out as plain blocks.
 NESTED = 8
 
@@ -76,7 +80,7 @@ def parse(html: str) -> tuple[Node, list[str]]:
         tag = tag.lower()
         if m[1]:
             up = at
-            while up is not None and up.tag != tag and not (up.tag in ("td", "th", "table") and tag not in BLOCK and tag not in _CLOSES):
+            while up is not None and up.tag != tag and not (up.tag in ("td", "th", "table") and (tag == "form" or (tag not in BLOCK and tag not in _CLOSES))):
                 up = up.parent
             if up is not None and up.tag == tag and up.parent is not None:
                 at = up.parent
@@ -88,8 +92,16 @@ def parse(html: str) -> tuple[Node, list[str]]:
         attributes = {a[1].lower(): unescape(a[2] or a[3] or a[4] or "") for a in _ATTRIBUTE.finditer(m[3])} if m[3] else {}
         if tag in ("html", "body") and any(isinstance(c, Node) and c.tag == tag for c in root.children):
             continue
+        if tag == "form" and at.tag in _IN_TABLE:
+            continue  # as in browsers, what follows stands in the table
         if tag in BLOCK:
             at = _close(at, ("p",), _P_BARRIER)
+        if tag in _PARTS:
+            up = at  # a part of a table ends what strayed between its parts
+            while up is not None and up.tag not in _IN_TABLE and up.tag not in ("td", "th", "caption"):
+                up = up.parent
+            if up is not None and up.tag in _IN_TABLE:
+                at = up
         if tag == "body" or (tag in BLOCK and tag not in ("html",) and at.tag == "head"):
             while at.tag == "head":
                 at = at.parent
@@ -168,31 +180,50 @@ class _Page:
         self.gap = 1
 
 
-def _rows(table: Node, unseen: frozenset) -> tuple[list[Node], list[list[Node]]]:
-    """Captions, and the cells of each visible row; tables inside cells are left to the cells."""
-    captions, rows, stack = [], [], [table]
+def _rows(table: Node, unseen: frozenset) -> tuple[list[Node], list[tuple[Node, list[Node]]], list]:
+    """Captions, the cells of each visible row with what the row stands in, and what strays between
+    the parts, in order; tables inside cells are left to the cells."""
+    captions, rows, strays, stack = [], [], [], [table]
     while stack:
         node = stack.pop()
-        for child in reversed(node.children) if node is not table else reversed(node.children):
-            if isinstance(child, Node) and _visible(child, unseen) and child.tag in ("thead", "tbody", "tfoot", "tr", "caption"):
-                stack.append(child)
-        if node.tag == "tr":
-            rows.append([c for c in node.children if isinstance(c, Node) and c.tag in ("td", "th") and _visible(c, unseen)])
+        if not isinstance(node, Node) or node.tag not in ("table", *_PARTS) or (node.tag == "table" and node is not table):
+            if isinstance(node, Node) or node.strip():
+                strays.append(node)
         elif node.tag == "caption":
             captions.append(node)
-    return captions, rows
+        elif node is table or _visible(node, unseen):
+            if node.tag == "tr":
+                rows.append((node.parent, [c for c in node.children if isinstance(c, Node) and c.tag in ("td", "th") and _visible(c, unseen)]))
+            if node.tag in _IN_TABLE:
+                stack += [c for c in reversed(node.children) if not (isinstance(c, Node) and (c.tag in ("td", "th") or not _visible(c, unseen)))]
+    return captions, rows, strays
+
+
+def _span(cell: Node, name: str, most: int) -> int:
+    """How many columns or rows a cell takes; zero rows are all that follow in its group."""
+    span = cell.attributes.get(name, "1")
+    span = int(span) if span.isdecimal() and len(span) < 10 else most if span.isdecimal() else 1
+    return min(most, span or (most if name == "rowspan" else 1))
 
 
 def _table(table: Node, unseen: frozenset, depth: int) -> list[str]:
-    """Cells of a column start at the same character; a cell that spans columns takes their width."""
-    captions, rows = _rows(table, unseen)
+    """Cells of a column start at the same character; a cell that spans columns takes their width.
+
+    A cell that spans rows has its text in the first, and keeps its columns free in the others.
+    """
+    captions, rows, strays = _rows(table, unseen)
     lines = [x for c in captions for x in render(c, unseen, depth)]
-    grid, widths = [], []
-    for row in rows:
+    grid, widths, taken, group = [], [], {}, None
+    for place, (inside, row) in enumerate(rows):
+        if inside is not group:
+            taken, group = {}, inside  # column: the first row where it is free again
         cells, column = [], 0
         for cell in row:
-            span = cell.attributes.get("colspan", "1")
-            span = max(1, min(1000, int(span))) if span.isdecimal() else 1
+            while taken.get(column, 0) > place:
+                column += 1
+            span, down = _span(cell, "colspan", 1000), _span(cell, "rowspan", 65534)
+            if down > 1:
+                taken.update(dict.fromkeys(range(column, column + span), place + down))
             text = [x for x in render(cell, unseen, depth) if x] or [""]
             cells.append((column, span, text))
             widths += [0] * (column + span - len(widths))
@@ -210,10 +241,9 @@ def _table(table: Node, unseen: frozenset, depth: int) -> list[str]:
                 if k < len(text) and text[k]:
                     line = (line + "  " if line and len(line) + 2 > starts[column] else line.ljust(starts[column])) + text[k]
             lines.append(line.rstrip(" "))
-    outside = [c for c in table.children if not isinstance(c, Node) and c.strip()] + [c for c in table.children if isinstance(c, Node) and c.tag not in ("thead", "tbody", "tfoot", "tr", "caption", "colgroup", "col", "td", "th")]
-    if outside:  # what browsers move out of the table
+    if strays:  # what browsers move out of the table
         stray = Node("div", {}, None)
-        stray.children = outside
+        stray.children = strays
         lines = [*render(stray, unseen, depth), *lines]
     return lines
 
@@ -265,7 +295,7 @@ def _enter(page: _Page, node: Node):
     """Starts an element; gives what to do at its end."""
     tag = node.tag
     if tag not in BLOCK:
-        if tag in ("td", "th", "option", "button", "tr"):
+        if tag in ("td", "th", "option", "button", "tr", "text"):
             page.text(" ")
             return lambda: page.text(" ")
         return None

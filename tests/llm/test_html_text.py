@@ -56,3 +56,22 @@ def test_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     assert extracted(pages).where("n_chars > 0").count() == pages.count()
     assert extracted(rows.limit(0)).collect() == []
+
+
+STRAYS = {
+    "<table><tr><form><td>text<td>b</form></tr></table>": "text  b",
+    "<table><tbody><form><tr><td>x<td>y</tr></form></tbody></table>z": "x  y\n\nz",
+    "<table><tr>stray<td>a<td>b</table>": "stray\na  b",
+    "<table><tbody><div>one</div><tr><td>a</td></tr>two<tr><td>b</td></tr></table>": "one\ntwo\na\nb",
+    "<table><tr><div>open<td>a<td>b</table>": "open\na  b",
+    "<table><tr hidden>no<td>no<tr><td>yes</table>": "yes",
+    "<form><table><tr><td>a</form>b</table>c</form>": "ab\n\nc",
+    "<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>": "a  b\n   c\nd  e",
+    "<table><tbody><tr><td rowspan=0>a<td>b<tr><td>c</tbody><tbody><tr><td>d<td>e</table>": "a  b\n   c\nd  e",
+    "<p>see <svg><title>t</title><desc>d</desc><text>label</text><text>two</text></svg> and <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p>": "see label two and x=1",
+}
+
+
+@pytest.mark.parametrize("html", STRAYS)
+def test_nothing_visible_is_lost_in_tables(html):
+    assert visible_text(html) == STRAYS[html]
