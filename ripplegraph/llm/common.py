@@ -63,6 +63,19 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """A name for each purpose that no column of the table has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        name = f"_{name}"
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int, limit: int = 8 << 20) -> DataFrame:
     """Marks a counted table for broadcast where it is surely small; otherwise Spark shuffles."""
     return F.broadcast(df) if rows * row_bytes <= limit else df

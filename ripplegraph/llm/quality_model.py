@@ -1,44 +1,96 @@
-"""Quality classifier: averaged vectors of hashed words and their character n-grams."""
+"""Quality classifier: averaged vectors of hashed words, word pairs and character n-grams."""
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplegraph.llm.common import id_remainder, slices, text_of
+from ripplegraph.llm.common import free_names, id_remainder, slices, text_of
 
-BUCKETS, DIM, EPOCHS, RATE, SEED = 1 << 16, 8, 12, 0.5, 7
+#: Buckets of features (one more, which is never trained, takes what is no feature), and training.
+BUCKETS, DIM, EPOCHS, RATE, SEED = 1 << 17, 8, 12, 0.5, 7
 #: Labelled documents of each class that training takes at most, lowest id hash first.
 PER_CLASS = 2000
-#: The bucket of the pair "a word and the same word again".
-AGAIN = 0
-REMEMBERED = 200_000
+#: Bytes of text whose features are hashed at once; a longer text is hashed alone.
+CHUNK = 1 << 20
 
+_U = np.uint64
+_BASE, _BACK = 0x100000001B3, pow(0x100000001B3, -1, 1 << 64)
+_KINDS = {"word": 1, "pair": 2, 3: 3, 4: 4}
 
-def buckets(word: bytes) -> list[int]:
-    """The hashed word, and its n-grams of three and four bytes with both borders."""
-    w = b"<" + word + b">"
-    grams = [w, *[w[i : i + n] for n in (3, 4) for i in range(len(w) - n + 1)]]
-    return [1 + zlib.crc32(g) % (BUCKETS - 1) for g in grams]
+
+def _bucket(values: np.ndarray, kind) -> np.ndarray:
+    """The bucket of each 64-bit value of a kind of feature."""
+    h = (values + _U((_KINDS[kind] * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)) * _U(0xFF51AFD7ED558CCD)
+    h ^= h >> _U(32)
+    h *= _U(0xC4CEB9FE1A85EC53)
+    return (h >> _U(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first n powers of a number, modulo 2 ** 64."""
+    out = np.full(n, base, dtype=_U)
+    out[0] = 1
+    return np.cumprod(out, dtype=_U)
+
+
+def hashed(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each kind of feature: buckets in the order of the texts, and where each text's begin.
+
+    Words are divided by white space. The features are each word, each pair of neighbouring
+    words, and a word's runs of three and four bytes with a space before and after it. A word's
+    hash is a polynomial of its bytes; a pair's is the difference of its words' hashes, so that
+    a word and itself always meet in the same bucket. All of a chunk is hashed at once.
+    """
+    lines = [b" ".join(t.split()) for t in texts]
+    data = np.frombuffer(b" " + b" ".join(lines) + b" ", dtype=np.uint8)
+    ends = np.cumsum([0] + [len(x) + 1 for x in lines])  # where each text's leading space is
+    wide, space = data.astype(_U), data == 32
+    out = []
+    at = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))  # first bytes of words
+    after = np.flatnonzero(space & np.concatenate([[False], ~space[:-1]]))  # the spaces behind them
+    sums = np.zeros(len(data) + 1, dtype=_U)
+    np.cumsum((wide + _U(1)) * _powers(_BASE, len(data)), dtype=_U, out=sums[1:])
+    words = (sums[after] - sums[at]) * _powers(_BACK, len(data))[at]
+    first = np.searchsorted(at, ends)
+    out.append((_bucket(words, "word"), first))
+    pair = np.ones(max(0, len(words) - 1), dtype=bool)
+    inner = first[(first > 0) & (first < len(words))]
+    pair[inner - 1] = False  # across two texts
+    places = np.flatnonzero(pair)
+    out.append((_bucket(words[places] - words[places + 1], "pair"), np.searchsorted(places, first)))
+    two = wide[:-1] | (wide[1:] << _U(8))
+    for n in (3, 4):
+        values = two[: len(data) - n + 1] | (two[2:] << _U(16)) if n == 4 else two[: len(data) - 2] | (wide[2:] << _U(16))
+        inside = ~space[1 : len(data) - n + 2]
+        if n == 4:
+            inside = inside & ~space[2 : len(data) - 1]
+        places = np.flatnonzero(inside)
+        out.append((_bucket(values[places], n), np.searchsorted(places, ends)))
+    return out
+
+
+def chunks(texts: list[bytes]):
+    """Slices of the list with about CHUNK bytes each."""
+    at = size = 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > CHUNK:
+            yield slice(at, i)
+            at = i
+            size = 0
+        size += len(t)
+    if at < len(texts):
+        yield slice(at, len(texts))
 
 
 def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets of a text and how often each occurs."""
-    words = text.split()
-    found, times = np.unique(np.array(words, dtype=object), return_counts=True) if words else ((), ())
-    total: dict[int, int] = {}
-    for w, n in zip(found, times, strict=True):
-        for b in buckets(w):
-            total[b] = total.get(b, 0) + int(n)
-    if again := sum(map(eq, words, words[1:])):
-        total[AGAIN] = again
-    return np.array(list(total), dtype=np.int32), np.array(list(total.values()), dtype=np.float32)
+    """Distinct buckets of a text, in order, and how often each occurs."""
+    found, times = np.unique(np.concatenate([b for b, _ in hashed([text])]), return_counts=True)
+    return found.astype(np.int32), times.astype(np.float32)
 
 
 @dataclass
@@ -48,25 +100,39 @@ class Model:
     weights: np.ndarray
     bias: float
 
-    def score(self, total: float, count: float) -> float:
-        z = self.bias + (total / count if count else 0.0)
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+    def scores(self, texts: list[bytes]) -> np.ndarray:
+        """The softmax output of each text: the probability of label 1."""
+        out = []
+        for part in chunks(texts):
+            total, count = np.zeros(part.stop - part.start), np.zeros(part.stop - part.start)
+            for buckets, starts in hashed(texts[part]):
+                n = np.diff(starts)
+                some = np.flatnonzero(n)
+                if len(some):
+                    total[some] += np.add.reduceat(self.weights[buckets], starts[some])
+                count += n
+            z = self.bias + total / np.maximum(count, 1)
+            out.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        return np.concatenate(out) if out else np.zeros(0)
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray, int, float]]) -> Model:
     """Softmax over averaged vectors, by stochastic gradient descent; rows: buckets, counts, label, weight.
 
     The two output rows only matter by their difference, so that afterwards one number per
-    bucket scores texts. Without rows, or with one class, every text gets the smoothed share.
+    bucket scores texts. Features that training never met count as zero. Without rows, or with
+    one class, every text gets the smoothed share.
     """
     rng = np.random.default_rng(SEED)
-    vectors = rng.normal(0, 0.1, (BUCKETS, DIM))
+    vectors, met = rng.normal(0, 0.1, (BUCKETS, DIM)), np.zeros(BUCKETS, dtype=bool)
     out, bias = np.zeros((2, DIM)), np.zeros(2)
     ones, everything = (sum(w for *_, y, w in rows if y == 1), sum(w for *_, w in rows))
     prior = (ones + 1) / (everything + 2)
     if not rows or ones in (0, everything):
         return Model(np.zeros(BUCKETS), float(np.log(prior / (1 - prior))))
     shares = [(b, c / c.sum() if len(c) else c, y, w) for b, c, y, w in rows]
+    for b, *_ in shares:
+        met[b] = True
     out[1] = rng.normal(0, 0.1, DIM)
     steps, step = EPOCHS * len(shares), 0
     for _ in range(EPOCHS):
@@ -84,7 +150,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int, float]]) -> Model:
             bias -= 0.1 * rate * p
             if len(b):
                 vectors[b] -= (rate * 40) * c[:, None] * back
-    return Model(vectors @ (out[1] - out[0]), float(bias[1] - bias[0]))
+    return Model(np.where(met, vectors @ (out[1] - out[0]), 0.0), float(bias[1] - bias[0]))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, modulus: int = 5, per_class: int = PER_CLASS) -> list:
@@ -93,13 +159,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, modulus: int = 5, per_clas
     Up to ``per_class`` ids of each label, lowest hash first; a row's weight makes up for the
     share of its class that was taken. Ids with two labels count by the smaller.
     """
+    id_, y_ = free_names(docs, "id", "y")
     known = (
         labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (id_remainder("doc_id", modulus) != 0))
-        .groupBy(F.col("doc_id").alias("_id"))
-        .agg(F.min("quality").alias("_y"))
+        .groupBy(F.col("doc_id").alias(id_))
+        .agg(F.min("quality").alias(y_))
     )
-    sizes = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count("*").alias("n")).collect()}
-    pick = [known.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(per_class) for y in (0, 1)]
+    sizes = {r[y_]: r["n"] for r in known.groupBy(y_).agg(F.count("*").alias("n")).collect()}
+    pick = [known.where(F.col(y_) == y).orderBy(F.xxhash64(id_), id_).limit(per_class) for y in (0, 1)]
     taken = F.broadcast(pick[0].union(pick[1]))  # 2 * per_class rows of two numbers
 
     def run(batches):
@@ -110,51 +177,24 @@ def training_rows(docs: DataFrame, labels: DataFrame, modulus: int = 5, per_clas
                 names=["doc_id", "y", "b", "c"],
             )
 
-    texts = docs.join(taken, F.col("doc_id") == F.col("_id")).select(F.col("doc_id").cast("long"), F.col("_y").cast("int"), text_of().cast("binary"))
+    texts = docs.join(taken, F.col("doc_id") == F.col(id_)).select(F.col("doc_id").cast("long"), F.col(y_).cast("int"), text_of().cast("binary"))
     got = texts.mapInArrow(run, "doc_id long, y int, b array<int>, c array<float>").toArrow()
     every = sum(sizes.values())
     share = {y: (sizes[y] / every) / (min(sizes[y], per_class) / (min(sizes.get(0, 0), per_class) + min(sizes.get(1, 0), per_class))) for y in sizes}
     rows = {}
     for i, y, b, c in zip(*(got.column(k).to_pylist() for k in range(2)), *(got.column(k) for k in (2, 3)), strict=True):
         b, c = np.asarray(b.values), np.asarray(c.values)
-        order = np.argsort(b)
-        rows.setdefault((i, zlib.crc32(b[order].tobytes() + c[order].tobytes())), (b[order], c[order], y, share[y]))
+        rows.setdefault((i, b.tobytes() + c.tobytes()), (b, c, y, share[y]))
     return [rows[k] for k in sorted(rows)]
 
 
-class WordScores(dict):
-    """Of a word: its features' weights in sum, and their number as the imaginary part."""
-
-    def __init__(self, weights: np.ndarray):
-        self.weights = weights
-
-    def __missing__(self, word: bytes) -> complex:
-        b = buckets(word)
-        self[word] = got = complex(float(self.weights[b].sum()), len(b))
-        return got
-
-
-def _scores(texts: list[bytes], known: WordScores, model: Model) -> list[float]:
-    again, scores = complex(float(model.weights[AGAIN]), 1), []
-    for text in texts:
-        if len(known) > REMEMBERED:
-            known.clear()
-        words = text.split()
-        z = sum(map(known.__getitem__, words), 0j) + again * sum(map(eq, words, words[1:]))
-        scores.append(model.score(z.real, z.imag))
-    return scores
-
-
 def quality_scores(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` (doc_id and text) as doc_id, score, predicted."""
 
     def run(batches):
-        known = WordScores(model.weights)
         for b in slices(batches):
-            scores = _scores(b.column(1).to_pylist(), known, model)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], names=["doc_id", "score", "predicted"]
-            )
+            scores = model.scores(b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long"), text_of().cast("binary").alias("t")).mapInArrow(run, "doc_id long, score double, predicted int")
 
@@ -163,21 +203,23 @@ def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``.
 
     Null and empty texts have no features and get the bias alone. A null id is held out, as
-    crc32 of the empty text is 0. Repeated rows are scored alike, and other columns unread.
-    Without usable labels every score is one half.
+    crc32 of the empty text is 0. Repeated rows are scored alike; other columns are unread,
+    whatever their names. No rows give none. Without usable labels every score is one half.
     """
     model = train(training_rows(docs, labels))
     return quality_scores(docs, model).select("doc_id", (id_remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` that the classifier doesn't reject, with their columns."""
+    """The rows of ``docs`` that the classifier doesn't reject, with their columns.
+
+    Null and empty texts are judged by the bias alone, repeated rows alike; no rows give none.
+    """
     model, at = train(training_rows(docs, labels)), docs.columns.index("text")
 
     def run(batches):
-        known = WordScores(model.weights)
         for b in slices(batches):
-            texts = [(t or "").encode() for t in b.column(at).to_pylist()]
-            yield b.filter(pa.array([s >= threshold for s in _scores(texts, known, model)], pa.bool_()))
+            scores = model.scores([(t or "").encode() for t in b.column(at).to_pylist()])
+            yield b.filter(pa.array(scores >= threshold, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

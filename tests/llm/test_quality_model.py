@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -43,16 +44,48 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert {r.score for r in q.classified(odd_docs, none).collect()} == {0.5}
 
 
-def test_features_count_words_and_grams():
-    b, c = q.features(b"ab ab cd")
-    assert c.sum() == 2 * len(q.buckets(b"ab")) + len(q.buckets(b"cd")) + 1
-    assert q.AGAIN in b
-    assert len(q.features(b"")[0]) == 0
+def slow_buckets(text):
+    """Features of one text, gram by gram, with whole numbers of any size."""
+    m, out = (1 << 64) - 1, []
+
+    def bucket(value, kind):
+        h = ((value + q._KINDS[kind] * 0x9E3779B97F4A7C15) * 0xFF51AFD7ED558CCD) & m
+        h = ((h ^ (h >> 32)) * 0xC4CEB9FE1A85EC53) & m
+        return h >> (64 - 17)
+
+    words = text.split()
+    hashes = [sum((c + 1) * pow(q._BASE, k, 1 << 64) for k, c in enumerate(w)) & m for w in words]
+    out += [bucket(h, "word") for h in hashes] + [bucket((a - b) & m, "pair") for a, b in zip(hashes, hashes[1:])]
+    for w in words:
+        w = b" " + w + b" "
+        out += [bucket(int.from_bytes(w[i : i + n], "little"), n) for n in (3, 4) for i in range(len(w) - n + 1)]
+    return out
+
+
+TEXTS = [b"ab ab cd", b"", b" \t\n", b"a", "Ünï cödé  日本語\n\nx\x85y".encode(), b"word " * 3000, b"z" * 5000]
+
+
+def test_features_equal_a_slow_version():
+    for t in TEXTS:
+        b, c = q.features(t)
+        assert dict(zip(b.tolist(), c.tolist(), strict=True)) == dict(Counter(slow_buckets(t)))
+    b, _ = q.features(b"ab ab")
+    assert set(b) & set(q.features(b"xyz xyz")[0]) == {slow_buckets(b"n n")[2]}, "a repeated word has its own bucket"
+
+
+def test_scores_equal_a_slow_version(monkeypatch):
+    rng = np.random.default_rng(3)
+    model = q.Model(rng.normal(size=q.BUCKETS), 0.2)
+    for chunk in (q.CHUNK, 1, 4000):
+        monkeypatch.setattr(q, "CHUNK", chunk)
+        for t, score in zip(TEXTS, model.scores(TEXTS), strict=True):
+            b = slow_buckets(t)
+            assert score == pytest.approx(1 / (1 + np.exp(-np.clip(0.2 + (model.weights[b].mean() if b else 0), -30, 30))), rel=1e-9)
 
 
 def test_training_learns_a_simple_split():
     rows = [(*q.features(f"{w} {k}".encode()), y, 1.0) for k in range(60) for w, y in (("good fine", 1), ("bad junk", 0))]
     model = q.train(rows)
-    score = lambda t: model.score(*[float((model.weights[q.features(t)[0]] * q.features(t)[1]).sum()), float(q.features(t)[1].sum())])
-    assert score(b"good fine 99") > 0.8 and score(b"bad junk 99") < 0.2
-    assert model.score(0, 0) == pytest.approx(1 / (1 + np.exp(-model.bias)))
+    good, bad, none = model.scores([b"good fine 99", b"bad junk 99", b""])
+    assert good > 0.8 and bad < 0.2
+    assert none == pytest.approx(1 / (1 + np.exp(-model.bias)))
