@@ -13,6 +13,8 @@ from ripplegraph.llm.common import LOWER, UPPER, slices, text_of, written
 
 #: Units of fewer words are headings and the like, which repeat by chance.
 LEAST_WORDS = 5
+#: A unit is very common if it is one in so many of all; there can't be more of them than that.
+COMMON = 256
 _SPLIT = {"line": re.compile("\n"), "sentence": re.compile("\n"), "paragraph": re.compile(r"\n[ \t\r]*\n\s*")}
 #: Where a sentence ends inside a line, with the space that follows.
 _SENTENCE = re.compile(r"[.!?\u2026]+[\"')\]\u201d\u2019\u00bb]*[ \t\r]+|[\u3002\uff01\uff1f]+[ \t\r]*")
@@ -64,7 +66,8 @@ def repeated_spans(docs: DataFrame, kind: str = "line", least_words: int = LEAST
 
     The rank of an occurrence is its doc_id (null last) and place. A digest's first
     occurrence is a minimum, summed before the shuffle; only digests that occur again are
-    joined back, where Spark splits the partitions of very common lines.
+    joined back. Very common ones, a bounded number, are sent to the rows instead, so that no
+    line's occurrences meet in one task.
     """
 
     def run(batches):
@@ -84,10 +87,14 @@ def repeated_spans(docs: DataFrame, kind: str = "line", least_words: int = LEAST
 
     texts = docs.select(_row_key().alias("key"), F.col("doc_id").cast("long"), text_of().alias("t"))
     found = written(texts.mapInArrow(run, "key binary, doc_id long, start long, length long, digest binary"))
+    total = found.count()
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "key", "start")
-    again = found.groupBy("digest").agg(F.min(rank).alias("_first"), F.count("*").alias("_n")).where("_n > 1").select(F.col("digest").alias("_d"), "_first")
+    again = written(found.groupBy("digest").agg(F.min(rank).alias("_first"), F.count("*").alias("_n")).where("_n > 1").withColumnRenamed("digest", "_d"))
+    common = F.broadcast(again.where(F.col("_n") * COMMON > total))  # under COMMON rows
+    same = F.col("digest") == F.col("_d")
+    others = found.join(common, same, "left_anti").join(again.where(F.col("_n") * COMMON <= total), same)
     # rows of no single key, as a copy of a row has the same rank as the row itself
-    lost = found.join(again, F.col("digest") == F.col("_d")).where(~rank.eqNullSafe(F.col("_first")))
+    lost = found.join(common, same).union(others).where(~rank.eqNullSafe(F.col("_first")))
     spans = lost.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("spans"))
     if kind != "sentence":
         return spans
@@ -101,12 +108,13 @@ def repeated_spans(docs: DataFrame, kind: str = "line", least_words: int = LEAST
 
 
 def without_repeats(docs: DataFrame, kind: str = "line", least_words: int = LEAST_WORDS) -> DataFrame:
-    """doc_id, text, kept_spans, removed_spans, n_chars, n_removed: one row per row of ``docs``.
+    """doc_id, text, kept_spans, removed_spans, n_chars, n_chars_before, n_removed: one row per row of ``docs``.
 
-    Spans are (start, length) in characters of the original text; ``text`` is the kept spans
-    one after another, so that every kept character can be traced. Null texts count as
+    Spans are (start, length) in characters of the original text, which has ``n_chars_before``;
+    ``text`` is the kept spans one after another, ``n_chars`` in all, so that every kept
+    character can be traced. Null texts count as
     empty and keep nothing. Rows with the same id and the same text count as one and keep
-    the same lines. Units under ``least_words`` words stay. Other columns are ignored.
+    the same lines. Units under ``least_words`` words stay. Other columns are ignored, no rows give none.
     """
     lost = repeated_spans(docs, kind, least_words).withColumnRenamed("key", "_lost")
     rows = docs.select(F.col("doc_id"), text_of().alias("_t"), _row_key().alias("_key")).join(lost, F.col("_key") == F.col("_lost"), "left")
@@ -122,4 +130,4 @@ def without_repeats(docs: DataFrame, kind: str = "line", least_words: int = LEAS
     rows = rows.withColumn("kept_spans", gaps)
     cut = F.array_join(F.transform("kept_spans", lambda x: F.col("_t").substr((x["start"] + 1).cast("int"), x["length"].cast("int"))), "")
     removed = F.aggregate("removed_spans", F.lit(0).cast("long"), lambda n, x: n + x["length"])
-    return rows.select("doc_id", F.when(F.size("removed_spans") > 0, cut).otherwise(F.col("_t")).alias("text"), "kept_spans", "removed_spans", F.col("_size").alias("n_chars"), removed.alias("n_removed"))
+    return rows.select("doc_id", F.when(F.size("removed_spans") > 0, cut).otherwise(F.col("_t")).alias("text"), "kept_spans", "removed_spans", (F.col("_size") - removed).alias("n_chars"), F.col("_size").alias("n_chars_before"), removed.alias("n_removed"))

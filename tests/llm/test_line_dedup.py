@@ -35,13 +35,13 @@ def brute(rows, least=5):
                 kept.append((at, s - at))
                 text += (t or "")[at:s]
             at = s + n
-        out.append((i, text, kept, spans, len(t or ""), sum(n for _, n in spans)))
+        out.append((i, text, kept, spans, len(text), len(t or ""), sum(n for _, n in spans)))
     return sorted(out, key=str)
 
 
 def test_equals_brute_force(spark, odd_docs, no_docs):
     for docs in (odd_docs, spark.read.parquet("/root/testdata/sf0.01/documents.parquet")):
-        got = [(r.doc_id, r.text, [tuple(s) for s in r.kept_spans], [tuple(s) for s in r.removed_spans], r.n_chars, r.n_removed) for r in without_repeats(docs).collect()]
+        got = [(r.doc_id, r.text, [tuple(s) for s in r.kept_spans], [tuple(s) for s in r.removed_spans], r.n_chars, r.n_chars_before, r.n_removed) for r in without_repeats(docs).collect()]
         assert sorted(got, key=str) == brute([(r.doc_id, r.text) for r in docs.collect()])
     assert without_repeats(no_docs).collect() == []
 
