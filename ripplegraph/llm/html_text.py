@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -11,10 +12,12 @@ from pyspark.sql import functions as F
 
 from ripplegraph.llm.common import slices
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_STYLE_RULE = re.compile(r"([^{}]+)\{([^}]*)\}")
-_UNSEEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: One step inside a tag: its end, or an attribute with its value, if any. A quote that is never closed is a name's first character.
+_STEP = re.compile(r"[\s/]*(?:(>)|([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?)")
+_WHOLE = re.compile(r"\s*(-?[0-9]{1,9})(?![0-9])")
+_UNSEEN_STYLE = re.compile(r"display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"visibility\s*:\s*(visible|hidden|collapse)", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,15 +47,39 @@ _P_BARRIER = ("td", "th", "table", "button", "li", "caption", "object")
 _GROUPS = ("thead", "tbody", "tfoot")
 _IN_TABLE = ("table", *_GROUPS, "tr")
 _PARTS = (*_GROUPS, "tr", "td", "th", "caption", "colgroup", "col")
-#: Tables inside tables beyond this depth are laid out as plain blocks.
-NESTED = 8
+#: What elements hold that are nested deeper stands, block by block, in the one at this depth.
+DEEPEST = 512
+#: Columns that spans can take, and characters of a column that the ones after it are moved by.
+COLUMNS, WIDEST = 1000, 100
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children", "parent")
+    __slots__ = ("tag", "attributes", "children", "parent", "depth")
 
     def __init__(self, tag: str, attributes: dict, parent: Node | None):
         self.tag, self.attributes, self.children, self.parent = tag, attributes, [], parent
+        self.depth = 0 if parent is None else parent.depth + 1
+
+
+class _Open:
+    """Where the tree grows, and how often each tag is open above that place."""
+
+    def __init__(self):
+        self.at, self.count = Node("#root", {}, None), Counter()
+
+    def enter(self, node: Node) -> None:
+        self.at = node
+        self.count[node.tag] += 1
+
+    def leave(self, to: Node) -> None:
+        while self.at is not to:
+            self.count[self.at.tag] -= 1
+            self.at = self.at.parent
+
+    def close(self, tags: tuple, barrier: tuple) -> None:
+        """Closes the outermost of the open tags below the barrier."""
+        if any(self.count[t] for t in tags):
+            self.leave(_close(self.at, tags, barrier))
 
 
 def _close(node: Node, tags: tuple, barrier: tuple) -> Node:
@@ -65,53 +92,59 @@ def _close(node: Node, tags: tuple, barrier: tuple) -> Node:
     return found
 
 
-def parse(html: str) -> tuple[Node, list[str]]:
-    """The tree, and the contents of style elements. Missing and misplaced end tags are made up for."""
-    root = at = Node("#root", {}, None)
-    styles, pos, size = [], 0, len(html)
-    while pos < size:
-        m = _TOKEN.match(html, pos)
+def _attributes(html: str, pos: int) -> tuple[dict, int]:
+    """The attributes of a tag from behind its name, and where it ends; without an end, -1."""
+    found = {}
+    while True:
+        m = _STEP.match(html, pos)
+        if m is None:
+            return found, -1
         pos = m.end()
-        tag = m[2]
-        if tag is None:
-            if not m[0].startswith(("<!", "<?")):
-                at.children.append(unescape(m[0]))
-            continue
-        tag = tag.lower()
         if m[1]:
-            up = at
-            while up is not None and up.tag != tag and not (up.tag in ("td", "th", "table") and (tag == "form" or (tag not in BLOCK and tag not in _CLOSES))):
-                up = up.parent
-            if up is not None and up.tag == tag and up.parent is not None:
-                at = up.parent
-            elif tag == "p":
-                at.children.append(Node("p", {}, at))
-            elif tag == "br":
-                at.children.append(Node("br", {}, at))
+            return found, pos
+        found.setdefault(m[2].lower(), unescape(m[3] or m[4] or m[5] or ""))
+
+
+def parse(html: str) -> tuple[Node, list[str]]:
+    """The tree, and the contents of style elements. Missing and misplaced end tags are made up for.
+
+    One pass: what a tag that never ends holds is dropped with it, as in browsers.
+    """
+    tree, styles, pos, size = _Open(), [], 0, len(html)
+    root, once = tree.at, set()
+    while pos < size:
+        start = html.find("<", pos)
+        if start != pos:
+            tree.at.children.append(unescape(html[pos : start if start >= 0 else size]))
+        if start < 0:
+            break
+        ends = html.startswith("/", start + 1)
+        name = _NAME.match(html, start + 1 + ends)
+        if name is None:
+            if html.startswith("<!--", start):
+                empty = next((x for x in (">", "->") if html.startswith(x, start + 4)), None)
+                pos = start + 4 + len(empty) if empty else html.find("-->", start + 4) + 3
+                pos = pos if pos > start else size
+            elif ends or html.startswith(("<!", "<?"), start):
+                pos = html.find(">", start) + 1 or size
+            else:
+                tree.at.children.append("<")
+                pos = start + 1
             continue
-        attributes = {a[1].lower(): unescape(a[2] or a[3] or a[4] or "") for a in _ATTRIBUTE.finditer(m[3])} if m[3] else {}
-        if tag in ("html", "body") and any(isinstance(c, Node) and c.tag == tag for c in root.children):
+        attributes, pos = _attributes(html, name.end())
+        if pos < 0:
+            break
+        tag = name[0].lower()
+        if ends:
+            _end(tree, tag)
             continue
-        if tag == "form" and at.tag in _IN_TABLE:
+        if tag in ("html", "body"):
+            if tag in once:
+                continue
+            once.add(tag)
+        if tag == "form" and tree.at.tag in _IN_TABLE:
             continue  # as in browsers, what follows stands in the table
-        if tag in BLOCK:
-            at = _close(at, ("p",), _P_BARRIER)
-        if tag in _PARTS:
-            up = at  # a part of a table ends what strayed between its parts
-            while up is not None and up.tag not in _IN_TABLE and up.tag not in ("td", "th", "caption"):
-                up = up.parent
-            if up is not None and up.tag in _IN_TABLE:
-                at = up
-        if tag == "body" or (tag in BLOCK and tag not in ("html",) and at.tag == "head"):
-            while at.tag == "head":
-                at = at.parent
-        if tag in _CLOSES:
-            at = _close(at, *_CLOSES[tag])
-        if tag in ("td", "th") and at.tag in ("table", "thead", "tbody", "tfoot"):
-            at.children.append(row := Node("tr", {}, at))
-            at = row
-        node = Node(tag, attributes, at)
-        at.children.append(node)
+        node = _start(tree, tag, attributes)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(html, pos)
             inside = html[pos : end.start() if end else size]
@@ -119,41 +152,113 @@ def parse(html: str) -> tuple[Node, list[str]]:
             if tag == "style":
                 styles.append(inside)
             pos = size if end is None else (html.find(">", end.start()) + 1 or size)
-        elif tag not in VOID and not m[3].rstrip().endswith("/"):
-            at = node
+        elif tag not in VOID and html[pos - 2] != "/" and tree.at.depth < DEEPEST:
+            tree.enter(node)
     return root, styles
 
 
-def unseen_selectors(styles: list[str]) -> frozenset:
-    """Plain selectors (tag, .class, #id) that style sheets hide."""
-    rules = (r for s in styles for r in _STYLE_RULE.finditer(s) if _UNSEEN_STYLE.search(r[2]))
-    return frozenset(x.strip() for r in rules for x in r[1].split(",") if re.fullmatch(r"\s*[.#]?[\w-]+\s*", x))
+def _end(tree: _Open, tag: str) -> None:
+    """An end tag closes the nearest such element, but for one outside the cell it stands in."""
+    if tree.count[tag]:
+        up = tree.at
+        while up is not None and up.tag != tag and not (up.tag in ("td", "th", "table") and (tag == "form" or (tag not in BLOCK and tag not in _CLOSES))):
+            up = up.parent
+        if up is not None and up.tag == tag:
+            tree.leave(up.parent)
+            return
+    if tag in ("p", "br"):
+        tree.at.children.append(Node(tag, {}, tree.at))
+
+
+def _start(tree: _Open, tag: str, attributes: dict) -> Node:
+    """A new element, after what it closes and in what it needs around it."""
+    if tag in BLOCK:
+        tree.close(("p",), _P_BARRIER)
+    if tag in _PARTS and any(tree.count[t] for t in _IN_TABLE):
+        up = tree.at  # a part of a table ends what strayed between its parts
+        while up is not None and up.tag not in _IN_TABLE and up.tag not in ("td", "th", "caption"):
+            up = up.parent
+        if up is not None and up.tag in _IN_TABLE:
+            tree.leave(up)
+    if tag == "body" or (tag in BLOCK and tag != "html" and tree.at.tag == "head"):
+        while tree.at.tag == "head":
+            tree.leave(tree.at.parent)
+    if tag in _CLOSES:
+        tree.close(*_CLOSES[tag])
+    if tag == "table" and tree.at.tag in _IN_TABLE:
+        tree.close(("table",), ("td", "th", "caption"))
+    if tag in ("td", "th") and tree.at.tag in ("table", *_GROUPS):
+        row = Node("tr", {}, tree.at)
+        tree.at.children.append(row)
+        tree.enter(row)
+    if tree.at.depth >= DEEPEST and tag not in RAW and tag not in VOID:
+        tag, attributes = "div" if tag in BLOCK or tag in _PARTS else "span", {}
+    node = Node(tag, attributes, tree.at)
+    tree.at.children.append(node)
+    return node
+
+
+class Unseen:
+    """Plain selectors (tag, .class, #id) that style sheets take away, hide or show."""
+
+    def __init__(self, styles: list[str]):
+        self.gone, self.shown = set(), {}
+        for rule in (r for s in styles for r in s.split("}")[:-1]):
+            head, _, body = rule.rpartition("{")
+            plain = [y for x in head.rpartition("{")[2].split(",") if re.fullmatch(r"[.#]?[\w-]+", y := x.strip())]
+            if _UNSEEN_STYLE.search(body):
+                self.gone.update(plain)
+            if m := _VISIBILITY.search(body):
+                self.shown.update(dict.fromkeys(plain, m[1].lower() == "visible"))
+
+
+def _selectors(node: Node) -> list[str]:
+    """What plain selectors name a node by, the weakest first."""
+    a = node.attributes
+    return [node.tag, *["." + c for c in a.get("class", "").split()], *(["#" + a["id"]] if "id" in a else [])]
 
 
-def _visible(node: Node, unseen: frozenset) -> bool:
+def _shown(node: Node, unseen: Unseen, inherited: bool) -> bool:
+    """Whether a node's text is visible: by its own style, a style sheet, or as what it stands in."""
+    if (style := node.attributes.get("style")) and (m := _VISIBILITY.search(style)):
+        return m[1].lower() == "visible"
+    if unseen.shown:
+        for name in reversed(_selectors(node)):
+            if name in unseen.shown:
+                return unseen.shown[name]
+    return inherited
+
+
+def _visible(node: Node, unseen: Unseen) -> bool:
+    """Whether a node and all below it take part in the layout."""
     a = node.attributes
     if node.tag in UNSEEN or "hidden" in a or (node.tag == "input" and a.get("type", "").lower() == "hidden"):
         return False
     if a.get("style") and _UNSEEN_STYLE.search(a["style"]):
         return False
-    if unseen and (node.tag in unseen or "#" + a.get("id", "") in unseen or any("." + c in unseen for c in a.get("class", "").split())):
+    if unseen.gone and not unseen.gone.isdisjoint(_selectors(node)):
         return False
     up = node.parent
     return not (up is not None and up.tag == "details" and "open" not in up.attributes and node.tag != "summary")
 
 
 class _Page:
-    """Lines as they come: inline text runs on, blocks start anew, ``gap`` empty lines at most one."""
+    """Lines as they come: inline text runs on, blocks start anew, ``gap`` empty lines at most one.
 
-    def __init__(self):
-        self.lines, self.line, self.indent, self.mark, self.gap, self.pre = [], [], [], "", 0, 0
+    Two empty lines in a row are the most, but for those of preformatted text.
+    """
+
+    def __init__(self, shown: bool):
+        self.lines, self.line, self.indent, self.mark, self.gap, self.pre, self.shown = [], [], [], "", 0, 0, shown
 
     def text(self, s: str) -> None:
+        if not self.shown:
+            return
         if self.pre:
             first, *rest = s.expandtabs(8).split("\n")
             self.line.append(first)
             for x in rest:
-                self.end(keep=True)
+                self.end(keep=True, exact=True)
                 self.line.append(x)
             return
         s = _SPACE.sub(" ", s)
@@ -162,25 +267,27 @@ class _Page:
         if s:
             self.line.append(s)
 
-    def end(self, keep: bool = False) -> None:
-        """Ends the line, if it has text (or, to keep what is preformatted, in any case)."""
+    def end(self, keep: bool = False, exact: bool = False) -> None:
+        """Ends the line, if it has text (or, to keep an empty one, in any case)."""
         s = "".join(self.line).rstrip(" ")
         self.line = []
         if s or keep:
-            if self.gap and self.lines:
+            if not s and not exact and self.lines[-2:] == ["", ""]:
+                return
+            if self.gap and self.lines and (s or exact) and self.lines[-2:] != ["", ""]:
                 self.lines.append("")
             lead = "".join(self.indent)
             if self.mark:
                 lead, self.mark = lead[: len(lead) - len(self.mark)] + self.mark, ""
             self.lines.append((lead + s).rstrip(" "))
-            self.gap = 0
+            self.gap = self.gap if not s and not exact else 0
 
     def space(self) -> None:
         self.end()
         self.gap = 1
 
 
-def _rows(table: Node, unseen: frozenset) -> tuple[list[Node], list[tuple[Node, list[Node]]], list]:
+def _rows(table: Node, unseen: Unseen) -> tuple[list[Node], list[tuple[Node, list[Node]]], list]:
     """Captions, the cells of each visible row with what the row stands in, and what strays between
     the parts, in order; tables inside cells are left to the cells."""
     captions, rows, strays, stack = [], [], [], [table]
@@ -201,18 +308,24 @@ def _rows(table: Node, unseen: frozenset) -> tuple[list[Node], list[tuple[Node,
 
 def _span(cell: Node, name: str, most: int) -> int:
     """How many columns or rows a cell takes; zero rows are all that follow in its group."""
-    span = cell.attributes.get(name, "1")
-    span = int(span) if span.isdecimal() and len(span) < 10 else most if span.isdecimal() else 1
-    return min(most, span or (most if name == "rowspan" else 1))
+    span = _whole(cell, name, 1)
+    return most if span == 0 and name == "rowspan" else max(1, min(most, span))
+
 
+def _whole(node: Node, name: str, otherwise: int) -> int:
+    """A whole number of at most nine digits; anything else counts as not given."""
+    m = _WHOLE.match(node.attributes.get(name, ""))
+    return int(m[1]) if m else otherwise
 
-def _table(table: Node, unseen: frozenset, depth: int) -> list[str]:
+
+def _table(table: Node, unseen: Unseen, shown: bool) -> list[str]:
     """Cells of a column start at the same character; a cell that spans columns takes their width.
 
     A cell that spans rows has its text in the first, and keeps its columns free in the others.
+    What is wider than WIDEST moves what follows in its own line alone.
     """
     captions, rows, strays = _rows(table, unseen)
-    lines = [x for c in captions for x in render(c, unseen, depth)]
+    lines = [x for c in captions for x in render(c, unseen, _shown(c, unseen, shown))]
     grid, widths, taken, group = [], [], {}, None
     for place, (inside, row) in enumerate(rows):
         if inside is not group:
@@ -221,14 +334,17 @@ def _table(table: Node, unseen: frozenset, depth: int) -> list[str]:
         for cell in row:
             while taken.get(column, 0) > place:
                 column += 1
-            span, down = _span(cell, "colspan", 1000), _span(cell, "rowspan", 65534)
+            span, down = _span(cell, "colspan", max(1, COLUMNS - column)), _span(cell, "rowspan", 65534)
             if down > 1:
                 taken.update(dict.fromkeys(range(column, column + span), place + down))
-            text = [x for x in render(cell, unseen, depth) if x] or [""]
+            own = shown
+            for node in _between(cell, table):
+                own = _shown(node, unseen, own)
+            text = [x for x in render(cell, unseen, own) if x] or [""]
             cells.append((column, span, text))
             widths += [0] * (column + span - len(widths))
             if span == 1:
-                widths[column] = max(widths[column], *map(len, text))
+                widths[column] = min(WIDEST, max(widths[column], *map(len, text)))
             column += span
         grid.append(cells)
     starts = [0]
@@ -236,28 +352,40 @@ def _table(table: Node, unseen: frozenset, depth: int) -> list[str]:
         starts.append(starts[-1] + w + (2 if w else 0))
     for cells in grid:
         for k in range(max((len(c[2]) for c in cells), default=0)):
-            line = ""
+            line, used = [], 0
             for column, _, text in cells:
                 if k < len(text) and text[k]:
-                    line = (line + "  " if line and len(line) + 2 > starts[column] else line.ljust(starts[column])) + text[k]
-            lines.append(line.rstrip(" "))
+                    lead = " " * max(2 if used else 0, starts[column] - used)
+                    line += [lead, text[k]]
+                    used += len(lead) + len(text[k])
+            lines.append("".join(line).rstrip(" "))
     if strays:  # what browsers move out of the table
         stray = Node("div", {}, None)
         stray.children = strays
-        lines = [*render(stray, unseen, depth), *lines]
+        lines = [*render(stray, unseen, shown), *lines]
     return lines
 
 
-def render(root: Node, unseen: frozenset, depth: int = 0) -> list[str]:
+def _between(cell: Node, table: Node) -> list[Node]:
+    """The nodes below the table down to the cell."""
+    found, node = [], cell
+    while node is not None and node is not table:
+        found.append(node)
+        node = node.parent
+    return found[::-1]
+
+
+def render(root: Node, unseen: Unseen, shown: bool = True) -> list[str]:
     """The lines of what is visible below a node. Walks without recursion, but for tables."""
-    page, stack = _Page(), [(root, iter(root.children), None)]
+    page, stack = _Page(shown), [(root, iter(root.children), None, shown)]
     while stack:
-        node, children, undo = stack[-1]
+        node, children, undo, around = stack[-1]
         child = next(children, None)
         if child is None:
             stack.pop()
             if undo is not None:
                 undo()
+            page.shown = stack[-1][3] if stack else around
             continue
         if not isinstance(child, Node):
             if node.tag != "details" or "open" in node.attributes:
@@ -266,6 +394,7 @@ def render(root: Node, unseen: frozenset, depth: int = 0) -> list[str]:
         tag = child.tag
         if not _visible(child, unseen):
             continue
+        inside = _shown(child, unseen, around) if child.attributes or unseen.shown else around
         if tag == "br":
             page.end(keep=True)
         elif tag == "hr":
@@ -273,16 +402,17 @@ def render(root: Node, unseen: frozenset, depth: int = 0) -> list[str]:
         elif tag == "img":
             continue  # a picture has no text of its own
         elif tag == "input":
-            if child.attributes.get("type", "text").lower() in ("button", "submit", "reset", "text", "search", "email", "url"):
+            if inside and child.attributes.get("type", "text").lower() in ("button", "submit", "reset", "text", "search", "email", "url"):
                 page.text(child.attributes.get("value", ""))
-        elif tag == "table" and depth < NESTED:
+        elif tag == "table":
             page.space()
-            for line in _table(child, unseen, depth + 1):
+            for line in _table(child, unseen, inside):
                 page.line = [line]
                 page.end(keep=True)
             page.space()
         else:
-            stack.append((child, iter(child.children), _enter(page, child)))
+            page.shown = inside
+            stack.append((child, iter(child.children), _enter(page, child), inside))
     page.end()
     while page.lines and not page.lines[-1]:
         page.lines.pop()
@@ -305,9 +435,7 @@ def _enter(page: _Page, node: Node):
     around()
     indent = ""
     if tag == "li":
-        place = sum(isinstance(c, Node) and c.tag == "li" for c in node.parent.children[: _place(node) + 1])
-        start = node.parent.attributes.get("start", "1")
-        number = (int(start) if start.lstrip("-").isdecimal() else 1) + place - 1
+        number = _whole(node.parent, "start", 1) + _place(node)
         page.mark = f"{number}. " if node.parent.tag == "ol" else "- "
         indent = " " * len(page.mark)
     elif tag in ("dd", "blockquote"):
@@ -330,16 +458,17 @@ def _enter(page: _Page, node: Node):
 
 
 def _place(node: Node) -> int:
-    """Where a node stands among its siblings; remembered, as long lists ask for every item."""
-    siblings = node.parent.attributes.setdefault("#places", {})
-    if id(node) not in siblings:
-        siblings.update({id(c): i for i, c in enumerate(node.parent.children) if isinstance(c, Node)})
-    return siblings[id(node)]
+    """Where an item stands among its list's items; remembered, as long lists ask for every one."""
+    places = node.parent.attributes.get("#places")
+    if places is None or id(node) not in places:
+        items = [c for c in node.parent.children if isinstance(c, Node) and c.tag == "li"]
+        node.parent.attributes["#places"] = places = {id(c): i for i, c in enumerate(items)}
+    return places[id(node)]
 
 
 def visible_text(html: str) -> str:
     root, styles = parse(html)
-    return "\n".join(render(root, unseen_selectors(styles)))
+    return "\n".join(render(root, Unseen(styles)))
 
 
 def extracted(pages: DataFrame) -> DataFrame:
@@ -348,8 +477,10 @@ def extracted(pages: DataFrame) -> DataFrame:
     Blocks start on a line of their own; paragraphs, headings, lists and tables have an empty
     line around them. List items have marks or numbers and are indented by depth; cells of a
     table's column start at the same character. Scripts, the head, and what attributes or plain
-    style rules hide give no text. Null and empty pages give the empty text; tag soup and
-    text without tags are read as a browser would. Repeated rows are read alike.
+    style rules hide give no text, but for what is made visible again inside. Line breaks and
+    empty blocks make two empty lines in a row at most. Null and empty pages give the empty
+    text; tag soup and text without tags are read as a browser would. Repeated rows are read
+    alike, other columns are ignored, and no rows give none.
     """
 
     def run(batches):

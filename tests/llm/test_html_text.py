@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -75,3 +77,91 @@ STRAYS = {
 @pytest.mark.parametrize("html", STRAYS)
 def test_nothing_visible_is_lost_in_tables(html):
     assert visible_text(html) == STRAYS[html]
+
+
+MORE = {
+    "<ol start='--1'><li>a</ol><ol start=-2><li>b</ol>": "1. a\n\n-2. b",
+    "<ol start=" + "9" * 5000 + "><li>a</ol>": "1. a",
+    "<table><tr><td colspan=" + "9" * 5000 + ">a<td rowspan=x>b<tr><td colspan=0>c</table>": "a  b\nc",
+    "<table><tr><td rowspan=2>a<td>b<tr><td>c</table>": "a  b\n   c",
+    "<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b>no</div>end": "yes\nend",
+    "<style>.v{visibility:visible}.h{visibility:hidden}</style><p class=h>no <i class=v>yes</i> no": "yes",
+    "<table style='visibility:hidden'><tr><td>no<td style='visibility:visible'>yes</table>": "yes",
+    "<table><tr><td>a<td style='visibility:hidden'>b<td>c<tr><td>d<td>ee<td>f</table>": "a      c\nd  ee  f",
+    "word<p><br><p>word": "word\n\n\nword",
+    "word<br><br><br><br><br>word": "word\n\n\nword",
+    "seen <b title='never closed>yes</b>": "seen yes",
+    "<!-->a<!--->b<!-- c -->d</>e</ x>f<!x>g<?y>h": "abdefgh",
+    "<p title=\"a>b\" x='c>d' y=e/f>in</p>": "in",
+    "<input value='x'><input type=hidden value=y><button>z</button>": "x z",
+}
+
+
+@pytest.mark.parametrize("html", MORE)
+def test_odd_attributes_and_visibility(html):
+    assert visible_text(html) == MORE[html]
+
+
+SLOW = ["<a ", "<div>", "</x>", "<p></div>", "<li>", "<!", "<a x='", '<a x="', "<p title", "<td>", "<tr><td>", "<table>", "<b><p>", "<style>{", "<style>}", "<i class=x>", "<td rowspan=9 colspan=900>", "</", "&", "<style>", "<a" + " " * 100, "<p><button>", "<ol><li>"]
+
+
+@pytest.mark.parametrize("part", SLOW)
+def test_time_is_in_proportion(part):
+    began = time.process_time()
+    visible_text(part * (200_000 // len(part)) + "end")
+    assert time.process_time() - began < 8
+
+
+def slow_layout(node):
+    """Texts and breaks of a tree in order, then joined: n line breaks ask for n - 1 empty lines."""
+    out = []
+
+    def walk(x, shown):
+        if isinstance(x, str):
+            out.extend([x] if shown else [])
+            return
+        tag, style, children = x
+        if style == "display:none":
+            return
+        shown = {"visibility:hidden": False, "visibility:visible": True}.get(style, shown)
+        breaks = {"p": 2, "h1": 2, "div": 1, "section": 1}.get(tag, 0)
+        out.append(breaks)
+        for c in children:
+            walk(c, shown)
+        out.append(breaks)
+
+    walk(node, True)
+    text, wanted = "", 0
+    for x in out:
+        if isinstance(x, int):
+            wanted = max(wanted, x)
+        else:
+            text += ("\n" * wanted if text else "") + x
+            wanted = 0
+    return text
+
+
+def as_html(x):
+    return x if isinstance(x, str) else f"<{x[0]} style='{x[1]}'>{''.join(map(as_html, x[2]))}</{x[0]}>"
+
+
+LEAF = st.sampled_from(["one", "two", "three"])
+STYLES = st.sampled_from(["", "", "", "display:none", "visibility:hidden", "visibility:visible"])
+INLINE = st.recursive(LEAF, lambda c: st.tuples(st.sampled_from(["b", "span"]), STYLES, st.lists(c, max_size=3)), max_leaves=4)
+PARA = st.tuples(st.sampled_from(["p", "h1"]), STYLES, st.lists(INLINE, max_size=3))
+TREE = st.recursive(st.one_of(INLINE, PARA), lambda c: st.tuples(st.sampled_from(["div", "section"]), STYLES, st.lists(c, max_size=4)), max_leaves=12)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(TREE, max_size=4))
+def test_random_trees_equal_a_slow_layout(trees):
+    tree = ("section", "", trees)
+    assert visible_text(as_html(tree)) == slow_layout(tree)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(1, 4).flatmap(lambda n: st.lists(st.lists(st.text("abc", min_size=1, max_size=9), min_size=n, max_size=n), min_size=1, max_size=6)))
+def test_cells_are_aligned(rows):
+    html = "<table>" + "".join("<tr>" + "".join(f"<td>{c}" for c in r) for r in rows) + "</table>"
+    widths = [max(len(r[k]) for r in rows) for k in range(len(rows[0]))]
+    assert visible_text(html) == "\n".join("  ".join(c.ljust(w) for c, w in zip(r, widths, strict=True)).rstrip() for r in rows)
