@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -32,10 +33,27 @@ class Snapshot:
     followed: tuple[str, ...] = FOLLOWED
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a checkpoint in the folder that the cluster shares (spark.checkpoint.dir)."""
-    context = df.sparkSession.sparkContext
+def shared_folder(df: DataFrame) -> str:
+    """The folder that the cluster shares: the session's ``spark.checkpoint.dir``.
+
+    Only a session on this machine alone may do without; it gets a temporary folder.
+    """
+    session = df.sparkSession
+    context = session.sparkContext
     if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = context.getConf().get("spark.checkpoint.dir") or session.conf.get("spark.checkpoint.dir", None)
+        if not shared and context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts lineage with a table in the folder that the cluster shares.
+
+    Unlike a checkpoint of rows, its columns can be read alone and Spark knows its size. Whoever
+    owns the folder clears it, as with checkpoints.
+    """
+    path = f"{shared_folder(df)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

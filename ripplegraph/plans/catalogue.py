@@ -20,7 +20,7 @@ def _base(spark: SparkSession, sf_dir: str) -> Snapshot:
 
 
 def _both(spark: SparkSession, sf_dir: str) -> tuple[Snapshot, Snapshot]:
-    base = _base(spark, sf_dir)
+    base = universe.snapshot(spark, sf_dir, captured=True)
     return base, universe.edited(base)
 
 
@@ -127,13 +127,13 @@ def diff_status(spark, sf_dir):
 
 
 def induced_edges(spark, sf_dir):
-    base, head = map(delta.materialised, _both(spark, sf_dir))
+    base, head = _both(spark, sf_dir)
     changed = checkpointed(delta.diff(base, head).where("status <> 'removed'"))
     return graph.induced(head.graph, changed).edges
 
 
 def frontier_layers(spark, sf_dir):
-    base, head = map(delta.materialised, _both(spark, sf_dir))
+    base, head = _both(spark, sf_dir)
     found = checkpointed(delta.diff(base, head))
     return delta.frontiers(found.where("status <> 'removed'"), found.where("status = 'added'"), _deps(head))
 

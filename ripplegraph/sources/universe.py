@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplegraph.model import Graph, Snapshot
+from ripplegraph.model import Graph, Snapshot, checkpointed
 
 ROOT = "universe:"
 
@@ -45,23 +45,29 @@ def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def snapshot(spark: SparkSession, sf_dir: str) -> Snapshot:
-    """The tables as they are. Repeated line items are one entity, whose token covers all rows."""
+def snapshot(spark: SparkSession, sf_dir: str, captured: bool = False) -> Snapshot:
+    """The tables as they are. Repeated line items are one entity, whose token covers all rows.
+
+    ``captured`` writes entities with their tokens, and edges, once, for whoever goes over them
+    more often than that.
+    """
     every = rows(spark, sf_dir)
     root = spark.range(1).select(F.lit(ROOT).alias("id"), F.lit("universe").alias("kind"))
-    entities = root.union(every.select("id", "kind").distinct())
     line, orders, customer = (read(spark, sf_dir, n) for n in ("lineitem", "orders", "customer"))
     needs = lambda kind, key: line.select(_id("lineitem", *_LINE).alias("src"), _id(kind, key).alias("dst"), F.lit("depends-on").alias("kind"))
     mentions = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(_id("order", "o_orderkey").alias("src"), _id("nation", "c_nationkey").alias("dst"), F.lit("mentions").alias("kind"))
     edges = every.select(F.col("up").alias("src"), F.col("id").alias("dst"), F.lit("contains").alias("kind")).union(needs("part", "l_partkey")).union(needs("supplier", "l_suppkey")).union(mentions)
     token = F.concat(F.lit("row:"), F.md5(F.array_join(F.array_sort(F.collect_list("text")), "\n")))
-    return Snapshot(Graph(entities, edges.distinct()), every.groupBy("id").agg(token.alias("token")))
+    edges, known = edges.distinct(), every.groupBy("id", "kind").agg(token.alias("token"))
+    if captured:
+        edges, known = checkpointed(edges), checkpointed(known)
+    return Snapshot(Graph(root.union(known.select("id", "kind")), edges), known.select("id", "token"))
 
 
 def edited(base: Snapshot) -> Snapshot:
     """A later snapshot: edited orders and parts, suppliers gone, and a new order for each nation."""
     g = base.graph
-    number = F.regexp_extract("id", r":(\d+)", 1).cast("bigint")
+    number = F.regexp_extract("id", r":(\d+)", 1).try_cast("bigint")
     of = lambda kind, n: F.col("id").startswith(f"{kind}:") & (number % n == 0)
     gone = g.entities.where(of("supplier", 37)).select("id")
     fresh = g.entities.where("kind = 'nation'").select(F.concat(F.lit("order:new-"), F.regexp_extract("id", r":(\d+)", 1)).alias("id"), F.lit("order").alias("kind"), F.col("id").alias("_up"))

@@ -7,59 +7,122 @@ from ripplegraph.model import Graph, GraphError, Snapshot
 from ripplegraph.operators import closure as reach
 from ripplegraph.operators import delta, graph, hashing
 
-EDGES = [("root", "dir", "contains"), ("root", "b", "contains"), ("dir", "a", "contains"), ("pkg", "a", "imports"), ("app", "pkg", "imports"), ("app", "b", "mentions")]
-TOKENS = {"a": "1", "b": "1"}
+#: Services of a shop: what they hold, and what they import. ``audit`` is only mentioned.
+EDGES = [
+    ("shop", "cart", "contains"), ("shop", "stock", "contains"), ("shop", "mail", "contains"), ("cart", "prices", "imports"), ("stock", "prices", "imports"),
+    ("stock", "depot", "imports"), ("depot", "maps", "imports"), ("mail", "templates", "imports"), ("audit", "mail", "mentions"), ("cart", "audit", "mentions"),
+]
+IDS = ("shop", "cart", "stock", "mail", "prices", "depot", "maps", "templates", "audit")
+TOKENS = {"prices": "p1", "maps": "m1", "mail": "x1", "audit": "a1"}
 
 
-def world(spark, tokens=TOKENS, edges=EDGES, ids=("root", "dir", "a", "b", "pkg", "app")):
+def world(spark, tokens=TOKENS, edges=EDGES, ids=IDS):
     e = spark.createDataFrame([(i, "test") for i in ids], "id string, kind string")
     r = spark.createDataFrame(list(edges), "src string, dst string, kind string")
     t = spark.createDataFrame(list(tokens.items()), "id string, token string")
     return Snapshot(Graph(e, r), t, ("contains", "imports"))
 
 
-def changes(spark, head):
-    found = {}
-    for r in delta.diff(world(spark), head).collect():
-        found.setdefault(r.status, set()).add(r.id)
-    return found.get("added", set()), found.get("modified", set()), found.get("removed", set())
-
-
-def test_edits(spark):
-    assert changes(spark, world(spark)) == (set(), set(), set())
-    assert changes(spark, world(spark, {"a": "2", "b": "1"})) == (set(), {"a", "app", "dir", "pkg", "root"}, set())
-    assert changes(spark, world(spark, {"a": "1", "b": "2"})) == (set(), {"b", "root"}, set())
-    more = world(spark, edges=[*EDGES, ("dir", "c", "contains")], ids=("root", "dir", "a", "b", "pkg", "app", "c"))
-    assert changes(spark, more) == ({"c"}, {"dir", "root"}, set())
-    less = world(spark, {"b": "1"}, [e for e in EDGES if "a" not in e], ("root", "dir", "b", "pkg", "app"))
-    assert changes(spark, less) == (set(), {"app", "dir", "pkg", "root"}, {"a"})
-    renamed = [tuple("a2" if x == "a" else x for x in e) for e in EDGES]
-    assert changes(spark, world(spark, {"a2": "1", "b": "1"}, renamed, ("root", "dir", "a2", "b", "pkg", "app"))) == ({"a2"}, {"app", "dir", "pkg", "root"}, {"a"})
-
-
-def layers(spark, changed, added, deps):
-    ids = lambda x: spark.createDataFrame([(i,) for i in x], "id string")
-    out = {}
-    for r in delta.frontiers(ids(changed), ids(added), spark.createDataFrame(deps, "src string, dst string")).collect():
-        out.setdefault(r.layer, set()).add(r.id)
-    return [out[k] for k in sorted(out)]
-
-
-def test_frontiers(spark):
-    deps = [(a, b) for a, b, k in EDGES if k != "mentions"]
-    assert layers(spark, ["a", "app", "dir", "pkg", "root"], [], deps) == [{"a"}, {"dir", "pkg"}, {"app", "root"}]
-    assert layers(spark, ["a", "b", "app", "dir", "pkg", "root"], [], deps) == [{"a", "b"}, {"dir", "pkg", "root"}, {"app"}]
-    assert layers(spark, ["a", "c", "app", "dir", "pkg", "root"], ["c"], [*deps, ("c", "pkg")]) == [{"a", "c"}, {"dir", "pkg"}, {"app", "root"}]
-    ring = [("x", "y"), ("y", "x"), ("z", "x")]
-    assert layers(spark, ["x", "y", "z"], [], ring) == [{"x", "y"}, {"z"}]
-    assert layers(spark, ["a", "app", "dir", "pkg", "root", "x", "y", "z"], [], [*deps, *ring, ("y", "a")]) == [{"a"}, {"dir", "pkg", "x", "y"}, {"app", "root", "z"}]
-    assert layers(spark, [], [], deps) == []
+def walk(edges, start):
+    """All that an entity reaches, itself left out."""
+    seen, todo = set(), [start]
+    while todo:
+        x = todo.pop()
+        for a, b in edges:
+            if a == x and b not in seen:
+                seen.add(b)
+                todo.append(b)
+    return seen - {start}
+
+
+def slow_diff(old, new):
+    """Compares every entity's sum; each side is (ids, edges, tokens)."""
+    sums = [{i: slow_sum(i, walk(edges, i), tokens) for i in ids} for ids, edges, tokens in (old, new)]
+    return {i: "removed" if i not in sums[1] else "added" if i not in sums[0] else "modified" for i in sums[0] | sums[1] if sums[0].get(i) != sums[1].get(i)}
+
+
+def followed(edges):
+    return [(a, b) for a, b, k in edges if k in ("contains", "imports")]
+
+
+EDITS = {
+    "none": {},
+    "a token": {"tokens": TOKENS | {"maps": "m2"}},
+    "a token that nothing follows": {"tokens": TOKENS | {"audit": "a2"}},
+    "an edge more to what was reached": {"edges": [*EDGES, ("shop", "prices", "imports")]},
+    "an edge more": {"edges": [*EDGES, ("mail", "maps", "imports")]},
+    "an edge less": {"edges": [e for e in EDGES if e[:2] != ("stock", "depot")]},
+    "an entity less": {"ids": [i for i in IDS if i != "depot"], "edges": [e for e in EDGES if "depot" not in e[:2]]},
+    "another name": {"ids": [i.replace("maps", "atlas") for i in IDS], "edges": [tuple(x.replace("maps", "atlas") for x in e) for e in EDGES], "tokens": {k.replace("maps", "atlas"): v for k, v in TOKENS.items()}},
+    "a ring": {"edges": [*EDGES, ("prices", "cart", "imports")]},
+}
+
+
+@pytest.mark.parametrize("edit", EDITS)
+def test_edits_equal_slow_sums(spark, edit):
+    head = {"tokens": TOKENS, "edges": EDGES, "ids": IDS} | EDITS[edit]
+    got = {r.id: r.status for r in delta.diff(world(spark), world(spark, **head)).collect()}
+    assert got == slow_diff((IDS, followed(EDGES), TOKENS), (head["ids"], followed(head["edges"]), head["tokens"]))
+
+
+def test_random_edits_equal_slow_sums(spark):
+    rng = random.Random(11)
+    sides = [([], [], {}), ([], [], {})]
+    for g in range(80):  # all graphs in one, as they have no nodes in common
+        own = [f"g{g:02}n{k:02}" for k in range(rng.randint(2, 9))]
+        edges = {(rng.choice(own), rng.choice(own), "imports") for _ in range(rng.randint(1, 2 * len(own)))}
+        tokens = {i: f"t{rng.randint(0, 2)}" for i in own}
+        for side, edit in zip(sides, (False, True), strict=True):
+            ids = list(own)
+            if edit:
+                if rng.random() < 0.3:
+                    ids.remove(rng.choice(ids))
+                if rng.random() < 0.3:
+                    ids.append(f"g{g:02}new")
+                if rng.random() < 0.3:
+                    tokens = tokens | {rng.choice(own): "edited"}
+                drop = {e for e in edges if rng.random() < 0.15}
+                edges = (edges - drop) | {(rng.choice(ids), rng.choice(ids), "imports") for _ in range(rng.randint(0, 2))}
+            side[0].extend(ids)
+            side[1].extend(e for e in sorted(edges) if e[0] in ids and e[1] in ids)
+            side[2].update({i: t for i, t in tokens.items() if i in ids})
+    old, new = (world(spark, t, e, i) for i, e, t in sides)
+    got = {r.id: r.status for r in delta.diff(old, new).collect()}
+    small = lambda s, g: ([i for i in s[0] if i.startswith(g)], [e[:2] for e in s[1] if e[0].startswith(g)], {i: t for i, t in s[2].items() if i.startswith(g)})
+    wanted = {}
+    for g in range(80):
+        wanted |= slow_diff(small(sides[0], f"g{g:02}"), small(sides[1], f"g{g:02}"))
+    assert got == wanted and {"added", "removed", "modified"} <= set(got.values())
+
+
+def slow_layers(changed, added, deps):
+    """Layers of the changed ids, by components and their nearest start, one by one."""
+    inside = [(a, b) for a, b in deps if a in changed and b in changed]
+    reached = {i: walk(inside, i) for i in changed}
+    group = {i: frozenset([i, *(x for x in reached[i] if i in reached[x])]) for i in changed}
+    below = {g: {group[b] for a, b in inside if group[a] == g and group[b] != g} for g in set(group.values())}
+    level = {g: 0 for g in below if not below[g] or g & set(added)}
+    while len(level) < len(below):
+        nearest = min(level[x] for g in below if g not in level for x in below[g] if x in level)
+        level |= {g: nearest + 1 for g in below if g not in level and any(level.get(x) == nearest for x in below[g])}
+    return {i: level[group[i]] for i in changed}
+
+
+def test_layers_equal_a_slow_version(spark):
+    rng = random.Random(5)
+    ids = [f"n{k:02}" for k in range(40)]
+    deps = sorted({(rng.choice(ids), rng.choice(ids)) for _ in range(45)} | {("n01", "n02"), ("n02", "n01")})
+    frame = lambda x: spark.createDataFrame([(i,) for i in x], "id string")
+    for changed, added in ((ids, []), (ids[::2], ids[:3:2]), (ids[5:], ["n07", "n30"]), ([], [])):
+        rows = delta.frontiers(frame(changed), frame(added), spark.createDataFrame(deps, "src string, dst string")).collect()
+        assert {r.id: r.layer for r in rows} == slow_layers(changed, added, deps)
 
 
 def test_induced_edges(spark):
-    ids = spark.createDataFrame([(i,) for i in ("a", "app", "dir", "pkg", "root")], "id string")
-    kept = graph.induced(world(spark).graph, ids)
-    assert sorted(map(tuple, kept.edges.collect())) == [("app", "pkg", "imports"), ("dir", "a", "contains"), ("pkg", "a", "imports"), ("root", "dir", "contains")]
+    ids = ("shop", "cart", "prices", "audit")
+    kept = graph.induced(world(spark).graph, spark.createDataFrame([(i,) for i in ids], "id string"))
+    assert sorted(map(tuple, kept.edges.collect())) == sorted(e for e in EDGES if e[0] in ids and e[1] in ids)
+    assert sorted(r.id for r in kept.entities.collect()) == sorted(ids)
 
 
 def varint(n):
@@ -84,15 +147,7 @@ def test_random_graphs_equal_a_slow_walk(spark):
         tokens |= {i: f"t{rng.randint(0, 2)}" * rng.choice([1, 60, 400]) for i in own if rng.random() < 0.5}
     below = {i: {b for a, b, k in edges if a == i and k == "dep"} for i in ids}
 
-    def walk(i):
-        seen, todo = set(), [i]
-        while todo:
-            for x in below[todo.pop()] - seen:
-                seen.add(x)
-                todo.append(x)
-        return seen - {i}
-
-    reached = {i: walk(i) for i in ids}
+    reached = {i: walk([(a, b) for a in below if a[:3] == i[:3] for b in below[a]], i) for i in ids}
     s = world(spark, tokens, edges, ids)
     deps = graph.dependencies(s.graph.edges, ("dep",))
     found = reach.closure(deps)
@@ -109,14 +164,14 @@ def test_rules_of_graphs(spark):
     s = world(spark)
     assert graph.validated(s.graph) is s.graph
     with pytest.raises(GraphError, match="unknown target"):
-        graph.validated(world(spark, edges=[*EDGES, ("a", "nowhere", "imports")]).graph)
+        graph.validated(world(spark, edges=[*EDGES, ("cart", "nowhere", "imports")]).graph)
     with pytest.raises(GraphError, match="repeated id"):
-        graph.validated(world(spark, ids=("root", "dir", "a", "b", "pkg", "app", "a")).graph)
+        graph.validated(world(spark, ids=(*IDS, "cart")).graph)
     with pytest.raises(GraphError, match="blank relation"):
-        graph.validated(world(spark, edges=[*EDGES, ("a", "b", " ")]).graph)
+        graph.validated(world(spark, edges=[*EDGES, ("cart", "maps", " ")]).graph)
     one = graph.absorbed(s.graph, s.graph)
-    assert one.entities.count() == 6 and one.edges.count() == 6
-    other = Graph(spark.createDataFrame([("a", "else")], "id string, kind string"), s.graph.edges.limit(0))
+    assert one.entities.count() == len(IDS) and one.edges.count() == len(EDGES)
+    other = Graph(spark.createDataFrame([("cart", "else")], "id string, kind string"), s.graph.edges.limit(0))
     with pytest.raises(GraphError, match="both"):
         graph.absorbed(s.graph, other)
     with pytest.raises(GraphError, match="tokens"):
