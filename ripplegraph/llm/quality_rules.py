@@ -9,22 +9,28 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ripplegraph.llm.common import slices, text_of
+from ripplegraph.llm.common import checkpointed, slices, text_of
 
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
 #: Fixed rules that every text must pass, whatever its language and source.
 LEAST_WORDS, MOST_REPEATED = 20, 30
-#: Steps of a sketch in each doubling, and texts that a group needs for thresholds of its own.
-STEPS, LEAST_TEXTS = 32, 200
-#: How many spreads a figure may lie outside the middle half of its group.
-SPREADS = 8
-#: Figures, the least spread that they count with (where a group's texts hardly differ), and whether too little is bad too.
-FIGURES = {"symbol_rate": (2, False), "dup_line_rate": (2, False), "repeat_rate": (2, False), "word_length": (2, True)}
-#: A tenth of a group's texts at an end is no exception, however narrow its middle half.
-TAIL = 0.1
-
-_FIGURES_OF_TEXT = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+#: Steps of a sketch in each doubling.
+STEPS = 128
+#: A spread is at least such a share of the median, where most of a group are copies of one text.
+LEAST_SPREAD = 32
+#: A group's quantiles take in its language's texts as if these were so many, and a language's those of all.
+BORROWED = 200
+#: The outer tenths of a figure, and how many times their distance from the median a text may lie beyond them.
+OUTER, FAR = 0.1, 1.5
+#: Figures that every text has: whether too little is bad, whether too much is.
+VARIED = {"word_length": (True, True), "unique_rate": (True, False)}
+#: Figures that most texts have nothing of; the outer tenth of the texts that have some is bad.
+RARE = ("symbol_rate", "dup_line_rate", "repeat_rate")
+
+_FIGURES_OF_TEXT = (
+    "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_unique long"
+)
 _MULTIPLIERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) | 1 for k in range(1, WINDOW + 1)], dtype=np.uint64)
 
 
@@ -56,13 +62,13 @@ def repeated_words(words: list[bytes]) -> int:
     return int((np.cumsum(edge) > 0).sum())
 
 
-def figures_of(text: bytes) -> tuple[int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of one text."""
+def figures_of(text: bytes) -> tuple[int, ...]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines (with a word), n_unique of one text."""
     words = text.split()
     chars = len(b"".join(words).decode())
     lines = [x for x in text.split(b"\n") if x.strip(b" \t\n\r\x0b\x0c")]
     symbols = len(text) - len(text.translate(None, SYMBOLS))
-    return len(words), chars, symbols, len(lines) - len(set(lines)), repeated_words(words)
+    return len(words), chars, symbols, len(lines) - len(set(lines)), repeated_words(words), len(lines), len(set(words))
 
 
 def text_figures(docs: DataFrame) -> DataFrame:
@@ -71,7 +77,7 @@ def text_figures(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in slices(batches):
             got = list(map(figures_of, b.column(3).to_pylist()))
-            columns = [pa.array([x[k] for x in got], pa.int64()) for k in range(5)]
+            columns = [pa.array([x[k] for x in got], pa.int64()) for k in range(7)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *columns], names=[x.split()[0] for x in _FIGURES_OF_TEXT.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("source").cast("string"), text_of().cast("binary").alias("t")).mapInArrow(
@@ -80,21 +86,23 @@ def text_figures(docs: DataFrame) -> DataFrame:
 
 
 def _rates() -> list[Column]:
-    per_mille = lambda c: F.when(F.col("n_words") > 0, F.expr(f"{c} * 1000 div n_words")).otherwise(0)
+    """The figures as whole numbers: per mille, and hundredths of a character."""
+    per = lambda c, of, times=1000: F.when(F.col(of) > 0, F.expr(f"{c} * {times} div {of}")).otherwise(0)
     return [
-        per_mille("n_symbols").alias("symbol_rate"),
-        per_mille("n_dup_lines").alias("dup_line_rate"),
-        per_mille("n_repeat_words").alias("repeat_rate"),
-        F.when(F.col("n_words") > 0, F.expr("word_chars * 100 div n_words")).otherwise(0).alias("word_length"),
+        per("word_chars", "n_words", 100).alias("word_length"),
+        per("n_unique", "n_words").alias("unique_rate"),
+        per("n_symbols", "n_words").alias("symbol_rate"),
+        per("n_dup_lines", "n_lines").alias("dup_line_rate"),
+        per("n_repeat_words", "n_words").alias("repeat_rate"),
     ]
 
 
 def step_of(value: Column) -> Column:
-    """The sketch's step that holds a whole number: exact up to 32, then 32 steps a doubling.
+    """The sketch's step that holds a whole number: exact up to 256, then 128 steps a doubling.
 
     Integer arithmetic, so that a step never depends on a machine's logarithm.
     """
-    shift = F.greatest(F.length(F.bin(value)) - 6, F.lit(0))
+    shift = F.greatest(F.length(F.bin(value)) - STEPS.bit_length(), F.lit(0))
     width = F.pow(F.lit(2), shift).cast("long")
     return F.floor(value / width).cast("long") * width
 
@@ -102,69 +110,81 @@ def step_of(value: Column) -> Column:
 def sketches(rates: DataFrame, *keys: str) -> DataFrame:
     """A quantile sketch for each group and figure: how many texts fall on each step.
 
-    Steps have a relative width of one in 32, so that a group's sketch has a few hundred rows
+    Steps have a relative width of one in 128, so that a group's sketch has some hundred rows
     at most, whatever the group's size. Sketches merge by adding counts, in any order: Spark
-    adds within partitions first, and a language's sketch is the sum of its sources'.
+    adds within partitions first, and a language's sketch is the sum of its sources'. Of the
+    rare figures only texts that have some count.
     """
-    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("figure"), step_of(F.col(f)).alias("step")) for f in FIGURES]))
-    return rates.select(*keys, pairs.alias("p")).groupBy(*keys, F.col("p.figure").alias("figure"), F.col("p.step").alias("step")).agg(F.count("*").alias("n"))
+    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("figure"), step_of(F.col(f)).alias("step")) for f in (*VARIED, *RARE)]))
+    counted = rates.select(*keys, pairs.alias("p")).where(F.col("p.figure").isin(*VARIED) | (F.col("p.step") > 0))
+    return counted.groupBy(*keys, F.col("p.figure").alias("figure"), F.col("p.step").alias("step")).agg(F.count("*").alias("n"))
 
 
 def merged(sketch: DataFrame, *keys: str) -> DataFrame:
     return sketch.groupBy(*keys, "figure", "step").agg(F.sum("n").alias("n"))
 
 
+def borrowed(own: DataFrame, keys: list[str], wider: DataFrame, wider_keys: list[str]) -> DataFrame:
+    """A group's sketch with that of the wider group it is in, weighed as BORROWED texts of each figure.
+
+    A small group is so judged like its wider group, a large one by itself, with no step between.
+    """
+    size = wider.groupBy(*wider_keys, "figure").agg(F.sum("n").alias("_size"))
+    named = lambda df: df.withColumnsRenamed({k: f"_w{k}" for k in (*wider_keys, "figure")})
+    same = lambda left: [left[k].eqNullSafe(F.col(f"_w{k}")) for k in (*wider_keys, "figure")]
+    scaled = wider.join(named(size), same(wider)).select(*wider_keys, "figure", "step", (F.col("n") * BORROWED / F.col("_size")).alias("n"))
+    groups = own.select(*keys).distinct()
+    if wider_keys:
+        lent = groups.join(named(scaled.select(*wider_keys, "figure", "step", "n")), [groups[k].eqNullSafe(F.col(f"_w{k}")) for k in wider_keys])
+    else:
+        lent = groups.join(F.broadcast(named(scaled)), F.lit(True))  # one sketch, of a few hundred rows a figure
+    rows = own.select(*keys, "figure", "step", F.col("n").cast("double")).union(lent.select(*keys, F.col("_wfigure").alias("figure"), "step", "n"))
+    return rows.groupBy(*keys, "figure", "step").agg(F.sum("n").alias("n"))
+
+
 def thresholds(sketch: DataFrame, *keys: str) -> DataFrame:
-    """Per group: the number of texts, and the least and most that each figure may be."""
-    whole = Window.partitionBy(*keys, "figure")
-    up_to = whole.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = sketch.withColumn("_n", F.sum("n").over(whole)).withColumn("_up", F.sum("n").over(up_to))
-    at = lambda share: F.min(F.when(F.col("_up") >= F.ceil(F.col("_n") * share), F.col("step")))
-    found = ranked.groupBy(*keys, "figure").agg(F.first("_n").alias("_texts"), at(0.25).alias("_q1"), at(0.75).alias("_q3"), at(TAIL).alias("_t1"), at(1 - TAIL).alias("_t3"))
-    least = F.create_map(*[F.lit(x) for f, (spread, _) in FIGURES.items() for x in (f, spread)])
-    spread = SPREADS * F.greatest(F.col("_q3") - F.col("_q1"), least[F.col("figure")])
-    bounds = found.withColumn("_low", F.least(F.col("_q1") - spread, "_t1")).withColumn("_high", F.greatest(F.col("_q3") + spread, "_t3"))
+    """Per group: the least and most that each figure may be; null where no text of the wider group has any.
+
+    A varied figure may lie FAR times as far beyond the outer tenth as that lies from the median. A rare one may be as much as nine tenths of the texts that have some have at most.
+    """
+    whole = Window.partitionBy(*keys, "figure").orderBy("step")
+    ranked = sketch.withColumn("_up", F.sum("n").over(whole.rowsBetween(Window.unboundedPreceding, 0)))
+    ranked = ranked.withColumn("_n", F.max("_up").over(Window.partitionBy(*keys, "figure")))
+    at = lambda share: F.min(F.when(F.col("_up") >= F.col("_n") * F.lit(share) - F.lit(1e-6), F.col("step")))
+    found = ranked.groupBy(*keys, "figure").agg(at(OUTER).alias("_t1"), at(0.5).alias("_mid"), at(1 - OUTER).alias("_t9"))
+    step = F.col("_mid") / LEAST_SPREAD
+    low = F.col("_mid") - (1 + FAR) * F.greatest(F.col("_mid") - F.col("_t1"), step)
+    high = F.when(F.col("figure").isin(*RARE), F.col("_t9")).otherwise(F.col("_mid") + (1 + FAR) * F.greatest(F.col("_t9") - F.col("_mid"), step))
+    bounds = found.select(*keys, "figure", low.cast("double").alias("_low"), high.cast("double").alias("_high"))
     pick = lambda c, f: F.max(F.when(F.col("figure") == f, F.col(c)))
-    return bounds.groupBy(*keys).agg(
-        F.max("_texts").alias("_texts"), *[pick("_high", f).alias(f"{f}_high") for f in FIGURES], *[pick("_low", f).alias(f"{f}_low") for f, (_, both) in FIGURES.items() if both]
-    )
+    lows, highs = [f for f, (few, _) in VARIED.items() if few], [*(f for f, (_, many) in VARIED.items() if many), *RARE]
+    return bounds.groupBy(*keys).agg(*[pick("_high", f).alias(f"{f}_high") for f in highs], *[pick("_low", f).alias(f"{f}_low") for f in lows])
+
+
+def group_thresholds(rated: DataFrame) -> DataFrame:
+    """lang, source and the thresholds of each such group of texts."""
+    fine = checkpointed(sketches(rated, "lang", "source"))
+    by_lang = merged(fine, "lang")
+    lang = borrowed(by_lang, ["lang"], merged(by_lang), [])
+    return thresholds(borrowed(fine, ["lang", "source"], lang, ["lang"]), "lang", "source")
 
 
 def judged(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, judged_by.
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, failed_by.
 
-    A text passes if each figure lies within its group's thresholds. A group of a language and
-    a source with under 200 texts takes its language's thresholds, and a language with so
-    few those of all texts; judged_by says which. Null texts count as empty and fail the
-    fixed rule; a null language or source is a group like any other. Texts that fail the fixed
-    rule count in the sketches too. Repeated rows are judged alike; no rows give none.
+    Texts that pass the fixed rules are sketched by language and source; each is kept if all
+    its figures lie within the thresholds of its group, and failed_by lists those that don't.
+    Null texts count as empty and fail the fixed rules; a null language or source is a group
+    like any other. Groups that no text passes have no thresholds. Repeated rows are judged
+    alike, other columns are ignored, and no rows give none.
     """
-    rows = text_figures(docs)
-    rated = rows.select("*", *_rates())
-    fine = sketches(rated, "lang", "source")
-    by_lang = merged(fine, "lang")
-    own = thresholds(fine, "lang", "source").where(F.col("_texts") >= LEAST_TEXTS)
-    lang = thresholds(by_lang, "lang").where(F.col("_texts") >= LEAST_TEXTS)
-    every = thresholds(merged(by_lang))
-    bounds = [c for c in own.columns if c.endswith(("_high", "_low"))]
-    rename = lambda df, p, keys: df.select(*[F.col(k).alias(f"{p}_{k}") for k in keys], *[F.col(c).alias(f"{p}_{c}") for c in bounds])
-    groups = (
-        fine.select("lang", "source")
-        .distinct()
-        .join(rename(own, "_own", ["lang", "source"]), F.col("lang").eqNullSafe(F.col("_own_lang")) & F.col("source").eqNullSafe(F.col("_own_source")), "left")
-        .join(rename(lang, "_of", ["lang"]), F.col("lang").eqNullSafe(F.col("_of_lang")), "left")
-        .join(F.broadcast(rename(every, "_all", [])), F.lit(True), "left")  # one row
-    )
-    nearest = [F.coalesce(f"_own_{c}", f"_of_{c}", f"_all_{c}").alias(c) for c in bounds]
-    level = F.when(F.col(f"_own_{bounds[0]}").isNotNull(), "source").when(F.col(f"_of_{bounds[0]}").isNotNull(), "language").otherwise("all")
-    groups = groups.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), level.alias("judged_by"), *nearest)
-    within = F.lit(True)
-    for f, (_, both) in FIGURES.items():
-        within &= F.col(f) <= F.col(f"{f}_high")
-        if both:
-            within &= F.col(f) >= F.col(f"{f}_low")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    joined = rated.join(groups, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")))
-    return joined.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & within).alias("kept"), "judged_by"
+    rated = text_figures(docs).select("*", *_rates(), failed.alias("base_failed"))
+    groups = group_thresholds(rated.where("not base_failed")).withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    joined = rated.join(groups, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
+    step = lambda bound: step_of(F.col(bound.rpartition("_")[0]))
+    outside = [F.when(step(c) > F.col(c) if c.endswith("_high") else step(c) < F.col(c), F.lit(c)) for c in groups.columns if c.endswith(("_high", "_low"))]
+    by = F.when(F.col("base_failed"), F.array().cast("array<string>")).otherwise(F.array_compact(F.array(*outside)))
+    return joined.withColumn("failed_by", by).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.size("failed_by") == 0)).alias("kept"), "failed_by"
     )
