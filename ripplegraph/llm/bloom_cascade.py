@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ripplegraph.llm.common import checkpointed
+from ripplegraph.llm.common import checkpointed, free_names
 
 #: Bits for each key of a level, hashes of each key, and keys of a shard by expectation.
 BITS, HASHES, SHARD_KEYS = 10, 5, 1 << 17
-#: Bytes of filters that are sent to every executor at once.
-BROADCAST = 32 << 20
+#: Bytes of filters that are sent to every executor; beyond them a shard's rows go to so many tasks.
+BROADCAST, SALTS = 32 << 20, 64
 
 _SHARD = "_shard int, levels array<binary>"
 
@@ -67,7 +69,8 @@ def contains(levels: list[bytes], keys: np.ndarray) -> np.ndarray:
 
 
 def key_hash(keys) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(k) for k in keys], dtype=np.uint64)
+    """64 bits of each key; a null is a key that no text equals."""
+    return np.array([xxhash.xxh64_intdigest(b"\xff" if k is None else k) for k in keys], dtype=np.uint64)
 
 
 def _shard_of(c: str, shards: int) -> Column:
@@ -92,41 +95,61 @@ def cascade(universe: DataFrame, shard_keys: int = SHARD_KEYS) -> tuple[DataFram
     return universe.select("key", "listed", _shard_of("key", shards).alias("_shard")).groupBy("_shard").applyInPandas(run, _SHARD), shards
 
 
-def _member(sent):
-    @F.pandas_udf("boolean")
-    def member(keys: pd.Series, shard: pd.Series) -> pd.Series:
-        answer, h = np.zeros(len(keys), dtype=bool), key_hash(keys)
-        for s in shard.unique():
-            at = np.flatnonzero(shard.to_numpy() == s)
-            answer[at] = contains(sent.value.get(s, []), h[at])
-        return pd.Series(answer)
-
-    return member
+def _asked(filters: dict, keys: np.ndarray, shard: np.ndarray) -> np.ndarray:
+    answer = np.zeros(len(keys), dtype=bool)
+    for s in np.unique(shard):
+        at = np.flatnonzero(shard == s)
+        answer[at] = contains(filters.get(int(s), []), keys[at])
+    return answer
 
 
 def with_membership(rows: DataFrame, key: str, out: str, universe: DataFrame, shard_keys: int = SHARD_KEYS, limit: int = BROADCAST) -> DataFrame:
     """``rows`` with the boolean ``out``: whether the key is listed; exact for keys of the universe.
 
     The filters, some ten bits for a listed key, are sent to the executors while they stay
-    under ``limit`` bytes. Past that the shards go out in blocks under the limit, and each
-    block answers for the rows of its own shards, so that the rows are read once a block.
+    under ``limit`` bytes. Past that rows are dealt out by shard, each shard over SALTS tasks
+    that its filter goes to as well, so that no key's rows meet in one task and rows are read once.
     """
     made, shards = cascade(universe, shard_keys)
     made = checkpointed(made)
-    sizes = made.select("_shard", F.aggregate("levels", F.lit(0), lambda n, x: n + F.octet_length(x)).alias("n")).orderBy("_shard").collect()
-    blocks, size = [[]], 0
-    for r in sizes:
-        if size + r["n"] > limit and blocks[-1]:
-            blocks, size = [*blocks, []], 0
-        blocks[-1].append(r["_shard"])
-        size += r["n"]
-    numbered, parts = rows.withColumn("_shard", _shard_of(key, shards)), []
-    for block in blocks:
-        own = numbered if len(blocks) == 1 else numbered.where(F.col("_shard").isin(block))
-        levels = made if len(blocks) == 1 else made.where(F.col("_shard").isin(block))
-        member = _member(rows.sparkSession.sparkContext.broadcast({r["_shard"]: r["levels"] for r in levels.collect()}))
-        parts.append(own.withColumn(out, member(F.col(key), F.col("_shard"))))
-    done = parts[0]
-    for p in parts[1:]:
-        done = done.unionByName(p)
-    return done.drop("_shard")
+    size = made.select(F.sum(F.aggregate("levels", F.lit(0), lambda n, x: n + F.octet_length(x)))).first()[0] or 0
+    (shard,) = free_names(rows, "shard")
+    numbered = rows.withColumn(shard, _shard_of(key, shards))
+    if size > limit:
+        return _routed(numbered, key, out, made, shard).select(*rows.columns, out)
+    sent = rows.sparkSession.sparkContext.broadcast({r["_shard"]: r["levels"] for r in made.collect()})
+
+    @F.pandas_udf("boolean")
+    def member(keys: pd.Series, of: pd.Series) -> pd.Series:
+        return pd.Series(_asked(sent.value, key_hash(keys), of.to_numpy()))
+
+    return numbered.withColumn(out, member(F.col(key), F.col(shard))).drop(shard)
+
+
+def _routed(rows: DataFrame, key: str, out: str, made: DataFrame, shard: str) -> DataFrame:
+    """Each task sees a shard's filter and then, batch by batch, the rows dealt out to it."""
+    salt, place, levels = free_names(rows, "salt", "place", "levels")
+    columns = rows.columns
+    salted = rows.select("*", F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int").alias(salt), F.lit(1).alias(place), F.lit(None).cast("array<binary>").alias(levels))
+    filters = made.select(
+        *[F.col("_shard").alias(c) if c == shard else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in columns],
+        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt), F.lit(0).alias(place), F.col("levels").alias(levels),
+    )
+    dealt = filters.union(salted).repartition(shard, salt).sortWithinPartitions(shard, salt, place)
+    at = [dealt.columns.index(c) for c in (key, shard, place, levels)]
+
+    def run(batches):
+        now, known = None, []
+        for b in batches:
+            keys, of, kind, sent = (b.column(k) for k in at)
+            shards, rows_at, answer = of.to_numpy(), kind.to_numpy() == 1, np.zeros(b.num_rows, dtype=bool)
+            cuts = np.flatnonzero(~rows_at).tolist()
+            for k, (lo, hi) in enumerate(zip([0, *cuts], [*cuts, b.num_rows], strict=True)):
+                if k:
+                    now, known, lo = shards[lo], sent[lo].as_py(), lo + 1
+                if hi > lo:
+                    answer[lo:hi] = contains(known, key_hash(keys.slice(lo, hi - lo).to_pylist())) & (shards[lo:hi] == now)
+            left = pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(answer)], names=[*columns, out])
+            yield left.filter(pa.array(rows_at))
+
+    return dealt.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out, T.BooleanType())]))

@@ -87,9 +87,11 @@ ORACLES = {
             WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
             WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/es/') THEN 'net/es/'
             WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
-            WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/') THEN 'com/' END AS rule,
-            regexp_matches(host, 'spam|pills|casino|xxx|phish|malware|warez') AS listed FROM both_)
-        SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL OR listed THEN 'block' ELSE 'allow' END AS verdict, listed FROM ruled""",
+            WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/') THEN 'com/' END AS rule FROM both_),
+        hosts_ AS (SELECT host, host <> '' AND count(*) <= 4 * count(*) FILTER (WHERE rule IN ('example.com/en/', 'net/es/', 'net/fr/')) AND count(*) FILTER (WHERE rule IN ('example.com/en/', 'net/es/', 'net/fr/')) > 0 AS listed
+            FROM ruled GROUP BY host),
+        known AS (SELECT ruled.*, hosts_.listed FROM ruled JOIN hosts_ USING (host))
+        SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL OR listed THEN 'block' ELSE 'allow' END AS verdict, listed FROM known""",
     "op8_exact_duplicates": f"""
         WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS n FROM documents),
         g AS (SELECT n, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY n)

@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ripplegraph.llm.bloom_cascade import with_membership
-from ripplegraph.llm.common import lower_ascii
+from ripplegraph.llm.common import checkpointed, lower_ascii
 
 #: (host, path, verdict); a rule holds for its host and all hosts below it.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
-#: A host is listed if one of its labels holds one of these.
-LISTED_WORDS = ("spam", "pills", "casino", "xxx", "phish", "malware", "warez")
+#: A host is listed by default if the rules block at least one in so many of its pages.
+LISTED_SHARE = 4
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -36,23 +36,35 @@ def matching_rule(host: Column, path: Column, rules=RULES) -> Column:
     return found
 
 
-def listed_hosts(pages: DataFrame, words=LISTED_WORDS) -> DataFrame:
-    """The universe: every distinct host of the pages, and whether it is listed."""
-    hosts = pages.select(host_and_path(F.col("url"))[0].alias("key")).distinct()
-    return hosts.select("key", F.col("key").rlike("|".join(words)).alias("listed"))
+def listed_hosts(pages: DataFrame, rules=RULES, share: int = LISTED_SHARE) -> DataFrame:
+    """key: hosts of which the rules block at least one page in ``share``. A page without a host counts for none."""
+    host, path = host_and_path(F.col("url"))
+    rows = pages.select(host.alias("key"), (matching_rule(host, path, rules)["verdict"] == "block").alias("_blocked"))
+    counts = rows.where("key <> ''").groupBy("key").agg(F.count("*").alias("_n"), F.sum(F.coalesce(F.col("_blocked").cast("long"), F.lit(0))).alias("_b"))
+    return counts.where((F.col("_b") > 0) & (F.col("_b") * share >= F.col("_n"))).select("key")
+
+
+def universe_of(pages: DataFrame, listed: DataFrame) -> DataFrame:
+    """key, listed: every distinct host of the pages, and every listed one."""
+    hosts = pages.select(host_and_path(F.col("url"))[0].alias("key"), F.lit(False).alias("_in"))
+    return hosts.union(listed.select("key", F.lit(True))).where("key is not null").groupBy("key").agg(F.max("_in").alias("listed"))
 
 
-def judged(pages: DataFrame, universe: DataFrame | None = None, rules=RULES) -> DataFrame:
+def judged(pages: DataFrame, listed: DataFrame | None = None, universe: DataFrame | None = None, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, listed: one row per page.
 
-    The longest rule that fits decides. A url that no rule fits is blocked if its host is
-    listed, which the cascade answers exactly for every host of the universe (by default,
-    the hosts of the pages themselves). Null urls and those without ``://`` have an empty
-    host, which isn't listed, and so pass. Repeated rows get the same answer.
+    The longest rule that fits decides; ties can't be, as a rule's host and path are one key.
+    A url that no rule fits is blocked if its host is listed. ``listed`` (key) is the list, by
+    default ``listed_hosts``; ``universe`` (key, listed) has all keys that are asked for, by default
+    the hosts of the pages with the list. The cascade answers exactly for every key of it.
+    Null urls and those without ``://`` have an empty host, which isn't listed by default, and
+    so pass. Repeated rows get the same answer, other columns are ignored, no rows give none.
     """
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
-    asked = with_membership(rows, "host", "listed", listed_hosts(pages) if universe is None else universe)
+    if universe is None:
+        universe = universe_of(pages, listed_hosts(pages, rules) if listed is None else listed)
+    asked = with_membership(rows, "host", "listed", checkpointed(universe))
     found = asked.withColumn("_rule", matching_rule(F.col("host"), F.col("path"), rules))
     verdict = F.coalesce("_rule.verdict", F.when(F.col("listed"), "block").otherwise("allow"))
     return found.select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), "listed")
