@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ripplegraph.model import shared_folder
+
 #: A word: a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -32,25 +33,10 @@ def id_remainder(name: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def _shared_folder(df: DataFrame) -> str:
-    """The folder that the cluster shares: the session's ``spark.checkpoint.dir``.
-
-    Only where that is unset (as in tests on one machine) a temporary folder is taken.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return context.getCheckpointDir()
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a reliable checkpoint in the shared folder, in a part for each core.
-
-    For tables of small rows that come out of a shuffle.
-    """
-    _shared_folder(df)
-    return df.coalesce(df.sparkSession.sparkContext.defaultParallelism).checkpoint(eager=True)
+    """Cuts lineage with a reliable checkpoint in the shared folder, for tables of small rows."""
+    shared_folder(df)
+    return df.checkpoint(eager=True)
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -58,7 +44,7 @@ def written(df: DataFrame) -> DataFrame:
 
     Tasks without rows leave no file. Whoever owns the folder clears it, as with checkpoints.
     """
-    path = f"{_shared_folder(df)}/tables/{uuid.uuid4().hex}"
+    path = f"{shared_folder(df)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -81,6 +67,21 @@ def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int, limit: int = 8
     return F.broadcast(df) if rows * row_bytes <= limit else df
 
 
+#: A key is very common if it has one in so many of all rows; there can't be more such keys than that.
+COMMON = 256
+
+
+def joined_by_key(rows: DataFrame, table: DataFrame, same: Column, n: str, total: int) -> DataFrame:
+    """Joins rows with a table that has each key once and, in ``n``, how many of the rows have it.
+
+    Very common keys, a bounded number, are sent to the rows, so that the rows of none meet in
+    one task; the others are joined as Spark sees fit.
+    """
+    common = F.broadcast(table.where(F.col(n) * COMMON > total).drop(n))
+    others = table.where(F.col(n) * COMMON <= total).drop(n)
+    return rows.join(common, same).union(rows.join(common, same, "left_anti").join(others, same))
+
+
 def slices(batches, rows: int = 500):
     """Arrow batches in slices of few rows, so that a task holds the objects of few texts at once."""
     for b in batches:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplegraph.llm import binary_fuse
-from ripplegraph.llm.common import broadcast_if_small, checkpointed, lower_ascii, text_of, written
+from ripplegraph.llm.common import broadcast_if_small, checkpointed, free_names, lower_ascii, text_of, written
 
 _FILTER = "_shard int, seed int, segment int, count int, table binary"
 _HIT = "_digest binary, _inc_id long, _inc_n long"
@@ -108,16 +108,19 @@ def kept_rows(docs: DataFrame) -> DataFrame:
 
     The dropped rows, known by id and digest, are taken out; the texts of the others only
     move where that list is too long to be sent to every task. Where rows with one id and
-    one text are repeated, one of them stays.
+    one text are repeated, one of them stays. Null texts count as empty, null ids as the
+    smallest; other columns may have any names, and no rows give none.
     """
     rows, groups = duplicate_groups(docs)
     g = groups.select(F.col("_digest").alias("_d"), F.col("_new").alias("_s"), "keep_id")
     seen = rows.join(g, (F.col("_digest") == F.col("_d")) & (F.col("_new") == F.col("_s")))
     stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    out = checkpointed(seen.where(~stays).select(F.col("doc_id").alias("_id"), "_d").distinct())
-    twice = checkpointed(seen.where(stays).groupBy(F.col("doc_id").alias("_id"), "_d").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n"))
+    id_, d_ = free_names(docs, "id", "d")
+    named = [F.col("doc_id").alias(id_), F.col("_d").alias(d_)]
+    out = checkpointed(seen.where(~stays).select(*named).distinct())
+    twice = checkpointed(seen.where(stays).groupBy(*named).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n"))
     n_out, n_twice = out.count(), twice.count()
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.unhex(F.sha2(lower_ascii(text_of()), 256)) == F.col("_d"))
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.unhex(F.sha2(lower_ascii(text_of()), 256)) == F.col(d_))
     left = docs.join(broadcast_if_small(out, n_out, 64), same, "left_anti")
     if not n_twice:
         return left

@@ -9,12 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplegraph.llm.common import LOWER, UPPER, slices, text_of, written
+from ripplegraph.llm.common import LOWER, UPPER, joined_by_key, slices, text_of, written
 
 #: Units of fewer words are headings and the like, which repeat by chance.
 LEAST_WORDS = 5
-#: A unit is very common if it is one in so many of all; there can't be more of them than that.
-COMMON = 256
 _SPLIT = {"line": re.compile("\n"), "sentence": re.compile("\n"), "paragraph": re.compile(r"\n[ \t\r]*\n\s*")}
 #: Where a sentence ends inside a line, with the space that follows.
 _SENTENCE = re.compile(r"[.!?\u2026]+[\"')\]\u201d\u2019\u00bb]*[ \t\r]+|[\u3002\uff01\uff1f]+[ \t\r]*")
@@ -90,11 +88,8 @@ def repeated_spans(docs: DataFrame, kind: str = "line", least_words: int = LEAST
     total = found.count()
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "key", "start")
     again = written(found.groupBy("digest").agg(F.min(rank).alias("_first"), F.count("*").alias("_n")).where("_n > 1").withColumnRenamed("digest", "_d"))
-    common = F.broadcast(again.where(F.col("_n") * COMMON > total))  # under COMMON rows
-    same = F.col("digest") == F.col("_d")
-    others = found.join(common, same, "left_anti").join(again.where(F.col("_n") * COMMON <= total), same)
     # rows of no single key, as a copy of a row has the same rank as the row itself
-    lost = found.join(common, same).union(others).where(~rank.eqNullSafe(F.col("_first")))
+    lost = joined_by_key(found, again, F.col("digest") == F.col("_d"), "_n", total).where(~rank.eqNullSafe(F.col("_first")))
     spans = lost.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("spans"))
     if kind != "sentence":
         return spans

@@ -176,14 +176,18 @@ def mix_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
     """The documents of the mix, with the columns of ``docs``.
 
     A document appears once for each whole pass, and once for each span of it that a run of
-    blocks covers, cut between words; white space within a span stays as it is.
+    blocks covers, cut between words; white space within a span stays as it is. Null and empty texts
+    have nothing to take, repeated rows are mixed one by one, other columns may have any names,
+    and no rows give none.
     """
-    names = docs.columns
-    rows = mixed(docs.withColumn("_words", word_count()), "_words", seed)
-    units = F.regexp_extract_all(text_of(), F.lit(r"[\x20\x09-\x0D]*" + WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+    row = docs.select("doc_id", "source", word_count().alias("_words"), F.struct("*").alias("_row"))
+    rows, text = mixed(row, "_words", seed), F.col("_row")["text"]
+    units = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[\x20\x09-\x0D]*" + WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     whole = F.array_repeat(F.struct(F.lit(0).cast("long").alias("start"), F.col("_words").alias("length")), F.col("_passes").cast("int"))
-    copies = rows.where(F.col("taken") > 0).withColumn("_piece", F.explode(F.concat(whole, "_spans")))
-    cut = F.when(F.col("_piece.length") == F.col("_words"), F.col("text")).otherwise(
+    copies = rows.where(F.col("taken") > 0).select("_row", "_words", F.explode(F.concat(whole, "_spans")).alias("_piece"))
+    cut = F.when(F.col("_piece.length") == F.col("_words"), text).otherwise(
         F.array_join(F.slice(units, (F.col("_piece.start") + 1).cast("int"), F.col("_piece.length").cast("int")), "")
     )
-    return copies.withColumn("text", cut).withColumn("n_chars", F.length("text").cast("long")).select(*names)
+    made = copies.select("_row", cut.alias("_text"))
+    new = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
+    return made.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplegraph.llm.common import broadcast_if_small, checkpointed, slices, text_of, written
+from ripplegraph.llm.common import broadcast_if_small, checkpointed, free_names, joined_by_key, slices, text_of, written
 from ripplegraph.llm.components import connected_components
 
 #: Fingerprints in a tile at most, by expectation, and in a block of the comparison.
@@ -173,8 +173,14 @@ def classes(docs: DataFrame, words: int, radius: int) -> DataFrame:
     nodes = rows.groupBy("_fp").agg(F.min("doc_id").alias("_least"), F.min("_more").alias("_more"))
     roots = connected_components(near_links(nodes.withColumn("_key", F.col("_fp")), radius))
     named = nodes.join(roots, F.col("_fp") == F.col("node"), "left").withColumn("_root", F.coalesce("root", "_fp"))
-    least = named.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    return rows.join(named.select("_fp", "_root").join(least, "_root").select("_fp", "component_id"), "_fp")
+    return rows.join(_ids(named, "_fp"), "_fp")
+
+
+def _ids(named: DataFrame, key: str) -> DataFrame:
+    """key, component_id: the smallest id of each root's nodes, handed back to its nodes."""
+    least = checkpointed(named.groupBy(F.col("_root").alias("_r")).agg(F.min("_least").alias("component_id"), F.count("*").alias("_n")))
+    total = least.agg(F.sum("_n")).first()[0] or 0
+    return joined_by_key(named.select(key, "_root"), least, F.col("_root") == F.col("_r"), "_n", total).select(key, "component_id")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 4) -> DataFrame:
@@ -293,16 +299,17 @@ def representatives(docs: DataFrame, words: int = 5) -> DataFrame:
 
     Near-duplicates share four fifths of their shingles, or are connected by texts that do; pairs
     are found by 256-bit fingerprints and checked by their shingles. Texts without words are
-    alike. Rows that share both the smallest id and the text of their group all stay, as does
-    a group without any id.
+    alike, and null texts are empty ones. Rows that share both the smallest id and the text of
+    their group all stay, as does a group without any id. Other columns may have any names, and
+    no rows give none.
     """
     rows = written(fingerprints(docs, words, PARTS))
     texts = rows.groupBy("_hash").agg(F.min("doc_id").alias("_least"), F.min("_fp").alias("_fp"), F.min("_more").alias("_more"))
     roots = connected_components(checked_links(docs, texts, words))
     named = texts.join(roots, F.col("_hash") == F.col("node"), "left").select("_hash", "_least", F.coalesce("root", "_hash").alias("_root"))
-    least = named.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    found = named.join(least, "_root").select(F.col("_hash").alias("_text"), "component_id")
+    found = _ids(named, "_hash").withColumnRenamed("_hash", "_text")
+    id_, text_ = free_names(docs, "id", "text")
     gone = rows.join(found, F.col("_hash") == F.col("_text")).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    gone = checkpointed(gone.select(F.col("doc_id").alias("_id"), "_text").distinct())
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text_of()) == F.col("_text"))
+    gone = checkpointed(gone.select(F.col("doc_id").alias(id_), F.col("_text").alias(text_)).distinct())
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64(text_of()) == F.col(text_))
     return docs.join(broadcast_if_small(gone, gone.count(), 48), same, "left_anti")
