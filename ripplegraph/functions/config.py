@@ -8,11 +8,13 @@ functions of Spark with a fallback.
 from __future__ import annotations
 
 import ipaddress
+import re
 import uuid
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def base64encode(x: Column) -> Column:
@@ -40,8 +42,82 @@ def element(a: Column, i: Column) -> Column:
     return F.element_at(a, (F.pmod(i, F.size(a)) + 1).cast("int"))
 
 
+def flatten(a: Column, levels: int = 1) -> Column:
+    """Of lists in lists, ``levels`` deep (see ``nesting``), the innermost values in one list."""
+    for _ in range(levels):
+        a = F.flatten(a)
+    return a
+
+
+def nesting(kind: T.DataType) -> int:
+    """How many times a column of this type has to be flattened."""
+    depth = 0
+    while isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.ArrayType):
+        depth, kind = depth + 1, kind.elementType
+    return depth
+
+
+_VERB = re.compile(r"%(?:%|([-+ 0]*)(\d*)(\.\d+)?([a-zA-Z]))")
+
+
+def format_(fmt: str, *args: Column) -> Column:
+    """Text with verbs: %v and %s as text, %q quoted, %t, %d %x %X %o %b of whole numbers, %f %e %g of any."""
+    parts, at, left = [], 0, list(args)
+    for m in _VERB.finditer(fmt):
+        parts.append(F.lit(fmt[at : m.start()]))
+        at = m.end()
+        if m[0] == "%%":
+            parts.append(F.lit("%"))
+            continue
+        flags, width, precision, verb = m[1], m[2], m[3] or "", m[4]
+        if not left or verb not in "vsqtdxXobfeg":
+            raise ValueError(f"bad or unmatched verb {m[0]!r}")
+        x = left.pop(0)
+        if verb in "dxXo":
+            parts.append(F.format_string(f"%{flags}{width}{verb}", x.cast("bigint")))
+        elif verb in "feg":
+            parts.append(F.format_string(f"%{flags}{width}{precision}{verb}", x.cast("double")))
+        else:
+            text = F.bin(x.cast("bigint")) if verb == "b" else x.cast("string")
+            if verb == "v":  # whole numbers have no fraction
+                text = F.when(F.typeof(x).isin("double", "float"), F.regexp_replace(text, r"\.0$", "")).otherwise(text)
+            if verb == "q":
+                text = F.concat(F.lit('"'), F.regexp_replace(text, r'(["\\])', r"\\$1"), F.lit('"'))
+            parts.append(F.format_string(f"%{'-' * ('-' in flags)}{width}{precision}s", text) if width or precision else text)
+    if left:
+        raise ValueError("more arguments than verbs")
+    return F.concat(*parts, F.lit(fmt[at:]))
+
+
 def formatlist(fmt: str, a: Column) -> Column:
-    return F.transform(a, lambda x: F.format_string(fmt, x))
+    return F.transform(a, lambda x: format_(fmt, x))
+
+
+#: A date layout's tokens, and Spark's patterns for them.
+_DATE = {
+    "YYYY": "yyyy", "YY": "yy", "MMMM": "MMMM", "MMM": "MMM", "MM": "MM", "M": "M", "DD": "dd", "D": "d", "EEEE": "EEEE", "EEE": "E", "HH": "HH", "H": "H", "hh": "hh", "h": "h",
+    "AA": "a", "aa": "a", "mm": "mm", "m": "m", "ss": "ss", "s": "s", "ZZZZZ": "xxx", "ZZZZ": "xx", "ZZZ": "xx", "Z": "XXX",
+}
+_DATE_PART = re.compile(r"'((?:[^']|'')*)'|([A-Za-z])\2*|[^A-Za-z']+")
+
+
+def formatdate(layout: str, t: Column) -> Column:
+    """A time by a layout like ``DD MMM YYYY hh:mm``; text in single quotes stays. In the session's zone."""
+    t, parts = F.to_timestamp(t), []
+    for m in _DATE_PART.finditer(layout):
+        if m[1] is not None or m[2] is None:
+            parts.append(F.lit(m[0] if m[1] is None else m[1].replace("''", "'")))
+            continue
+        if m[0] not in _DATE:
+            raise ValueError(f"unknown date token {m[0]!r}")
+        x = F.date_format(t, _DATE[m[0]])
+        parts.append(F.lower(x) if m[0] == "aa" else F.when(x == "+0000", "UTC").otherwise(x) if m[0] == "ZZZ" else x)
+    return F.concat(*parts) if parts else F.lit("")
+
+
+def index(a: Column, i: Column) -> Column:
+    """The element at a place, from 0; a place that the list lacks is an error."""
+    return F.element_at(a, F.when(i >= 0, i + 1).otherwise(F.raise_error(F.lit("a negative index"))).cast("int"))
 
 
 def indent(n: int, x: Column) -> Column:
@@ -77,7 +153,11 @@ def _without(a: Column, b: Column) -> Column:
 
 
 def parseint(x: Column, base: int) -> Column:
-    return F.conv(x, base, 10).cast("bigint")
+    """The whole number that a text gives in a base up to 36; anything else is an error."""
+    digits = "0123456789abcdefghijklmnopqrstuvwxyz"[:base]
+    number = F.conv(F.regexp_replace(x, "^[-+]", ""), base, 10).cast("bigint")
+    good = x.rlike(f"(?i)^[-+]?[{digits}]+$")
+    return F.when(x.isNull(), None).when(good, F.when(x.startswith("-"), -number).otherwise(number)).otherwise(F.raise_error(F.concat(F.lit("not a number: "), x)).cast("bigint"))
 
 
 def range_(end: Column) -> Column:
@@ -101,8 +181,16 @@ def substr(x: Column, offset: int, length: int) -> Column:
     return x.substr(start, F.lit(length) if length >= 0 else F.length(x))
 
 
-def timeadd(t: Column, seconds: int) -> Column:
-    return F.timestamp_seconds(F.unix_timestamp(t) + seconds)
+_UNITS = {"ns": 0.001, "us": 1, "µs": 1, "ms": 1e3, "s": 1e6, "m": 60e6, "h": 3600e6}
+_DURATION = re.compile(r"([-+]?)((?:\d+(?:\.\d*)?|\.\d+)(?:ns|us|µs|ms|s|m|h))+")
+
+
+def timeadd(t: Column, duration: str) -> Column:
+    """The time after a duration like ``1h30m`` or ``-10s``."""
+    if duration != "0" and not _DURATION.fullmatch(duration):
+        raise ValueError(f"bad duration {duration!r}")
+    micros = sum(float(n) * _UNITS[u] for n, u in re.findall(r"(\d+\.?\d*|\.\d+)(ns|us|µs|ms|s|m|h)", duration))
+    return F.timestamp_micros(F.unix_micros(F.to_timestamp(t)) + F.lit(round(-micros if duration.startswith("-") else micros)).cast("bigint"))
 
 
 def title(x: Column) -> Column:
@@ -174,8 +262,8 @@ def dirname(p: Column) -> Column:
 FUNCTIONS = {
     "abs": F.abs, "base64decode": lambda x: F.unbase64(x).cast("string"), "base64encode": base64encode, "ceil": F.ceil, "chomp": chomp, "chunklist": chunklist,
     "cidrhost": cidrhost, "cidrnetmask": cidrnetmask, "cidrsubnet": cidrsubnet, "coalesce": F.coalesce, "coalescelist": coalescelist, "compact": compact,
-    "concat": F.concat, "contains": F.array_contains, "convert": lambda x, t: x.try_cast(t), "distinct": F.array_distinct, "element": element, "flatten": F.flatten,
-    "floor": F.floor, "format": F.format_string, "formatdate": F.date_format, "formatlist": formatlist, "indent": indent, "index": F.element_at,
+    "concat": F.concat, "contains": F.array_contains, "convert": lambda x, t: x.try_cast(t), "distinct": F.array_distinct, "element": element, "flatten": flatten,
+    "floor": F.floor, "format": format_, "formatdate": formatdate, "formatlist": formatlist, "indent": indent, "index": index,
     "join": lambda sep, a: F.array_join(a, sep), "jsondecode": F.parse_json, "jsonencode": F.to_json, "keys": keys, "length": F.size, "log": log, "lookup": lookup,
     "lower": F.lower, "max": F.greatest, "merge": merge, "min": F.least, "parseint": parseint, "pow": F.pow, "range": range_, "reverse": F.reverse,
     "replace": F.replace, "regex_replace": F.regexp_replace, "setintersection": F.array_intersect, "setproduct": setproduct, "setunion": F.array_union,

@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplegraph.functions import config, paths, selectors
-from ripplegraph.model import Graph, Snapshot, checkpointed
+from ripplegraph.model import FOLLOWED, Graph, Snapshot, checkpointed
 from ripplegraph.operators import closure as reach
-from ripplegraph.operators import delta, graph, hashing
+from ripplegraph.operators import delta, graph, hashing, targets
+from ripplegraph.plans import registry, render
 from ripplegraph.plans.catalogue_sql import ORACLES
-from ripplegraph.sources import universe
+from ripplegraph.sources import git, modules, universe
 from ripplegraph.sources.universe import read
 
 
@@ -42,7 +43,11 @@ def universe_edges(spark, sf_dir):
 
 
 def token_collect(spark, sf_dir):
-    return _base(spark, sf_dir).tokens
+    """The tokens of two sensors, one of tables and one of documents, by the scanner."""
+    tables = registry.Sensor("universe", graph=lambda _: None, tokens=lambda d: _base(spark, d).tokens.select(F.concat(F.lit("universe:"), "id").alias("id"), "token"), followed=FOLLOWED)
+    blob = lambda d: read(spark, d, "documents").groupBy("doc_id").agg(F.min(git.blob_id(F.coalesce("text", F.lit("")).cast("binary"))).alias("oid"))
+    texts = registry.Sensor("doc", graph=lambda _: None, tokens=lambda d: blob(d).select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("id"), F.col("oid").alias("token")), followed=("contains",))
+    return registry.Builder().attach(tables).attach(texts).compile().tokens(sf_dir)
 
 
 def graph_validate_violations(spark, sf_dir):
@@ -82,9 +87,8 @@ def direct_dependencies(spark, sf_dir):
 
 
 def closure_pairs(spark, sf_dir):
-    """All that each nation, customer, supplier, order and line item reaches."""
-    base = _base(spark, sf_dir)
-    return reach.closure(_deps(base), base.graph.entities.where("kind not in ('universe', 'region')"))
+    """All that each entity reaches."""
+    return reach.closure(_deps(_base(spark, sf_dir)))
 
 
 def closure_sizes(spark, sf_dir):
@@ -113,8 +117,7 @@ def scc_cycle(spark, sf_dir):
 
 
 def content_hash(spark, sf_dir):
-    base = _base(spark, sf_dir)
-    return delta.sums_of(base, base.graph.entities.where("kind not in ('universe', 'region')").select("id"))
+    return delta.sums_of(universe.snapshot(spark, sf_dir, captured=True))
 
 
 def uvarint_table(spark, sf_dir):
@@ -139,12 +142,9 @@ def frontier_layers(spark, sf_dir):
 
 
 def range_hash_label(spark, sf_dir):
-    """old..new of the first twelve digits, or new: for every order of the later snapshot."""
+    """old..new digits, or new: for every entity of the later snapshot."""
     base, head = _both(spark, sf_dir)
-    orders = lambda s: delta.sums_of(s, s.graph.entities.where("kind = 'order'").select("id"))
-    before = orders(base).select("id", F.col("sum").alias("_old"))
-    label = F.when(F.col("_old").isNull(), "new").when(F.col("_old") == F.col("sum"), F.left("sum", F.lit(12))).otherwise(F.concat(F.left("_old", F.lit(12)), F.lit(".."), F.left("sum", F.lit(12))))
-    return orders(head).join(before, "id", "left").select("id", label.alias("label"))
+    return render.range_labels(delta.sums_of(base), delta.sums_of(head))
 
 
 def containment_walk(spark, sf_dir):
@@ -160,32 +160,59 @@ def _url_paths(spark, sf_dir):
 
 
 def longest_prefix_owner(spark, sf_dir):
-    """The module that owns each page: the longest of the listed trees above it, by equi-join on ancestors."""
-    pages = _url_paths(spark, sf_dir)
-    full = F.concat_ws("/", "host", "path")
-    modules = pages.groupBy(F.concat_ws("/", "host", paths.parent(F.col("path"))).alias("module")).agg(F.count("*").alias("n")).where("n >= 3").select("module")
-    above = pages.select("page_id", F.explode(paths.ancestors(full)).alias("module"))
-    best = above.join(modules, "module").groupBy("page_id").agg(F.max_by("module", F.length("module")).alias("module"))
-    return pages.select("page_id").join(best, "page_id", "left")
-
-
-def import_fallback(spark, sf_dir):
-    """Links of pages: local if a page has that path, built-in without a dot in the first segment, else external."""
-    links = read(spark, sf_dir, "pages").select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(r'href="([^"#?]+)'), F.lit(1)))).alias("link"))
-    bare = F.regexp_replace(F.regexp_replace("link", "^[a-z]+://", ""), "^/|/$", "")
-    local = _url_paths(spark, sf_dir).select(F.concat_ws("/", "host", "path").alias("_p")).distinct()
-    found = links.select("page_id", "link", bare.alias("_b")).join(local, F.col("_b") == F.col("_p"), "left")
-    kind = F.when(F.col("_p").isNotNull(), "local").when(~F.contains(F.substring_index("_b", "/", 1), F.lit(".")), "builtin").otherwise("external")
-    return found.groupBy("page_id", kind.alias("kind")).agg(F.count("*").alias("n"))
-
-
-def version_replace(spark, sf_dir):
-    """Required versions of parts: an exact replacement wins over one for any version."""
-    part, line = read(spark, sf_dir, "part"), read(spark, sf_dir, "lineitem")
-    required = line.select(F.col("l_partkey").alias("key"), F.col("l_linenumber").cast("string").alias("version")).distinct()
-    exact = part.where("p_size % 3 = 0").select(F.col("p_partkey").alias("key"), (F.col("p_size") % 7 + 1).cast("string").alias("version"), F.col("p_brand").alias("_exact"))
-    loose = part.where("p_size % 5 = 0").select(F.col("p_partkey").alias("key"), F.col("p_type").alias("_any"))
-    return required.join(exact, ["key", "version"], "left").join(loose, "key", "left").select("key", "version", F.coalesce("_exact", "_any", F.concat(F.lit("v"), "version")).alias("target"))
+    """The module that owns each page: the deepest of the listed trees above it."""
+    pages = _url_paths(spark, sf_dir).withColumn("dir", paths.parent(F.concat_ws("/", "host", "path")))
+    listed = pages.groupBy(F.concat_ws("/", "host", paths.parent(F.col("path"))).alias("dir")).agg(F.count("*").alias("n")).where("n >= 3")
+    owned = modules.owners(pages, listed.select("dir", F.col("dir").alias("module"), F.concat("dir", F.lit("/go.mod")).alias("path")))
+    return pages.select("page_id", "dir").join(owned, "dir", "left").select("page_id", "module")
+
+
+def _sources(spark, sf_dir):
+    """Go files made of the pages: a module for each host, some with another of the same name inside."""
+    pages = _url_paths(spark, sf_dir).select("page_id", "host", F.substring_index("path", "/", 1).alias("lang"))
+    least = F.broadcast(pages.agg(F.min("host").alias("least")))  # one row
+    hosts = pages.select("host").distinct().join(least)
+    size = F.length("host")
+    outer = F.concat(
+        F.lit("module mod.example/"), "host", F.lit(" // of a host\n\ngo 1."), (size % 4 + 18).cast("string"), F.when(size % 2 == 0, "\ntoolchain go1.22.1").otherwise("\ntoolchain local"),
+        F.lit("\n\nrequire (\n\tlib.example/a v1.2."), (size % 3).cast("string"), F.lit("\n\tlib.example/a/deep v0.1.0 // indirect\n)\n\nreplace old.example/x => ../"), "least",
+        F.lit("\nreplace lib.example/a v1.2.0 => fork.example/a v1.3.0\n"),
+    )
+    inner = hosts.where(size % 3 == 0).select(F.concat("host", F.lit("/en/go.mod")).alias("path"), F.concat(F.lit("module mod.example/"), "host", F.lit("\n")).alias("text"))
+    other = F.element_at(F.array(*map(F.lit, ("en", "fr", "de", "zz"))), (F.col("page_id") % 4 + 1).cast("int"))
+    text = F.concat(
+        F.lit('package p\n\n// import "not/this"\nimport (\n\t"fmt"\n\tm "mod.example/'), "host", F.lit("/"), other, F.lit('"\n\t_ "old.example/x/'), other,
+        F.lit('"\n)\n\nimport "mod.example/'), "least", F.lit('/fr"\nimport "lib.example/a/'), F.when(F.col("page_id") % 2 == 0, "deep").otherwise("sub"), F.lit('/z"\n\nfunc f() { g("import") }\n'),
+    )
+    name = F.concat_ws("/", "host", "lang", F.concat(F.lit("p"), "page_id", F.when(F.col("page_id") % 5 == 0, "_test.go").otherwise(".go")))
+    sources = pages.join(least).select(name.alias("path"), text.alias("text"))
+    return sources.union(hosts.select(F.concat("host", F.lit("/go.mod")).alias("path"), outer.alias("text"))).union(inner)
+
+
+def package_graph_edges(spark, sf_dir):
+    return modules.package_graph(_sources(spark, sf_dir)).edges
+
+
+def package_versions(spark, sf_dir):
+    """The version of every external import, by module, or why there is none."""
+    files = _sources(spark, sf_dir)
+    external = modules.package_graph(files).entities.where("kind = 'go:package-external'").select(modules.id_parts(F.col("id")).alias("p"))
+    return modules.version_tokens(modules.modules(files), external.select("p.mod_path", F.col("p.name").alias("target")))
+
+
+def language_versions(spark, sf_dir):
+    return modules.go_version_tokens(modules.modules(_sources(spark, sf_dir)))
+
+
+def package_tests(spark, sf_dir):
+    return modules.package_test_directories(modules.package_graph(_sources(spark, sf_dir)))
+
+
+def import_kinds(spark, sf_dir):
+    """How many imports of each module are local, built in, or external."""
+    g = modules.package_graph(_sources(spark, sf_dir))
+    kinds = g.edges.where("kind = 'imports'").join(g.entities.select(F.col("id").alias("dst"), F.col("kind").alias("to_kind")), "dst")
+    return kinds.groupBy(modules.id_parts(F.col("src"))["mod_path"].alias("mod_path"), F.substring_index("to_kind", ":", -1).alias("kind")).agg(F.count("*").alias("n"))
 
 
 def _odd_paths(spark, sf_dir):
@@ -219,11 +246,16 @@ def ancestor_trees(spark, sf_dir):
     return p.select(F.explode(paths.ancestors(F.col("p"))).alias("tree")).groupBy("tree").agg(F.count("*").alias("n"))
 
 
+def _page_objects(spark, sf_dir):
+    """path, kind, oid, source: each page's path once, as a blob."""
+    p = _url_paths(spark, sf_dir).select("page_id", F.concat_ws("/", "host", "path").alias("path"))
+    return p.groupBy("path").agg(F.min("page_id").alias("page_id")).select("path", F.lit("blob").alias("kind"), F.sha1(F.col("page_id").cast("string")).alias("oid"), F.lit("stored").alias("source"), "page_id")
+
+
 def prune_empty(spark, sf_dir):
     """Trees that still hold a page after pages with an even id are gone."""
-    p = _url_paths(spark, sf_dir).select("page_id", F.concat_ws("/", "host", "path").alias("p"))
-    trees = lambda df: df.select(F.explode(paths.ancestors(F.col("p"))).alias("tree")).distinct()
-    return trees(p).join(trees(p.where("page_id % 2 = 1")), "tree", "left_semi")
+    left = _page_objects(spark, sf_dir).where("page_id % 2 = 1").drop("page_id")
+    return git.with_trees(left).where("kind = 'tree'").select(F.col("path").alias("tree"))
 
 
 GLOBS = ("en/*", "**/*.html", "{fr,de}/**", "e?/[1-4]*", "*")
@@ -237,27 +269,21 @@ def glob_match(spark, sf_dir):
 
 def overlay_upsert(spark, sf_dir):
     """Objects of a snapshot with edits laid over: pages by path, some replaced and some deleted."""
-    p = _url_paths(spark, sf_dir).select("page_id", F.concat_ws("/", "host", "path").alias("path"))
-    base = p.groupBy("path").agg(F.min("page_id").alias("page_id")).select("path", F.sha1(F.col("page_id").cast("string")).alias("oid"), F.lit("stored").alias("source"))
-    edit = base.where(F.length("path") % 4 == 0).select("path", F.sha1(F.concat("oid", F.lit("edit"))).alias("oid"), F.lit("edited").alias("source"))
-    gone = base.where(F.length("path") % 9 == 0).select("path")
-    return base.join(edit, "path", "left_anti").union(edit).join(gone, "path", "left_anti")
+    base = _page_objects(spark, sf_dir).drop("page_id")
+    gone = F.length("path") % 9 == 0
+    edits = base.where((F.length("path") % 4 == 0) & ~gone).select("path", F.concat(F.lit("edit of "), "path").cast("binary").alias("bytes"))
+    return git.overlaid(git.with_trees(base), edits, base.where(gone).select("path"))
 
 
 def git_blob_hash(spark, sf_dir):
-    d = read(spark, sf_dir, "documents")
-    body = F.coalesce("text", F.lit("")).cast("binary")
-    return d.select("doc_id", F.sha1(F.concat(F.encode(F.concat(F.lit("blob "), F.octet_length(body).cast("string")), "UTF-8"), F.unhex(F.lit("00")), body)).alias("oid"))
+    return read(spark, sf_dir, "documents").select("doc_id", git.blob_id(F.coalesce("text", F.lit("")).cast("binary")).alias("oid"))
 
 
 def id_codec(spark, sf_dir):
-    """Entity ids with an unpadded url-safe base64 part, and what decodes from them."""
-    d = read(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 80).alias("name"))
-    coded = F.rtrim(F.translate(config.base64encode(F.col("name")), "+/", "-_"), F.lit("="))
-    ids = d.select("doc_id", "name", F.concat(F.lit("doc:package:mod/x:"), coded).alias("id"))
-    part = F.translate(F.element_at(F.split("id", ":", 4), 4), "-_", "+/")
-    back = F.decode(F.unbase64(F.concat(part, F.expr("repeat('=', pmod(-length(element_at(split(id, ':', 4), 4)), 4))"))), "UTF-8")
-    return ids.select("doc_id", "id", (back == F.col("name")).alias("round_trip"), graph.namespace(F.col("id")).alias("namespace"))
+    """Whole texts as a part of an entity id, and what decodes from it."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("name"))
+    ids = d.select("doc_id", "name", F.concat(F.lit("doc:package:mod/x:"), modules.coded(F.col("name"))).alias("id"))
+    return ids.select("doc_id", "id", (modules.id_parts(F.col("id"))["name"] == F.col("name")).alias("round_trip"), graph.namespace(F.col("id")).alias("namespace"))
 
 
 def _targets(spark, sf_dir):
@@ -293,6 +319,54 @@ def completion_match(spark, sf_dir):
     return selectors.completions(t, "brand1", "economy").union(selectors.completions(t, "//econ"))
 
 
+def _declared(spark, sf_dir):
+    """The parts' targets, in a file of their tree."""
+    return _targets(spark, sf_dir).withColumn("file", F.concat("path", F.lit("/build.cfg")))
+
+
+def target_references(spark, sf_dir):
+    """Each part refers to a name of another kind in its file, which may be missing or there twice."""
+    t = _declared(spark, sf_dir)
+    wanted = t.select("id", "file", F.concat(F.lit("brand"), F.col("index") + 1, F.lit("1")).alias("kind"), F.when(F.col("name") == "", "n7").otherwise(F.col("name")).alias("name"))
+    return targets.references(wanted, t)
+
+
+def path_dependencies(spark, sf_dir):
+    """Pages that depend on their own path, the tree above it, the root, or nothing that exists."""
+    p = _url_paths(spark, sf_dir).select("page_id", F.concat_ws("/", "host", "path").alias("p"))
+    pick = F.col("page_id") % 4
+    path = F.when(pick == 0, F.col("p")).when(pick == 1, paths.parent(F.col("p"))).when(pick == 2, "").otherwise(F.concat("p", F.lit(".none")))
+    return targets.path_dependencies(p.select(F.concat(F.lit("page:"), "page_id").alias("id"), path.alias("path")), git.with_trees(_page_objects(spark, sf_dir).drop("page_id")))
+
+
+def nearest_settings(spark, sf_dir):
+    """Commands of test packages: hosts and some of their directories set their own."""
+    p = _url_paths(spark, sf_dir).select("page_id", "host", F.concat_ws("/", "host", F.substring_index("path", "/", 1)).alias("dir"))
+    settings = p.where(F.length("host") % 2 == 0).select(F.col("host").alias("dir")).union(p.where(F.length("dir") % 5 == 0).select("dir")).distinct()
+    wanted = p.select(F.concat(F.lit("page:"), "page_id").alias("id"), "dir", F.col("host").alias("module_dir"))
+    return targets.nearest_settings(wanted, settings.select("dir", F.concat(F.lit("run "), "dir").alias("value")), "run")
+
+
+def target_graph(spark, sf_dir):
+    return targets.projected(_declared(spark, sf_dir)).edges
+
+
+def config_rows(spark, sf_dir):
+    return targets.config_rows(_declared(spark, sf_dir))
+
+
+def targets_by_kind(spark, sf_dir):
+    return targets.by_kind(_declared(spark, sf_dir)).select("kind", "n", F.md5(F.array_join("ids", ",")).alias("ids_md5"))
+
+
+def package_lines(spark, sf_dir):
+    files = checkpointed(_sources(spark, sf_dir))
+    mods, g = modules.modules(files), modules.package_graph(files)
+    g = Graph(checkpointed(g.entities), checkpointed(g.edges))
+    external = g.entities.where("kind = 'go:package-external'").select(modules.id_parts(F.col("id")).alias("p")).select("p.mod_path", F.col("p.name").alias("target"))
+    return targets.package_lines(g, modules.go_version_tokens(mods), modules.version_tokens(mods, external))
+
+
 def kind_local_index(spark, sf_dir):
     """Each part's place among the parts of its type and brand, and whether its name repeats there."""
     from pyspark.sql import Window
@@ -342,11 +416,33 @@ def hash_functions(spark, sf_dir):
     return d.select("doc_id", F.md5("t").alias("md5"), F.sha1("t").alias("sha1"), F.sha2("t", 256).alias("sha256"))
 
 
+def more_functions(spark, sf_dir):
+    """Functions over names, sizes and dates of parts and orders."""
+    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority", F.to_timestamp(F.col("o_orderdate")).alias("t"))
+    word, n = F.col("o_orderpriority"), F.col("o_orderkey")
+    parts, numbers = config.split("-", word), F.array(n, n + 1, F.lit(None).cast("bigint"))
+    nested = F.array(F.array(parts, F.array(word)), F.array(F.array(F.lit("z"))))
+    pair = F.map_from_arrays(F.array(F.lit("k"), word), F.array(F.lit("1"), F.lit("2")))
+    return o.select(
+        "o_orderkey", config.FUNCTIONS["base64decode"](config.base64encode(word)).alias("base64decode"), F.coalesce(F.lit(None), word).alias("coalesced"),
+        F.array_join(config.coalescelist(F.array().cast("array<string>"), parts), "+").alias("coalescelist"), F.array_join(F.concat(parts, F.array(F.lit("e"))), ",").alias("concat"),
+        F.array_contains(parts, "HIGH").alias("contains"), config.FUNCTIONS["convert"](F.concat(n.cast("string"), F.when(n % 2 == 0, "x").otherwise("")), "bigint").alias("converted"),
+        F.array_join(config.formatlist("<%s>", parts), "").alias("formatlist"), config.format_("%v/%q is %05d%% or %.2f, %x", word, F.col("o_orderstatus"), n, F.col("o_totalprice"), n).alias("format"),
+        config.formatdate("EEE, D MMM YYYY hh:mm aa 'at' HH Z", F.col("t")).alias("formatdate"), config.timeadd(F.col("t"), "-1h30m0.5s").alias("timeadd"),
+        config.parseint(F.concat(F.when(n % 2 == 0, "-").otherwise(""), F.lower(F.hex(n))), 16).alias("parseint"), config.index(numbers, (n % 2).cast("int")).alias("indexed"),
+        F.array_join(config.flatten(nested, 2), ",").alias("flatten"), F.lower(word).alias("lower"), F.upper(F.lower(word)).alias("upper"), F.array_join(parts, "|").alias("joined"),
+        F.to_json(F.struct(n.alias("a"), word.alias("b"))).alias("jsonencode"), F.try_variant_get(F.parse_json(F.to_json(F.struct(n.alias("a")))), "$.a", "bigint").alias("jsondecode"),
+        F.regexp_replace(word, "[0-9]+-?", "").alias("regex_replace"), F.array_join(F.reverse(parts), ",").alias("reversed"), F.array_join(F.array_sort(F.array_union(parts, F.array(F.lit("HIGH"), F.lit("a")))), ",").alias("setunion"),
+        F.char_length(word).alias("strlen"), config.urlencode(F.concat(word, F.lit(" &="))).alias("urlencode"), F.element_at(pair, word).alias("zipmap"),
+    )
+
+
 _QUERIES = (
     universe_entities, universe_edges, token_collect, graph_validate_violations, graph_absorb, absorb_conflicts, namespace_counts, out_edges, direct_dependencies, closure_pairs, closure_sizes,
-    reverse_reachability, scc_cycle, content_hash, uvarint_table, diff_status, induced_edges, frontier_layers, range_hash_label, containment_walk, longest_prefix_owner, import_fallback,
-    version_replace, path_clean, path_resolve, path_within, ancestor_trees, prune_empty, glob_match, overlay_upsert, git_blob_hash, duplicate_blobs, id_codec, selector_parse, selector_aliases,
-    selector_resolve, completion_match, kind_local_index, text_functions, collection_functions, number_functions, hash_functions,
+    reverse_reachability, scc_cycle, content_hash, uvarint_table, diff_status, induced_edges, frontier_layers, range_hash_label, containment_walk, longest_prefix_owner,
+    package_graph_edges, package_versions, language_versions, package_tests, import_kinds, path_clean, path_resolve, path_within, ancestor_trees, prune_empty, glob_match, overlay_upsert, git_blob_hash, duplicate_blobs, id_codec, selector_parse, selector_aliases,
+    selector_resolve, completion_match, kind_local_index, text_functions, collection_functions, number_functions, hash_functions, more_functions, target_references, path_dependencies,
+    nearest_settings, target_graph, config_rows, targets_by_kind, package_lines,
 )
 
 

@@ -91,10 +91,34 @@ listed AS (SELECT id, CASE WHEN name = '' THEN [kind] ELSE [kind || '.' || name,
 named AS (SELECT id, alias, min(place) AS first_at FROM (SELECT id, unnest(al) AS alias, unnest(range(len(al))) AS place FROM listed) GROUP BY id, alias),
 aliased AS (SELECT id, alias, row_number() OVER (PARTITION BY id ORDER BY first_at) - 1 AS place FROM named)"""
 
+
+
+def _gid(kind: str, mod_path: str, name: str) -> str:
+    return f"'go:{kind}:' || {mod_path} || ':' || rtrim(translate(base64(encode({name})), '+/', '-_'), '=')"
+
+
+_PACKAGES = f"""{_URLS}, least_ AS (SELECT min(host) AS least FROM urls),
+src_ AS (SELECT page_id, host, split_part(path, '/', 1) AS lang, length(host) % 3 = 0 AND split_part(path, '/', 1) = 'en' AS nested, page_id % 5 = 0 AS is_test,
+    ['en', 'fr', 'de', 'zz'][page_id % 4 + 1] AS other, least FROM urls, least_),
+placed AS (SELECT *, host || '/' || CASE WHEN nested THEN 'en/' ELSE '' END || 'go.mod' AS mod_path, 'mod.example/' || host || CASE WHEN nested THEN '' ELSE '/' || lang END AS pkg,
+    host || '/' || lang || '/p' || page_id || CASE WHEN is_test THEN '_test.go' ELSE '.go' END AS file FROM src_),
+own AS (SELECT *, CASE WHEN is_test THEN {_gid("package-test", "mod_path", "pkg")} ELSE {_gid("package", "mod_path", "pkg")} END AS src FROM placed),
+dirs AS (SELECT DISTINCT host AS h, lang AS l, nested AS n, {_gid("package", "mod_path", "pkg")} AS local FROM placed),
+asked AS (SELECT own.*, 'fmt' AS target, '' AS th, '' AS tl, 0 AS rule FROM own
+    UNION ALL SELECT own.*, 'mod.example/' || host || '/' || other, host, other, 1 FROM own
+    UNION ALL SELECT own.*, 'old.example/x/' || other, least, other, CASE WHEN nested THEN 3 ELSE 2 END FROM own
+    UNION ALL SELECT own.*, 'mod.example/' || least || '/fr', least, 'fr', 1 FROM own
+    UNION ALL SELECT own.*, 'lib.example/a/' || CASE WHEN page_id % 2 = 0 THEN 'deep' ELSE 'sub' END || '/z', '', '', 3 FROM own),
+found AS (SELECT asked.*, d.local FROM asked LEFT JOIN dirs d ON d.h = th AND d.l = tl AND
+    (rule = 2 OR rule = 1 AND NOT d.n AND (NOT asked.nested AND asked.host = th OR length(th) % 3 <> 0))),
+used AS (SELECT src, mod_path, nested, host, target, CASE WHEN local IS NOT NULL THEN 'package' WHEN rule = 0 THEN 'package-stdlib' ELSE 'package-external' END AS to_kind,
+    coalesce(local, CASE WHEN rule = 0 THEN {_gid("package-stdlib", "mod_path", "target")} ELSE {_gid("package-external", "mod_path", "target")} END) AS dst FROM found)"""
+
 ORACLES = {
     "universe_entities": f"WITH {_BASE} SELECT id, kind FROM entities",
     "universe_edges": f"WITH {_BASE} SELECT src, dst, kind FROM edges",
-    "token_collect": f"WITH {_BASE} SELECT id, token FROM tokens",
+    "token_collect": f"""WITH {_BASE} SELECT 'universe:' || id AS id, token FROM tokens
+        UNION ALL SELECT 'doc:' || doc_id, min(sha1(unhex(hex(encode('blob ' || strlen(coalesce(text, '')))) || '00' || hex(encode(coalesce(text, '')))))) FROM documents GROUP BY doc_id""",
     "graph_validate_violations": """WITH ids AS (SELECT 'line:' || l_orderkey || ':' || l_linenumber AS id FROM lineitem UNION ALL SELECT 'customer:' || c_custkey FROM customer),
         e AS (SELECT DISTINCT 'customer:' || user_id AS src, 'customer:' || (user_id * 7) AS dst, trim(replace(event_type, 'error', ' ')) AS kind FROM events)
         SELECT id, 'repeated id' AS problem FROM ids GROUP BY id HAVING count(*) > 1
@@ -106,7 +130,7 @@ ORACLES = {
     "namespace_counts": f"WITH {_BASE} SELECT split_part(id, ':', 1) AS namespace, count(*) AS n FROM entities GROUP BY 1",
     "out_edges": f"WITH {_BASE} SELECT src, dst, kind FROM edges WHERE split_part(src, ':', 1) IN ('nation', 'order')",
     "direct_dependencies": f"WITH {_BASE} SELECT src, dst FROM deps",
-    "closure_pairs": f"WITH RECURSIVE {_BASE}, {_reach('reach', 'deps', chr(39).join(['split_part(src, ', ':', ', 1) NOT IN (', 'universe', ', ', 'region', ')']))} SELECT src, dst FROM reach",
+    "closure_pairs": f"WITH RECURSIVE {_BASE}, {_reach('reach', 'deps')} SELECT src, dst FROM reach",
     "closure_sizes": f"WITH RECURSIVE {_BASE}, {_reach('reach', 'deps')} SELECT src AS id, count(*) AS n, min(dst) AS least, max(dst) AS most FROM reach GROUP BY src",
     "reverse_reachability": f"""WITH RECURSIVE {_BASE}, back AS (SELECT id FROM entities WHERE kind = 'supplier' UNION SELECT d.src FROM back b JOIN deps d ON d.dst = b.id) SELECT id FROM back""",
     "scc_cycle": """WITH RECURSIVE nx AS (SELECT a.n_nationkey AS a, coalesce(min(CASE WHEN b.n_nationkey > a.n_nationkey THEN b.n_nationkey END), min(b.n_nationkey)) AS b
@@ -115,8 +139,7 @@ ORACLES = {
         ids AS (SELECT src AS id FROM d UNION SELECT dst FROM d),
         r AS (SELECT src, dst FROM d UNION SELECT r.src, d.dst FROM r JOIN d ON r.dst = d.src)
         SELECT i.id, least(i.id, coalesce(min(m.dst), i.id)) AS scc FROM ids i LEFT JOIN (SELECT a.src, a.dst FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src) m ON m.src = i.id GROUP BY i.id""",
-    "content_hash": f"""WITH RECURSIVE {_BASE}, {_reach('reach', 'deps', "split_part(src, ':', 1) NOT IN ('universe', 'region')")},
-        {_sums('s', 'reach', 'entities', 'tokens', "k.kind NOT IN ('universe', 'region')")} SELECT id, n, "sum" FROM s""",
+    "content_hash": f"""WITH RECURSIVE {_BASE}, {_reach('reach', 'deps')}, {_sums('s', 'reach', 'entities', 'tokens', "true")} SELECT id, n, "sum" FROM s""",
     "uvarint_table": f"SELECT o_orderkey, {_uvarint('(o_orderkey * o_orderkey)')} AS bytes FROM orders",
     "diff_status": f"WITH RECURSIVE {_CHANGED} SELECT id, status FROM delta",
     "induced_edges": f"""WITH RECURSIVE {_CHANGED}, kept AS (SELECT id FROM delta WHERE status <> 'removed')
@@ -125,19 +148,27 @@ ORACLES = {
         ins AS (SELECT d.src, d.dst FROM deps2 d JOIN kept a ON a.id = d.src JOIN kept b ON b.id = d.dst),
         lay AS (SELECT id, 0 AS layer FROM kept WHERE status = 'added' OR id NOT IN (SELECT src FROM ins) UNION SELECT i.src, l.layer + 1 FROM lay l JOIN ins i ON i.dst = l.id)
         SELECT id, min(layer) AS layer FROM lay GROUP BY id""",
-    "range_hash_label": f"""WITH RECURSIVE {_BASE}, {_HEAD}, {_reach('reach', 'deps', "src LIKE 'order:%'")}, {_reach('reach2', 'deps2', "src LIKE 'order:%'")},
-        {_sums('a', 'reach', 'entities', 'tokens', "k.kind = 'order'")}, {_sums('b', 'reach2', 'entities2', 'tokens2', "k.kind = 'order'")}
-        SELECT b.id, CASE WHEN a."sum" IS NULL THEN 'new' WHEN a."sum" = b."sum" THEN left(b."sum", 12) ELSE left(a."sum", 12) || '..' || left(b."sum", 12) END AS label FROM b LEFT JOIN a ON a.id = b.id""",
+    "range_hash_label": f"""WITH RECURSIVE {_BASE}, {_HEAD}, {_reach('reach', 'deps')}, {_reach('reach2', 'deps2')},
+        {_sums('a', 'reach', 'entities', 'tokens', "true")}, {_sums('b', 'reach2', 'entities2', 'tokens2', "true")}
+        SELECT b.id, CASE WHEN a."sum" IS NULL THEN 'new' ELSE left(a."sum", 12) || '..' || left(b."sum", 12) END AS label FROM b LEFT JOIN a ON a.id = b.id""",
     "containment_walk": f"""WITH RECURSIVE {_BASE}, walk AS (SELECT 'universe:' AS id, 0 AS depth, 'universe:' AS path UNION ALL
         SELECT e.dst, w.depth + 1, w.path || '>' || e.dst FROM walk w JOIN edges e ON e.src = w.id AND e.kind = 'contains') SELECT id, depth, path FROM walk""",
     "longest_prefix_owner": f"""WITH {_URLS}, modules AS (SELECT CASE WHEN pp IS NULL THEN host ELSE host || '/' || pp END AS module FROM (SELECT host, regexp_replace(path, '/?[^/]*$', '') AS pp FROM urls)
             GROUP BY 1 HAVING count(*) >= 3)
         SELECT u.page_id, max_by(m.module, length(m.module)) AS module FROM urls u LEFT JOIN above a ON a.page_id = u.page_id LEFT JOIN modules m ON m.module = a.tree GROUP BY u.page_id""",
-    "import_fallback": f"""WITH {_URLS}, links AS (SELECT DISTINCT page_id, link FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"#?]+)', 1)) AS link FROM pages)),
-        bare AS (SELECT page_id, regexp_replace(regexp_replace(link, '^[a-z]+://', ''), '^/|/$', '', 'g') AS b FROM links)
-        SELECT page_id, CASE WHEN b IN (SELECT p FROM full_) THEN 'local' WHEN NOT contains(split_part(b, '/', 1), '.') THEN 'builtin' ELSE 'external' END AS kind, count(*) AS n FROM bare GROUP BY 1, 2""",
-    "version_replace": """SELECT r.k AS key, r.version, coalesce(x.p_brand, y.p_type, 'v' || r.version) AS target FROM (SELECT DISTINCT l_partkey AS k, CAST(l_linenumber AS VARCHAR) AS version FROM lineitem) r
-        LEFT JOIN part x ON x.p_partkey = r.k AND x.p_size % 3 = 0 AND CAST(x.p_size % 7 + 1 AS VARCHAR) = r.version LEFT JOIN part y ON y.p_partkey = r.k AND y.p_size % 5 = 0""",
+    "package_graph_edges": f"""WITH {_PACKAGES} SELECT src, dst, 'imports' AS kind FROM used UNION SELECT src, 'git:' || file, 'source-file' FROM own
+        UNION SELECT src, {_gid("package", "mod_path", "pkg")}, 'tests' FROM own WHERE is_test
+        UNION SELECT id, {_gid("go-version", "mod_path", "''")}, 'go-version' FROM (SELECT src AS id, mod_path FROM own UNION SELECT {_gid("package", "mod_path", "pkg")}, mod_path FROM own
+            UNION SELECT dst, mod_path FROM used WHERE to_kind <> 'package')""",
+    "package_versions": f"""WITH {_PACKAGES}, e AS (SELECT DISTINCT mod_path, target, nested, host FROM used WHERE to_kind = 'package-external')
+        SELECT mod_path, target, CASE WHEN NOT nested AND target LIKE 'lib.example/a/deep/%' THEN 'go-module:lib.example/a/deep@v0.1.0'
+            WHEN NOT nested AND target LIKE 'lib.example/a/%' THEN CASE WHEN length(host) % 3 = 0 THEN 'go-module:fork.example/a@v1.3.0' ELSE 'go-module:lib.example/a@v1.2.' || (length(host) % 3) END END AS token,
+        CASE WHEN NOT nested AND target LIKE 'old.example/x/%' THEN 'replaced by a path without a package' WHEN nested OR target NOT LIKE 'lib.example/a/%' THEN 'not required' END AS problem FROM e""",
+    "language_versions": f"""WITH {_URLS}, h AS (SELECT DISTINCT host FROM urls)
+        SELECT {_gid("go-version", "host || '/go.mod'", "''")} AS id, 'go-version:go=1.' || (length(host) % 4 + 18) || CASE WHEN length(host) % 2 = 0 THEN ',toolchain=go1.22.1' ELSE '' END AS token FROM h
+        UNION ALL SELECT {_gid("go-version", "host || '/en/go.mod'", "''")}, 'go-version:go=1.16' FROM h WHERE length(host) % 3 = 0""",
+    "package_tests": f"WITH {_PACKAGES} SELECT DISTINCT src AS id, host || '/' || lang AS dir, mod_path FROM own WHERE is_test",
+    "import_kinds": f"WITH {_PACKAGES} SELECT mod_path, to_kind AS kind, count(*) AS n FROM (SELECT DISTINCT mod_path, src, dst, to_kind FROM used) GROUP BY 1, 2",
     "path_clean": f"""WITH RECURSIVE {_URLS}, {_FOLD} SELECT c.page_id, c.c AS cleaned, CASE WHEN o.value IN ('', '.') THEN '' ELSE c.c END AS tree
         FROM clean c JOIN odd o ON o.page_id = c.page_id WHERE c.what = 'v'""",
     "path_resolve": f"""WITH RECURSIVE {_URLS}, {_FOLD} SELECT c.page_id, CASE WHEN o.value = '' OR (o.value LIKE '/%' AND o.value NOT LIKE '//%') THEN NULL ELSE c.c END AS resolved,
@@ -145,16 +176,23 @@ ORACLES = {
     "path_within": f"""WITH {_URLS}, d AS (SELECT page_id, path, CASE page_id % 3 WHEN 0 THEN '' WHEN 1 THEN split_part(path, '/', 1) ELSE substr(path, 1, 1) END AS d FROM urls)
         SELECT page_id, path = d OR d = '' OR starts_with(path, d || '/') AS is_within, CASE WHEN path = d THEN '' WHEN d = '' THEN path WHEN starts_with(path, d || '/') THEN substr(path, length(d) + 2) END AS rest FROM d""",
     "ancestor_trees": f"WITH {_URLS} SELECT tree, count(*) AS n FROM above GROUP BY tree",
-    "prune_empty": f"WITH {_URLS} SELECT DISTINCT tree FROM above WHERE page_id % 2 = 1",
+    "prune_empty": f"""WITH {_URLS}, left_ AS (SELECT p, min(page_id) AS page_id FROM full_ GROUP BY p HAVING min(page_id) % 2 = 1)
+        SELECT DISTINCT tree FROM above JOIN left_ USING (page_id) WHERE tree <> ''""",
     "glob_match": f"""WITH {_URLS}, g AS (SELECT 'en/*' AS pattern, '^en/[^/]*$' AS r UNION ALL SELECT '**/*.html', '^([^/]+/)*[^/]*[.]html$' UNION ALL SELECT '{{fr,de}}/**', '^(fr|de)(/.*)?$'
             UNION ALL SELECT 'e?/[1-4]*', '^e[^/]/[1-4][^/]*$' UNION ALL SELECT '*', '^[^/]*$')
         SELECT page_id, pattern FROM urls JOIN g ON regexp_matches(path, r)""",
-    "overlay_upsert": f"""WITH {_URLS}, base AS (SELECT p AS path, sha1(CAST(min(page_id) AS VARCHAR)) AS oid FROM full_ GROUP BY p)
-        SELECT path, CASE WHEN length(path) % 4 = 0 THEN sha1(oid || 'edit') ELSE oid END AS oid, CASE WHEN length(path) % 4 = 0 THEN 'edited' ELSE 'stored' END AS source FROM base WHERE length(path) % 9 <> 0""",
+    "overlay_upsert": f"""WITH {_URLS}, base AS (SELECT p AS path, min(page_id) AS page_id FROM full_ GROUP BY p HAVING length(p) % 9 <> 0),
+        deleted AS (SELECT DISTINCT p AS path FROM full_ WHERE length(p) % 9 = 0),
+        under AS (SELECT base.path FROM base JOIN above USING (page_id) JOIN deleted ON deleted.path = above.tree),
+        files AS (SELECT path, page_id, length(path) % 4 = 0 AS edited, 'edit of ' || path AS body FROM base WHERE length(path) % 4 = 0 OR path NOT IN (SELECT path FROM under))
+        SELECT path, 'blob' AS kind, CASE WHEN edited THEN sha1(unhex(hex(encode('blob ' || strlen(body))) || '00' || hex(encode(body)))) ELSE sha1(CAST(page_id AS VARCHAR)) END AS oid,
+            CASE WHEN edited THEN 'worktree' ELSE 'stored' END AS source FROM files
+        UNION ALL SELECT tree, 'tree', repeat('0', 40), coalesce(max(b.source), max(CASE WHEN edited THEN 'worktree' ELSE 'stored' END)) FROM files JOIN above USING (page_id)
+            LEFT JOIN (SELECT DISTINCT tree AS t, 'stored' AS source FROM above a JOIN (SELECT min(page_id) AS page_id FROM full_ GROUP BY p) k USING (page_id)) b ON b.t = tree WHERE tree <> '' GROUP BY tree""",
     "git_blob_hash": "SELECT doc_id, sha1(unhex(hex(encode('blob ' || strlen(t))) || '00' || hex(encode(t)))) AS oid FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)",
     "duplicate_blobs": """SELECT sha1(unhex(hex(encode('blob ' || strlen(t))) || '00' || hex(encode(t)))) AS oid, count(*) AS n, min(doc_id) AS first
         FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) GROUP BY 1 HAVING count(*) > 1""",
-    "id_codec": """SELECT doc_id, 'doc:package:mod/x:' || rtrim(translate(base64(encode(substr(text, 1, 80))), '+/', '-_'), '=') AS id, true AS round_trip, 'doc' AS namespace FROM documents""",
+    "id_codec": """SELECT doc_id, 'doc:package:mod/x:' || rtrim(translate(base64(encode(coalesce(text, ''))), '+/', '-_'), '=') AS id, true AS round_trip, 'doc' AS namespace FROM documents""",
     "selector_parse": f"""WITH {_TARGETS}, asked AS (SELECT id, CASE WHEN length(label) % 2 = 0 THEN canonical ELSE kind || '#' || name || '#x' END AS t FROM canon),
         r AS (SELECT id, starts_with(t, '//') AS rooted, CASE WHEN starts_with(t, '//') THEN substr(t, 3) ELSE t END AS t FROM asked)
         SELECT id, substr(t, 1, instr(t, '#') - 1) AS path, substr(t, instr(t, '#') + 1) AS identifier, rooted FROM r""",
@@ -186,4 +224,32 @@ ORACLES = {
     "number_functions": """SELECT p_partkey, abs(p_size - 25) AS abs, CAST(sign(p_size - 25) AS INTEGER) AS signum, CAST(ceil(p_size / 4) AS BIGINT) AS ceil, CAST(floor(p_size / 4) AS BIGINT) AS floor,
         greatest(p_size, 30) AS max, least(p_size, 30) AS min, CAST(p_size AS BIGINT) * p_size AS pow, CAST(round(p_retailprice * 100) AS BIGINT) AS parseint, round(ln(p_size + 1) / ln(2), 6) AS log FROM part""",
     "hash_functions": "SELECT doc_id, md5(t) AS md5, sha1(t) AS sha1, sha256(t) AS sha256 FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)",
+    "more_functions": """WITH o AS (SELECT *, o_orderpriority AS w, o_orderkey AS n, string_split(o_orderpriority, '-') AS a, CAST(o_orderdate AS TIMESTAMP) AS t FROM orders)
+        SELECT o_orderkey, w AS base64decode, w AS coalesced, array_to_string(a, '+') AS coalescelist, array_to_string(a, ',') || ',e' AS concat, list_contains(a, 'HIGH') AS contains,
+        CASE WHEN n % 2 = 0 THEN NULL ELSE n END AS converted, '<' || array_to_string(a, '><') || '>' AS formatlist,
+        w || '/"' || o_orderstatus || '" is ' || lpad(CAST(n AS VARCHAR), CAST(greatest(5, length(CAST(n AS VARCHAR))) AS INTEGER), '0') || '% or ' || printf('%.2f', o_totalprice) || ', ' || lower(to_hex(n)) AS format,
+        strftime(t, '%a, %-d %b %Y %I:%M ') || lower(strftime(t, '%p')) || ' at ' || strftime(t, '%H') || ' Z' AS formatdate, t - INTERVAL 5400500 MILLISECONDS AS timeadd,
+        CASE WHEN n % 2 = 0 THEN -n ELSE n END AS parseint, n + n % 2 AS indexed, array_to_string(a, ',') || ',' || w || ',z' AS flatten, lower(w) AS lower, w AS upper, array_to_string(a, '|') AS joined,
+        '{"a":' || n || ',"b":"' || w || '"}' AS jsonencode, n AS jsondecode, regexp_replace(w, '[0-9]+-?', '', 'g') AS regex_replace, array_to_string(list_reverse(a), ',') AS reversed,
+        array_to_string(list_sort(list_distinct(a || ['HIGH', 'a'])), ',') AS setunion, length(w) AS strlen, replace(replace(w, ' ', '+'), '/', '%2F') || '+%26%3D' AS urlencode, '2' AS zipmap FROM o""",
+    "target_references": f"""WITH {_TARGETS}, d AS (SELECT path, kind, name, min(id) AS dst, count(*) AS c FROM targets GROUP BY 1, 2, 3),
+        w AS (SELECT id, path, 'brand' || (idx + 1) || '1' AS kind, CASE WHEN name = '' THEN 'n7' ELSE name END AS name FROM targets)
+        SELECT w.id, CASE WHEN c = 1 THEN dst END AS dst, CASE WHEN c IS NULL THEN 'not declared' WHEN c > 1 THEN 'declared twice' END AS problem FROM w LEFT JOIN d ON d.path = w.path AND d.kind = w.kind AND d.name = w.name""",
+    "path_dependencies": f"""WITH {_URLS}, w AS (SELECT page_id, p, CASE page_id % 4 WHEN 0 THEN p WHEN 1 THEN regexp_replace(p, '/?[^/]*$', '') WHEN 2 THEN '' ELSE p || '.none' END AS path FROM full_)
+        SELECT 'page:' || page_id AS id, CASE WHEN path IN (SELECT p FROM full_) OR path IN (SELECT tree FROM above) THEN 'git:' || path END AS dst,
+        CASE WHEN path IN (SELECT p FROM full_) THEN 'blob' WHEN path IN (SELECT tree FROM above) THEN 'tree' END AS kind FROM w""",
+    "nearest_settings": f"""WITH {_URLS}, d AS (SELECT page_id, host, host || '/' || split_part(path, '/', 1) AS dir FROM urls)
+        SELECT 'page:' || page_id AS id, CASE WHEN length(dir) % 5 = 0 THEN 'run ' || dir WHEN length(host) % 2 = 0 THEN 'run ' || host ELSE 'run' END AS value FROM d""",
+    "target_graph": f"WITH {_TARGETS} SELECT 'git:' || path || '/build.cfg' AS src, id AS dst, 'contains' AS kind FROM targets UNION ALL SELECT 'git:' || path, id, 'contains' FROM targets",
+    "config_rows": f"""WITH {_TARGETS} SELECT '//' || path || '/build.cfg#' || kind || CASE WHEN name = '' THEN '' ELSE '.' || name END AS key, id FROM targets
+        UNION SELECT '//' || path || '/build.cfg#' || name, id FROM targets WHERE name <> ''""",
+    "targets_by_kind": f"WITH {_TARGETS} SELECT kind, count(*) AS n, md5(string_agg(id, ',' ORDER BY path || '/build.cfg', idx, id)) AS ids_md5 FROM targets GROUP BY kind",
+    "package_lines": f"""WITH {_PACKAGES}, all_ AS (SELECT src, file, mod_path, nested, host, pkg, is_test FROM own),
+        ids AS (SELECT DISTINCT src AS id, nested, host FROM all_ UNION SELECT {_gid("package", "mod_path", "pkg")}, nested, host FROM all_)
+        SELECT id, '0 version' AS part, CASE WHEN nested THEN 'go 1.16' ELSE 'go 1.' || (length(host) % 4 + 18) || CASE WHEN length(host) % 2 = 0 THEN ' go1.22.1' ELSE '' END END AS line FROM ids
+        UNION SELECT src, '1 file', string_split(file, '/')[-1] FROM all_
+        UNION SELECT src, CASE to_kind WHEN 'package' THEN '2 local' WHEN 'package-stdlib' THEN '3 built in' ELSE '4 external' END, CASE WHEN to_kind = 'package' THEN decode(from_base64(rpad(translate(part, '-_', '+/'),
+                CAST(length(part) + (4 - length(part) % 4) % 4 AS INTEGER), '='))) ELSE target || CASE WHEN to_kind = 'package-external' AND NOT nested AND target LIKE 'lib.example/a/deep/%' THEN ' (lib.example/a/deep@v0.1.0)'
+                WHEN to_kind = 'package-external' AND NOT nested AND target LIKE 'lib.example/a/%' THEN CASE WHEN length(host) % 3 = 0 THEN ' (fork.example/a@v1.3.0)' ELSE ' (lib.example/a@v1.2.' || (length(host) % 3) || ')' END ELSE '' END END
+            FROM (SELECT *, split_part(dst, ':', 4) AS part FROM used)""",
 }

@@ -6,12 +6,12 @@ modules line by line, and of sources the imports alone.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ripplegraph.functions.config import base64encode
-from ripplegraph.functions.paths import ancestors, parent
-from ripplegraph.model import Graph
+from ripplegraph.functions.paths import ancestors, folded, parent
+from ripplegraph.model import Graph, checkpointed
 
 DEFAULT_VERSION = "1.16"
 
@@ -66,9 +66,25 @@ def owners(dirs: DataFrame, mods: DataFrame) -> DataFrame:
     return above.join(m, "_up").groupBy("dir").agg(F.max("_m").alias("_m")).select("dir", "_m.module_dir", "_m.module", "_m.mod_path")
 
 
+def coded(name: Column) -> Column:
+    """Unpadded url-safe base64, so that any name can be a part of an id."""
+    return F.rtrim(F.translate(base64encode(name), "+/", "-_"), F.lit("="))
+
+
+def decoded(part: Column) -> Column:
+    """The name that ``coded`` gave this part."""
+    padding = F.repeat(F.lit("="), F.pmod(-F.length(part), F.lit(4)))
+    return F.decode(F.unbase64(F.concat(F.translate(part, "-_", "+/"), padding)), "UTF-8")
+
+
 def _id(kind: str, mod_path: Column, name: Column, space: str) -> Column:
-    coded = F.rtrim(F.translate(base64encode(name), "+/", "-_"), F.lit("="))
-    return F.concat_ws(":", F.lit(f"{space}:{kind}"), mod_path, coded)
+    return F.concat_ws(":", F.lit(f"{space}:{kind}"), mod_path, coded(name))
+
+
+def id_parts(id_: Column) -> Column:
+    """kind, mod_path and name of an id of packages or versions."""
+    parts = F.split(id_, ":", 4)
+    return F.struct(parts[1].alias("kind"), parts[2].alias("mod_path"), decoded(parts[3]).alias("name"))
 
 
 def _import_path(module: Column, module_dir: Column, directory: Column) -> Column:
@@ -76,23 +92,57 @@ def _import_path(module: Column, module_dir: Column, directory: Column) -> Colum
     return F.when(below == "", module).otherwise(F.concat(module, F.lit("/"), below))
 
 
+def _above(name: Column) -> Column:
+    """A slash-separated name and all its prefixes."""
+    return F.concat(F.filter(ancestors(name), lambda x: x != ""), F.array(name))
+
+
+def resolved_imports(wanted: DataFrame, mods: DataFrame, packages: DataFrame) -> DataFrame:
+    """mod_path, target, to_dir, to_module_dir: the package in the repository that each import names, if any.
+
+    In order: what a replacement by a path leads to, the first in the file that leads to a
+    package; the package of the importing module with that path; that of the module with the
+    longest name above the path, of several with one name the deepest. Each rule is an equi-join
+    on the import's prefixes. ``packages`` has dir and module_dir.
+    """
+    asked = wanted.select("mod_path", "target").distinct()
+    above = asked.withColumn("_old", F.explode(_above(F.col("target"))))
+    rest = F.when(F.col("target") == F.col("_old"), "").otherwise(F.col("target").substr(F.length("_old") + 1, F.length("target")))
+    below = lambda start: folded(F.concat_ws("/", F.when(start != "", start), F.when(rest != "", F.substring(rest, 2, 1 << 30))))
+    is_path = lambda r: r["to_path"].isNotNull() & r["to_version"].isNull()
+    replaced = mods.select(F.col("path").alias("mod_path"), F.col("dir").alias("_base"), F.posexplode(F.filter("replaces", is_path)).alias("_k", "_r")).withColumn("_old", F.col("_r.path"))
+    root = folded(F.concat_ws("/", F.when(F.col("_base") != "", F.col("_base")), F.col("_r.to_path")))
+    places = packages.groupBy(F.col("dir").alias("_dir")).agg(F.min("module_dir").alias("_module_dir"))
+    found = lambda df, k: df.select("mod_path", "target", F.struct(k.alias("k"), "_dir", "_module_dir").alias("_to"))
+    one = found(above.join(replaced, ["mod_path", "_old"]).withColumn("_dir", below(root)).join(places, "_dir"), F.struct(F.lit(0).alias("rule"), F.col("_k").alias("n")))
+    own = mods.select(F.col("path").alias("mod_path"), F.col("dir").alias("_module_dir"), F.col("module").alias("_old"))
+    there = packages.select(F.col("dir").alias("_dir"), F.col("module_dir").alias("_module_dir")).distinct()
+    two = found(above.join(own, ["mod_path", "_old"]).withColumn("_dir", below(F.col("_module_dir"))).join(there, ["_dir", "_module_dir"]), F.struct(F.lit(1).alias("rule"), F.lit(0).alias("n")))
+    first = mods.groupBy(F.col("module").alias("_old")).agg(F.min(F.struct((-F.length("dir")).alias("n"), F.col("dir").alias("d")))["d"].alias("_module_dir"))
+    longest = above.join(first, "_old").groupBy("mod_path", "target").agg(F.max_by(F.struct("_old", "_module_dir"), F.length("_old")).alias("_m")).select("mod_path", "target", "_m.*")
+    three = found(longest.withColumn("_dir", below(F.col("_module_dir"))).join(there, ["_dir", "_module_dir"]), F.struct(F.lit(2).alias("rule"), F.lit(0).alias("n")))
+    best = one.union(two).union(three).groupBy("mod_path", "target").agg(F.min("_to").alias("_to"))
+    return best.select("mod_path", "target", F.col("_to._dir").alias("to_dir"), F.col("_to._module_dir").alias("to_module_dir"))
+
+
 def package_graph(files: DataFrame, space: str = "go", files_space: str = "git") -> Graph:
     """Packages, their tests, and what they import: a local package, a built-in or an external one.
 
-    A path of the module's own wins, then the longest module in the repository that has it as a
-    prefix; without either, paths whose first segment has no dot are built in.
+    Local packages are found by ``resolved_imports``; without one, paths whose first segment has
+    no dot are built in.
     """
-    mods, found = modules(files), imports(files)
+    mods, found = checkpointed(modules(files)), checkpointed(imports(files))
     placed = found.join(owners(found, mods), "dir").withColumn("name", _import_path(F.col("module"), F.col("module_dir"), F.col("dir")))
-    kind = F.when(F.col("is_test"), "package-test").otherwise("package")
-    coded = lambda k, m, n: F.when(k == "package-test", _id("package-test", m, n, space)).otherwise(_id("package", m, n, space))
-    own = placed.select("dir", "path", "is_test", "target", "mod_path", "name", coded(kind, F.col("mod_path"), F.col("name")).alias("src"), kind.alias("_kind"))
-    packages = own.select("dir", "name", "mod_path").distinct()
-    local = packages.select(F.col("name").alias("target"), F.struct((F.length("mod_path")).alias("_n"), _id("package", F.col("mod_path"), F.col("name"), space).alias("dst")).alias("_l")).groupBy("target").agg(F.max("_l").alias("_l"))
-    wanted = own.where("target is not null").join(local, "target", "left")
+    src = F.when(F.col("is_test"), _id("package-test", F.col("mod_path"), F.col("name"), space)).otherwise(_id("package", F.col("mod_path"), F.col("name"), space))
+    own = placed.select("dir", "path", "is_test", "target", "module_dir", "mod_path", "name", src.alias("src"))
+    packages = own.select("dir", "module_dir", "name", "mod_path").distinct()
+    wanted = own.where("target is not null")
+    local = resolved_imports(wanted, mods, packages)
+    ids = packages.select(F.col("dir").alias("to_dir"), F.col("module_dir").alias("to_module_dir"), _id("package", F.col("mod_path"), F.col("name"), space).alias("_local"))
+    wanted = wanted.join(local, ["mod_path", "target"], "left").join(ids, ["to_dir", "to_module_dir"], "left")
     std = ~F.contains(F.substring_index("target", "/", 1), F.lit("."))
-    dst = F.coalesce("_l.dst", F.when(std, _id("package-stdlib", F.col("mod_path"), F.col("target"), space)).otherwise(_id("package-external", F.col("mod_path"), F.col("target"), space)))
-    used = wanted.select("src", dst.alias("dst"), F.when(F.col("_l.dst").isNotNull(), "package").when(std, "package-stdlib").otherwise("package-external").alias("_kind"), "mod_path")
+    dst = F.coalesce("_local", F.when(std, _id("package-stdlib", F.col("mod_path"), F.col("target"), space)).otherwise(_id("package-external", F.col("mod_path"), F.col("target"), space)))
+    used = wanted.select("src", dst.alias("dst"), F.when(F.col("_local").isNotNull(), "package").when(std, "package-stdlib").otherwise("package-external").alias("_kind"), "mod_path")
     plain = packages.select(_id("package", F.col("mod_path"), F.col("name"), space).alias("id"), F.lit(f"{space}:package").alias("kind"), "mod_path")
     tests = own.where("is_test").select(F.col("src").alias("id"), F.lit(f"{space}:package-test").alias("kind"), "mod_path", "name").distinct()
     others = used.where("_kind <> 'package'").select(F.col("dst").alias("id"), F.concat(F.lit(f"{space}:"), F.col("_kind")).alias("kind"), "mod_path").distinct()
@@ -109,17 +159,41 @@ def package_graph(files: DataFrame, space: str = "go", files_space: str = "git")
     return Graph(entities, edges.distinct())
 
 
-def version_tokens(mods: DataFrame, wanted: DataFrame) -> DataFrame:
-    """mod_path, target, token: the version that a module gives each external import (null: none does).
+def go_version_tokens(mods: DataFrame, space: str = "go") -> DataFrame:
+    """id, token: the language version of each module, as its go.mod gives it."""
+    toolchain = F.when(F.col("toolchain").isNotNull(), F.concat(F.lit(",toolchain="), F.col("toolchain"))).otherwise("")
+    return mods.select(_id("go-version", F.col("path"), F.lit(""), space).alias("id"), F.concat(F.lit("go-version:go="), "go", toolchain).alias("token"))
+
+
+def version_tokens(mods: DataFrame, wanted: DataFrame, strict: bool = False) -> DataFrame:
+    """mod_path, target, token, problem: the version that a module gives each external import.
 
     The longest required prefix counts; a replacement of just its version wins over one of all.
+    An import that a path replaces, or that no requirement covers, has no token but a
+    problem, which is an error if ``strict``.
     """
+    asked = wanted.select("mod_path", "target").distinct()
+    above = asked.withColumn("path", F.explode(_above(F.col("target"))))
     need = mods.select(F.col("path").alias("mod_path"), F.explode("requires").alias("r"), "replaces").select("mod_path", "r.path", "r.version", "replaces")
-    above = wanted.select("mod_path", "target", F.explode(F.concat(F.filter(ancestors(F.col("target")), lambda x: x != ""), F.array("target"))).alias("path"))
-    best = Window.partitionBy("mod_path", "target").orderBy(F.length("path").desc())
-    top = above.join(need, ["mod_path", "path"]).withColumn("_k", F.row_number().over(best)).where("_k = 1")
-    fits = F.filter("replaces", lambda x: (x["path"] == F.col("path")) & (x["version"] == F.col("version")))
-    any_ = F.filter("replaces", lambda x: (x["path"] == F.col("path")) & x["version"].isNull())
-    to = F.coalesce(F.try_element_at(fits, F.lit(1)), F.try_element_at(any_, F.lit(1)))
+    top = above.join(need, ["mod_path", "path"]).groupBy("mod_path", "target").agg(F.max_by(F.struct("path", "version", "replaces"), F.length("path")).alias("_t"))
+    top = top.select("mod_path", "target", "_t.*")
+    versioned = F.filter("replaces", lambda x: x["to_version"].isNotNull() & (x["path"] == F.col("path")))
+    fits = F.filter(versioned, lambda x: x["version"] == F.col("version"))
+    to = F.coalesce(F.try_element_at(fits, F.lit(1)), F.try_element_at(F.filter(versioned, lambda x: x["version"].isNull()), F.lit(-1)))
     token = F.concat(F.lit("go-module:"), F.coalesce(to["to_path"], F.col("path")), F.lit("@"), F.coalesce(F.when(to.isNotNull(), to["to_version"]).otherwise(F.col("version")), F.lit("")))
-    return wanted.select("mod_path", "target").distinct().join(top.select("mod_path", "target", token.alias("token")), ["mod_path", "target"], "left")
+    paths_ = mods.select(F.col("path").alias("mod_path"), F.explode(F.filter("replaces", lambda r: r["to_path"].isNotNull() & r["to_version"].isNull())).alias("r")).select("mod_path", F.col("r.path").alias("path"))
+    led = above.join(paths_.distinct(), ["mod_path", "path"]).select("mod_path", "target", F.lit(True).alias("_led")).distinct()
+    found = asked.join(top.select("mod_path", "target", token.alias("token")), ["mod_path", "target"], "left").join(led, ["mod_path", "target"], "left")
+    problem = F.when(F.col("_led"), "replaced by a path without a package").when(F.col("token").isNull(), "not required")
+    out = found.select("mod_path", "target", F.when(problem.isNull(), F.col("token")).alias("token"), problem.alias("problem"))
+    if not strict:
+        return out
+    raised = F.raise_error(F.concat("mod_path", F.lit(": "), "target", F.lit(" is "), "problem"))
+    return out.select("mod_path", "target", F.when(F.col("problem").isNull(), F.col("token")).otherwise(raised).alias("token"), "problem")
+
+
+def package_test_directories(graph: Graph, space: str = "go", files_space: str = "git") -> DataFrame:
+    """id, dir, module: the directory of each test package: that of its source files; none in the root."""
+    tests = graph.entities.where(F.col("kind") == f"{space}:package-test").select("id")
+    files = graph.edges.where("kind = 'source-file'").select(F.col("src").alias("id"), parent(F.col("dst").substr(F.lit(len(files_space) + 2), F.length("dst"))).alias("dir")).distinct()
+    return tests.join(files, "id").where("dir <> ''").select("id", "dir", id_parts(F.col("id"))["mod_path"].alias("mod_path"))
