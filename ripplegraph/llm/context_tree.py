@@ -18,6 +18,10 @@ DEPTH, DEALT = 5, 2
 BEFORE, AFTER = b"\xfe", b"\xff"
 #: Bytes of text whose contexts are sorted at once, and distinct contexts that a task holds back.
 CHUNK, HELD = 4 << 20, 3 << 20
+#: A score's unit is so small a part of ln: sums of whole numbers are the same in any order.
+UNIT = 1 << 22
+#: Bytes of text in a group that asks for its grams' scores at once, by expectation.
+ASKED = 32 << 20
 #: Grams (12 bytes each) and frequent words that are sent to all executors; beyond them, joins.
 SENT_GRAMS, SENT_WORDS, SENT_WORD_BYTES = 5_000_000, 1 << 17, 64
 #: Grams that are weighted together, by expectation.
@@ -226,7 +230,7 @@ def _step(a, b, bit, stop, q):
 def gram_scores(grams: DataFrame, top: Top, groups: int) -> DataFrame:
     """gram, logp: ln of each gram's last byte after the bytes before it, eight choices in a row.
 
-    A context that no training text has predicts as its longest part that one has.
+    In whole units of 1 / UNIT. A context that no training text has predicts as its longest part that one has.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -245,9 +249,9 @@ def gram_scores(grams: DataFrame, top: Top, groups: int) -> DataFrame:
                     known = node[at] == own
                     q[known] = _step(a[at], b[at], bit, stop[at], q)[known]
             logp += np.log(top.mix(last, tree.astype(np.int64), bit, q))
-        return pd.DataFrame({"gram": keys.astype(np.int64), "logp": logp})
+        return pd.DataFrame({"gram": keys.astype(np.int64), "logp": np.rint(logp * UNIT).astype(np.int32)})
 
-    return grams.select("gram", "n", _dealt(groups)).groupBy("_c").applyInPandas(run, "gram long, logp double")
+    return grams.select("gram", "n", _dealt(groups)).groupBy("_c").applyInPandas(run, "gram long, logp int")
 
 
 _ROWS = {
@@ -257,11 +261,43 @@ _ROWS = {
     "n_tokens": pa.int64(),
     "n_known": pa.int64(),
     "base": pa.float64(),
-    "score": pa.float64(),
+    "score": pa.int64(),
     "rare": pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])),
-    "grams": pa.list_(pa.struct([("gram", pa.int64()), ("n", pa.int64())])),
 }
-_ROWS_DDL = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<word: binary, n: long>>, grams array<struct<gram: long, n: long>>"
+_ROWS_DDL = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score long, rare array<struct<word: binary, n: long>>"
+
+
+def gram_sums(texts: list[bytes], keys: np.ndarray, logp: np.ndarray) -> list[int]:
+    """Each text's score in units, from the grams in order and their scores."""
+    sums = []
+    for s in chunks(texts):
+        own, starts = gram_keys(texts[s])
+        distinct, back = np.unique(own, return_inverse=True)
+        sums += np.add.reduceat(logp[np.searchsorted(keys, distinct)].astype(np.int64)[back], starts).tolist()
+    return sums
+
+
+def word_sums(text: bytes, known: dict, end: float, trained: bool) -> tuple[int, int, float, list[dict]]:
+    """n_tokens, n_known and base score by the frequent words and the end alone, and the other words' counts."""
+    found = text.split()
+    got = [known.get(w) for w in found]
+    rare = Counter(w for w, x in zip(found, got, strict=True) if x is None)
+    return len(found) + 1, len(found) - rare.total() + trained, end + sum(x for x in got if x is not None), [{"word": w, "n": c} for w, c in rare.items()]
+
+
+def asked_grams(texts: DataFrame) -> DataFrame:
+    """c, gram: the distinct grams of each group of texts (c, t)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        held: list[np.ndarray] = []
+        for s in chunks(texts := table.column("t").to_pylist()):
+            held.append(_runs(gram_keys(texts[s])[0])[0])
+            if len(held) > 1 and sum(map(len, held)) > HELD:
+                held = [np.unique(np.concatenate(held))]
+        grams = np.unique(np.concatenate(held)).astype(np.int64)
+        return pa.table({"c": pa.array(np.full(len(grams), table.column("c")[0].as_py(), dtype=np.int32)), "gram": pa.array(grams)})
+
+    return texts.select("c", "t").groupBy("c").applyInArrow(run, "c int, gram long")
 
 
 def scored(docs: DataFrame, modulus: int = 10, sent_grams: int = SENT_GRAMS, sent_words: int = SENT_WORDS) -> DataFrame:
@@ -274,7 +310,9 @@ def scored(docs: DataFrame, modulus: int = 10, sent_grams: int = SENT_GRAMS, sen
     Counts cover the whole corpus. Frequent words, a fixed number of them, go to every task;
     the others are joined, which has no hot keys left. Every gram of the corpus gets its
     score by Spark, grouped by the two last bytes of its context; the table goes to the tasks
-    while it has at most ``sent_grams`` rows, and is joined past that.
+    while it has at most ``sent_grams`` rows. Past that, texts are dealt out to groups of about
+    ASKED bytes, each of which asks for the scores of its distinct grams by a join. Scores are
+    sums of whole units, so that both ways give the very same.
 
     Null texts count as empty: one end token, one byte. A null id counts as the empty text,
     whose remainder is 0: held out. Repeated rows are counted and scored one by one. Without
@@ -295,47 +333,41 @@ def scored(docs: DataFrame, modulus: int = 10, sent_grams: int = SENT_GRAMS, sen
     groups = max(24, -(-grams.count() // GROUP_GRAMS))
     top = Top(tops(grams, groups).collect())
     table = checkpointed(gram_scores(grams, top, groups))
-    joined = table.count() > sent_grams
-    if joined:
-        sent = None
-    else:
+    texts = docs.select(F.col("doc_id").cast("long"), (id_remainder("doc_id", modulus) == 0).alias("held_out"), lower_ascii(text_of()).cast("binary").alias("t"))
+
+    def columns(ids, held, texts, row, keys, logp) -> list:
+        known, n = frequent.value, len(texts)
+        of_words = list(zip(*(word_sums(t, known, end, n_train > 0) for t in texts), strict=True)) or [()] * 4
+        made = [range(row, row + n), ids, held, *of_words[:3], gram_sums(texts, keys, logp), of_words[3]]
+        return [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, kind) for x, kind in zip(made, _ROWS.values(), strict=True)]
+
+    if table.count() <= sent_grams:
         got = table.toArrow()
-        keys, logp = got.column("gram").to_numpy(), got.column("logp").to_numpy().astype(np.float32)
-        order = np.argsort(keys)
-        sent = spark.sparkContext.broadcast((keys[order].astype(np.uint64), logp[order]))
+        order = np.argsort(keys := got.column("gram").to_numpy())
+        sent = spark.sparkContext.broadcast((keys[order].astype(np.uint64), got.column("logp").to_numpy()[order]))
 
-    def run(batches):
-        from pyspark import TaskContext
+        def run(batches):
+            from pyspark import TaskContext
 
-        known, row = frequent.value, TaskContext.get().partitionId() << 36
-        for b in slices(batches):
-            texts, made = b.column(2).to_pylist(), {k: [] for k in ("row", "n_tokens", "n_known", "base", "score", "rare", "grams")}
-            for s in chunks(texts):
-                keys, starts = gram_keys(texts[s])
-                if joined:
-                    for k, n in (_runs(keys[x:y]) for x, y in zip(starts, [*starts[1:], len(keys)], strict=True)):
-                        made["grams"].append([{"gram": g, "n": c} for g, c in zip(k.astype(np.int64).tolist(), n.tolist(), strict=True)])
-                    made["score"] += [None] * len(starts)
-                else:
-                    distinct, back = np.unique(keys, return_inverse=True)
-                    logp = sent.value[1][np.searchsorted(sent.value[0], distinct)].astype(float)
-                    made["score"] += np.add.reduceat(logp[back], starts).tolist()
-                    made["grams"] += [[]] * len(starts)
-            for t in texts:
-                found = t.split()
-                got = [known.get(w) for w in found]
-                rare = Counter(w for w, x in zip(found, got, strict=True) if x is None)
-                made["row"].append(row)
-                made["n_tokens"].append(len(found) + 1)
-                made["n_known"].append(len(found) - rare.total() + (n_train > 0))
-                made["base"].append(end + sum(x for x in got if x is not None))
-                made["rare"].append([{"word": w, "n": c} for w, c in rare.items()])
-                row += 1
-            columns = {"doc_id": b.column(0), "held_out": b.column(1)} | {k: pa.array(v, _ROWS[k]) for k, v in made.items()}
-            yield pa.RecordBatch.from_arrays([columns[k] for k in _ROWS], names=list(_ROWS))
+            row = TaskContext.get().partitionId() << 36
+            for b in slices(batches):
+                yield pa.RecordBatch.from_arrays(columns(b.column(0), b.column(1), b.column(2).to_pylist(), row, *sent.value), names=list(_ROWS))
+                row += b.num_rows
 
-    texts = docs.select(F.col("doc_id").cast("long"), (id_remainder("doc_id", modulus) == 0).alias("held_out"), lower_ascii(text_of()).cast("binary").alias("t"))
-    rows = written(texts.mapInArrow(run, _ROWS_DDL))  # rows are numbered here, once and for all
+        made = texts.mapInArrow(run, _ROWS_DDL)
+    else:
+        size = texts.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+        dealt = texts.withColumn("c", F.pmod(F.xxhash64("doc_id", "t"), F.lit(max(1, -(-size // ASKED)))).cast("int"))
+        scores = asked_grams(dealt).join(table, "gram").select("c", "gram", "logp")
+
+        def answer(own: pa.Table, of: pa.Table) -> pa.Table:
+            keys = of.column("gram").to_numpy().astype(np.uint64)
+            order = np.argsort(keys)
+            row = own.column("c")[0].as_py() << 36
+            return pa.table(dict(zip(_ROWS, columns(own.column("doc_id"), own.column("held_out"), own.column("t").to_pylist(), row, keys[order], of.column("logp").to_numpy()[order]), strict=True)))
+
+        made = dealt.groupBy("c").cogroup(scores.groupBy("c")).applyInArrow(answer, _ROWS_DDL)
+    rows = written(made)  # rows are numbered here, once and for all
     rare = rows.select(F.col("row").alias("_r"), F.explode("rare").alias("x")).select("_r", "x.word", "x.n")
     of_word, c = words.select(F.col("word").alias("_w"), F.col("n").alias("_c")), F.coalesce("_c", F.lit(0))
     rest = (
@@ -343,11 +375,7 @@ def scored(docs: DataFrame, modulus: int = 10, sent_grams: int = SENT_GRAMS, sen
         .groupBy("_r")
         .agg(F.sum(F.col("n") * F.log10((c + F.lit(ADDED)) / F.lit(floor))).alias("_base"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("_known"))
     )
-    out, score = rows.join(rest, F.col("row") == F.col("_r"), "left"), F.col("score")
-    if joined:
-        each = rows.select(F.col("row").alias("_g"), F.explode("grams").alias("x")).select("_g", "x.gram", "x.n")
-        sums = each.join(table, "gram").groupBy("_g").agg(F.sum(F.col("n") * F.col("logp")).alias("_logp"))
-        out, score = out.join(sums, F.col("row") == F.col("_g"), "left"), F.col("_logp")
+    out = rows.join(rest, F.col("row") == F.col("_r"), "left")
     return out.select(
         "doc_id",
         "held_out",
@@ -355,5 +383,5 @@ def scored(docs: DataFrame, modulus: int = 10, sent_grams: int = SENT_GRAMS, sen
         (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"),
         F.lit(int(tokens)).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("_base", F.lit(0.0))).alias("base_score"),
-        (score / F.lit(_LN10)).alias("score"),
+        (F.col("score") / F.lit(_LN10 * UNIT)).alias("score"),
     )

@@ -117,3 +117,13 @@ def test_log_gamma():
 def test_beats_the_word_counts(spark):
     rows = ct.scored(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").collect()
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+def test_scores_are_the_same_whatever_the_size(spark, odd_docs, monkeypatch):
+    """The table of grams sent to all tasks, or joined by groups of any number of texts: not a bit differs."""
+    docs = odd_docs.select("doc_id", "text").union(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text"))
+    sent = sorted(map(tuple, ct.scored(docs).select("doc_id", "held_out", "n_tokens", "n_known", "score").collect()), key=str)
+    for asked in (ct.ASKED, 20_000):
+        monkeypatch.setattr(ct, "ASKED", asked)
+        joined = ct.scored(docs, sent_grams=0).select("doc_id", "held_out", "n_tokens", "n_known", "score").collect()
+        assert sorted(map(tuple, joined), key=str) == sent
