@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ripplegraph.functions.paths import folded, within
+from ripplegraph.functions.paths import folded, parent, within
 from ripplegraph.model import GraphError
 
 
@@ -43,6 +43,33 @@ def asked_tree(selector: Column, cwd: Column) -> Column:
     return folded(F.when(selector["rooted"] | (cwd == ""), path).otherwise(F.concat(cwd, F.lit("/"), path)))
 
 
+def names_config(path: Column, filenames: tuple[str, ...]) -> Column:
+    """Whether a selector's path is that of a configuration file."""
+    return F.substring_index(path, "/", -1).isin(*filenames)
+
+
+def tree_of(path: Column, filenames: tuple[str, ...] = ()) -> Column:
+    """The tree that a selector's path names: for a configuration file the one it lies in."""
+    return F.when(names_config(path, filenames), parent(path)).otherwise(path) if filenames else path
+
+
+def path_matches(asked: Column, cwd: Column, path: Column, directory: Column) -> Column:
+    """Whether a path asked for, seen from cwd, names a target's file or tree; empty and ``.`` name any."""
+    seen = folded(F.when(asked.startswith("//"), asked.substr(F.lit(3), F.length(asked))).when(cwd == "", asked).otherwise(F.concat(cwd, F.lit("/"), asked)))
+    bad = asked.startswith("/") & ~asked.startswith("//")
+    return asked.isin("", ".") | (asked == path) | (asked == directory) | F.coalesce(~bad & ((seen == path) | (seen == directory)), F.lit(False))
+
+
+def declared(file: Column, kind: Column, name: Column, index: Column) -> Column:
+    """path, dir, kind, name, index of a target that a configuration file declares."""
+    return F.struct(file.alias("path"), parent(file).alias("dir"), kind.alias("kind"), name.alias("name"), index.alias("index"))
+
+
+def package_test(directory: Column, kind: str = "package_test") -> Column:
+    """The target that runs a package's tests; it lies in the package's own tree."""
+    return declared(F.concat(directory, F.lit("/")), F.lit(kind), F.lit(""), F.lit(0)).withField("path", directory)
+
+
 def resolved(targets: DataFrame, inputs: DataFrame) -> DataFrame:
     """input, cwd, id: the one target for each input, by the first rule that any target fits.
 

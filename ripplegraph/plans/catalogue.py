@@ -416,6 +416,36 @@ def hash_functions(spark, sf_dir):
     return d.select("doc_id", F.md5("t").alias("md5"), F.sha1("t").alias("sha1"), F.sha2("t", 256).alias("sha256"))
 
 
+def selector_trees(spark, sf_dir):
+    """Parts' selectors by file or tree: the tree named, and whether an odd spelling of it matches."""
+    t = _declared(spark, sf_dir)
+    path = F.when(F.col("index") % 2 == 0, F.col("file")).otherwise(F.col("path"))
+    asked = F.when(F.col("index") == 0, "").when(F.col("index") == 1, F.concat(F.lit("//"), "path", F.lit("/."))).when(F.col("index") == 2, F.concat(F.lit("../x/"), F.col("kind"))).otherwise(F.concat(F.lit("/"), "path"))
+    made = selectors.declared(F.col("file"), F.col("kind"), F.col("name"), F.col("index"))
+    return t.select("id", selectors.tree_of(path, ("build.cfg",)).alias("tree"), selectors.path_matches(asked, F.lit("x/y"), F.col("file"), F.col("path")).alias("matches"), made["dir"].alias("dir"), selectors.package_test(F.col("path"))["path"].alias("test_path"))
+
+
+def compared_revisions(spark, sf_dir):
+    """What is compared for requests made of orders: with and without a base, a head, and edits."""
+    o, k = read(spark, sf_dir, "orders"), F.col("o_orderkey")
+    base, head = F.when(k % 2 == 0, F.concat(F.lit("b"), (k % 7).cast("string"))).when(k % 3 == 0, ""), F.when(k % 5 < 2, F.when(k % 5 == 0, "HEAD").otherwise("main"))
+    found = delta.compared(base, head, k % 11 < 3, k % 13 < 6)
+    return o.select("o_orderkey", found["base"].alias("base"), found["head"].alias("head"), found["with_edits"].alias("with_edits"), found["label"].alias("label"), delta.needs_state(base, head, k % 11 < 3).alias("asks"))
+
+
+def change_depth(spark, sf_dir):
+    return delta.depth(frontier_layers(spark, sf_dir))
+
+
+def dependency_lines(spark, sf_dir):
+    """Labels of what line items depend on."""
+    return render.dependency_lines(_base(spark, sf_dir).graph, "depends-on")
+
+
+def import_labels(spark, sf_dir):
+    return render.dependency_labels(modules.package_graph(_sources(spark, sf_dir)))
+
+
 def more_functions(spark, sf_dir):
     """Functions over names, sizes and dates of parts and orders."""
     o = read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority", F.to_timestamp(F.col("o_orderdate")).alias("t"))
@@ -442,7 +472,7 @@ _QUERIES = (
     reverse_reachability, scc_cycle, content_hash, uvarint_table, diff_status, induced_edges, frontier_layers, range_hash_label, containment_walk, longest_prefix_owner,
     package_graph_edges, package_versions, language_versions, package_tests, import_kinds, path_clean, path_resolve, path_within, ancestor_trees, prune_empty, glob_match, overlay_upsert, git_blob_hash, duplicate_blobs, id_codec, selector_parse, selector_aliases,
     selector_resolve, completion_match, kind_local_index, text_functions, collection_functions, number_functions, hash_functions, more_functions, target_references, path_dependencies,
-    nearest_settings, target_graph, config_rows, targets_by_kind, package_lines,
+    nearest_settings, target_graph, config_rows, targets_by_kind, package_lines, selector_trees, compared_revisions, change_depth, dependency_lines, import_labels,
 )
 
 

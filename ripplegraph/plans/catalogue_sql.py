@@ -148,6 +148,10 @@ ORACLES = {
         ins AS (SELECT d.src, d.dst FROM deps2 d JOIN kept a ON a.id = d.src JOIN kept b ON b.id = d.dst),
         lay AS (SELECT id, 0 AS layer FROM kept WHERE status = 'added' OR id NOT IN (SELECT src FROM ins) UNION SELECT i.src, l.layer + 1 FROM lay l JOIN ins i ON i.dst = l.id)
         SELECT id, min(layer) AS layer FROM lay GROUP BY id""",
+    "change_depth": f"""WITH RECURSIVE {_CHANGED}, kept AS (SELECT id, status FROM delta WHERE status <> 'removed'),
+        ins AS (SELECT d.src, d.dst FROM deps2 d JOIN kept a ON a.id = d.src JOIN kept b ON b.id = d.dst),
+        lay AS (SELECT id, 0 AS layer FROM kept WHERE status = 'added' OR id NOT IN (SELECT src FROM ins) UNION SELECT i.src, l.layer + 1 FROM lay l JOIN ins i ON i.dst = l.id),
+        near AS (SELECT id, min(layer) AS layer FROM lay GROUP BY id) SELECT max(layer) + 1 AS layers FROM near""",
     "range_hash_label": f"""WITH RECURSIVE {_BASE}, {_HEAD}, {_reach('reach', 'deps')}, {_reach('reach2', 'deps2')},
         {_sums('a', 'reach', 'entities', 'tokens', "true")}, {_sums('b', 'reach2', 'entities2', 'tokens2', "true")}
         SELECT b.id, CASE WHEN a."sum" IS NULL THEN 'new' ELSE left(a."sum", 12) || '..' || left(b."sum", 12) END AS label FROM b LEFT JOIN a ON a.id = b.id""",
@@ -252,4 +256,13 @@ ORACLES = {
                 CAST(length(part) + (4 - length(part) % 4) % 4 AS INTEGER), '='))) ELSE target || CASE WHEN to_kind = 'package-external' AND NOT nested AND target LIKE 'lib.example/a/deep/%' THEN ' (lib.example/a/deep@v0.1.0)'
                 WHEN to_kind = 'package-external' AND NOT nested AND target LIKE 'lib.example/a/%' THEN CASE WHEN length(host) % 3 = 0 THEN ' (fork.example/a@v1.3.0)' ELSE ' (lib.example/a@v1.2.' || (length(host) % 3) || ')' END ELSE '' END END
             FROM (SELECT *, split_part(dst, ':', 4) AS part FROM used)""",
+    "selector_trees": f"""WITH {_TARGETS} SELECT id, path AS tree, idx = 0 OR idx = 1 OR idx = 2 AND path = 'x/x/' || kind AS matches, path AS dir, path AS test_path FROM targets""",
+    "compared_revisions": """WITH r AS (SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 2 = 0 THEN 'b' || (o_orderkey % 7) END, '') AS b, CASE WHEN o_orderkey % 5 = 0 THEN 'HEAD' WHEN o_orderkey % 5 = 1 THEN 'main' ELSE '' END AS h,
+            o_orderkey % 11 < 3 AS w, o_orderkey % 13 < 6 AS d FROM orders),
+        x AS (SELECT o_orderkey, CASE WHEN b <> '' THEN b WHEN w OR d THEN 'HEAD' ELSE 'HEAD^' END AS base, CASE WHEN h <> '' THEN h ELSE 'HEAD' END AS head, w OR (d AND h = '') AS with_edits,
+            NOT w AND (b = '' OR h = '') AS asks FROM r)
+        SELECT *, base || '..' || CASE WHEN NOT with_edits THEN head WHEN head = 'HEAD' THEN 'working tree' ELSE head || ' + working tree' END AS label FROM x""",
+    "dependency_lines": f"WITH {_BASE} SELECT src AS id, dst AS line FROM edges WHERE kind = 'depends-on'",
+    "import_labels": f"""WITH {_PACKAGES} SELECT src AS id, CASE WHEN is_test THEN 'package test ' ELSE 'package ' END || pkg AS label FROM own
+        UNION SELECT {_gid("package", "mod_path", "pkg")}, 'package ' || pkg FROM own UNION SELECT dst, dst FROM used WHERE to_kind <> 'package' UNION SELECT g, g FROM (SELECT {_gid("go-version", "mod_path", "''")} AS g FROM own)""",
 }

@@ -137,6 +137,71 @@ def test_packages(spark):
     wanted = spark.createDataFrame([("go.mod", "x.org/dep/v2/sub"), ("go.mod", "x.org/dep/a"), ("go.mod", "z.org/none")], "mod_path string, target string")
     tokens = {r.target: r.token for r in modules.version_tokens(modules.modules(files), wanted).collect()}
     assert tokens == {"x.org/dep/v2/sub": "go-module:x.org/dep/v2@v2.0.0", "x.org/dep/a": "go-module:y.org/fork@v1.9.0", "z.org/none": None}
+    assert [r.token for r in modules.go_version_tokens(modules.modules(files)).collect()] == ["go-version:go=1.20"]
+
+
+def local_imports(spark, files):
+    """For each import of each source: the package's directory and module directory, if it is a local one."""
+    df = spark.createDataFrame(list(files.items()), "path string, text string")
+    mods, found = modules.modules(df), modules.imports(df)
+    owned = modules.owners(found, mods)
+    packages = found.join(owned, "dir").select("dir", "module_dir").distinct()
+    wanted = found.where("target is not null").join(owned, "dir").select("mod_path", "target")
+    return {(r.mod_path, r.target): (r.to_dir, r.to_module_dir) for r in modules.resolved_imports(wanted, mods, packages).collect()}
+
+
+def test_imports_are_resolved_in_order(spark):
+    files = {
+        "go.mod": "module m\n\nreplace (\n\tq => ./lost\n\tq/z => ./own\n\tr v1.0.0 => ../up\n)\n", "own/own.go": "package own\n", "in/deep/d.go": "package d\n",
+        "main.go": 'package main\nimport (\n\t"m/own"\n\t"m/in/deep"\n\t"q/z"\n\t"q/own"\n\t"r/x"\n\t"n/sub/p"\n\t"n/sub"\n\t"m"\n\t"mm/own"\n)\n',
+        "in/go.mod": "module m\nreplace w => ../../outside\n", "in/own/o.go": 'package own\nimport "m/own"\nimport "m/main"\nimport "w/x"\n', "n1/go.mod": "module n", "n1/sub/p/p.go": "package p\n", "n1/sub/s.go": "package sub\n",
+        "n22/go.mod": "module n/sub\n", "n22/p/p.go": "package p\n",
+    }
+    assert local_imports(spark, files) == {
+        ("go.mod", "m/own"): ("own", ""),  # the own module, though a deeper one has its name
+        ("go.mod", "m"): ("", ""),
+        ("go.mod", "q/z"): ("own", ""),  # the first replacement leads nowhere, the second does
+        ("go.mod", "n/sub/p"): ("n22/p", "n22"),  # the longest name
+        ("in/go.mod", "m/own"): ("in/own", "in"),
+    }
+
+
+def test_replaced_and_missing_versions_are_problems(spark):
+    files = spark.createDataFrame([("a/go.mod", "module a\nrequire b.org/x v1.0.0\nreplace b.org/x/y => ../none\nreplace b.org/x => c.org/x v2.0.0\nreplace b.org/x => d.org/x v3.0.0\n")], "path string, text string")
+    mods, wanted = modules.modules(files), spark.createDataFrame([("a/go.mod", t) for t in ("b.org/x/z", "b.org/x/y/k", "b.org/xx")], "mod_path string, target string")
+    found = {r.target: (r.token, r.problem) for r in modules.version_tokens(mods, wanted).collect()}
+    assert found == {"b.org/x/z": ("go-module:d.org/x@v3.0.0", None), "b.org/x/y/k": (None, "replaced by a path without a package"), "b.org/xx": (None, "not required")}
+    with pytest.raises(Exception, match="not required"):
+        modules.version_tokens(mods, wanted.where("target = 'b.org/xx'"), strict=True).collect()
+
+
+def test_numbers_dates_and_formats(spark):
+    number = lambda x, base: values(spark, config.parseint(F.col("x"), base), [(x,)], "x string")[0]
+    assert (number("-5", 10), number("ff", 16), number("-Zz", 36), number("0", 2), number(None, 10)) == (-5, 255, -1295, 0, None)
+    for bad, base in (("zz", 10), ("", 10), ("12", 2), ("1.5", 10)):
+        with pytest.raises(Exception, match="not a number"):
+            number(bad, base)
+    at = lambda i: values(spark, config.index(F.col("a"), F.lit(i)), [(["x", "y"],)], "a array<string>")[0]
+    assert (at(0), at(1)) == ("x", "y")
+    for bad in (-1, 2):
+        with pytest.raises(Exception, match="negative index|INVALID_ARRAY_INDEX"):
+            at(bad)
+    text = lambda c: values(spark, c, [(7, 2.0, "a\"b", True)], "n int, d double, s string, t boolean")[0]
+    assert text(config.format_("%v %v %v %q %t %%", *map(F.col, ("n", "d", "s", "s", "t")))) == '7 2 a"b "a\\"b" true %'
+    assert text(config.format_("[%4d|%-4d|%03d|%x|%b|%.1f|%5s]", *map(F.col, ("n", "n", "n", "n", "n", "d", "t")))) == "[   7|7   |007|7|111|2.0| true]"
+    for bad in ("%d %d", "%y", "x"):
+        with pytest.raises(ValueError, match="verb"):
+            config.format_(bad, F.col("n"))
+    day = lambda layout: values(spark, config.formatdate(layout, F.col("x")), [("2024-03-05T14:07:09Z",)], "x string")[0]
+    assert day("DD MMM YYYY") == "05 Mar 2024" and day("EEEE, D MMMM YY 'at' h:mm aa ZZZ") == "Tuesday, 5 March 24 at 2:07 pm UTC" and day("YYYY-MM-DD'T'HH:mm:ssZ") == "2024-03-05T14:07:09Z"
+    with pytest.raises(ValueError, match="date token"):
+        day("DDD")
+    later = lambda d: values(spark, F.date_format(config.timeadd(F.col("x"), d), "HH:mm:ss.SSS"), [("2024-03-05T14:07:09Z",)], "x string")[0]
+    assert (later("1h30m"), later("-10s"), later("1.5ms"), later("0")) == ("15:37:09.000", "14:06:59.000", "14:07:09.001", "14:07:09.000")
+    with pytest.raises(ValueError, match="duration"):
+        later("10")
+    df = spark.createDataFrame([([[["a"], ["b"]], [["c"]]],)], "x array<array<array<string>>>")
+    assert df.select(config.flatten(F.col("x"), config.nesting(df.schema["x"].dataType))).first()[0] == ["a", "b", "c"]
 
 
 def test_scanner(spark):
