@@ -16,7 +16,7 @@ BUCKETS, DIM, EPOCHS, RATE, SEED = 1 << 17, 8, 12, 0.5, 7
 #: Labelled documents of each class that training takes at most, lowest id hash first.
 PER_CLASS = 2000
 #: Bytes of text whose features are hashed at once; a longer text is hashed alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _U = np.uint64
 _BASE, _BACK = 0x100000001B3, pow(0x100000001B3, -1, 1 << 64)
