@@ -9,7 +9,7 @@ from ripplegraph.llm import exact_dedup, mixing, packing, quality_model, simhash
 from ripplegraph.llm.common import read, written
 
 #: Workers that ran the other stages have less memory to spare for words than packing alone.
-TOKENIZER, REMEMBERED = "word_bpe_49k.json", 300_000
+TOKENIZER, REMEMBERED = "word_bpe_49k.json", 100_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
