@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from bisect import bisect_right
 from dataclasses import dataclass, field
 from itertools import islice
@@ -139,16 +140,22 @@ class WordIds(dict):
         self.most, self.most_cores = remembered, remembered * 6 // 5
         self.tokenizer, self.cores = Tokenizer.from_file(path), {}
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.plain = False
+        self.letters, self.code = "", "H" if self.kind == "<u2" else "I"
         self.lowers = self._ids(b"AbC") == self._ids(b"abc")
-        cut = self.tokenizer.pre_tokenizer
-        self.plain = self.lowers and cut is not None and [x for x, _ in cut.pre_tokenize_str("abc")] == ["abc"]
+        cut, normal = self.tokenizer.pre_tokenizer, self.tokenizer.normalizer
+        if cut is not None:
+            # letters that stay in the word they stand in, and what the model gets for each
+            pieces = lambda x: [y for y, _ in cut.pre_tokenize_str(normal.normalize_str(x) if normal is not None else x)]
+            latin = [c for c in map(chr, range(0x61, 0x250)) if c.isalpha() and (c.islower() or not self.lowers) and len(pieces(c)) == 1]
+            good = [c for c in latin if pieces(f"a{c}b{c}") == [pieces("a")[0] + pieces(c)[0] + pieces("b")[0] + pieces(c)[0]]]
+            self.letters, self.table = "".join(good), {ord(c): pieces(c)[0] for c in good}
         self.cuts = cut is not None and all([x for x, _ in cut.pre_tokenize_str(f"a{e}")] == ["a", e] for e in self.ENDS.decode())
 
     def _ids(self, word: bytes) -> bytes:
-        if self.plain and word.isalpha() and word.islower():  # of ASCII letters alone: nothing to normalise or cut
-            return np.array([t.id for t in self.tokenizer.model.tokenize(word.decode())], dtype=self.kind).tobytes()
-        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, dtype=self.kind).tobytes()
+        text = word.decode()
+        if self.letters and not text.strip(self.letters):  # nothing to cut
+            return array(self.code, [t.id for t in self.tokenizer.model.tokenize(text.translate(self.table))]).tobytes()
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _core(self, word: bytes) -> bytes:
         got = self.cores.get(word)

@@ -91,3 +91,9 @@ def test_round_trip(spark, odd_docs, no_docs):
 @pytest.mark.parametrize("lengths", [[], [0], [0, 0]])
 def test_nothing_to_pack(lengths):
     assert Schedule(list(range(len(lengths))), lengths).phases == []
+
+
+def test_words_alone_give_the_ids_of_the_text():
+    texts = ["Élève naïve ÉLÈVE straße Straße ªº ĳ ŀ ǆ İstanbul ŉ", "e\u0301le\u0300ve cafe\u0301s a\u0308", "it's they'll don't l'été x1y2 日本語 3é é3 é. «é» ÿ\x85z", "".join(map(chr, range(0x61, 0x250))), " ".join(map(chr, range(0x61, 0x250)))]
+    for t in texts:
+        assert np.frombuffer(WORDS.encode(t.encode()), dtype=WORDS.kind).tolist() == TOKENIZER.encode(t, add_special_tokens=False).ids
