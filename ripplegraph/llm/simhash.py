@@ -207,21 +207,29 @@ def shingle_set(text: bytes, words: int) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles(text, words), repeat(42)), dtype=np.uint64))
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sets share four fifths of what either has; sets without anything do."""
-    if OF * min(len(a), len(b)) < SHARED * max(len(a), len(b)):
-        return False
-    both = np.concatenate([a, b])
-    both.sort()
-    shared = int((both[1:] == both[:-1]).sum())
-    return OF * shared >= SHARED * (len(a) + len(b) - shared)
+class SharedCounts:
+    """How many of a set's shingles each of some other sets has, by one look-up in all of them."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(x) for x in sets], dtype=np.int64)
+        every = np.concatenate([np.zeros(0, dtype=np.uint64), *sets])
+        order = np.argsort(every, kind="stable")
+        self.keys, self.owners = every[order], np.repeat(np.arange(len(sets)), self.sizes)[order]
+
+    def similar(self, mine: np.ndarray) -> np.ndarray:
+        """Which sets share four fifths of what they or this one have; sets without anything do."""
+        lo, hi = (np.searchsorted(self.keys, mine, side) for side in ("left", "right"))
+        n = hi - lo
+        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        shared = np.bincount(self.owners[at], minlength=len(self.sizes))
+        return OF * shared >= SHARED * (len(mine) + self.sizes - shared)
 
 
 def similar_links(a: pa.StructArray, b: pa.StructArray | None = None) -> list[tuple[int, int]]:
     """Of the texts of a group, and another if given, a spanning forest of the similar pairs.
 
-    Every pair whose fingerprints are near is checked by its shingles, but for pairs that
-    checked ones connect already, which no component needs.
+    Every pair whose fingerprints are near is checked by its shingles; a text's with all
+    others of the group at once.
     """
     up: dict[int, int] = {}
 
@@ -233,12 +241,15 @@ def similar_links(a: pa.StructArray, b: pa.StructArray | None = None) -> list[tu
     one = b is None
     sets = [[np.frombuffer(x, dtype=np.uint64) for x in rows.field(3).to_pylist()] for rows in ([a] if one else [a, b])]
     (fa, na), (fb, nb) = _tile_of(a), _tile_of(a if one else b)
-    kept, left, right, others = [], na.view(np.int64).tolist(), nb.view(np.int64).tolist(), sets[-1]
+    kept, left, right, others = [], na.view(np.int64).tolist(), nb.view(np.int64).tolist(), SharedCounts(sets[-1])
     for i, x in enumerate(left):
         bits = np.bitwise_count(fb ^ fa[i])
         near = (bits[:, 0] <= FIRST_RADIUS) & (bits.sum(axis=1) <= WITHIN)
-        for j in np.flatnonzero(near[:i] if one else near).tolist():
-            if (p := top(x)) != (q := top(right[j])) and similar(sets[0][i], others[j]):
+        near[i if one else len(near) :] = False
+        if not near.any():
+            continue
+        for j in np.flatnonzero(near & others.similar(sets[0][i])).tolist():
+            if (p := top(x)) != (q := top(right[j])):
                 up[p] = q
                 kept.append((x, right[j]))
     return kept

@@ -121,3 +121,37 @@ def test_groups_lose_no_similar_pair(spark, monkeypatch):
     base = [f"w{k}" for k in range(300)]
     docs = spark.createDataFrame([(i, " ".join([*base, f"end{i}"])) for i in range(40)], "doc_id long, text string")
     assert [r.doc_id for r in simhash.representatives(docs).collect()] == [0]
+
+
+def test_shared_counts_equal_sets():
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in (0, 0, 5, 50, 50, 200, 200, 300)]
+    sets += [np.delete(sets[-1], slice(0, k)) for k in (1, 6, 12, 20)]
+    counts = simhash.SharedCounts(sets)
+    for x in sets:
+        want = [5 * len(set(x) & set(y)) >= 4 * len(set(x) | set(y)) for y in sets]
+        assert counts.similar(x).tolist() == want
+    assert simhash.SharedCounts([]).similar(sets[2]).tolist() == []
+
+
+def test_representatives_equal_all_pairs(spark):
+    """Recall and precision of one at a similarity of four fifths, against every pair that shares a shingle."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").dropDuplicates(["text"]).select("doc_id", "text")
+    sets = {r.doc_id: frozenset(simhash.shingle_set((r.text or "").encode(), 5).tolist()) for r in docs.collect()}
+    found, up = {}, {i: i for i in sets}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, s in sorted(sets.items()):
+        for h in s:
+            found.setdefault(h, []).append(i)
+    for i, j in {(i, j) for x in found.values() for i in x for j in x if i < j}:
+        shared = len(sets[i] & sets[j])
+        if 5 * shared >= 4 * (len(sets[i]) + len(sets[j]) - shared) and (p := top(i)) != (q := top(j)):
+            up[max(p, q)] = min(p, q)
+    empty = [i for i in sorted(sets) if not sets[i]]
+    want = {i for i in sets if top(i) == i} - set(empty[1:])
+    assert {r.doc_id for r in simhash.representatives(docs).collect()} == want and len(want) < len(sets)
