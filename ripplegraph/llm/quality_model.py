@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -130,14 +131,14 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int, float]]) -> Model:
     prior = (ones + 1) / (everything + 2)
     if not rows or ones in (0, everything):
         return Model(np.zeros(BUCKETS), float(np.log(prior / (1 - prior))))
-    shares = [(b, c / c.sum() if len(c) else c, y, w) for b, c, y, w in rows]
-    for b, *_ in shares:
+    for b, *_ in rows:
         met[b] = True
     out[1] = rng.normal(0, 0.1, DIM)
-    steps, step = EPOCHS * len(shares), 0
+    steps, step = EPOCHS * len(rows), 0
     for _ in range(EPOCHS):
-        for i in rng.permutation(len(shares)):
-            b, c, y, w = shares[i]
+        for i in rng.permutation(len(rows)):
+            b, c, y, w = rows[i]
+            c = c / c.sum() if len(c) else c
             rate = RATE * w * (1 - step / steps)
             step += 1
             mean = c @ vectors[b] if len(b) else np.zeros(DIM)
@@ -184,7 +185,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, modulus: int = 5, per_clas
     rows = {}
     for i, y, b, c in zip(*(got.column(k).to_pylist() for k in range(2)), *(got.column(k) for k in (2, 3)), strict=True):
         b, c = np.asarray(b.values), np.asarray(c.values)
-        rows.setdefault((i, b.tobytes() + c.tobytes()), (b, c, y, share[y]))
+        rows.setdefault((i, zlib.crc32(b), zlib.crc32(c), len(b)), (b, c, y, share[y]))
     return [rows[k] for k in sorted(rows)]
 
 
