@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ripplegraph.llm import context_tree, exact_dedup, html_text, line_dedup, mixing, packing, quality_model, quality_rules, simhash, url_filter
+from ripplegraph.llm import context_tree, exact_dedup, html_text, line_dedup, mixing, packing, quality_model, quality_rules, simhash, url_filter, whitening
 from ripplegraph.llm.common import read
 
 
@@ -49,6 +49,10 @@ def op10_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classified(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(read(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -66,6 +70,7 @@ _QUERIES = (
     op8_exact_duplicates,
     op9_pack_windows,
     op10_quality_scores,
+    op11_whitened_embeddings,
     pipeline,
 )
 
