@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ripplegraph.llm import context_tree, exact_dedup, html_text, line_dedup, mixing, packing, quality_model, quality_rules, simhash, url_filter, whitening
+from ripplegraph.llm import context_tree, exact_dedup, html_text, line_dedup, mixing, packing, quality_model, quality_rules, resampling, simhash, url_filter, whitening
 from ripplegraph.llm.common import read
 
 
@@ -53,6 +53,10 @@ def op11_whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(read(spark, sf_dir, "embeddings"))
 
 
+def op12_importance_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,6 +75,7 @@ _QUERIES = (
     op9_pack_windows,
     op10_quality_scores,
     op11_whitened_embeddings,
+    op12_importance_sample,
     pipeline,
 )
 
