@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ripplegraph.llm import context_tree, exact_dedup, html_text, line_dedup, mixing, packing, quality_model, quality_rules, resampling, simhash, url_filter, whitening
+from ripplegraph.llm import context_tree, exact_dedup, html_text, line_dedup, mixing, packing, quality_model, quality_rules, resampling, simhash, url_filter, warc, whitening
 from ripplegraph.llm.common import read
 
 
@@ -57,6 +57,10 @@ def op12_importance_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resampled(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op13_page_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.rebuilt(read(spark, sf_dir, "pages"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -76,6 +80,7 @@ _QUERIES = (
     op10_quality_scores,
     op11_whitened_embeddings,
     op12_importance_sample,
+    op13_page_archive,
     pipeline,
 )
 
@@ -106,6 +111,11 @@ ORACLES = {
         WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS n FROM documents),
         g AS (SELECT n, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY n)
         SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id IS NOT DISTINCT FROM g.keep_id AS kept, sha256(t.n) AS text_sha256 FROM t JOIN g ON g.n = t.n""",
+    "op13_page_archive": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+        g AS (SELECT body, max(page_id) AS last FROM p GROUP BY body),
+        r AS (SELECT p.page_id, p.body, g.last, octet_length(encode(p.body)) >= 1000 AND p.page_id IS DISTINCT FROM g.last AS again FROM p JOIN g ON g.body = p.body)
+        SELECT page_id, octet_length(encode(body)) AS payload_bytes, sha1(body) AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN last END AS refers_to FROM r""",
 }
 
 
