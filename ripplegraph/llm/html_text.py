@@ -11,13 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplegraph.llm.common import slices
+from ripplegraph.llm.style_sheets import Styles, media_holds
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 #: One step inside a tag: its end, or an attribute with its value, if any. A quote that is never closed is a name's first character.
 _STEP = re.compile(r"[\s/]*(?:(>)|([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?)")
 _WHOLE = re.compile(r"\s*(-?[0-9]{1,9})(?![0-9])")
-_UNSEEN_STYLE = re.compile(r"display\s*:\s*none", re.I)
-_VISIBILITY = re.compile(r"visibility\s*:\s*(visible|hidden|collapse)", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -149,7 +148,7 @@ def parse(html: str) -> tuple[Node, list[str]]:
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(html, pos)
             inside = html[pos : end.start() if end else size]
             node.children.append(unescape(inside) if tag in ("textarea", "title") else inside)
-            if tag == "style":
+            if tag == "style" and media_holds(attributes.get("media", "")):
                 styles.append(inside)
             pos = size if end is None else (html.find(">", end.start()) + 1 or size)
         elif tag not in VOID and html[pos - 2] != "/" and tree.at.depth < DEEPEST:
@@ -198,48 +197,25 @@ def _start(tree: _Open, tag: str, attributes: dict) -> Node:
     return node
 
 
-class Unseen:
-    """Plain selectors (tag, .class, #id) that style sheets take away, hide or show."""
-
-    def __init__(self, styles: list[str]):
-        self.gone, self.shown = set(), {}
-        for rule in (r for s in styles for r in s.split("}")[:-1]):
-            head, _, body = rule.rpartition("{")
-            plain = [y for x in head.rpartition("{")[2].split(",") if re.fullmatch(r"[.#]?[\w-]+", y := x.strip())]
-            if _UNSEEN_STYLE.search(body):
-                self.gone.update(plain)
-            if m := _VISIBILITY.search(body):
-                self.shown.update(dict.fromkeys(plain, m[1].lower() == "visible"))
-
-
-def _selectors(node: Node) -> list[str]:
-    """What plain selectors name a node by, the weakest first."""
-    a = node.attributes
-    return [node.tag, *["." + c for c in a.get("class", "").split()], *(["#" + a["id"]] if "id" in a else [])]
-
-
-def _shown(node: Node, unseen: Unseen, inherited: bool) -> bool:
+def _shown(node: Node, styles: Styles, inherited: bool) -> bool:
     """Whether a node's text is visible: by its own style, a style sheet, or as what it stands in."""
-    if (style := node.attributes.get("style")) and (m := _VISIBILITY.search(style)):
-        return m[1].lower() == "visible"
-    if unseen.shown:
-        for name in reversed(_selectors(node)):
-            if name in unseen.shown:
-                return unseen.shown[name]
-    return inherited
+    value = styles.of(node, "visibility")
+    return value == "visible" if value in ("visible", "hidden", "collapse") else inherited
+
 
+def _visible(node: Node, styles: Styles) -> bool:
+    """Whether a node and all below it take part in the layout.
 
-def _visible(node: Node, unseen: Unseen) -> bool:
-    """Whether a node and all below it take part in the layout."""
+    What sheets and styles say of ``display`` comes before what attributes do.
+    """
     a = node.attributes
-    if node.tag in UNSEEN or "hidden" in a or (node.tag == "input" and a.get("type", "").lower() == "hidden"):
-        return False
-    if a.get("style") and _UNSEEN_STYLE.search(a["style"]):
+    if node.tag in UNSEEN or (node.tag == "input" and a.get("type", "").lower() == "hidden"):
         return False
-    if unseen.gone and not unseen.gone.isdisjoint(_selectors(node)):
+    display = styles.of(node, "display") if styles.by or "style" in a else None
+    if display is None and ("hidden" in a or (node.tag == "dialog" and "open" not in a)):
         return False
     up = node.parent
-    return not (up is not None and up.tag == "details" and "open" not in up.attributes and node.tag != "summary")
+    return display != "none" and not (up is not None and up.tag == "details" and "open" not in up.attributes and node.tag != "summary")
 
 
 class _Page:
@@ -287,7 +263,7 @@ class _Page:
         self.gap = 1
 
 
-def _rows(table: Node, unseen: Unseen) -> tuple[list[Node], list[tuple[Node, list[Node]]], list]:
+def _rows(table: Node, styles: Styles) -> tuple[list[Node], list[tuple[Node, list[Node]]], list]:
     """Captions, the cells of each visible row with what the row stands in, and what strays between
     the parts, in order; tables inside cells are left to the cells."""
     captions, rows, strays, stack = [], [], [], [table]
@@ -298,11 +274,11 @@ def _rows(table: Node, unseen: Unseen) -> tuple[list[Node], list[tuple[Node, lis
                 strays.append(node)
         elif node.tag == "caption":
             captions.append(node)
-        elif node is table or _visible(node, unseen):
+        elif node is table or _visible(node, styles):
             if node.tag == "tr":
-                rows.append((node.parent, [c for c in node.children if isinstance(c, Node) and c.tag in ("td", "th") and _visible(c, unseen)]))
+                rows.append((node.parent, [c for c in node.children if isinstance(c, Node) and c.tag in ("td", "th") and _visible(c, styles)]))
             if node.tag in _IN_TABLE:
-                stack += [c for c in reversed(node.children) if not (isinstance(c, Node) and (c.tag in ("td", "th") or not _visible(c, unseen)))]
+                stack += [c for c in reversed(node.children) if not (isinstance(c, Node) and (c.tag in ("td", "th") or not _visible(c, styles)))]
     return captions, rows, strays
 
 
@@ -318,14 +294,14 @@ def _whole(node: Node, name: str, otherwise: int) -> int:
     return int(m[1]) if m else otherwise
 
 
-def _table(table: Node, unseen: Unseen, shown: bool) -> list[str]:
+def _table(table: Node, styles: Styles, shown: bool) -> list[str]:
     """Cells of a column start at the same character; a cell that spans columns takes their width.
 
     A cell that spans rows has its text in the first, and keeps its columns free in the others.
     What is wider than WIDEST moves what follows in its own line alone.
     """
-    captions, rows, strays = _rows(table, unseen)
-    lines = [x for c in captions for x in render(c, unseen, _shown(c, unseen, shown))]
+    captions, rows, strays = _rows(table, styles)
+    lines = [x for c in captions for x in render(c, styles, _shown(c, styles, shown))]
     grid, widths, taken, group = [], [], {}, None
     for place, (inside, row) in enumerate(rows):
         if inside is not group:
@@ -339,8 +315,8 @@ def _table(table: Node, unseen: Unseen, shown: bool) -> list[str]:
                 taken.update(dict.fromkeys(range(column, column + span), place + down))
             own = shown
             for node in _between(cell, table):
-                own = _shown(node, unseen, own)
-            text = [x for x in render(cell, unseen, own) if x] or [""]
+                own = _shown(node, styles, own)
+            text = [x for x in render(cell, styles, own) if x] or [""]
             cells.append((column, span, text))
             widths += [0] * (column + span - len(widths))
             if span == 1:
@@ -362,7 +338,7 @@ def _table(table: Node, unseen: Unseen, shown: bool) -> list[str]:
     if strays:  # what browsers move out of the table
         stray = Node("div", {}, None)
         stray.children = strays
-        lines = [*render(stray, unseen, shown), *lines]
+        lines = [*render(stray, styles, shown), *lines]
     return lines
 
 
@@ -375,7 +351,7 @@ def _between(cell: Node, table: Node) -> list[Node]:
     return found[::-1]
 
 
-def render(root: Node, unseen: Unseen, shown: bool = True) -> list[str]:
+def render(root: Node, styles: Styles, shown: bool = True) -> list[str]:
     """The lines of what is visible below a node. Walks without recursion, but for tables."""
     page, stack = _Page(shown), [(root, iter(root.children), None, shown)]
     while stack:
@@ -392,9 +368,9 @@ def render(root: Node, unseen: Unseen, shown: bool = True) -> list[str]:
                 page.text(child)
             continue
         tag = child.tag
-        if not _visible(child, unseen):
+        if not _visible(child, styles):
             continue
-        inside = _shown(child, unseen, around) if child.attributes or unseen.shown else around
+        inside = _shown(child, styles, around) if child.attributes or styles.by else around
         if tag == "br":
             page.end(keep=True)
         elif tag == "hr":
@@ -406,7 +382,7 @@ def render(root: Node, unseen: Unseen, shown: bool = True) -> list[str]:
                 page.text(child.attributes.get("value", ""))
         elif tag == "table":
             page.space()
-            for line in _table(child, unseen, inside):
+            for line in _table(child, styles, inside):
                 page.line = [line]
                 page.end(keep=True)
             page.space()
@@ -435,8 +411,7 @@ def _enter(page: _Page, node: Node):
     around()
     indent = ""
     if tag == "li":
-        number = _whole(node.parent, "start", 1) + _place(node)
-        page.mark = f"{number}. " if node.parent.tag == "ol" else "- "
+        page.mark = f"{_number(node)}. " if node.parent.tag == "ol" else "- "
         indent = " " * len(page.mark)
     elif tag in ("dd", "blockquote"):
         indent = "    " if tag == "dd" else "  "
@@ -457,18 +432,25 @@ def _enter(page: _Page, node: Node):
     return leave
 
 
-def _place(node: Node) -> int:
-    """Where an item stands among its list's items; remembered, as long lists ask for every one."""
-    places = node.parent.attributes.get("#places")
-    if places is None or id(node) not in places:
+def _number(node: Node) -> int:
+    """An item's number: one more (or less) than the item before, or its own; remembered, as long lists ask for every one."""
+    around = node.parent.attributes
+    numbers = around.get("#numbers")
+    if numbers is None or id(node) not in numbers:
         items = [c for c in node.parent.children if isinstance(c, Node) and c.tag == "li"]
-        node.parent.attributes["#places"] = places = {id(c): i for i, c in enumerate(items)}
-    return places[id(node)]
+        step = -1 if "reversed" in around else 1
+        at, numbers = _whole(node.parent, "start", 1 if step > 0 else len(items)), {}
+        for c in items:
+            at = _whole(c, "value", at)
+            numbers[id(c)] = at
+            at += step
+        around["#numbers"] = numbers
+    return numbers[id(node)]
 
 
 def visible_text(html: str) -> str:
-    root, styles = parse(html)
-    return "\n".join(render(root, Unseen(styles)))
+    root, sheets = parse(html)
+    return "\n".join(render(root, Styles(sheets)))
 
 
 def extracted(pages: DataFrame) -> DataFrame:
@@ -476,8 +458,9 @@ def extracted(pages: DataFrame) -> DataFrame:
 
     Blocks start on a line of their own; paragraphs, headings, lists and tables have an empty
     line around them. List items have marks or numbers and are indented by depth; cells of a
-    table's column start at the same character. Scripts, the head, and what attributes or plain
-    style rules hide give no text, but for what is made visible again inside. Line breaks and
+    table's column start at the same character. Scripts, the head, and what attributes or style
+    rules for single elements hide on a screen give no text, but for what is made visible again
+    inside. Very long pages are read whole, in time in proportion to their length. Line breaks and
     empty blocks make two empty lines in a row at most. Null and empty pages give the empty
     text; tag soup and text without tags are read as a browser would. Repeated rows are read
     alike, other columns are ignored, and no rows give none.
