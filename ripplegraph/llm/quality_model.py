@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +20,8 @@ CHUNK = 1 << 18
 
 _U = np.uint64
 _BASE, _BACK = 0x100000001B3, pow(0x100000001B3, -1, 1 << 64)
+#: What the hash of a pair's first word is multiplied by.
+_FIRST = 0x9E3779B97F4A7C15
 _KINDS = {"word": 1, "pair": 2, 3: 3, 4: 4}
 
 
@@ -44,8 +45,8 @@ def hashed(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
 
     Words are divided by white space. The features are each word, each pair of neighbouring
     words, and a word's runs of three and four bytes with a space before and after it. A word's
-    hash is a polynomial of its bytes; a pair's is the difference of its words' hashes, so that
-    a word and itself always meet in the same bucket. All of a chunk is hashed at once.
+    hash is a polynomial of its bytes; a pair's is its first word's, times a constant, plus its
+    second's, so that order counts. All of a chunk is hashed at once.
     """
     lines = [b" ".join(t.split()) for t in texts]
     data = np.frombuffer(b" " + b" ".join(lines) + b" ", dtype=np.uint8)
@@ -63,7 +64,7 @@ def hashed(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     inner = first[(first > 0) & (first < len(words))]
     pair[inner - 1] = False  # across two texts
     places = np.flatnonzero(pair)
-    out.append((_bucket(words[places] - words[places + 1], "pair"), np.searchsorted(places, first)))
+    out.append((_bucket(words[places] * _U(_FIRST) + words[places + 1], "pair"), np.searchsorted(places, first)))
     two = wide[:-1] | (wide[1:] << _U(8))
     for n in (3, 4):
         values = two[: len(data) - n + 1] | (two[2:] << _U(16)) if n == 4 else two[: len(data) - 2] | (wide[2:] << _U(16))
@@ -158,7 +159,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, modulus: int = 5, per_clas
     """Features of a bounded sample of the labelled rows whose id remainder isn't 0.
 
     Up to ``per_class`` ids of each label, lowest hash first; a row's weight makes up for the
-    share of its class that was taken. Ids with two labels count by the smaller.
+    share of its class that was taken. Ids with two labels count by the smaller; of rows that
+    share an id, the one whose text has the smallest hash counts. So the driver gets the features
+    of 2 * ``per_class`` texts at most, each no more than BUCKETS numbers and counts.
     """
     id_, y_ = free_names(docs, "id", "y")
     known = (
@@ -178,14 +181,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, modulus: int = 5, per_clas
                 names=["doc_id", "y", "b", "c"],
             )
 
-    texts = docs.join(taken, F.col("doc_id") == F.col(id_)).select(F.col("doc_id").cast("long"), F.col(y_).cast("int"), text_of().cast("binary"))
+    texts = docs.join(taken, F.col("doc_id") == F.col(id_)).select(F.col("doc_id").cast("long").alias("d"), F.col(y_).cast("int").alias("y"), text_of().cast("binary").alias("t"))
+    texts = texts.groupBy("d", "y").agg(F.min_by("t", F.xxhash64("t")).alias("t"))
     got = texts.mapInArrow(run, "doc_id long, y int, b array<int>, c array<float>").toArrow()
     every = sum(sizes.values())
     share = {y: (sizes[y] / every) / (min(sizes[y], per_class) / (min(sizes.get(0, 0), per_class) + min(sizes.get(1, 0), per_class))) for y in sizes}
     rows = {}
     for i, y, b, c in zip(*(got.column(k).to_pylist() for k in range(2)), *(got.column(k) for k in (2, 3)), strict=True):
-        b, c = np.asarray(b.values), np.asarray(c.values)
-        rows.setdefault((i, zlib.crc32(b), zlib.crc32(c), len(b)), (b, c, y, share[y]))
+        rows[i] = (np.asarray(b.values), np.asarray(c.values), y, share[y])
     return [rows[k] for k in sorted(rows)]
 
 
@@ -214,7 +217,8 @@ def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that the classifier doesn't reject, with their columns.
 
-    Null and empty texts are judged by the bias alone, repeated rows alike; no rows give none.
+    Null and empty texts are judged by the bias alone, repeated rows alike; other columns may have
+    any names, very long texts are hashed whole, and no rows give none.
     """
     model, at = train(training_rows(docs, labels)), docs.columns.index("text")
 
