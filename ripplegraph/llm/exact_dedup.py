@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplegraph.llm import binary_fuse
-from ripplegraph.llm.common import broadcast_if_small, checkpointed, free_names, lower_ascii, text_of, written
+from ripplegraph.llm.common import broadcast_if_small, checkpointed, free_names, joined_by_key, lower_ascii, text_of, written
 
 _FILTER = "_shard int, seed int, segment int, count int, table binary"
 _HIT = "_digest binary, _inc_id long, _inc_n long"
@@ -43,7 +43,7 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def duplicate_groups(docs: DataFrame, shard_keys: int = 1 << 17) -> tuple[DataFrame, DataFrame]:
-    """The digests of all rows, and one row per (digest, side) with keep_id and group_size.
+    """The digests of all rows, and one row per digest and side (``_d``, ``_s``): keep_id, group_size, the side's rows ``_n``.
 
     Rows of one digest are summed before any shuffle, so that a group of any size is one
     row afterwards. Distinct digests are spread evenly over shards of about ``shard_keys``;
@@ -79,11 +79,17 @@ def duplicate_groups(docs: DataFrame, shard_keys: int = 1 << 17) -> tuple[DataFr
         (F.col("_old_n") + F.col("_inc_n")).alias("_both_n"),
     )
     groups = sums.join(merged, "_digest", "left").select(
-        "_digest", "_new", F.coalesce("_both_id", "_id").alias("keep_id"), F.coalesce("_both_n", "_n").alias("group_size")
+        F.col("_digest").alias("_d"), F.col("_new").alias("_s"), F.coalesce("_both_id", "_id").alias("keep_id"), F.coalesce("_both_n", "_n").alias("group_size"), "_n"
     )
     return rows, groups
 
 
+def _with_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows with what is known of their group; rows of a very common text don't meet in one task."""
+    same = (F.col("_digest") == F.col("_d")) & (F.col("_new") == F.col("_s"))
+    return joined_by_key(rows, written(groups), same, "_n", rows.count())
+
+
 def exact_duplicates(docs: DataFrame, shard_keys: int = 1 << 17) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -93,8 +99,7 @@ def exact_duplicates(docs: DataFrame, shard_keys: int = 1 << 17) -> DataFrame:
     alone has a null keep_id and is kept. Other columns are ignored; no rows give none.
     """
     rows, groups = duplicate_groups(docs, shard_keys)
-    g = groups.select(F.col("_digest").alias("_d"), F.col("_new").alias("_s"), "keep_id", "group_size")
-    return rows.join(g, (F.col("_digest") == F.col("_d")) & (F.col("_new") == F.col("_s"))).select(
+    return _with_groups(rows, groups).select(
         "doc_id",
         "keep_id",
         "group_size",
@@ -112,8 +117,7 @@ def kept_rows(docs: DataFrame) -> DataFrame:
     smallest; other columns may have any names, and no rows give none.
     """
     rows, groups = duplicate_groups(docs)
-    g = groups.select(F.col("_digest").alias("_d"), F.col("_new").alias("_s"), "keep_id")
-    seen = rows.join(g, (F.col("_digest") == F.col("_d")) & (F.col("_new") == F.col("_s")))
+    seen = _with_groups(rows, groups)
     stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     id_, d_ = free_names(docs, "id", "d")
     named = [F.col("doc_id").alias(id_), F.col("_d").alias(d_)]

@@ -170,17 +170,24 @@ def near_links(fps: DataFrame, radius: int, within: int | None = None, tile: int
 def classes(docs: DataFrame, words: int, radius: int) -> DataFrame:
     """The rows of ``fingerprints`` with component_id."""
     rows = written(fingerprints(docs, words))
-    nodes = rows.groupBy("_fp").agg(F.min("doc_id").alias("_least"), F.min("_more").alias("_more"))
+    nodes = written(rows.groupBy("_fp").agg(F.min("doc_id").alias("_least"), F.min("_more").alias("_more"), F.count("*").alias("_rows")))
     roots = connected_components(near_links(nodes.withColumn("_key", F.col("_fp")), radius))
     named = nodes.join(roots, F.col("_fp") == F.col("node"), "left").withColumn("_root", F.coalesce("root", "_fp"))
-    return rows.join(_ids(named, "_fp"), "_fp")
+    return _with_ids(rows, named, "_fp")
+
+
+def _with_ids(rows: DataFrame, named: DataFrame, key: str) -> DataFrame:
+    """``rows`` and the component_id of their key; rows of a very common key don't meet in one task."""
+    ids = _ids(named, key).withColumnRenamed(key, "_key")
+    total = named.agg(F.sum("_rows")).first()[0] or 0
+    return joined_by_key(rows, ids, F.col(key) == F.col("_key"), "_rows", total).drop("_key")
 
 
 def _ids(named: DataFrame, key: str) -> DataFrame:
-    """key, component_id: the smallest id of each root's nodes, handed back to its nodes."""
+    """key, component_id, and the key's number of rows: the smallest id of each root's nodes, handed back to its nodes."""
     least = checkpointed(named.groupBy(F.col("_root").alias("_r")).agg(F.min("_least").alias("component_id"), F.count("*").alias("_n")))
     total = least.agg(F.sum("_n")).first()[0] or 0
-    return joined_by_key(named.select(key, "_root"), least, F.col("_root") == F.col("_r"), "_n", total).select(key, "component_id")
+    return joined_by_key(named.select(key, "_root", "_rows"), least, F.col("_root") == F.col("_r"), "_n", total).select(key, "component_id", "_rows")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 4) -> DataFrame:
@@ -315,12 +322,11 @@ def representatives(docs: DataFrame, words: int = 5) -> DataFrame:
     no rows give none.
     """
     rows = written(fingerprints(docs, words, PARTS))
-    texts = rows.groupBy("_hash").agg(F.min("doc_id").alias("_least"), F.min("_fp").alias("_fp"), F.min("_more").alias("_more"))
+    texts = written(rows.groupBy("_hash").agg(F.min("doc_id").alias("_least"), F.min("_fp").alias("_fp"), F.min("_more").alias("_more"), F.count("*").alias("_rows")))
     roots = connected_components(checked_links(docs, texts, words))
-    named = texts.join(roots, F.col("_hash") == F.col("node"), "left").select("_hash", "_least", F.coalesce("root", "_hash").alias("_root"))
-    found = _ids(named, "_hash").withColumnRenamed("_hash", "_text")
+    named = texts.join(roots, F.col("_hash") == F.col("node"), "left").select("_hash", "_least", "_rows", F.coalesce("root", "_hash").alias("_root"))
     id_, text_ = free_names(docs, "id", "text")
-    gone = rows.join(found, F.col("_hash") == F.col("_text")).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    gone = checkpointed(gone.select(F.col("doc_id").alias(id_), F.col("_text").alias(text_)).distinct())
+    gone = _with_ids(rows, named, "_hash").where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    gone = checkpointed(gone.select(F.col("doc_id").alias(id_), F.col("_hash").alias(text_)).distinct())
     same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64(text_of()) == F.col(text_))
     return docs.join(broadcast_if_small(gone, gone.count(), 48), same, "left_anti")

@@ -54,7 +54,7 @@ def test_stages_by_brute_force(spark, tmp_path):
 
 def test_registered_queries(spark):
     names = list(queries.queries())
-    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)] + ["pipeline"]
+    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 14)] + ["pipeline"]
     assert set(queries.oracle_sql()) <= set(names)
 
 
