@@ -168,21 +168,24 @@ def longest_prefix_owner(spark, sf_dir):
 
 
 def _sources(spark, sf_dir):
-    """Go files made of the pages: a module for each host, some with another of the same name inside."""
+    """Go files made of the pages: a module for each host, some with another of the same name inside.
+
+    Comments, strings and semicolons stand where a reader of lines would go wrong.
+    """
     pages = _url_paths(spark, sf_dir).select("page_id", "host", F.substring_index("path", "/", 1).alias("lang"))
     least = F.broadcast(pages.agg(F.min("host").alias("least")))  # one row
     hosts = pages.select("host").distinct().join(least)
     size = F.length("host")
     outer = F.concat(
-        F.lit("module mod.example/"), "host", F.lit(" // of a host\n\ngo 1."), (size % 4 + 18).cast("string"), F.when(size % 2 == 0, "\ntoolchain go1.22.1").otherwise("\ntoolchain local"),
+        F.lit('// module not.this\nmodule "mod.example/'), "host", F.lit('" // of a host\n\ngo 1.'), (size % 4 + 18).cast("string"), F.when(size % 2 == 0, "\ntoolchain go1.22.1").otherwise("\ntoolchain local"),
         F.lit("\n\nrequire (\n\tlib.example/a v1.2."), (size % 3).cast("string"), F.lit("\n\tlib.example/a/deep v0.1.0 // indirect\n)\n\nreplace old.example/x => ../"), "least",
         F.lit("\nreplace lib.example/a v1.2.0 => fork.example/a v1.3.0\n"),
     )
     inner = hosts.where(size % 3 == 0).select(F.concat("host", F.lit("/en/go.mod")).alias("path"), F.concat(F.lit("module mod.example/"), "host", F.lit("\n")).alias("text"))
     other = F.element_at(F.array(*map(F.lit, ("en", "fr", "de", "zz"))), (F.col("page_id") % 4 + 1).cast("int"))
     text = F.concat(
-        F.lit('package p\n\n// import "not/this"\nimport (\n\t"fmt"\n\tm "mod.example/'), "host", F.lit("/"), other, F.lit('"\n\t_ "old.example/x/'), other,
-        F.lit('"\n)\n\nimport "mod.example/'), "least", F.lit('/fr"\nimport "lib.example/a/'), F.when(F.col("page_id") % 2 == 0, "deep").otherwise("sub"), F.lit('/z"\n\nfunc f() { g("import") }\n'),
+        F.lit('package p // as in a/* and b\n\n// import "not/this"\nimport (\n\t"fmt"; m "mod.example/'), "host", F.lit("/"), other, F.lit('"\n\t_ `old.example/x/'), other,
+        F.lit('` /* import "nor/this" */\n)\n\nimport "mod.example/'), "least", F.lit('/fr"; import "lib.example/a/'), F.when(F.col("page_id") % 2 == 0, "deep").otherwise("sub"), F.lit('/z"\n\nfunc f() { g("import") } /* tail */\nimport "too/late"\n'),
     )
     name = F.concat_ws("/", "host", "lang", F.concat(F.lit("p"), "page_id", F.when(F.col("page_id") % 5 == 0, "_test.go").otherwise(".go")))
     sources = pages.join(least).select(name.alias("path"), text.alias("text"))

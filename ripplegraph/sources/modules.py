@@ -1,62 +1,75 @@
 """Modules and packages of Go sources: who imports whom, by joins on prefixes.
 
-``files`` has path and text. Text is read by regular expressions that Spark runs: declarations of
-modules line by line, and of sources the imports alone.
+``files`` has path and text. Texts are read token by token in Arrow batches (``sources.scan``): of
+sources the imports alone, which end at the first declaration. A text that breaks the rules is an
+error unless ``strict`` is off; then it has no imports, or no module, and a problem.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ripplegraph.functions.config import base64encode
 from ripplegraph.functions.paths import ancestors, folded, parent
 from ripplegraph.model import Graph, checkpointed
+from ripplegraph.sources import scan
 
 DEFAULT_VERSION = "1.16"
 
 
-def _bare(text: Column) -> Column:
-    """Without comments."""
-    return F.regexp_replace(F.regexp_replace(text, r"(?s)/\*.*?\*/", " "), r"(?m)//[^\n]*$", "")
+_REQUIRE = "struct<path:string,version:string>"
+_REPLACE = "struct<path:string,version:string,to_path:string,to_version:string>"
 
 
-def _directives(text: Column, word: str) -> Column:
-    """What follows a word on its line, and each line of its blocks in brackets."""
-    lines = F.regexp_extract_all(text, F.lit(rf"(?m)^[ \t]*{word}[ \t]+([^(\s][^\n]*?)[ \t]*$"), F.lit(1))
-    blocks = F.regexp_extract_all(text, F.lit(rf"(?ms)^[ \t]*{word}[ \t]*\(([^)]*)\)"), F.lit(1))
-    inner = F.flatten(F.transform(blocks, lambda b: F.filter(F.transform(F.split(b, "\n"), lambda x: F.btrim(x, F.lit(" \t\r"))), lambda x: x != "")))
-    return F.concat(lines, inner)
+def _read(files: DataFrame, of, schema: str) -> DataFrame:
+    """path and what ``of`` makes of each text, or the problem with it; null texts are empty ones."""
 
+    def run(batches):
+        for b in batches:
+            out = []
+            for path, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                try:
+                    out.append({"path": path, **of(text.as_py() or ""), "problem": None})
+                except scan.Wrong as e:
+                    out.append({"path": path, "problem": str(e)})
+            yield pa.RecordBatch.from_pylist(out, schema=kinds)
 
-def modules(files: DataFrame, name: str = "go.mod") -> DataFrame:
+    kinds = to_arrow_schema(StructType.fromDDL(f"path string, {schema}, problem string"))
+    return files.select("path", "text").mapInArrow(run, f"path string, {schema}, problem string")
+
+
+def _sound(rows: DataFrame, strict: bool, name: str) -> DataFrame:
+    if not strict:
+        return rows
+    raised = F.raise_error(F.concat("path", F.lit(": "), "problem"))
+    return rows.withColumn(name, F.when(F.col("problem").isNull(), F.col(name)).otherwise(raised))
+
+
+def modules(files: DataFrame, name: str = "go.mod", strict: bool = True) -> DataFrame:
     """dir, path (of go.mod), module, go, toolchain, requires, replaces of each module."""
-    text = _bare(F.col("text"))
-    one = lambda word: F.try_element_at(_directives(text, word), F.lit(1))
-    pair = lambda x: F.split(x, r"\s+")
-    requires = F.transform(_directives(text, "require"), lambda x: F.struct(pair(x)[0].alias("path"), F.get(pair(x), F.lit(1)).alias("version")))
-    sides = lambda x: F.split(x, r"\s*=>\s*")
-    replaces = F.transform(
-        _directives(text, "replace"),
-        lambda x: F.struct(
-            pair(sides(x)[0])[0].alias("path"), F.get(pair(sides(x)[0]), F.lit(1)).alias("version"), F.get(pair(F.get(sides(x), F.lit(1))), F.lit(0)).alias("to_path"), F.get(pair(F.get(sides(x), F.lit(1))), F.lit(1)).alias("to_version")
-        ),
-    )
-    toolchain = one("toolchain")
     found = files.where(F.substring_index("path", "/", -1) == name)
-    return found.select(
-        parent(F.col("path")).alias("dir"), "path", F.btrim(one("module"), F.lit('"')).alias("module"), F.coalesce(one("go"), F.lit(DEFAULT_VERSION)).alias("go"),
-        F.when(~toolchain.isin("default", "local"), toolchain).alias("toolchain"), requires.alias("requires"), replaces.alias("replaces"),
-    )
-
-
-def imports(files: DataFrame) -> DataFrame:
-    """path, dir, is_test, target: imports of each source, none for one without."""
-    head = F.regexp_replace(_bare(F.col("text")), r"(?ms)^(?:func|type|var|const)\b.*", "")
-    listed = F.transform(_directives(head, "import"), lambda x: F.regexp_extract(x, r'"([^"]*)"|`([^`]*)`', 1))
-    targets = F.array_distinct(F.filter(listed, lambda x: (x != "") & (x != "C")))
-    found = files.where(F.col("path").endswith(".go"))
-    return found.select("path", parent(F.col("path")).alias("dir"), F.col("path").endswith("_test.go").alias("is_test"), F.explode_outer(targets).alias("target"))
+    rows = _read(found, scan.module_file, f"module string, go string, toolchain string, requires array<{_REQUIRE}>, replaces array<{_REPLACE}>")
+    rows = _sound(rows, strict, "module").where("module is not null")
+    toolchain = F.when(~F.col("toolchain").isin("default", "local"), F.col("toolchain"))
+    return rows.select(parent(F.col("path")).alias("dir"), "path", "module", F.coalesce("go", F.lit(DEFAULT_VERSION)).alias("go"), toolchain.alias("toolchain"), "requires", "replaces")
+
+
+def imports(files: DataFrame, strict: bool = True) -> DataFrame:
+    """path, dir, is_test, target: imports of each source, none for one without; those of C code are left out."""
+    rows = _read(files.where(F.col("path").endswith(".go")), lambda text: {"targets": [x for x in scan.go_imports(text) if x != "C"]}, "targets array<string>")
+    rows = _sound(rows, strict, "targets")
+    return rows.select("path", parent(F.col("path")).alias("dir"), F.col("path").endswith("_test.go").alias("is_test"), F.explode_outer("targets").alias("target"))
+
+
+def problems(files: DataFrame, name: str = "go.mod") -> DataFrame:
+    """path, problem: the sources and module files that can't be read."""
+    sources = _read(files.where(F.col("path").endswith(".go")), lambda text: {"n": len(scan.go_imports(text))}, "n int")
+    mods = _read(files.where(F.substring_index("path", "/", -1) == name), lambda text: {"n": len(scan.module_file(text))}, "n int")
+    return sources.union(mods).where("problem is not null").select("path", "problem")
 
 
 def owners(dirs: DataFrame, mods: DataFrame) -> DataFrame:
