@@ -6,7 +6,8 @@ import tempfile
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import functions as F
 
 #: Relations that a change travels along, from what depends to what it depends on.
 FOLLOWED = ("contains", "depends-on", "imports", "source-file", "tests", "go-version")
@@ -48,12 +49,69 @@ def shared_folder(df: DataFrame) -> str:
     return context.getCheckpointDir()
 
 
+class Scratch:
+    """Deletes at its end the tables that were written within it, but for those that are kept.
+
+    Kept tables pass to the scope around it, if there is one; outside of all scopes they belong to
+    whoever owns the folder.
+    """
+
+    _open: list[Scratch] = []
+
+    def __init__(self, df: DataFrame):
+        self.session, self.paths, self.kept = df.sparkSession, set(), set()
+
+    def __enter__(self) -> Scratch:
+        Scratch._open.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        Scratch._open.remove(self)
+        self._delete(self.paths - self.kept)
+        if Scratch._open:
+            Scratch._open[-1].paths |= self.kept & self.paths
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Marks tables as needed later."""
+        self.kept |= {p for t in tables if (p := getattr(t, "_table", None))}
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables of this scope that nothing reads any more."""
+        gone = {p for t in tables if (p := getattr(t, "_table", None))} & self.paths
+        self._delete(gone)
+        self.paths -= gone
+
+    def _delete(self, paths) -> None:
+        jvm, conf = self.session.sparkContext._jvm, self.session.sparkContext._jsc.hadoopConfiguration()
+        for p in paths:
+            path = jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(conf).delete(path, True)
+
+
+def summed(df: DataFrame, *sums: Column) -> tuple[DataFrame, tuple]:
+    """``checkpointed``, and sums over the rows that are taken as they are written."""
+    seen = Observation()
+    table = checkpointed(df.observe(seen, *[c.alias(f"s{k}") for k, c in enumerate(sums)]))
+    return table, tuple(seen.get[f"s{k}"] for k in range(len(sums)))
+
+
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``checkpointed``, and how many rows it has."""
+    table, (n,) = summed(df, F.count(F.lit(1)))
+    return table, n
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts lineage with a table in the folder that the cluster shares.
 
-    Unlike a checkpoint of rows, its columns can be read alone and Spark knows its size. Whoever
-    owns the folder clears it, as with checkpoints.
+    Unlike a checkpoint of rows, its columns can be read alone and Spark knows its size. Within a
+    ``Scratch`` it goes at the end of that, else whoever owns the folder clears it, as with
+    checkpoints.
     """
     path = f"{shared_folder(df)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._table = path
+    if Scratch._open:
+        Scratch._open[-1].paths.add(path)
+    return table

@@ -5,12 +5,10 @@ A target has id, file, path (its tree), kind, name, index (its place in the file
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ripplegraph.functions.selectors import canonical
-from ripplegraph.model import Graph
-from ripplegraph.sources.modules import id_parts
+from ripplegraph.model import Graph, checkpointed
 
 #: Keys that every target's configuration has, so that no target may set them.
 RESERVED = ("id", "kind", "file", "name", "label", "index", "script", "inline")
@@ -49,10 +47,20 @@ def projected(targets: DataFrame, space: str = "git") -> Graph:
     return Graph(targets.select("id", F.concat(F.lit("target:"), "kind").alias("kind")), targets.select(up.alias("src"), F.col("id").alias("dst"), F.lit("contains").alias("kind")).distinct())
 
 
-def config_rows(targets: DataFrame) -> DataFrame:
-    """key, id: every target by ``//file#kind.name`` and, where it has a name, by ``//file#name``."""
-    keys = F.array(canonical(F.col("file"), F.col("kind"), F.col("name")), F.when(F.col("name") != "", F.concat(F.lit("//"), "file", F.lit("#"), "name")))
-    return targets.select(F.explode(F.array_compact(keys)).alias("key"), "id").distinct()
+def display_name(name: Column, index: Column) -> Column:
+    """What a target is called: its name, or its place among those of its kind in its file."""
+    return F.when(F.coalesce(name, F.lit("")) != "", name).otherwise(index.cast("string"))
+
+
+def target_id(kind: Column, file: Column, name: Column, index: Column) -> Column:
+    return F.concat_ws(":", F.lit("target"), kind, file, display_name(name, index))
+
+
+def config_rows(targets: DataFrame, settings: DataFrame | None = None) -> DataFrame:
+    """key, id: every target by ``//file#kind.name``, and every setting (file, name) by ``//file#name``, without an id."""
+    key = lambda part: F.concat(F.lit("//"), "file", F.lit("#"), part)
+    rows = targets.select(key(F.concat("kind", F.lit("."), display_name(F.col("name"), F.col("index")))).alias("key"), "id")
+    return rows if settings is None else rows.union(settings.select(key(F.col("name")), F.lit(None).cast("string")).distinct())
 
 
 def reserved_keys(settings: DataFrame) -> DataFrame:
@@ -61,28 +69,29 @@ def reserved_keys(settings: DataFrame) -> DataFrame:
 
 
 def by_kind(targets: DataFrame) -> DataFrame:
-    """kind, n, ids: the targets of each kind in the order of their files and places.
-
-    A kind's ids are one list; for kinds past what a row holds, order by file and index instead.
-    """
-    order = F.array_sort(F.collect_list(F.struct("file", "index", "id")))
-    return targets.groupBy("kind").agg(F.count("*").alias("n"), F.transform(order, lambda x: x["id"]).alias("ids"))
-
-
-def package_lines(graph: Graph, tokens: DataFrame, versions: DataFrame, space: str = "go", files_space: str = "git") -> DataFrame:
-    """id, part, line: what a package shows: its language version, files, and imports by kind, each once.
+    """kind, place, id: the targets of each kind in the order of their files and places, numbered from 0.
 
-    ``tokens`` (id, token) has the language versions, ``versions`` (mod_path, target, token) those
-    of external imports, which are shown behind them. To be ordered by part and line.
+    The order is one of all targets, over ranges that Spark deals out; a kind's numbers begin where
+    the kind does, so that no task holds a kind and no row a list.
     """
-    kinds = graph.entities.select(F.col("id").alias("dst"), F.substring_index("kind", ":", -1).alias("_kind"))
-    own = graph.edges.join(kinds.where("_kind in ('package', 'package-test')").select(F.col("dst").alias("src")), "src", "left_semi")
-    version = own.where("kind = 'go-version'").join(tokens.select(F.col("id").alias("dst"), "token"), "dst")
-    line = F.concat(F.lit("go "), F.regexp_replace(F.regexp_replace("token", "^go-version:go=", ""), ",toolchain=", " "))
-    rows = version.select(F.col("src").alias("id"), F.lit("0 version").alias("part"), line.alias("line"))
-    rows = rows.union(own.where("kind = 'source-file'").select("src", F.lit("1 file"), F.substring_index("dst", "/", -1)))
-    used = own.where("kind = 'imports'").join(kinds, "dst").select("src", "_kind", id_parts(F.col("dst")).alias("_p"), id_parts(F.col("src"))["mod_path"].alias("mod_path"))
-    used = used.join(versions.select("mod_path", F.col("target").alias("_target"), F.regexp_replace("token", "^go-module:", "").alias("_version")), (F.col("_p.name") == F.col("_target")) & (F.col("_kind") == "package-external") & used["mod_path"].eqNullSafe(versions["mod_path"]), "left")
-    part = F.when(F.col("_kind") == "package", "2 local").when(F.col("_kind") == "package-stdlib", "3 built in").otherwise("4 external")
-    label = F.concat(F.col("_p.name"), F.when(F.col("_version").isNotNull(), F.concat(F.lit(" ("), "_version", F.lit(")"))).otherwise(""))
-    return rows.union(used.select("src", part, label)).distinct()
+    parts = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["kind", "file", "index", "id"]
+    rows = checkpointed(targets.select(*order).repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    sizes = {r["part"]: r["n"] for r in rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}  # a row for each range
+    before, starts = 0, []
+    for p in sorted(sizes):
+        starts.append((p, before))
+        before += sizes[p]
+    offsets = rows.sparkSession.createDataFrame(starts, "_part long, _before long")
+    placed = rows.join(F.broadcast(offsets), part == F.col("_part")).withColumn("_n", F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1))
+    first = placed.groupBy("kind").agg(F.min("_n").alias("_first"))
+    return placed.join(first, "kind").select("kind", (F.col("_n") - F.col("_first")).alias("place"), "id")
+
+
+def in_file(targets: DataFrame) -> DataFrame:
+    """id, index, repeats: each target's place among those of its kind in its file, by ``line``, and whether its name repeats there."""
+    from pyspark.sql import Window
+
+    own = Window.partitionBy("file", "kind")
+    return targets.select("id", (F.row_number().over(own.orderBy("line", "id")) - 1).alias("index"), (F.count("*").over(Window.partitionBy("file", "kind", "name")) > 1).alias("repeats"))

@@ -10,7 +10,7 @@ from ripplegraph.functions import config, paths, selectors
 from ripplegraph.model import FOLLOWED, Graph, Snapshot, checkpointed
 from ripplegraph.operators import closure as reach
 from ripplegraph.operators import delta, graph, hashing, targets
-from ripplegraph.plans import registry, render
+from ripplegraph.plans import registry, render, tree
 from ripplegraph.plans.catalogue_sql import ORACLES
 from ripplegraph.sources import git, modules, universe
 from ripplegraph.sources.universe import read
@@ -92,8 +92,7 @@ def closure_pairs(spark, sf_dir):
 
 
 def closure_sizes(spark, sf_dir):
-    found = reach.closure(_deps(_base(spark, sf_dir)))
-    return found.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"), F.min("dst").alias("least"), F.max("dst").alias("most"))
+    return reach.sizes(_deps(_base(spark, sf_dir)))
 
 
 def reverse_reachability(spark, sf_dir):
@@ -192,6 +191,48 @@ def _sources(spark, sf_dir):
     return sources.union(hosts.select(F.concat("host", F.lit("/go.mod")).alias("path"), outer.alias("text"))).union(inner)
 
 
+def _repository(spark, sf_dir, edit=False):
+    """A snapshot of the sources and of targets in each host's build.cfg; a later one has edited and new files.
+
+    Targets depend on packages, files, another target, and the tree that they lie in, which is a cycle.
+    """
+    files = _sources(spark, sf_dir)
+    hosts = _url_paths(spark, sf_dir).select("host").distinct()
+    named = lambda name, where="true": hosts.where(where).select(F.concat("host", F.lit(f"/{name}")).alias("path"), F.lit("").alias("text"))
+    files = files.union(named("build.cfg"))
+    if edit:
+        number = F.regexp_extract("path", r"/p(\d+)(_test)?\.go$", 1).try_cast("bigint")
+        files = files.withColumn("text", F.concat("text", F.when(F.coalesce(number % 7 == 0, F.lit(False)), "\n// v2\n").otherwise(""))).union(named("NEW.md", "length(host) % 2 = 0"))
+    files = checkpointed(files)
+    objects = files.select("path", F.lit("blob").alias("kind"), git.blob_id(F.col("text").cast("binary")).alias("oid"), F.lit("stored").alias("source"))
+    packages = modules.package_graph(files, attached=True)
+    packages = Graph(checkpointed(packages.entities), checkpointed(packages.edges))
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(n).alias("name")) for k, n in (("codegen", "go"), ("test", "default"), ("lint", ""))])).alias("t")
+    declared = hosts.select("host", kinds).select(F.concat("host", F.lit("/build.cfg")).alias("file"), F.col("host").alias("path"), "t.kind", "t.name", F.lit(0).alias("index"))
+    declared = declared.withColumn("id", targets.target_id(*(F.col(c) for c in ("kind", "file", "name", "index"))))
+    held = packages.edges.where("kind = 'contains'").join(packages.entities.where("kind = 'go:package'").select(F.col("id").alias("dst")), "dst", "left_semi")
+    uses = held.select(F.split(F.substring_index("src", ":", -1), "/")[0].alias("path"), "dst").distinct()
+    codegen = declared.where("kind = 'codegen'").join(uses, "path").select(F.col("id").alias("src"), "dst")
+    others = declared.where("kind <> 'lint'").select(F.col("id").alias("src"), F.concat(F.lit("git:"), "path", F.lit("/go.mod")).alias("dst"))
+    tests = declared.where("kind = 'test'").select(F.col("id").alias("src"), F.explode(F.array(F.concat(F.lit("git:"), "path"), F.concat(F.lit("target:codegen:"), "file", F.lit(":go")))).alias("dst"))
+    needs = codegen.union(others).union(tests).withColumn("kind", F.lit("depends-on"))
+    g = graph.absorbed(git.object_graph(git.with_trees(objects)), packages, targets.projected(declared), Graph(packages.entities.limit(0), needs))
+    tokens = git.object_tokens(objects).union(modules.package_tokens(files, packages, strict=False))
+    return delta.materialised(Snapshot(g, tokens, FOLLOWED))
+
+
+def graph_tree(spark, sf_dir):
+    """The printed tree of the sources, with files, imports and language versions of packages."""
+    s = _repository(spark, sf_dir)
+    return tree.tree_lines(s.graph, "git:", tokens=s.tokens, files=True, external=True, versions=True).select(F.array_join("place", "|").alias("place"), "line")
+
+
+def cone_tree(spark, sf_dir):
+    """The printed tree of what edited and new files change."""
+    rows = tree.cone_lines(_repository(spark, sf_dir), _repository(spark, sf_dir, edit=True), "git:", files=True, external=True, versions=True)
+    return rows.select(F.array_join("place", "|").alias("place"), "line")
+
+
 def package_graph_edges(spark, sf_dir):
     return modules.package_graph(_sources(spark, sf_dir)).edges
 
@@ -355,28 +396,28 @@ def target_graph(spark, sf_dir):
 
 
 def config_rows(spark, sf_dir):
-    return targets.config_rows(_declared(spark, sf_dir))
+    """Every part's target, and a setting for some of the files."""
+    t = _declared(spark, sf_dir)
+    return targets.config_rows(t, t.where("name = 'n7'").select("file", F.lit("shell").alias("name")))
 
 
 def targets_by_kind(spark, sf_dir):
-    return targets.by_kind(_declared(spark, sf_dir)).select("kind", "n", F.md5(F.array_join("ids", ",")).alias("ids_md5"))
+    return targets.by_kind(_declared(spark, sf_dir))
 
 
 def package_lines(spark, sf_dir):
     files = checkpointed(_sources(spark, sf_dir))
-    mods, g = modules.modules(files), modules.package_graph(files)
+    g = modules.package_graph(files, attached=True)
     g = Graph(checkpointed(g.entities), checkpointed(g.edges))
-    external = g.entities.where("kind = 'go:package-external'").select(modules.id_parts(F.col("id")).alias("p")).select("p.mod_path", F.col("p.name").alias("target"))
-    return targets.package_lines(g, modules.go_version_tokens(mods), modules.version_tokens(mods, external))
+    blobs = Graph(g.entities.union(files.select(F.concat(F.lit("git:"), "path"), F.lit("git:blob"))), g.edges)
+    marks = g.entities.select("id", F.right("id", F.lit(3)).alias("label"))
+    return tree.package_lines(blobs, modules.package_tokens(files, g, strict=False), marks)
 
 
 def kind_local_index(spark, sf_dir):
     """Each part's place among the parts of its type and brand, and whether its name repeats there."""
-    from pyspark.sql import Window
-
-    p = read(spark, sf_dir, "part")
-    own = Window.partitionBy("p_type", "p_brand")
-    return p.select("p_partkey", (F.row_number().over(own.orderBy("p_partkey")) - 1).alias("place"), (F.count("*").over(Window.partitionBy("p_type", "p_brand", "p_name")) > 1).alias("repeats"))
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("file"), F.col("p_brand").alias("kind"), F.col("p_name").alias("name"), F.col("p_partkey").alias("line"))
+    return targets.in_file(p).select(F.col("id").alias("p_partkey"), F.col("index").alias("place"), "repeats")
 
 
 def duplicate_blobs(spark, sf_dir):
@@ -441,12 +482,14 @@ def change_depth(spark, sf_dir):
 
 
 def dependency_lines(spark, sf_dir):
-    """Labels of what line items depend on."""
-    return render.dependency_lines(_base(spark, sf_dir).graph, "depends-on")
+    """Labels of what targets depend on."""
+    g = _repository(spark, sf_dir).graph
+    ends = g.edges.where("kind = 'depends-on'").join(g.entities.select(F.col("id").alias("dst"), F.col("kind").alias("to_kind")), "dst")
+    return ends.select(F.col("src").alias("id"), tree.dependency_label(F.col("dst"), F.col("to_kind")).alias("line"))
 
 
 def import_labels(spark, sf_dir):
-    return render.dependency_labels(modules.package_graph(_sources(spark, sf_dir)))
+    return modules.package_graph(_sources(spark, sf_dir)).entities.select("id", tree.dependency_label(F.col("id"), F.col("kind")).alias("label"))
 
 
 def more_functions(spark, sf_dir):
@@ -475,7 +518,7 @@ _QUERIES = (
     reverse_reachability, scc_cycle, content_hash, uvarint_table, diff_status, induced_edges, frontier_layers, range_hash_label, containment_walk, longest_prefix_owner,
     package_graph_edges, package_versions, language_versions, package_tests, import_kinds, path_clean, path_resolve, path_within, ancestor_trees, prune_empty, glob_match, overlay_upsert, git_blob_hash, duplicate_blobs, id_codec, selector_parse, selector_aliases,
     selector_resolve, completion_match, kind_local_index, text_functions, collection_functions, number_functions, hash_functions, more_functions, target_references, path_dependencies,
-    nearest_settings, target_graph, config_rows, targets_by_kind, package_lines, selector_trees, compared_revisions, change_depth, dependency_lines, import_labels,
+    nearest_settings, target_graph, config_rows, targets_by_kind, package_lines, selector_trees, compared_revisions, change_depth, dependency_lines, import_labels, graph_tree, cone_tree,
 )
 
 

@@ -114,6 +114,39 @@ found AS (SELECT asked.*, d.local FROM asked LEFT JOIN dirs d ON d.h = th AND d.
 used AS (SELECT src, mod_path, nested, host, target, CASE WHEN local IS NOT NULL THEN 'package' WHEN rule = 0 THEN 'package-stdlib' ELSE 'package-external' END AS to_kind,
     coalesce(local, CASE WHEN rule = 0 THEN {_gid("package-stdlib", "mod_path", "target")} ELSE {_gid("package-external", "mod_path", "target")} END) AS dst FROM found)"""
 
+_NAME = "decode(from_base64(rpad(translate(part, '-_', '+/'), CAST(length(part) + (4 - length(part) % 4) % 4 AS INTEGER), '=')))"
+#: What packages show, by the rules for each kind of line.
+_LINES = f"""module_ AS (SELECT DISTINCT mod_path, host, nested FROM own),
+version_ AS (SELECT mod_path, {_gid("go-version", "mod_path", "''")} AS dst, CASE WHEN nested THEN 'go version go=1.16'
+    ELSE 'go version go=1.' || (length(host) % 4 + 18) || CASE WHEN length(host) % 2 = 0 THEN ',toolchain=go1.22.1' ELSE '' END END AS line FROM module_),
+package_ AS (SELECT DISTINCT {_gid("package", "mod_path", "pkg")} AS id, 'go package ' || pkg AS label, mod_path, host, lang FROM own
+    UNION SELECT src, 'go package-test ' || pkg, mod_path, host, lang FROM own WHERE is_test),
+lines AS (SELECT p.id, '1' AS key, v.line, v.dst, NULL AS module FROM package_ p JOIN version_ v ON v.mod_path = p.mod_path
+    UNION SELECT src, '2' || string_split(file, '/')[-1] || ' git:' || file, 'file ' || string_split(file, '/')[-1], 'git:' || file, NULL FROM own
+    UNION SELECT src, CASE to_kind WHEN 'package' THEN '3' WHEN 'package-stdlib' THEN '4' ELSE '5' END || line, line, dst, module FROM (SELECT src, to_kind, dst,
+        CASE to_kind WHEN 'package' THEN 'import ' || {_NAME} WHEN 'package-stdlib' THEN 'std import ' || target ELSE 'external import ' || target END AS line,
+        CASE WHEN to_kind = 'package-external' AND NOT nested AND target LIKE 'lib.example/a/deep/%' THEN 'lib.example/a/deep@v0.1.0'
+            WHEN to_kind = 'package-external' AND NOT nested AND target LIKE 'lib.example/a/%' THEN CASE WHEN length(host) % 3 = 0 THEN 'fork.example/a@v1.3.0' ELSE 'lib.example/a@v1.2.' || (length(host) % 3) END END AS module
+        FROM (SELECT *, split_part(dst, ':', 4) AS part FROM used)))"""
+#: Nodes of the printed tree: place, label, the entity and the one it stands below.
+_TREE = f"""host_ AS (SELECT DISTINCT host, 'git:' || host AS tree FROM placed),
+lang_ AS (SELECT DISTINCT host, lang FROM placed UNION SELECT host, 'en' FROM host_ WHERE length(host) % 3 = 0),
+targets_ AS (SELECT host, kind, 'target:' || kind || ':' || host || '/build.cfg:' || name AS id FROM host_, (VALUES ('codegen', 'go'), ('test', 'default'), ('lint', '0')) v(kind, name)),
+held AS (SELECT tree AS src, tree || '/' || f AS dst, f AS label FROM host_, (VALUES ('go.mod'), ('build.cfg')) v(f)
+    UNION SELECT 'git:' || host, 'git:' || host || '/' || lang, lang || '/' FROM lang_ UNION SELECT 'git:' || host, id, kind || ' ' || id FROM targets_
+    UNION SELECT 'git:' || host || '/' || lang, 'git:' || file, string_split(file, '/')[-1] FROM placed UNION SELECT tree || '/en', tree || '/en/go.mod', 'go.mod' FROM host_ WHERE length(host) % 3 = 0
+    UNION SELECT 'git:' || host || '/' || lang, id, label FROM package_),
+needs AS (SELECT t.id AS src, p.id AS dst, p.label FROM targets_ t JOIN package_ p ON p.host = t.host WHERE t.kind = 'codegen' AND p.label LIKE 'go package %'
+    UNION SELECT id, 'git:' || host || '/go.mod', host || '/go.mod' FROM targets_ WHERE kind <> 'lint' UNION SELECT id, 'git:' || host, 'git:' || host FROM targets_ WHERE kind = 'test'
+    UNION SELECT id, 'target:codegen:' || host || '/build.cfg:go', 'codegen go' FROM targets_ WHERE kind = 'test'),
+walk AS (SELECT ['0' || tree] AS place, host || '/' AS label, tree AS id, 'git:' AS parent FROM host_
+    UNION ALL SELECT list_append(w.place, '0' || h.dst), h.label, h.dst, h.src FROM walk w JOIN held h ON h.src = w.id),
+upper_ AS (SELECT * FROM walk UNION ALL SELECT list_append(w.place, '0' || n.dst), n.label, n.dst, n.src FROM walk w JOIN needs n ON n.src = w.id),
+nodes AS (SELECT * FROM upper_ UNION ALL SELECT list_append(u.place, l.key), l.line, l.dst, l.id FROM upper_ u JOIN lines l ON l.id = u.id)"""
+_PRINTED = """flags AS (SELECT place, label, place = max(place) OVER (PARTITION BY place[:-2]) AS last FROM shown),
+    cut AS (SELECT place, unnest(range(1, len(place))) AS k FROM flags),
+    lead_ AS (SELECT c.place, string_agg(CASE WHEN f.last THEN '    ' ELSE '│   ' END, '' ORDER BY c.k) AS prefix FROM cut c JOIN flags f ON f.place = c.place[:c.k] GROUP BY c.place)
+    SELECT '' AS place, '.' AS line UNION ALL SELECT array_to_string(f.place, '|'), coalesce(l.prefix, '') || CASE WHEN f.last THEN '└── ' ELSE '├── ' END || f.label FROM flags f LEFT JOIN lead_ l ON l.place = f.place"""
 ORACLES = {
     "universe_entities": f"WITH {_BASE} SELECT id, kind FROM entities",
     "universe_edges": f"WITH {_BASE} SELECT src, dst, kind FROM edges",
@@ -245,24 +278,24 @@ ORACLES = {
     "nearest_settings": f"""WITH {_URLS}, d AS (SELECT page_id, host, host || '/' || split_part(path, '/', 1) AS dir FROM urls)
         SELECT 'page:' || page_id AS id, CASE WHEN length(dir) % 5 = 0 THEN 'run ' || dir WHEN length(host) % 2 = 0 THEN 'run ' || host ELSE 'run' END AS value FROM d""",
     "target_graph": f"WITH {_TARGETS} SELECT 'git:' || path || '/build.cfg' AS src, id AS dst, 'contains' AS kind FROM targets UNION ALL SELECT 'git:' || path, id, 'contains' FROM targets",
-    "config_rows": f"""WITH {_TARGETS} SELECT '//' || path || '/build.cfg#' || kind || CASE WHEN name = '' THEN '' ELSE '.' || name END AS key, id FROM targets
-        UNION SELECT '//' || path || '/build.cfg#' || name, id FROM targets WHERE name <> ''""",
-    "targets_by_kind": f"WITH {_TARGETS} SELECT kind, count(*) AS n, md5(string_agg(id, ',' ORDER BY path || '/build.cfg', idx, id)) AS ids_md5 FROM targets GROUP BY kind",
-    "package_lines": f"""WITH {_PACKAGES}, all_ AS (SELECT src, file, mod_path, nested, host, pkg, is_test FROM own),
-        ids AS (SELECT DISTINCT src AS id, nested, host FROM all_ UNION SELECT {_gid("package", "mod_path", "pkg")}, nested, host FROM all_)
-        SELECT id, '0 version' AS part, CASE WHEN nested THEN 'go 1.16' ELSE 'go 1.' || (length(host) % 4 + 18) || CASE WHEN length(host) % 2 = 0 THEN ' go1.22.1' ELSE '' END END AS line FROM ids
-        UNION SELECT src, '1 file', string_split(file, '/')[-1] FROM all_
-        UNION SELECT src, CASE to_kind WHEN 'package' THEN '2 local' WHEN 'package-stdlib' THEN '3 built in' ELSE '4 external' END, CASE WHEN to_kind = 'package' THEN decode(from_base64(rpad(translate(part, '-_', '+/'),
-                CAST(length(part) + (4 - length(part) % 4) % 4 AS INTEGER), '='))) ELSE target || CASE WHEN to_kind = 'package-external' AND NOT nested AND target LIKE 'lib.example/a/deep/%' THEN ' (lib.example/a/deep@v0.1.0)'
-                WHEN to_kind = 'package-external' AND NOT nested AND target LIKE 'lib.example/a/%' THEN CASE WHEN length(host) % 3 = 0 THEN ' (fork.example/a@v1.3.0)' ELSE ' (lib.example/a@v1.2.' || (length(host) % 3) || ')' END ELSE '' END END
-            FROM (SELECT *, split_part(dst, ':', 4) AS part FROM used)""",
+    "config_rows": f"""WITH {_TARGETS} SELECT '//' || path || '/build.cfg#' || kind || '.' || CASE WHEN name = '' THEN CAST(idx AS VARCHAR) ELSE name END AS key, id FROM targets
+        UNION ALL SELECT DISTINCT '//' || path || '/build.cfg#shell', NULL FROM targets WHERE name = 'n7'""",
+    "targets_by_kind": f"WITH {_TARGETS} SELECT kind, row_number() OVER (PARTITION BY kind ORDER BY path || '/build.cfg', idx, id) - 1 AS place, id FROM targets",
+    "package_lines": f"""WITH {_PACKAGES}, {_LINES} SELECT id, key, CASE WHEN key = '1' THEN line || ' ' || right(dst, 3) WHEN key[1] = '5' AND module IS NOT NULL THEN line || ' (' || module || ')' ELSE line END AS line FROM lines""",
+    "graph_tree": f"""WITH RECURSIVE {_PACKAGES}, {_LINES}, {_TREE}, shown AS (SELECT place, label FROM nodes), {_PRINTED}""",
+    "cone_tree": f"""WITH RECURSIVE {_PACKAGES}, {_LINES}, {_TREE}, fresh AS (SELECT DISTINCT host, 'git:' || host || '/NEW.md' AS id FROM placed WHERE length(host) % 2 = 0),
+        followed AS (SELECT src, dst FROM held UNION SELECT 'git:' || host, id FROM fresh UNION SELECT 'git:', 'git:' || host FROM placed UNION SELECT src, dst FROM needs UNION SELECT src, dst FROM used
+            UNION SELECT src, 'git:' || file FROM own UNION SELECT src, {_gid("package", "mod_path", "pkg")} FROM own WHERE is_test UNION SELECT 'git:' || host || '/build.cfg', id FROM targets_),
+        cone AS (SELECT 'git:' || file AS id FROM own WHERE page_id % 7 = 0 UNION SELECT id FROM fresh UNION SELECT f.src FROM cone c JOIN followed f ON f.dst = c.id),
+        shown AS (SELECT place, label FROM nodes WHERE id IN (SELECT id FROM cone) AND parent IN (SELECT id FROM cone)
+            UNION SELECT ['0git:' || host, '0' || id], 'NEW.md' FROM fresh), {_PRINTED}""",
     "selector_trees": f"""WITH {_TARGETS} SELECT id, path AS tree, idx = 0 OR idx = 1 OR idx = 2 AND path = 'x/x/' || kind AS matches, path AS dir, path AS test_path FROM targets""",
     "compared_revisions": """WITH r AS (SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 2 = 0 THEN 'b' || (o_orderkey % 7) END, '') AS b, CASE WHEN o_orderkey % 5 = 0 THEN 'HEAD' WHEN o_orderkey % 5 = 1 THEN 'main' ELSE '' END AS h,
             o_orderkey % 11 < 3 AS w, o_orderkey % 13 < 6 AS d FROM orders),
         x AS (SELECT o_orderkey, CASE WHEN b <> '' THEN b WHEN w OR d THEN 'HEAD' ELSE 'HEAD^' END AS base, CASE WHEN h <> '' THEN h ELSE 'HEAD' END AS head, w OR (d AND h = '') AS with_edits,
             NOT w AND (b = '' OR h = '') AS asks FROM r)
         SELECT *, base || '..' || CASE WHEN NOT with_edits THEN head WHEN head = 'HEAD' THEN 'working tree' ELSE head || ' + working tree' END AS label FROM x""",
-    "dependency_lines": f"WITH {_BASE} SELECT src AS id, dst AS line FROM edges WHERE kind = 'depends-on'",
-    "import_labels": f"""WITH {_PACKAGES} SELECT src AS id, CASE WHEN is_test THEN 'package test ' ELSE 'package ' END || pkg AS label FROM own
-        UNION SELECT {_gid("package", "mod_path", "pkg")}, 'package ' || pkg FROM own UNION SELECT dst, dst FROM used WHERE to_kind <> 'package' UNION SELECT g, g FROM (SELECT {_gid("go-version", "mod_path", "''")} AS g FROM own)""",
+    "dependency_lines": f"WITH {_PACKAGES}, {_LINES}, {_TREE} SELECT src AS id, label AS line FROM needs",
+    "import_labels": f"""WITH {_PACKAGES} SELECT src AS id, CASE WHEN is_test THEN 'go package-test ' ELSE 'go package ' END || pkg AS label FROM own
+        UNION SELECT {_gid("package", "mod_path", "pkg")}, 'go package ' || pkg FROM own UNION SELECT dst, dst FROM used WHERE to_kind <> 'package' UNION SELECT g, g FROM (SELECT {_gid("go-version", "mod_path", "''")} AS g FROM own)""",
 }

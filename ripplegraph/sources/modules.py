@@ -138,10 +138,10 @@ def resolved_imports(wanted: DataFrame, mods: DataFrame, packages: DataFrame) ->
     return best.select("mod_path", "target", F.col("_to._dir").alias("to_dir"), F.col("_to._module_dir").alias("to_module_dir"))
 
 
-def package_graph(files: DataFrame, space: str = "go", files_space: str = "git") -> Graph:
+def package_graph(files: DataFrame, space: str = "go", files_space: str = "git", attached: bool = False) -> Graph:
     """Packages, their tests, and what they import: a local package, a built-in or an external one.
 
-    Local packages are found by ``resolved_imports``; without one, paths whose first segment has
+    If ``attached``, the tree of its sources contains each. Local packages are found by ``resolved_imports``; without one, paths whose first segment has
     no dot are built in.
     """
     mods, found = checkpointed(modules(files)), checkpointed(imports(files))
@@ -169,6 +169,8 @@ def package_graph(files: DataFrame, space: str = "go", files_space: str = "git")
         .union(edge(tests, F.col("id"), _id("package", F.col("mod_path"), F.col("name"), space), "tests"))
         .union(edge(every, F.col("id"), version(F.col("mod_path")), "go-version"))
     )
+    if attached:
+        edges = edges.union(edge(own.select("dir", "src").union(packages.select("dir", _id("package", F.col("mod_path"), F.col("name"), space))), F.concat(F.lit(f"{files_space}:"), F.col("dir")), F.col("src"), "contains"))
     return Graph(entities, edges.distinct())
 
 
@@ -205,6 +207,15 @@ def version_tokens(mods: DataFrame, wanted: DataFrame, strict: bool = False) ->
     return out.select("mod_path", "target", F.when(F.col("problem").isNull(), F.col("token")).otherwise(raised).alias("token"), "problem")
 
 
+def package_tokens(files: DataFrame, graph: Graph, space: str = "go", strict: bool = True) -> DataFrame:
+    """id, token: the language versions of modules, and the versions of external packages."""
+    mods = checkpointed(modules(files))
+    external = graph.entities.where(F.col("kind") == f"{space}:package-external").select("id", id_parts(F.col("id")).alias("p"))
+    wanted = external.select("p.mod_path", F.col("p.name").alias("target"))
+    found = version_tokens(mods, wanted, strict).where("token is not null").select(_id("package-external", F.col("mod_path"), F.col("target"), space).alias("id"), "token")
+    return go_version_tokens(mods, space).union(found)
+
+
 def package_test_directories(graph: Graph, space: str = "go", files_space: str = "git") -> DataFrame:
     """id, dir, module: the directory of each test package: that of its source files; none in the root."""
     tests = graph.entities.where(F.col("kind") == f"{space}:package-test").select("id")

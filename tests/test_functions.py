@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ripplegraph.functions import config, paths, selectors
 from ripplegraph.model import GraphError
 from ripplegraph.operators.hashing import uvarint
-from ripplegraph.plans import render
+from ripplegraph.plans import tree
 from ripplegraph.plans.registry import Builder, Sensor
 from ripplegraph.sources import git, modules
 
@@ -105,39 +105,39 @@ def test_git_objects(spark, tmp_path):
     graph = git.object_graph(objects)
     assert ("git:pkg", "git:pkg/a.go", "contains") in {tuple(r) for r in graph.edges.collect()}
     assert git.object_tokens(objects).where("id = 'git:pkg'").first().token.startswith("git-tree:")
-    assert [r.line for r in render.tree_lines(graph, "git:").collect()] == [".", "  README ü.md", "  pkg", "    a.go"]
+    assert [r.line for r in tree.tree_lines(graph, "git:").orderBy("place").collect()] == [".", "├── README ü.md", "└── pkg/", "    └── a.go"]
     with pytest.raises(Exception, match="bad listing line"):
         git.parsed_listing(spark.createDataFrame([("160000 commit " + "a" * 40 + "\tsub",)], "value string")).collect()
 
 
-GO = {
-    "go.mod": "module example.com/root // here\n\ngo 1.20\ntoolchain default\nrequire (\n\tx.org/dep v1.2.0\n\tx.org/dep/v2 v2.0.0\n)\nreplace x.org/dep v1.2.0 => y.org/fork v1.9.0\n",
-    "main.go": 'package main\n\nimport (\n\t"fmt"\n\tc "example.com/root/cmd"\n\t_ "x.org/dep/v2/sub" // why\n)\n\nfunc main() { x := `import "no"` }\n',
-    "cmd/cmd.go": 'package cmd\n\n/* import "not/this" */\nimport "example.com/root/internal/value"\nimport "C"\n',
-    "cmd/cmd_test.go": 'package cmd\n\nimport "testing"\n',
-    "internal/value/value.go": "package value\n\nconst Value = 1\n",
+WEATHER = {
+    "station/go.mod": "module weather.test/station\n\ngo 1.22 // since spring\ntoolchain local\nrequire probe.test/io v0.4.1\nrequire (\n\tprobe.test/io/serial/v3 v3.0.2\n)\nreplace probe.test/io v0.4.1 => mirror.test/io v0.4.9\n",
+    "station/gauge/rain.go": 'package gauge\n\nimport "sync"\nimport wire "probe.test/io/serial/v3/port"\n',
+    "station/gauge/wind.go": "package gauge\n",
+    "station/gauge/wind_test.go": 'package gauge\n\nimport ("testing"; "weather.test/station/report")\n',
+    "station/report/report.go": '// Package report prints.\npackage report\n\nimport (\n\t"C"\n\t. "weather.test/station/gauge"\n\t"probe.test/io"\n)\n',
+    "loose/alone.go": "package alone\n",
 }
 
 
 def test_packages(spark):
-    files = spark.createDataFrame(list(GO.items()), "path string, text string")
+    files = spark.createDataFrame(list(WEATHER.items()), "path string, text string")
     mod = modules.modules(files).first()
-    assert (mod.module, mod.go, mod.toolchain) == ("example.com/root", "1.20", None)
-    assert [tuple(r) for r in mod.requires] == [("x.org/dep", "v1.2.0"), ("x.org/dep/v2", "v2.0.0")] and tuple(mod.replaces[0]) == ("x.org/dep", "v1.2.0", "y.org/fork", "v1.9.0")
-    assert {(r.path, r.target) for r in modules.imports(files).collect()} == {("main.go", "fmt"), ("main.go", "example.com/root/cmd"), ("main.go", "x.org/dep/v2/sub"), ("cmd/cmd.go", "example.com/root/internal/value"), ("cmd/cmd_test.go", "testing"), ("internal/value/value.go", None)}
+    assert (mod.dir, mod.module, mod.go, mod.toolchain) == ("station", "weather.test/station", "1.22", None)
+    assert [tuple(r) for r in mod.requires] == [("probe.test/io", "v0.4.1"), ("probe.test/io/serial/v3", "v3.0.2")] and tuple(mod.replaces[0]) == ("probe.test/io", "v0.4.1", "mirror.test/io", "v0.4.9")
+    found = {}
+    for r in modules.imports(files).collect():
+        found.setdefault(r.path.rpartition("/")[2], set()).add(r.target)
+    assert found == {
+        "rain.go": {"sync", "probe.test/io/serial/v3/port"}, "wind.go": {None}, "wind_test.go": {"testing", "weather.test/station/report"},
+        "report.go": {"weather.test/station/gauge", "probe.test/io"}, "alone.go": {None},
+    }
     g = modules.package_graph(files)
-    kinds = {}
-    for r in g.entities.collect():
-        kinds[r.kind] = kinds.get(r.kind, 0) + 1
-    assert kinds == {"go:package": 3, "go:package-test": 1, "go:package-stdlib": 2, "go:package-external": 1, "go:go-version": 1}
-    edges = {}
-    for r in g.edges.collect():
-        edges[r.kind] = edges.get(r.kind, 0) + 1
-    assert edges == {"imports": 5, "source-file": 4, "tests": 1, "go-version": 7}
-    wanted = spark.createDataFrame([("go.mod", "x.org/dep/v2/sub"), ("go.mod", "x.org/dep/a"), ("go.mod", "z.org/none")], "mod_path string, target string")
-    tokens = {r.target: r.token for r in modules.version_tokens(modules.modules(files), wanted).collect()}
-    assert tokens == {"x.org/dep/v2/sub": "go-module:x.org/dep/v2@v2.0.0", "x.org/dep/a": "go-module:y.org/fork@v1.9.0", "z.org/none": None}
-    assert [r.token for r in modules.go_version_tokens(modules.modules(files)).collect()] == ["go-version:go=1.20"]
+    count = lambda rows: {k: sum(r.kind == k for r in rows) for k in {r.kind for r in rows}}
+    assert count(g.entities.collect()) == {"go:package": 2, "go:package-test": 1, "go:package-stdlib": 2, "go:package-external": 2, "go:go-version": 1}
+    assert count(g.edges.collect()) == {"imports": 6, "source-file": 4, "tests": 1, "go-version": 7}
+    assert count(modules.package_graph(files, attached=True).edges.collect())["contains"] == 3
+    assert {r.token for r in modules.package_tokens(files, g).collect()} == {"go-version:go=1.22", "go-module:mirror.test/io@v0.4.9", "go-module:probe.test/io/serial/v3@v3.0.2"}
 
 
 def local_imports(spark, files):

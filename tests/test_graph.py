@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from ripplegraph.model import Graph, GraphError, Snapshot
+from ripplegraph.model import Graph, GraphError, Scratch, Snapshot, checkpointed
 from ripplegraph.operators import closure as reach
 from ripplegraph.operators import delta, graph, hashing
 
@@ -137,7 +137,7 @@ def slow_sum(i, reached, tokens):
     return hashlib.sha256(hashing.PREFIX + entry(i) + varint(len(reached)) + b"".join(entry(x) for x in sorted(reached, key=str.encode))).hexdigest()
 
 
-def test_random_graphs_equal_a_slow_walk(spark):
+def test_random_graphs_equal_a_slow_walk(spark, monkeypatch):
     rng = random.Random(7)
     ids, edges, tokens = [], [], {}
     for g in range(60):  # all graphs in one, as they have no nodes in common
@@ -149,17 +149,86 @@ def test_random_graphs_equal_a_slow_walk(spark):
 
     reached = {i: walk([(a, b) for a in below if a[:3] == i[:3] for b in below[a]], i) for i in ids}
     s = world(spark, tokens, edges, ids)
+    s = Snapshot(s.graph, s.tokens, ("dep",))
     deps = graph.dependencies(s.graph.edges, ("dep",))
-    found = reach.closure(deps)
+    whole = reach.reach(deps)
+    found = reach.to_ids(whole.expanded(), whole.names, "src", "dst")
     assert {tuple(r) for r in found.collect()} == {(i, x) for i in ids for x in reached[i]}
-    sums = {r.id: (r.n, r["sum"]) for r in hashing.content_sums(s.graph.entities, found, s.tokens).collect()}
-    assert sums == {i: (len(reached[i]), slow_sum(i, reached[i], tokens)) for i in ids}
+    wanted = {i: (len(reached[i]), slow_sum(i, reached[i], tokens)) for i in ids}
+    for most in (hashing.AT_ONCE, 5000, 0):  # hashed as one value, some so, or all as they stream by
+        monkeypatch.setattr(hashing, "AT_ONCE", most)
+        assert {r.id: (r.n, r["sum"]) for r in hashing.content_sums(s.graph.entities, whole, s.tokens).collect()} == wanted
+    some = s.graph.entities.where("id like '%n03%' or id like 'g05%'")
+    assert {r.id: (r.n, r["sum"]) for r in delta.sums_of(s, some).collect()} == {i: wanted[i] for i in ids if "n03" in i or i.startswith("g05")}
+    assert {r.id: (r.n, r.least, r.most) for r in reach.sizes(deps).collect()} == {i: (len(x), min(x, key=str.encode), max(x, key=str.encode)) for i, x in reached.items() if x}
     scc = {r.id: r.scc for r in reach.components(s.graph.entities, deps).collect()}
     assert scc == {i: min([i, *(x for x in reached[i] if i in reached[x])], key=str.encode) for i in ids}
     seeds = spark.createDataFrame([(i,) for i in ids[::9]], "id string")
     assert {r.id for r in reach.dependents(deps, seeds).collect()} == {i for i in ids if i in ids[::9] or reached[i] & set(ids[::9])}
 
 
+@pytest.fixture
+def rounds(monkeypatch):
+    """Counts the rounds of spreading and of pairs, and the tables that are left of them."""
+    seen = {"joins": 0}
+    plain = reach._joined
+    monkeypatch.setattr(reach, "_joined", lambda *a: seen.update(joins=seen["joins"] + 1) or plain(*a))
+    return seen
+
+
+def _frame(spark, pairs):
+    return spark.createDataFrame(pairs, "src string, dst string")
+
+
+def test_a_long_chain_takes_few_rounds(spark, rounds):
+    n = 10_000
+    ids = [f"{(k * 7919) % n:05}" for k in range(n)]
+    deps = _frame(spark, list(zip(ids, ids[1:])))
+    ends = spark.createDataFrame([(ids[-1],)], "id string")
+    assert reach.dependents(deps, ends).count() == n and rounds["joins"] < 20
+    found = {r.id: r.layer for r in delta.frontiers(spark.createDataFrame([(i,) for i in ids], "id string"), ends.limit(0), deps).collect()}
+    assert found == {i: n - 1 - k for k, i in enumerate(ids)} and rounds["joins"] < 80
+
+
+def test_a_long_ring_and_nested_rings_are_components(spark, rounds):
+    n = 5_000
+    ids = [f"r{(k * 4093) % n:04}" for k in range(n)]
+    ring = list(zip(ids, [*ids[1:], ids[0]]))
+    nested = [("a1", "a2"), ("a2", "a3"), ("a3", "a1"), ("a2", "b1"), ("b1", "b2"), ("b2", "a2"), ("b1", "c1"), ("c1", "c2"), ("c2", "c1"), ("c2", "d"), (ids[9], "a1")]
+    every = sorted({x for e in ring + nested for x in e})
+    found = {r.id: r.scc for r in reach.components(spark.createDataFrame([(i,) for i in every], "id string"), _frame(spark, ring + nested)).collect()}
+    assert found == {i: "r0000" if i[0] == "r" else "c1" if i[0] == "c" else "d" if i == "d" else "a1" for i in every}
+    assert rounds["joins"] < 60
+    whole = reach.reach(_frame(spark, ring + nested))
+    assert whole.pairs.count() == 6 and whole.members.count() == n + 7  # of four components, whatever their size
+
+
+def test_layers_of_a_ladder_and_a_tail(spark):
+    """Steps that would be too many when doubled are not: hubs in a row."""
+    pairs = [(f"h{k:02}", f"x{k:02}-{j}") for k in range(14) for j in range(30)] + [(f"x{k:02}-{j}", f"h{k + 1:02}") for k in range(13) for j in range(30)]
+    ids = sorted({x for p in pairs for x in p})
+    deps = _frame(spark, pairs)
+    found = {r.id: r.layer for r in delta.frontiers(spark.createDataFrame([(i,) for i in ids], "id string"), spark.createDataFrame([], "id string"), deps).collect()}
+    assert found == {i: 2 * (13 - int(i[1:3])) + (i[0] == "h") for i in ids}
+    assert reach.dependents(deps, spark.createDataFrame([("x13-0",)], "id string")).count() == 1 + 14 + 13 * 30
+
+
+def test_scratch_deletes_what_is_not_kept(spark):
+    import os
+
+    table = lambda: checkpointed(spark.range(3))
+    there = lambda df: os.path.exists(df._table.removeprefix("file:"))
+    with Scratch(spark.range(1)) as outer:
+        with Scratch(spark.range(1)) as inner:
+            a, b, c = table(), table(), table()
+            inner.keep(b)
+            inner.drop(c)
+            assert there(a) and not there(c)
+        assert not there(a) and there(b) and b.count() == 3
+        assert b._table in outer.paths
+    assert not there(b)
+
+
 def test_rules_of_graphs(spark):
     s = world(spark)
     assert graph.validated(s.graph) is s.graph
