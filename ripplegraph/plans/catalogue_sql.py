@@ -121,13 +121,13 @@ version_ AS (SELECT mod_path, {_gid("go-version", "mod_path", "''")} AS dst, CAS
     ELSE 'go version go=1.' || (length(host) % 4 + 18) || CASE WHEN length(host) % 2 = 0 THEN ',toolchain=go1.22.1' ELSE '' END END AS line FROM module_),
 package_ AS (SELECT DISTINCT {_gid("package", "mod_path", "pkg")} AS id, 'go package ' || pkg AS label, mod_path, host, lang FROM own
     UNION SELECT src, 'go package-test ' || pkg, mod_path, host, lang FROM own WHERE is_test),
-lines AS (SELECT p.id, '1' AS key, v.line, v.dst, NULL AS module FROM package_ p JOIN version_ v ON v.mod_path = p.mod_path
+lines AS (SELECT p.id, '1' AS key, v.line, v.dst, CAST(NULL AS VARCHAR) AS module FROM package_ p JOIN version_ v ON v.mod_path = p.mod_path
     UNION SELECT src, '2' || string_split(file, '/')[-1] || ' git:' || file, 'file ' || string_split(file, '/')[-1], 'git:' || file, NULL FROM own
     UNION SELECT src, CASE to_kind WHEN 'package' THEN '3' WHEN 'package-stdlib' THEN '4' ELSE '5' END || line, line, dst, module FROM (SELECT src, to_kind, dst,
         CASE to_kind WHEN 'package' THEN 'import ' || {_NAME} WHEN 'package-stdlib' THEN 'std import ' || target ELSE 'external import ' || target END AS line,
         CASE WHEN to_kind = 'package-external' AND NOT nested AND target LIKE 'lib.example/a/deep/%' THEN 'lib.example/a/deep@v0.1.0'
             WHEN to_kind = 'package-external' AND NOT nested AND target LIKE 'lib.example/a/%' THEN CASE WHEN length(host) % 3 = 0 THEN 'fork.example/a@v1.3.0' ELSE 'lib.example/a@v1.2.' || (length(host) % 3) END END AS module
-        FROM (SELECT *, split_part(dst, ':', 4) AS part FROM used)))"""
+        FROM (SELECT *, split_part(dst, ':', 4) AS part FROM used WHERE to_kind <> 'package' OR dst IN (SELECT src FROM own WHERE NOT is_test))))"""
 #: Nodes of the printed tree: place, label, the entity and the one it stands below.
 _TREE = f"""host_ AS (SELECT DISTINCT host, 'git:' || host AS tree FROM placed),
 lang_ AS (SELECT DISTINCT host, lang FROM placed UNION SELECT host, 'en' FROM host_ WHERE length(host) % 3 = 0),

@@ -118,7 +118,7 @@ def _with_last(edges: DataFrame, key: str) -> DataFrame:
 def _placed(parents: DataFrame, children: DataFrame) -> DataFrame:
     """A row for each child of each place: its place, and what the lines of its own children begin with."""
     at = parents.select(F.col("id").alias("src"), F.col("place").alias("_up"), F.col("lead").alias("_lead"))
-    found = at.join(children, "src").where(~F.array_contains("_up", F.col("key")))
+    found = at.join(children, "src").where((F.col("goes") != "tree") | ~F.array_contains("_up", F.col("key")))
     return found.select(
         F.concat("_up", F.array("key")).alias("place"),
         F.concat("_lead", F.when(F.col("last"), LAST).otherwise(MID), "text").alias("line"),
