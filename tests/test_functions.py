@@ -205,14 +205,14 @@ def test_numbers_dates_and_formats(spark):
 
 
 def test_scanner(spark):
-    files = spark.createDataFrame(list(GO.items()), "path string, text string")
+    files = spark.createDataFrame(list(WEATHER.items()), "path string, text string")
     objects = files.select("path", F.lit("blob").alias("kind"), git.blob_id(F.col("text").cast("binary")).alias("oid"), F.lit("git").alias("source"))
     tree = Sensor("git", lambda _: git.object_graph(git.with_trees(objects)), lambda _: git.object_tokens(objects), ("contains",))
     go = Sensor("go", lambda _: modules.package_graph(files), lambda _: files.limit(0).select(F.col("path").alias("id"), F.col("text").alias("token")), ("imports", "source-file", "tests", "go-version"), decode=lambda i: ":".join(i.split(":")[:2]))
     scanner = Builder().attach(go).attach(tree).compile()
     assert [s.namespace for s in scanner.sensors] == ["git", "go"] and scanner.decode("go:package:go.mod:eA") == "go:package"
     snapshot = scanner.capture(None)
-    assert snapshot.tokens.count() == 5 and "tests" in snapshot.followed
+    assert snapshot.tokens.count() == 6 and "tests" in snapshot.followed
     for bad in (Sensor("go", decode=str), Sensor("", decode=str), Sensor("x"), Sensor("x", followed=("a",))):
         with pytest.raises(GraphError):
             Builder().attach(go).attach(bad)

@@ -2,7 +2,7 @@ import pytest
 
 from ripplegraph.model import Graph, GraphError, Snapshot
 from ripplegraph.operators import graph as graphs
-from ripplegraph.operators import targets
+from ripplegraph.operators import delta, targets
 from ripplegraph.plans import tree
 from ripplegraph.sources import git, modules
 
@@ -28,7 +28,7 @@ def snapshot(spark, files):
     barn = next(r.id for r in packages.entities.where("kind = 'go:package'").select("id", modules.id_parts(packages.entities.id).alias("p")).collect() if r.p.name.endswith("/barn"))
     needs = spark.createDataFrame([(a, b.replace("BARN", barn), "depends-on") for a, b in NEEDS], "src string, dst string, kind string")
     g = graphs.absorbed(git.object_graph(objects), packages, targets.projected(declared), Graph(packages.entities.limit(0), needs))
-    return Snapshot(g, git.object_tokens(objects).union(modules.package_tokens(table, packages)), ("contains", "depends-on", "imports", "source-file", "tests", "go-version"))
+    return delta.materialised(Snapshot(g, git.object_tokens(objects).union(modules.package_tokens(table, packages)), ("contains", "depends-on", "imports", "source-file", "tests", "go-version")))
 
 
 def printed(df):
