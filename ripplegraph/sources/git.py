@@ -19,7 +19,7 @@ def parsed_listing(lines: DataFrame) -> DataFrame:
     A line is mode, type and id, a tab, and the path. Types other than blob and tree, and ids
     other than 40 hex digits that aren't all zero, are errors.
     """
-    head, path = F.substring_index("value", "\t", 1), F.substring_index("value", "\t", -1)
+    head, path = F.substring_index("value", "\t", 1), F.regexp_replace("value", "^[^\t]*\t", "")
     part = F.split(head, " ")
     good = F.contains(F.col("value"), F.lit("\t")) & (F.size(part) == 3) & part[1].isin("blob", "tree") & part[2].rlike("^[0-9a-f]{40}$") & ~part[2].rlike("^0+$")
     checked = F.when(good, path).otherwise(F.raise_error(F.concat(F.lit("bad listing line: "), F.col("value"))))
