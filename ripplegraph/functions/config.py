@@ -7,15 +7,15 @@ functions of Spark with a fallback.
 
 from __future__ import annotations
 
-import ipaddress
 import re
-import uuid
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ripplegraph.functions.addresses import cidrhost, cidrnetmask, cidrsubnet, cidrsubnets, uuidv5
+from ripplegraph.functions.records import csvdecode
+
 
 def base64encode(x: Column) -> Column:
     return F.regexp_replace(F.base64(F.encode(x, "UTF-8")), "[\r\n]", "")
@@ -217,39 +217,6 @@ def urlencode(x: Column) -> Column:
     return F.url_encode(x)
 
 
-def uuidv5(space: uuid.UUID, x: Column) -> Column:
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: None if v is None else str(uuid.uuid5(space, v)))
-
-    return run(x)
-
-
-def _of_cidr(x: Column, give) -> Column:
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: None if v is None else give(ipaddress.ip_network(v)))
-
-    return run(x)
-
-
-def cidrhost(x: Column, n: int) -> Column:
-    return _of_cidr(x, lambda net: str(net[n]))
-
-
-def cidrnetmask(x: Column) -> Column:
-    return _of_cidr(x, lambda net: str(net.netmask))
-
-
-def cidrsubnet(x: Column, bits: int, n: int) -> Column:
-    def give(net):
-        size = net.prefixlen + bits
-        start = int(net.network_address) + (n << (net.max_prefixlen - size))
-        return f"{ipaddress.ip_address(start)}/{size}"
-
-    return _of_cidr(x, give)
-
-
 def basename(p: Column) -> Column:
     return F.element_at(F.split(p, "/"), -1)
 
@@ -261,8 +228,8 @@ def dirname(p: Column) -> Column:
 #: Names of the language's functions, and what gives them over Columns.
 FUNCTIONS = {
     "abs": F.abs, "base64decode": lambda x: F.unbase64(x).cast("string"), "base64encode": base64encode, "ceil": F.ceil, "chomp": chomp, "chunklist": chunklist,
-    "cidrhost": cidrhost, "cidrnetmask": cidrnetmask, "cidrsubnet": cidrsubnet, "coalesce": F.coalesce, "coalescelist": coalescelist, "compact": compact,
-    "concat": F.concat, "contains": F.array_contains, "convert": lambda x, t: x.try_cast(t), "distinct": F.array_distinct, "element": element, "flatten": flatten,
+    "cidrhost": cidrhost, "cidrnetmask": cidrnetmask, "cidrsubnet": cidrsubnet, "cidrsubnets": cidrsubnets, "coalesce": F.coalesce, "coalescelist": coalescelist, "compact": compact,
+    "concat": F.concat, "contains": F.array_contains, "csvdecode": csvdecode, "convert": lambda x, t: x.try_cast(t), "distinct": F.array_distinct, "element": element, "flatten": flatten,
     "floor": F.floor, "format": format_, "formatdate": formatdate, "formatlist": formatlist, "indent": indent, "index": index,
     "join": lambda sep, a: F.array_join(a, sep), "jsondecode": F.parse_json, "jsonencode": F.to_json, "keys": keys, "length": F.size, "log": log, "lookup": lookup,
     "lower": F.lower, "max": F.greatest, "merge": merge, "min": F.least, "parseint": parseint, "pow": F.pow, "range": range_, "reverse": F.reverse,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -72,6 +74,29 @@ def relative(path: Column, directory: Column) -> Column:
     )
 
 
+def _plain(c: str) -> str:
+    """A character as itself in a regular expression."""
+    return c if c.isalnum() or c in "/_" or ord(c) > 127 else "\\" + c
+
+
+def _glob_class(pattern: str, start: int) -> tuple[str, int]:
+    """The expression of the class that begins at ``start``, and where it ends; no class matches a slash."""
+    at, parts = start + 1, []
+    negated = pattern[at : at + 1] in ("!", "^")
+    at += negated
+    while at < len(pattern) and (pattern[at] != "]" or not parts):
+        c = pattern[at]
+        if c == "\\":
+            at, c = at + 1, pattern[at + 1 : at + 2]
+            parts.append(_plain(c) if c else "")
+        else:
+            parts.append("-" if c == "-" and parts and pattern[at + 1 : at + 2] not in ("]", "") else _plain(c))
+        at += 1
+    if at >= len(pattern):
+        raise ValueError(f"bad pattern {pattern!r}")
+    return f"(?!/)[{'^' * negated}{''.join(parts)}]", at
+
+
 def glob_regex(pattern: str) -> str:
     """The regular expression of a glob: ``*``, ``?``, ``[…]``, ``{a,b}``, and ``**`` for any depth."""
     out, i, braces = "", 0, 0
@@ -88,11 +113,8 @@ def glob_regex(pattern: str) -> str:
         elif c == "?":
             out += "[^/]"
         elif c == "[":
-            end = pattern.find("]", i + 2)
-            if end < 0:
-                raise ValueError(f"bad pattern {pattern!r}")
-            inside = pattern[i + 1 : end]
-            out, i = out + "[" + ("^" + inside[1:] if inside[0] in "!^" else inside) + "]", end
+            inside, end = _glob_class(pattern, i)
+            out, i = out + inside, end
         elif c == "{":
             out, braces = out + "(?:", braces + 1
         elif c == "}" and braces:
@@ -102,9 +124,9 @@ def glob_regex(pattern: str) -> str:
         elif c == "\\":
             if i + 1 == len(pattern):
                 raise ValueError(f"bad pattern {pattern!r}")
-            out, i = out + "\\" + pattern[i + 1], i + 1
+            out, i = out + _plain(pattern[i + 1]), i + 1
         else:
-            out += c if c.isalnum() or c in "/_-" or ord(c) > 127 else "\\" + c
+            out += _plain(c)
         i += 1
     if braces:
         raise ValueError(f"bad pattern {pattern!r}")
@@ -112,4 +134,31 @@ def glob_regex(pattern: str) -> str:
 
 
 def glob_matches(path: Column, pattern: str) -> Column:
-    return path.rlike(glob_regex(pattern))
+    return path.rlike(whole_regex(pattern))
+
+
+def whole_regex(pattern: str) -> str:
+    """As ``glob_regex``, for Spark: of whole paths, line breaks in names included."""
+    return f"(?s){glob_regex(pattern)[:-1]}\\z"
+
+
+def glob_literals(pattern: str) -> tuple[int, int, str, str, str]:
+    """What a glob states without wildcards: depth, heads, head, by, tail.
+
+    ``depth`` is the number of segments of all that it matches, -1 where that varies; ``head`` the
+    first ``heads`` segments; ``tail`` the last name (``by`` is ``name``) or what follows its last
+    dot (``ext``), or nothing (``any``).
+    """
+    parts = pattern.split("/")
+    literal = re.compile(r"(?:[^*?\[\]{}\\]|\\[^/])*").fullmatch
+    bare = lambda part: re.sub(r"\\(.)", r"\1", part)
+    heads = next((k for k, part in enumerate(parts[:-1]) if not literal(part)), len(parts) - 1)
+    grouped = re.search(r"[\[{].*/.*[\]}]", pattern, re.DOTALL)
+    depth = -1 if "**" in pattern or grouped else len(parts)
+    by, tail, last = "any", "", parts[-1]
+    ending = re.fullmatch(r"[^\[\]{}\\]*[*?][^\[\]{}\\]*\.([^*?.\[\]{}\\]+)", last, re.DOTALL)
+    if literal(last) and not grouped:
+        by, tail = "name", bare(last)
+    elif ending and not grouped and not last.startswith("**."):
+        by, tail = "ext", ending[1]
+    return depth, heads, "/".join(map(bare, parts[:heads])), by, tail

@@ -10,7 +10,7 @@ from ripplegraph.functions import config, paths, selectors
 from ripplegraph.model import FOLLOWED, Graph, Snapshot, checkpointed
 from ripplegraph.operators import closure as reach
 from ripplegraph.operators import delta, graph, hashing, targets
-from ripplegraph.plans import registry, render, tree
+from ripplegraph.plans import config_queries, registry, render, tree
 from ripplegraph.plans.catalogue_sql import ORACLES
 from ripplegraph.sources import git, modules, universe
 from ripplegraph.sources.universe import read
@@ -523,8 +523,8 @@ _QUERIES = (
 
 
 def queries():
-    return {f.__name__: f for f in _QUERIES}
+    return {f.__name__: f for f in (*_QUERIES, *config_queries.QUERIES)}
 
 
 def oracle_sql():
-    return {k: v for k, v in ORACLES.items() if k in queries()}
+    return {k: v for k, v in (ORACLES | config_queries.ORACLES).items() if k in queries()}
