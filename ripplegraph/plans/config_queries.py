@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ripplegraph.functions import addresses, records
 from ripplegraph.functions.paths import parent
-from ripplegraph.operators import globs
+from ripplegraph.operators import dependencies, globs
 from ripplegraph.plans.catalogue_sql import _URLS
+from ripplegraph.sources import git
 from ripplegraph.sources.universe import read
 
 
@@ -85,7 +86,26 @@ def address_functions(spark, sf_dir):
     )
 
 
-QUERIES = (glob_table, glob_fileset, file_functions, csv_documents, csv_problems, address_functions)
+def dependency_values(spark, sf_dir):
+    """Nested values made for each part, told apart and joined to targets, parts and the files and trees that declare them."""
+    p = read(spark, sf_dir, "part")
+    k, folder = F.col("p_partkey"), F.lower(F.replace("p_type", F.lit(" "), F.lit("/")))
+    t = p.select(k.alias("k"), F.concat(F.lit("part:"), k).alias("id"), folder.alias("path"), F.concat(folder, F.lit("/build.cfg")).alias("file"), F.concat(F.lit("k"), k % 3).alias("kind"), F.concat(F.lit("n"), k % 50).alias("name"))
+    k = F.col("k")
+    text = lambda *c: F.concat(F.lit('"'), *c, F.lit('"'))
+    other = F.concat(F.lit("economy/"), F.regexp_replace("path", "^[^/]*/", ""), F.lit("/build.cfg#"))
+    odd = F.element_at(F.array(F.lit("null"), F.lit("7"), F.lit('{"a": "b"}'), F.lit("[[], []]"), F.lit('"nope/x"')), (k % 5 + 1).cast("int"))
+    body = F.concat(
+        F.lit("["), text(F.lit("target-name:"), "kind", F.lit("."), "name"), F.lit(", ["), text(F.lit("target-ref://"), other, "kind", F.lit("."), "name"), F.lit(', [["."], "build.cfg"]], '),
+        text(F.lit("id:part:"), (k * 3).cast("string")), F.lit(', "..", '), odd, F.lit("]"),
+    )
+    values = t.select("id", "file", F.parse_json(F.when(k % 4 == 0, text(F.lit("//"), "path")).otherwise(body)).alias("value"))
+    objects = git.with_trees(t.select(F.col("file").alias("path"), F.lit("blob").alias("kind"), F.lit("1" * 40).alias("oid"), F.lit("stored").alias("source")).distinct())
+    found = dependencies.dependencies(values, t.select("id", "file", "kind", "name"), t.select("id", F.lit("part").alias("kind")), objects)
+    return found.withColumn("place", F.array_join("place", "."))
+
+
+QUERIES = (glob_table, glob_fileset, file_functions, csv_documents, csv_problems, address_functions, dependency_values)
 
 _PLACES = f"""{_URLS}, own AS (SELECT p AS path, min(page_id) AS page_id, arg_min(coalesce(html, ''), page_id) AS html FROM full_ JOIN pages USING (page_id) GROUP BY p),
 place AS (SELECT *, string_split(path, '/')[1] AS host, string_split(path, '/')[-1] AS name, regexp_extract(path, '/([^/]*)/', 1) AS folder FROM own)"""
@@ -127,4 +147,13 @@ ORACLES = {
         {_shown("base")} || '/' || (34 - bits) || ' ' || {_shown("base + size // 4")} || '/' || (35 - bits) || ' ' || {_shown("base + size // 2")} || '/' || (33 - bits) AS parts,
         CASE {_SHORT} ELSE trim(s, ':') END AS host6,
         u[1:8] || '-' || u[9:12] || '-5' || u[14:16] || '-' || translate(u[17:17], '0123456789abcdef', '89ab89ab89ab89ab') || u[18:20] || '-' || u[21:32] AS name_id FROM o""",
+    "dependency_values": """WITH t AS (SELECT p_partkey AS k, 'part:' || p_partkey AS id, lower(replace(p_type, ' ', '/')) AS path, 'k' || (p_partkey % 3) AS kind, 'n' || (p_partkey % 50) AS name FROM part),
+        u AS (SELECT path, kind, name, min(id) AS dst, count(*) AS n FROM t GROUP BY ALL),
+        asked AS (SELECT id, '0' AS place, path, kind, name FROM t WHERE k % 4 <> 0 UNION ALL SELECT id, '1.0', 'economy/' || regexp_replace(path, '^[^/]*/', ''), kind, name FROM t WHERE k % 4 <> 0)
+        SELECT id, place, CASE WHEN n = 1 THEN dst END AS dst, CASE WHEN n = 1 THEN 'target:' || kind END AS kind, CASE WHEN n IS NULL THEN 'not declared' WHEN n > 1 THEN 'declared twice' END AS problem
+            FROM asked LEFT JOIN u USING (path, kind, name)
+        UNION ALL SELECT a.id, '2', b.id, CASE WHEN b.id IS NOT NULL THEN 'part' END, CASE WHEN b.id IS NULL THEN 'no such entity' END FROM t a LEFT JOIN t b ON b.k = a.k * 3 WHERE a.k % 4 <> 0
+        UNION ALL SELECT id, '1.1.0.0', 'git:' || path, 'git:tree', NULL FROM t WHERE k % 4 <> 0 UNION ALL SELECT id, '1.1.1', 'git:' || path || '/build.cfg', 'git:blob', NULL FROM t WHERE k % 4 <> 0
+        UNION ALL SELECT id, '3', 'git:' || regexp_replace(path, '/?[^/]*$', ''), 'git:tree', NULL FROM t WHERE k % 4 <> 0 UNION ALL SELECT id, '', 'git:' || path, 'git:tree', NULL FROM t WHERE k % 4 = 0
+        UNION ALL SELECT id, '4', NULL, NULL, CASE k % 5 WHEN 0 THEN 'null' WHEN 4 THEN 'not found' ELSE 'neither a text nor a list' END FROM t WHERE k % 4 <> 0 AND k % 5 <> 3""",
 }
