@@ -1,7 +1,8 @@
 """Address ranges and name-based ids, as column expressions over whole numbers.
 
 An address of either family is four words of 32 bits, the first the highest; an IPv4 address has
-only the last. Nothing leaves the JVM.
+only the last. Nothing leaves the JVM. What a formula needs more than once is bound to a name, as the
+expression would otherwise hold it, and all that it is made of, once for each place.
 """
 
 from __future__ import annotations
@@ -12,7 +13,9 @@ from fractions import Fraction
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_WORD, _ALL = 32, (1 << 32) - 1
+from ripplegraph.functions.paths import bound
+
+_ALL = (1 << 32) - 1
 _OCTET = r"(?:0|[1-9]\d?|1\d\d|2[0-4]\d|25[0-5])"
 _IPV4 = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
 
@@ -33,31 +36,56 @@ def _ipv4(x: Column) -> Column:
     return F.aggregate(F.split(x, r"\."), F.lit(0).cast("bigint"), lambda n, o: n * 256 + o.cast("bigint"))
 
 
+def _plain(x: Column) -> Column:
+    """An IPv6 address with an IPv4 ending written as two groups."""
+
+    def with_ending(ending: Column) -> Column:
+        in_hex = bound(_ipv4(ending), lambda n: F.concat(F.lower(F.hex(_right(n, F.lit(16)))), F.lit(":"), F.lower(F.hex(n.bitwiseAND(65535)))))
+        return F.when(ending == "", x).otherwise(F.concat(F.substring(x, F.lit(1), F.length(x) - F.length(ending)), in_hex))
+
+    return bound(F.regexp_extract(x, rf"(?<=:){_IPV4}\z", 0), with_ending)
+
+
 def _groups(x: Column) -> Column:
     """The eight groups of an IPv6 address as numbers, or null: ``::`` filled, an IPv4 ending as two groups."""
-    ending = F.regexp_extract(x, rf"(?<=:){_IPV4}\z", 0)
-    n = _ipv4(F.when(ending != "", ending))
-    in_hex = F.concat(F.lower(F.hex(_right(n, F.lit(16)))), F.lit(":"), F.lower(F.hex(n.bitwiseAND(65535))))
-    plain = F.when(ending != "", F.concat(F.substring(x, F.lit(1), F.length(x) - F.length(ending)), in_hex)).otherwise(x)
-    listed = lambda s: F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, ":"))
-    left, right = listed(F.substring_index(plain, "::", 1)), listed(F.regexp_extract(plain, r"(?s)::(.*)\z", 1))
-    filled = F.when(F.contains(plain, F.lit("::")), F.concat(left, F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - F.size(left) - F.size(right))), right)).otherwise(left)
-    sound = (F.size(filled) == 8) & F.forall(filled, lambda g: g.rlike(r"\A[0-9A-Fa-f]{1,4}\z")) & (~F.contains(plain, F.lit("::")) | (F.size(left) + F.size(right) < 8))
-    return F.when(sound, F.transform(filled, lambda g: F.conv(g, 16, 10).cast("bigint")))
+    listed = lambda s: F.filter(F.split(s, ":"), lambda g: s != "")
+
+    def filled(y: Column) -> Column:
+        n = 8 - F.size(y["left"]) - F.size(y["right"])
+        return F.when(~y["open"], y["left"]).when(n > 0, F.concat(y["left"], F.array_repeat(F.lit("0"), n), y["right"]))
+
+    def sides(plain: Column) -> Column:
+        left, right = F.substring_index(plain, "::", 1), F.regexp_extract(plain, r"(?s)::(.*)\z", 1)
+        return F.struct(F.contains(plain, F.lit("::")).alias("open"), bound(left, listed).alias("left"), bound(right, listed).alias("right"))
+
+    def numbers(groups: Column) -> Column:
+        sound = (F.size(groups) == 8) & F.forall(groups, lambda g: g.rlike(r"\A[0-9A-Fa-f]{1,4}\z"))
+        return F.when(sound, F.transform(groups, lambda g: F.conv(g, 16, 10).cast("bigint")))
+
+    return bound(bound(bound(_plain(x), sides), filled), numbers)
+
+
+def _paired(groups: Column) -> Column:
+    return F.when(groups.isNotNull(), _words(lambda k: F.get(groups, 2 * k) * 65536 + F.get(groups, 2 * k + 1)))
 
 
 def parsed(cidr: Column) -> Column:
     """v4, length (of 128 bits: 96 more for IPv4) and words of a range such as ``10.1.2.3/16``; bad ones are errors."""
-    address, length = F.regexp_extract(cidr, r"\A([^/]*)/(?:0|[1-9]\d{0,2})\z", 1), F.regexp_extract(cidr, r"/(0|[1-9]\d{0,2})\z", 1).try_cast("int")
-    v4 = address.rlike(rf"\A{_IPV4}\z")
     zero = F.lit(0).cast("bigint")
-    words = F.when(v4, F.array(zero, zero, zero, _ipv4(F.when(v4, address)))).otherwise(
-        F.transform(F.array(_groups(F.when(~v4, address))), lambda g: F.when(g.isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.get(g, 2 * k) * 65536 + F.get(g, 2 * k + 1))))[0]
-    )
-    bits = F.when(v4, length + 96).otherwise(length)
-    made = F.struct(v4.alias("v4"), bits.alias("length"), words.alias("words"))
-    good = (address != "") & words.isNotNull() & (bits <= 128)
-    return F.when(cidr.isNull(), None).when(F.coalesce(good, F.lit(False)), made).otherwise(_error("bad address range", cidr))
+
+    def split(c: Column) -> Column:
+        address, length = F.regexp_extract(c, r"\A([^/]*)/(?:0|[1-9]\d{0,2})\z", 1), F.regexp_extract(c, r"/(0|[1-9]\d{0,2})\z", 1).try_cast("int")
+        return F.struct(c.alias("text"), address.alias("address"), address.rlike(rf"\A{_IPV4}\z").alias("v4"), length.alias("length"))
+
+    def read(x: Column) -> Column:
+        words = F.when(x["v4"], F.array(zero, zero, zero, _ipv4(x["address"]))).otherwise(bound(_groups(x["address"]), _paired))
+        return F.struct(x["v4"].alias("v4"), F.when(x["v4"], x["length"] + 96).otherwise(x["length"]).alias("length"), words.alias("words"))
+
+    def judged(x: Column) -> Column:
+        good = lambda r: (x["address"] != "") & r["words"].isNotNull() & (r["length"] <= 128)
+        return bound(read(x), lambda r: F.when(F.coalesce(good(r), F.lit(False)), r).otherwise(_error("bad address range", x["text"])))
+
+    return F.when(cidr.isNotNull(), bound(bound(cidr, split), judged))
 
 
 def _mask(length: Column, k: Column) -> Column:
@@ -78,8 +106,7 @@ def _words(give) -> Column:
 
 def _text(v4: Column, words: Column) -> Column:
     """An address as written: IPv6 in lower case, its first longest run of two zeros or more as ``::``."""
-    w = F.get(words, F.lit(3))
-    octets = F.concat_ws(".", *[_right(w, F.lit(s)).bitwiseAND(255).cast("string") for s in (24, 16, 8, 0)])
+    octets = bound(F.get(words, F.lit(3)), lambda w: F.concat_ws(".", *[_right(w, F.lit(s)).bitwiseAND(255).cast("string") for s in (24, 16, 8, 0)]))
     pairs = F.flatten(F.transform(words, lambda x: F.array(_right(x, F.lit(16)), x.bitwiseAND(65535))))
     joined = F.concat(F.lit(":"), F.array_join(F.transform(pairs, lambda g: F.lower(F.hex(g))), ":"), F.lit(":"))
 
@@ -92,13 +119,14 @@ def _text(v4: Column, words: Column) -> Column:
             out = F.when(at > 0, short) if out is None else out.when(at > 0, short)
         return out.otherwise(F.btrim(s, F.lit(":")))
 
-    return F.when(v4, octets).otherwise(F.transform(F.array(joined), shortened)[0])
+    return F.when(v4, octets).otherwise(bound(joined, shortened))
 
 
-def _of(cidr: Column, give) -> Column:
-    """``give`` of the range, parsed once and without what lies below its mask."""
+def _of(cidr: Column, n: Column, give) -> Column:
+    """``give`` of the range, read once and without what lies below its mask, of the number and of the range's text."""
     clear = lambda r: F.struct(r["v4"].alias("v4"), r["length"].alias("length"), _words(lambda k: F.get(r["words"], k).bitwiseAND(_mask(r["length"], k))).alias("words"))
-    return F.when(cidr.isNotNull(), F.transform(F.transform(F.array(parsed(cidr)), clear), give)[0])
+    row = lambda c: F.struct(c.alias("text"), n.alias("n"), bound(parsed(c), clear).alias("range"))
+    return F.when(cidr.isNotNull(), bound(bound(cidr, row), lambda x: give(x["range"], x["n"], x["text"])))
 
 
 def _number(n: Column | int) -> Column:
@@ -112,31 +140,30 @@ def _fits(n: Column, bits: Column) -> Column:
 
 def cidrhost(cidr: Column, n: Column | int) -> Column:
     """The address with this number in a range; numbers below zero count from its end. Past the range is an error."""
-    n = _number(n)
 
-    def give(r: Column) -> Column:
+    def give(r: Column, n: Column, text: Column) -> Column:
         inside = _words(lambda k: F.get(r["words"], k).bitwiseOR(_shifted(n, F.lit(0), k).bitwiseAND(F.lit(_ALL) - _mask(r["length"], k))))
         fits = _fits(F.when(n < 0, F.bitwise_not(n)).otherwise(n), 128 - r["length"])
-        return F.when(n.isNull(), None).when(fits, _text(r["v4"], inside)).otherwise(_error("no such host in", cidr))
+        shown = bound(inside, lambda w: _text(r["v4"], w))
+        return F.when(n.isNull(), None).when(fits, shown).otherwise(_error("no such host in", text))
 
-    return _of(cidr, give)
+    return _of(cidr, _number(n), give)
 
 
 def cidrnetmask(cidr: Column) -> Column:
-    return _of(cidr, lambda r: _text(r["v4"], _words(lambda k: _mask(r["length"], k))))
+    return _of(cidr, _number(0), lambda r, n, text: bound(_words(lambda k: _mask(r["length"], k)), lambda w: _text(r["v4"], w)))
 
 
 def cidrsubnet(cidr: Column, bits: int, n: Column | int) -> Column:
     """Part n of a range that is cut by so many more bits; too many bits or no such part is an error."""
-    n = _number(n)
 
-    def give(r: Column) -> Column:
+    def give(r: Column, n: Column, text: Column) -> Column:
         length = r["length"] + bits
         words = _words(lambda k: F.get(r["words"], k).bitwiseOR(_shifted(n, 128 - length, k)))
-        shown = F.concat(_text(r["v4"], words), F.lit("/"), (length - F.when(r["v4"], 96).otherwise(0)).cast("string"))
-        return F.when(n.isNull(), None).when((length <= 128) & (n >= 0) & _fits(n, F.lit(bits)), shown).otherwise(_error("no such part of", cidr))
+        shown = F.concat(bound(words, lambda w: _text(r["v4"], w)), F.lit("/"), (length - F.when(r["v4"], 96).otherwise(0)).cast("string"))
+        return F.when(n.isNull(), None).when((length <= 128) & (n >= 0) & _fits(n, F.lit(bits)), shown).otherwise(_error("no such part of", text))
 
-    return _of(cidr, give)
+    return _of(cidr, _number(n), give)
 
 
 def cidrsubnets(cidr: Column, *bits: int) -> Column:

@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(x: Column, give: Callable[[Column], Column]) -> Column:
+    """``give`` of a column that is worked out once, however often ``give`` names it."""
+    return F.transform(F.array(x), give)[0]
+
+
 def _folded(path: Column) -> Column:
     """The segments that are left after ``.`` and ``..``; a leading ``..`` stays."""
     parts = F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/")
@@ -22,20 +28,22 @@ def _folded(path: Column) -> Column:
 
 def cleaned(path: Column) -> Column:
     """A non-root path in shortest form; null if it is empty, absolute, or leads to or past the root."""
-    segments = _folded(path)
-    bad = (path == "") | F.replace(path, F.lit("\\"), F.lit("/")).startswith("/") | (F.size(segments) == 0) | (F.try_element_at(segments, F.lit(1)) == "..")
-    return F.when(~bad, F.array_join(segments, "/"))
+
+    def judged(segments: Column) -> Column:
+        return F.when((F.size(segments) > 0) & (segments[0] != ".."), F.array_join(segments, "/"))
+
+    outside = lambda p: (p == "") | p.startswith("/") | p.startswith("\\")
+    return bound(path, lambda p: F.when(~outside(p), bound(_folded(p), judged)))
 
 
 def tree(path: Column) -> Column:
     """As ``cleaned``, but the empty path and ``.`` are the root."""
-    return F.when(path.isin("", "."), "").otherwise(cleaned(path))
+    return bound(path, lambda p: F.when(p.isin("", "."), "").otherwise(cleaned(p)))
 
 
 def folded(path: Column) -> Column:
     """Any relative path in shortest form, the root included; null if it leads past the root."""
-    segments = _folded(path)
-    return F.when(F.coalesce(F.try_element_at(segments, F.lit(1)), F.lit("")) != "..", F.array_join(segments, "/"))
+    return bound(_folded(path), lambda segments: F.when(F.coalesce(F.try_element_at(segments, F.lit(1)), F.lit("")) != "..", F.array_join(segments, "/")))
 
 
 def parent(path: Column) -> Column:
@@ -49,17 +57,30 @@ def ancestors(path: Column) -> Column:
     return F.concat(F.array(F.lit("")), above)
 
 
+def _joined(base: Column, value: Column) -> Column:
+    return F.when(base == "", value).otherwise(F.concat(base, F.lit("/"), value))
+
+
 def resolved(base: Column, value: Column) -> Column:
     """``value`` seen from the tree ``base``; ``//x`` is seen from the root and ``/x`` is invalid."""
-    rooted = value.startswith("//")
-    joined = F.when(rooted, F.substring(value, 3, 1 << 30)).when(base == "", value).otherwise(F.concat(base, F.lit("/"), value))
-    return F.when((value == "") | (value.startswith("/") & ~rooted), None).otherwise(cleaned(joined))
+
+    def give(x: Column) -> Column:
+        v, rooted = x["value"], x["value"].startswith("//")
+        place = F.when(rooted, F.substring(v, 3, 1 << 30)).otherwise(_joined(x["base"], v))
+        return F.when((v != "") & (rooted | ~v.startswith("/")), cleaned(place))
+
+    return bound(F.struct(base.alias("base"), value.alias("value")), give)
 
 
 def resolved_tree(base: Column, value: Column) -> Column:
     """As ``resolved`` for trees: empty and ``.`` are the base, ``//`` is the root."""
-    up = F.size(_folded(F.when(base == "", value).otherwise(F.concat(base, F.lit("/"), value)))) == 0
-    return F.when(value.isin("", "."), base).when(value == "//", "").when(~value.startswith("/") & up, "").otherwise(resolved(base, value))
+
+    def give(x: Column) -> Column:
+        b, v = x["base"], x["value"]
+        up = F.size(_folded(_joined(b, v))) == 0
+        return F.when(v.isin("", "."), b).when(v == "//", "").when(~v.startswith("/") & up, "").otherwise(resolved(b, v))
+
+    return bound(F.struct(base.alias("base"), value.alias("value")), give)
 
 
 def within(path: Column, directory: Column) -> Column:

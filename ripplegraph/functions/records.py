@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ripplegraph.functions.paths import bound
+
 #: One record with its line break; one field with the comma or line break after it.
 _RECORD = r'(?:[^"\n]++|"[^"]*+")*+\n'
 _FIELD = r'(?:"[^"]*+(?:""[^"]*+)*+"|[^,"\n]*+)[,\n]'
@@ -19,7 +21,7 @@ _FIELD = r'(?:"[^"]*+(?:""[^"]*+)*+"|[^,"\n]*+)[,\n]'
 def _lines(text: Column) -> Column:
     """The text with LF only, closed by one."""
     plain = F.regexp_replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), r"\r\z", "")
-    return F.when((plain == "") | plain.endswith("\n"), plain).otherwise(F.concat(plain, F.lit("\n")))
+    return bound(plain, lambda p: F.when((p == "") | p.endswith("\n"), p).otherwise(F.concat(p, F.lit("\n"))))
 
 
 def _length(parts: Column) -> Column:
@@ -27,11 +29,10 @@ def _length(parts: Column) -> Column:
 
 
 def _fields(record: Column) -> Column:
-    tokens = F.regexp_extract_all(record, F.lit(_FIELD), F.lit(0))
     bare = lambda t: F.substring(t, F.lit(1), F.length(t) - 1)
     opened = lambda t: F.replace(F.substring(t, F.lit(2), F.length(t) - 3), F.lit('""'), F.lit('"'))
-    values = F.transform(tokens, lambda t: F.when(t.startswith('"'), opened(t)).otherwise(bare(t)))
-    return F.when(_length(tokens) == F.length(record), values)
+    value = lambda t: F.when(t.startswith('"'), opened(t)).otherwise(bare(t))
+    return bound(F.regexp_extract_all(record, F.lit(_FIELD), F.lit(0)), lambda tokens: F.when(_length(tokens) == F.length(record), F.transform(tokens, value)))
 
 
 def parsed(text: Column) -> Column:
@@ -39,19 +40,22 @@ def parsed(text: Column) -> Column:
 
     Of a text with a problem header and rows may be anything. Null gives null.
     """
-    lines = _lines(text)
-    records = F.regexp_extract_all(lines, F.lit(_RECORD), F.lit(0))
-    split = F.struct((_length(records) == F.length(lines)).alias("whole"), F.transform(F.filter(records, lambda r: r != "\n"), _fields).alias("all"))
-    return F.when(text.isNotNull(), F.transform(F.array(split), _judged)[0])
+    split = lambda lines: bound(
+        F.regexp_extract_all(lines, F.lit(_RECORD), F.lit(0)),
+        lambda records: F.struct((_length(records) == F.length(lines)).alias("whole"), F.transform(F.filter(records, lambda r: r != "\n"), _fields).alias("all")),
+    )
+    return bound(text, lambda t: F.when(t.isNotNull(), bound(bound(_lines(t), split), _judged)))
 
 
 def _judged(x: Column) -> Column:
-    records = x["all"]
-    header = F.try_element_at(records, F.lit(1))
-    rows = F.slice(records, F.lit(2), F.greatest(F.size(records), F.lit(1)))
-    broken = ~x["whole"] | F.exists(records, lambda r: r.isNull())
+    return bound(F.struct(F.try_element_at(x["all"], F.lit(1)).alias("header"), F.slice(x["all"], F.lit(2), F.greatest(F.size(x["all"]), F.lit(1))).alias("rows")), lambda y: _with_problem(x, y))
+
+
+def _with_problem(x: Column, y: Column) -> Column:
+    header, rows = y["header"], y["rows"]
+    broken = ~x["whole"] | F.exists(x["all"], lambda r: r.isNull())
     problem = (
-        F.when(broken, "bad quotes").when(F.size(records) == 0, "missing header")
+        F.when(broken, "bad quotes").when(F.size(x["all"]) == 0, "missing header")
         .when(F.size(F.array_distinct(header)) < F.size(header), "repeated column name")
         .when(F.exists(rows, lambda r: F.size(r) != F.size(header)), "wrong number of fields")
     )
@@ -63,4 +67,4 @@ def csvdecode(text: Column) -> Column:
     decode = lambda x: F.when(x["problem"].isNotNull(), F.raise_error(F.concat(F.lit("bad records: "), x["problem"]))).otherwise(
         F.transform(x["rows"], lambda r: F.map_from_arrays(x["header"], r))
     )
-    return F.when(text.isNotNull(), F.transform(F.array(parsed(text)), decode)[0])
+    return bound(parsed(text), lambda x: F.when(x.isNotNull(), decode(x)))
