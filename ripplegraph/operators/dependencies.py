@@ -89,6 +89,24 @@ def dependencies(values: DataFrame, targets: DataFrame, entities: DataFrame, obj
     return named.unionByName(found).unionByName(placed).unionByName(bad).select("id.id", "id.place", "dst", "kind", "problem")
 
 
+def target_values(wanted: DataFrame, targets: DataFrame, filename: str, root_filename: str) -> DataFrame:
+    """id, value, problem: the text that refers to a target of another directory, as ``told_apart`` reads it.
+
+    Each row (id, file, path, name) of a declaring file gives a directory, empty for its own, and
+    ``kind.name``. A directory's targets are in its ``filename``, the root's in ``root_filename``.
+    A path that leads out, a name of another form and an undeclared target have a problem and no
+    value, as have nulls. A target that is declared twice is declared.
+    """
+    place = F.struct(*[F.regexp_extract("name", rf"\A({_NAME})\.({_NAME})\z", k).alias(part) for k, part in ((1, "kind"), (2, "name"))])
+    asked = wanted.select("id", paths.resolved_tree(paths.parent(F.col("file")), F.col("path")).alias("_dir"), place.alias("_x")).select("id", "_dir", "_x.*")
+    file = F.when(F.col("_dir") == "", F.lit(root_filename)).otherwise(F.concat("_dir", F.lit(f"/{filename}")))
+    known = targets.select("file", "kind", "name").distinct().withColumn("_held", F.lit(True))
+    rows = asked.withColumn("file", file).join(known, ["file", "kind", "name"], "left")
+    problem = F.when(F.col("_dir").isNull(), "not a path").when(F.coalesce("kind", F.lit("")) == "", "not a kind and a name").when(F.col("_held").isNull(), "not declared")
+    value = F.concat(F.lit(REFERENCE), "file", F.lit("#"), "kind", F.lit("."), "name")
+    return rows.select("id", F.when(problem.isNull(), value).alias("value"), problem.alias("problem"))
+
+
 def dependency_graph(found: DataFrame) -> Graph:
     """Entities and ``depends-on`` edges of ``dependencies``; any problem is an error."""
     checked = F.when(F.col("problem").isNull(), F.col("dst")).otherwise(F.raise_error(F.concat(F.col("id"), F.lit(" depends on something bad: "), "problem")))

@@ -237,6 +237,21 @@ def package_graph_edges(spark, sf_dir):
     return modules.package_graph(_sources(spark, sf_dir)).edges
 
 
+def package_values(spark, sf_dir):
+    """The packages that texts in files beside the sources name: as trees, from there, by import path, wrongly and not at all."""
+    files = checkpointed(_sources(spark, sf_dir))
+    pages = _url_paths(spark, sf_dir).select("page_id", "host", F.substring_index("path", "/", 1).alias("lang"))
+    name = lambda *c: F.concat(F.lit("mod.example/"), "host", F.lit("/"), *c)
+    value = [F.concat_ws("/", "host", "lang"), F.col("lang"), name("lang"), F.lit("../x.go"), F.lit("nope"), name(F.lit("qq")), F.col("host"), F.concat(F.lit(".././"), "lang")]
+    turn = (F.col("page_id") % len(value) + 1).cast("int")
+    wanted = pages.select(
+        F.col("page_id").alias("id"), F.concat("host", F.when(turn == 8, "/en/build.cfg").otherwise("/build.cfg")).alias("file"), F.element_at(F.array(*value), turn).alias("value"),
+        F.when(F.col("page_id") % 3 == 0, "package-test").otherwise("package").alias("kind"),
+    )
+    objects = git.with_trees(files.select("path", F.lit("blob").alias("kind"), F.lit("1" * 40).alias("oid"), F.lit("stored").alias("source")))
+    return modules.named_packages(wanted, objects, checkpointed(modules.modules(files)))
+
+
 def package_versions(spark, sf_dir):
     """The version of every external import, by module, or why there is none."""
     files = _sources(spark, sf_dir)
@@ -516,7 +531,7 @@ def more_functions(spark, sf_dir):
 _QUERIES = (
     universe_entities, universe_edges, token_collect, graph_validate_violations, graph_absorb, absorb_conflicts, namespace_counts, out_edges, direct_dependencies, closure_pairs, closure_sizes,
     reverse_reachability, scc_cycle, content_hash, uvarint_table, diff_status, induced_edges, frontier_layers, range_hash_label, containment_walk, longest_prefix_owner,
-    package_graph_edges, package_versions, language_versions, package_tests, import_kinds, path_clean, path_resolve, path_within, ancestor_trees, prune_empty, glob_match, overlay_upsert, git_blob_hash, duplicate_blobs, id_codec, selector_parse, selector_aliases,
+    package_graph_edges, package_values, package_versions, language_versions, package_tests, import_kinds, path_clean, path_resolve, path_within, ancestor_trees, prune_empty, glob_match, overlay_upsert, git_blob_hash, duplicate_blobs, id_codec, selector_parse, selector_aliases,
     selector_resolve, completion_match, kind_local_index, text_functions, collection_functions, number_functions, hash_functions, more_functions, target_references, path_dependencies,
     nearest_settings, target_graph, config_rows, targets_by_kind, package_lines, selector_trees, compared_revisions, change_depth, dependency_lines, import_labels, graph_tree, cone_tree,
 )

@@ -197,6 +197,10 @@ ORACLES = {
         UNION SELECT src, {_gid("package", "mod_path", "pkg")}, 'tests' FROM own WHERE is_test
         UNION SELECT id, {_gid("go-version", "mod_path", "''")}, 'go-version' FROM (SELECT src AS id, mod_path FROM own UNION SELECT {_gid("package", "mod_path", "pkg")}, mod_path FROM own
             UNION SELECT dst, mod_path FROM used WHERE to_kind <> 'package')""",
+    "package_values": f"""WITH {_PACKAGES}, tested_ AS (SELECT DISTINCT host, lang FROM own WHERE is_test),
+        q AS (SELECT page_id, page_id % 8 AS k, page_id % 3 = 0 AS t, length(own.host) % 3 = 0 AS twice, pkg, mod_path, tested_.host IS NOT NULL AS tested FROM own LEFT JOIN tested_ ON tested_.host = own.host AND tested_.lang = own.lang),
+        p AS (SELECT *, CASE WHEN k = 3 THEN 'a source, not a package' WHEN k IN (2, 5) AND twice THEN 'in two modules' WHEN k IN (4, 5) THEN 'not found' WHEN t AND (k = 6 OR NOT tested) THEN 'no test sources' WHEN k = 6 THEN 'no sources' END AS problem FROM q)
+        SELECT page_id AS id, CASE WHEN problem IS NOT NULL THEN NULL WHEN t THEN {_gid("package-test", "mod_path", "pkg")} ELSE {_gid("package", "mod_path", "pkg")} END AS dst, problem FROM p""",
     "package_versions": f"""WITH {_PACKAGES}, e AS (SELECT DISTINCT mod_path, target, nested, host FROM used WHERE to_kind = 'package-external')
         SELECT mod_path, target, CASE WHEN NOT nested AND target LIKE 'lib.example/a/deep/%' THEN 'go-module:lib.example/a/deep@v0.1.0'
             WHEN NOT nested AND target LIKE 'lib.example/a/%' THEN CASE WHEN length(host) % 3 = 0 THEN 'go-module:fork.example/a@v1.3.0' ELSE 'go-module:lib.example/a@v1.2.' || (length(host) % 3) END END AS token,

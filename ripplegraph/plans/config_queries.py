@@ -105,7 +105,17 @@ def dependency_values(spark, sf_dir):
     return found.withColumn("place", F.array_join("place", "."))
 
 
-QUERIES = (glob_table, glob_fileset, file_functions, csv_documents, csv_problems, address_functions, dependency_values)
+def target_values(spark, sf_dir):
+    """How files of parts refer to targets: of their own and other directories, of the root, outside, and undeclared ones."""
+    k, folder = F.col("p_partkey"), F.lower(F.replace("p_type", F.lit(" "), F.lit("/")))
+    p = read(spark, sf_dir, "part").select(k.alias("id"), folder.alias("dir"), F.concat(folder, F.lit("/build.cfg")).alias("file"), F.concat(F.lit("k"), k % 3).alias("kind"), F.concat(F.lit("n"), k % 50).alias("name"))
+    k, up = F.col("id"), F.concat(F.regexp_replace("dir", "[^/]+", ".."), F.lit("/."))
+    path = F.element_at(F.array(F.lit(""), F.concat(F.lit("//"), "dir"), F.concat(F.lit("../"), F.substring_index("dir", "/", -1)), F.lit("/x"), up, F.concat(up, F.lit("/.."))), (k % 6 + 1).cast("int"))
+    name = F.when(k % 7 == 0, "1.2").when(k % 7 == 1, F.concat("kind", F.lit(".nope"))).otherwise(F.concat("kind", F.lit("."), "name"))
+    return dependencies.target_values(p.select("id", "file", path.alias("path"), name.alias("name")), p, "build.cfg", "root.cfg")
+
+
+QUERIES = (glob_table, glob_fileset, file_functions, csv_documents, csv_problems, address_functions, dependency_values, target_values)
 
 _PLACES = f"""{_URLS}, own AS (SELECT p AS path, min(page_id) AS page_id, arg_min(coalesce(html, ''), page_id) AS html FROM full_ JOIN pages USING (page_id) GROUP BY p),
 place AS (SELECT *, string_split(path, '/')[1] AS host, string_split(path, '/')[-1] AS name, regexp_extract(path, '/([^/]*)/', 1) AS folder FROM own)"""
@@ -147,6 +157,9 @@ ORACLES = {
         {_shown("base")} || '/' || (34 - bits) || ' ' || {_shown("base + size // 4")} || '/' || (35 - bits) || ' ' || {_shown("base + size // 2")} || '/' || (33 - bits) AS parts,
         CASE {_SHORT} ELSE trim(s, ':') END AS host6,
         u[1:8] || '-' || u[9:12] || '-5' || u[14:16] || '-' || translate(u[17:17], '0123456789abcdef', '89ab89ab89ab89ab') || u[18:20] || '-' || u[21:32] AS name_id FROM o""",
+    "target_values": """WITH p AS (SELECT p_partkey AS id, lower(replace(p_type, ' ', '/')) || '/build.cfg' AS file, 'k' || (p_partkey % 3) AS kind, 'n' || (p_partkey % 50) AS name, p_partkey % 6 AS a, p_partkey % 7 AS b FROM part),
+        q AS (SELECT *, CASE WHEN a IN (3, 5) THEN 'not a path' WHEN b = 0 THEN 'not a kind and a name' WHEN a = 4 OR b = 1 THEN 'not declared' END AS problem FROM p)
+        SELECT id, CASE WHEN problem IS NULL THEN 'target-ref:' || file || '#' || kind || '.' || name END AS value, problem FROM q""",
     "dependency_values": """WITH t AS (SELECT p_partkey AS k, 'part:' || p_partkey AS id, lower(replace(p_type, ' ', '/')) AS path, 'k' || (p_partkey % 3) AS kind, 'n' || (p_partkey % 50) AS name FROM part),
         u AS (SELECT path, kind, name, min(id) AS dst, count(*) AS n FROM t GROUP BY ALL),
         asked AS (SELECT id, '0' AS place, path, kind, name FROM t WHERE k % 4 <> 0 UNION ALL SELECT id, '1.0', 'economy/' || regexp_replace(path, '^[^/]*/', ''), kind, name FROM t WHERE k % 4 <> 0)

@@ -138,6 +138,66 @@ def resolved_imports(wanted: DataFrame, mods: DataFrame, packages: DataFrame) ->
     return best.select("mod_path", "target", F.col("_to._dir").alias("to_dir"), F.col("_to._module_dir").alias("to_module_dir"))
 
 
+def _joined(base: Column, below: Column) -> Column:
+    """A path below a tree in shortest form; null past the root, for an absolute one, and with backslashes, which are no separators here."""
+    odd = F.contains(below, F.lit("\\")) | ((base == "") & below.startswith("/"))
+    return F.when(~odd, folded(F.concat_ws("/", F.when(base != "", base), F.when(below != "", below))))
+
+
+def _by_import_path(values: DataFrame, mods: DataFrame) -> DataFrame:
+    """value, ambiguous, dir, module_dir, module, mod_path: where the module with the longest name above each import path has it.
+
+    Module files are met in the order of their paths: a second one of a name is ambiguous, unless
+    one with a longer name came before it.
+    """
+    first = mods.groupBy("module").agg(F.min(F.struct("path", "dir")).alias("_m")).select("module", F.col("_m.path").alias("mod_path"), F.col("_m.dir").alias("module_dir"))
+    again = mods.select("module", "path").join(first, "module").where("path > mod_path").groupBy("module").agg(F.min("path").alias("again"))
+    above = values.withColumn("module", F.explode(_above(F.col("value"))))
+    met = above.join(first.join(again, "module", "left"), "module").withColumn("n", F.length("module"))
+    by_value = met.groupBy("value").agg(F.collect_list(F.struct("n", "mod_path", "module_dir", "module", "again")).alias("_met"))  # one for each segment at most
+    earlier = lambda x: F.exists("_met", lambda y: (y["n"] > x["n"]) & (y["mod_path"] < x["again"]))
+    ambiguous = F.exists("_met", lambda x: x["again"].isNotNull() & ~earlier(x))
+    rows = by_value.select("value", ambiguous.alias("ambiguous"), F.array_max("_met").alias("_best")).select("value", "ambiguous", "_best.*")
+    rest = F.col("value").substr(F.col("n") + 1, F.length("value"))
+    below = F.when(rest.startswith("/"), F.substring(rest, 2, 1 << 30)).otherwise(rest)
+    return rows.select("value", "ambiguous", _joined(F.col("module_dir"), below).alias("dir"), "module_dir", "module", "mod_path")
+
+
+def named_packages(wanted: DataFrame, objects: DataFrame, mods: DataFrame, space: str = "go") -> DataFrame:
+    """id, dst, problem: the package that each value (id, file, value, kind) in a declaring file names; kind is package or package-test.
+
+    A value is tried as a tree of the snapshot, then as one seen from the file's tree, then as an
+    import path; a tree counts if a module is above it. ``objects`` has path and kind, ``mods`` is of
+    ``modules``. What names a source, lies nowhere, in two modules of one name, or has no sources of
+    its kind has a problem and no dst; null values lie nowhere. Each distinct value is looked for
+    once, by joins on paths and their prefixes; empty tables give none.
+    """
+    rows = wanted.select("id", parent(F.col("file")).alias("base"), "value", "kind")
+    asked = checkpointed(rows.select("base", "value").where("base is not null and value is not null").distinct())
+    root = objects.sparkSession.range(1).select(F.lit("").alias("dir"))
+    trees = objects.where("kind = 'tree'").select(F.col("path").alias("dir")).union(root).distinct()
+    seen = _joined(F.col("base"), F.col("value"))
+    tries = F.array(F.struct(F.lit(0).alias("rule"), F.col("value").alias("dir")), F.struct(F.lit(1).alias("rule"), F.when(seen != "", seen).alias("dir")))
+    tried = asked.select("base", "value", F.explode(tries).alias("_x")).select("base", "value", "_x.*")
+    held = tried.select("dir").distinct().join(trees, "dir", "left_semi")
+    place = F.struct("rule", "dir", "module_dir", "module", "mod_path").alias("_to")
+    by_tree = tried.join(owners(held, mods), "dir").groupBy("base", "value").agg(F.min(place).alias("_tree"))
+    imported = _by_import_path(asked.select("value").distinct(), mods).join(trees.withColumn("_held", F.lit(True)), "dir", "left").withColumn("rule", F.lit(2))
+    imported = imported.select("value", "ambiguous", F.when(F.col("_held") & ~F.col("ambiguous"), place).alias("_import"))
+    sources = objects.where("kind = 'blob' and endswith(path, '.go')").groupBy(parent(F.col("path")).alias("dir")).agg(F.max(F.endswith("path", F.lit("_test.go"))).alias("_tested"))
+    found = asked.join(by_tree, ["base", "value"], "left").join(imported, "value", "left").withColumn("_to", F.coalesce("_tree", "_import"))
+    found = found.select("base", "value", "ambiguous", F.col("_to.dir").alias("dir"), "_to.module_dir", "_to.module", "_to.mod_path").join(sources, "dir", "left")
+    out = rows.join(found, ["base", "value"], "left")
+    problem = (
+        F.when(~F.coalesce(F.col("kind").isin("package", "package-test"), F.lit(False)), "not a kind of package").when(F.endswith("value", F.lit(".go")), "a source, not a package")
+        .when(F.col("dir").isNull(), F.when(F.col("ambiguous"), "in two modules").otherwise("not found"))
+        .when((F.col("kind") == "package-test") & ~F.coalesce("_tested", F.lit(False)), "no test sources").when(F.col("_tested").isNull(), "no sources")
+    )
+    name = _import_path(F.col("module"), F.col("module_dir"), F.col("dir"))
+    id_ = F.when(F.col("kind") == "package", _id("package", F.col("mod_path"), name, space)).otherwise(_id("package-test", F.col("mod_path"), name, space))
+    return out.select("id", F.when(problem.isNull(), id_).alias("dst"), problem.alias("problem"))
+
+
 def package_graph(files: DataFrame, space: str = "go", files_space: str = "git", attached: bool = False) -> Graph:
     """Packages, their tests, and what they import: a local package, a built-in or an external one.
 
