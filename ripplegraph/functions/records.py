@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from ripplegraph.functions.paths import bound
 
-#: One record with its line break; one field with the comma or line break after it.
-_RECORD = r'(?:[^"\n]++|"[^"]*+")*+\n'
-_FIELD = r'(?:"[^"]*+(?:""[^"]*+)*+"|[^,"\n]*+)[,\n]'
+#: One record with its line break; one field with the comma or line break after it. Each begins where the one
+#: before ends, so that text after a problem isn't searched again from every place in it.
+_RECORD = r'\G(?:[^"\n]++|"[^"]*+")*+\n'
+_FIELD = r'\G(?:"[^"]*+(?:""[^"]*+)*+"|[^,"\n]*+)[,\n]'
 
 
 def _lines(text: Column) -> Column:

@@ -36,6 +36,8 @@ def test_problems_of_records(spark):
     with pytest.raises(Exception, match="bad records: wrong number"):
         df.where("t like 'a,b_1_'").select(records.csvdecode(F.col("t"))).collect()
     long = 'a,b\n"' + 'x""' * 300_000 + '",' + "y" * 500_000 + "\n"
+    late = ["a\nx" + "y" * 1_000_000 + '"\n', 'a\n"' + "y" * 1_000_000, "a\n" + 'x"' * 500_000 + "\n"]
+    assert {r[0] for r in spark.createDataFrame([(t,) for t in late], "t string").select(records.parsed(F.col("t"))["problem"]).collect()} == {"bad quotes"}
     one = spark.createDataFrame([(long,)], "t string").select(records.csvdecode(F.col("t"))[0].alias("m")).select(F.length(F.col("m")["a"]), F.length(F.col("m")["b"])).first()
     assert tuple(one) == (600_000, 500_000)
 
