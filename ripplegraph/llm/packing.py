@@ -10,7 +10,6 @@ from itertools import islice
 from math import floor
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +20,8 @@ WINDOW, END = 4096, 2
 #: Words whose ids a worker remembers as they stand, and a fifth more without what they end
 #: with: some 200 bytes each.
 REMEMBERED = 500_000
+#: Longer words, in bytes, are not remembered, so that texts without white space don't fill a worker.
+LONGEST = 64
 
 
 @dataclass
@@ -161,6 +162,8 @@ class WordIds(dict):
         got = self.cores.get(word)
         if got is None:
             self.new = True
+            if len(word) > LONGEST:
+                return self._ids(word)
             if len(self.cores) >= self.most_cores:
                 for k in list(islice(self.cores, self.most_cores // 2)):
                     del self.cores[k]
@@ -175,7 +178,7 @@ class WordIds(dict):
             got = self._core(core) + (self._core(whole[len(core) :]) if len(core) < len(whole) else b"")
         else:
             got = self._core(whole)
-        if not self.new:  # most words that are seen for the first time are never seen again
+        if not self.new and len(word) <= LONGEST:  # most words that are seen for the first time are never seen again
             if len(self) >= self.most:
                 self.clear()
             self[word] = got
@@ -250,17 +253,18 @@ def packed(docs: DataFrame, tokenizer: str, weights: dict | None = None, window:
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select(F.col("source").alias("_s"), F.col("part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
 
-    def run(frames):
-        for f in frames:
+    def run(batches):
+        for b in slices(batches):
             out = []
-            for doc_id, source, start, n, ids in zip(f["doc_id"], f["source"], f["_start"], f["n"], f["ids"], strict=True):
+            for doc_id, source, start, n, ids in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 whole = memoryview(np.frombuffer(ids, dtype="<u2" if len(ids) == 2 * n else "<u4").astype("<u4").tobytes())
-                for at, length, sequence, offset in plan.pieces(index[None if pd.isna(source) else source], start, start + n):
+                for at, length, sequence, offset in plan.pieces(index[source], start, start + n):
                     k = at - start
                     out.append((doc_id, k, length, zlib.crc32(whole[4 * k : 4 * (k + length)]), n, sequence, offset, source))
-            yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"])
+            columns = [pa.array(c, pa.string() if k == 7 else pa.int64()) for k, c in enumerate(zip(*out, strict=True))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"])
 
     placed = rows.join(broadcast_if_small(bases, sums.count(), 96), F.col("source").eqNullSafe(F.col("_s")) & (F.col("part") == F.col("_p")))
-    return placed.select("doc_id", "source", (F.col("_base") + F.col("at")).alias("_start"), "n", "ids").mapInPandas(
+    return placed.select("doc_id", "source", (F.col("_base") + F.col("at")).alias("_start"), "n", "ids").mapInArrow(
         run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
     )

@@ -97,3 +97,17 @@ def test_words_alone_give_the_ids_of_the_text():
     texts = ["Élève naïve ÉLÈVE straße Straße ªº ĳ ŀ ǆ İstanbul ŉ", "e\u0301le\u0300ve cafe\u0301s a\u0308", "it's they'll don't l'été x1y2 日本語 3é é3 é. «é» ÿ\x85z", "".join(map(chr, range(0x61, 0x250))), " ".join(map(chr, range(0x61, 0x250)))]
     for t in texts:
         assert np.frombuffer(WORDS.encode(t.encode()), dtype=WORDS.kind).tolist() == TOKENIZER.encode(t, add_special_tokens=False).ids
+
+
+def test_long_words_are_not_remembered():
+    words = WordIds(PATH)
+    texts = [f"{'x' * 50_000}{k} short" for k in range(20)] * 2 + [f"{'日本語' * 5_000}{k}, short" for k in range(20)] * 2
+    for t in texts:
+        assert np.frombuffer(words.encode(t.encode()), words.kind).tolist() == TOKENIZER.encode(t, add_special_tokens=False).ids
+    assert sum(len(k) + len(v) for held in (words, words.cores) for k, v in held.items()) < 10_000
+
+
+def test_large_ids_stay_exact_beside_a_null_one(spark):
+    ids = [None, *range(2**53 + 1, 2**53 + 9, 2)]
+    docs = spark.createDataFrame([(i, "some words", "a") for i in ids], "doc_id long, text string, source string").coalesce(1)
+    assert sorted((r.doc_id for r in packed(docs, PATH).collect()), key=str) == sorted(ids, key=str)
