@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -95,6 +96,34 @@ def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return found.astype(np.int32), times.astype(np.float32)
 
 
+def packed(found: np.ndarray, times: np.ndarray) -> bytes:
+    """What ``features`` gives: gaps between buckets and counts, each in as few bytes as the largest needs."""
+    parts = [x.astype(np.min_scalar_type(int(x.max(initial=0)))) for x in (np.diff(found, prepend=np.int32(0)), times)]
+    return bytes(x.itemsize for x in parts) + b"".join(x.tobytes() for x in parts)
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """What ``packed`` was given."""
+    gap, time = data[:2]
+    n = (len(data) - 2) // (gap + time)
+    gaps, times = np.frombuffer(data, f"u{gap}", n, 2), np.frombuffer(data, f"u{time}", n, 2 + n * gap)
+    return np.cumsum(gaps, dtype=np.int32), times.astype(np.float32)
+
+
+class PackedRows(Sequence):
+    """Training rows (buckets, counts, label, weight) whose features stay packed until they are asked for."""
+
+    def __init__(self, rows: list[tuple[bytes, int, float]]):
+        self.rows = rows
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray, int, float]:
+        data, y, weight = self.rows[i]
+        return (*unpacked(data), y, weight)
+
+
 @dataclass
 class Model:
     """A document's log odds: the mean of its features' weights, plus a bias."""
@@ -118,7 +147,7 @@ class Model:
         return np.concatenate(out) if out else np.zeros(0)
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, int, float]]) -> Model:
+def train(rows: Sequence[tuple[np.ndarray, np.ndarray, int, float]]) -> Model:
     """Softmax over averaged vectors, by stochastic gradient descent; rows: buckets, counts, label, weight.
 
     The two output rows only matter by their difference, so that afterwards one number per
@@ -155,13 +184,14 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int, float]]) -> Model:
     return Model(np.where(met, vectors @ (out[1] - out[0]), 0.0), float(bias[1] - bias[0]))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, modulus: int = 5, per_class: int = PER_CLASS) -> list:
+def training_rows(docs: DataFrame, labels: DataFrame, modulus: int = 5, per_class: int = PER_CLASS) -> PackedRows:
     """Features of a bounded sample of the labelled rows whose id remainder isn't 0.
 
     Up to ``per_class`` ids of each label, lowest hash first; a row's weight makes up for the
     share of its class that was taken. Ids with two labels count by the smaller; of rows that
     share an id, the one whose text has the smallest hash counts. So the driver gets the features
-    of 2 * ``per_class`` texts at most, each no more than BUCKETS numbers and counts.
+    of 2 * ``per_class`` texts at most, each no more than BUCKETS numbers and counts, and keeps
+    them packed.
     """
     id_, y_ = free_names(docs, "id", "y")
     known = (
@@ -175,21 +205,16 @@ def training_rows(docs: DataFrame, labels: DataFrame, modulus: int = 5, per_clas
 
     def run(batches):
         for b in slices(batches):
-            made = [features(t) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([m[0] for m in made], pa.list_(pa.int32())), pa.array([m[1] for m in made], pa.list_(pa.float32()))],
-                names=["doc_id", "y", "b", "c"],
-            )
+            made = [packed(*features(t)) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.binary())], names=["doc_id", "y", "f"])
 
     texts = docs.join(taken, F.col("doc_id") == F.col(id_)).select(F.col("doc_id").cast("long").alias("d"), F.col(y_).cast("int").alias("y"), text_of().cast("binary").alias("t"))
     texts = texts.groupBy("d", "y").agg(F.min_by("t", F.xxhash64("t")).alias("t"))
-    got = texts.mapInArrow(run, "doc_id long, y int, b array<int>, c array<float>").toArrow()
+    got = texts.mapInArrow(run, "doc_id long, y int, f binary").toArrow()
     every = sum(sizes.values())
     share = {y: (sizes[y] / every) / (min(sizes[y], per_class) / (min(sizes.get(0, 0), per_class) + min(sizes.get(1, 0), per_class))) for y in sizes}
-    rows = {}
-    for i, y, b, c in zip(*(got.column(k).to_pylist() for k in range(2)), *(got.column(k) for k in (2, 3)), strict=True):
-        rows[i] = (np.asarray(b.values), np.asarray(c.values), y, share[y])
-    return [rows[k] for k in sorted(rows)]
+    rows = {i: (f, y, share[y]) for i, y, f in zip(*(got.column(k).to_pylist() for k in range(3)), strict=True)}
+    return PackedRows([rows[k] for k in sorted(rows)])
 
 
 def quality_scores(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:

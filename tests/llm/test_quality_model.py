@@ -95,3 +95,20 @@ def test_training_learns_a_simple_split():
     good, bad, none = model.scores([b"good fine 99", b"bad junk 99", b""])
     assert good > 0.8 and bad < 0.2
     assert none == pytest.approx(1 / (1 + np.exp(-model.bias)))
+
+
+def test_training_rows_are_packed(spark):
+    texts = ["", "one", " ".join(f"word{k}" for k in range(500)), "again " * 70_000]
+    for t in texts:
+        (f, c), (g, d) = q.features(t.encode()), q.unpacked(q.packed(*q.features(t.encode())))
+        assert f.dtype == g.dtype and c.dtype == d.dtype and f.tolist() == g.tolist() and c.tolist() == d.tolist()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(len(texts))], "doc_id long, quality int")
+    rows = q.training_rows(docs, labels, modulus=1 << 30)
+    want = [(*q.features(t.encode()), k % 2, 1.0) for k, t in enumerate(texts) if zlib.crc32(str(k).encode()) % (1 << 30)]
+    assert len(rows) == len(want)
+    for a, b in zip(rows, want, strict=True):
+        assert a[0].tolist() == b[0].tolist() and a[1].tolist() == b[1].tolist() and a[2:] == b[2:]
+    assert len(rows.rows[2][0]) <= 4 * len(want[2][0]) + 2  # eight bytes a feature before
+    (x, y) = (q.train(r) for r in (rows, want))
+    assert x.bias == y.bias and (x.weights == y.weights).all()

@@ -86,6 +86,18 @@ def test_components_of_chains_and_hubs(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).collect() == []
 
 
+def test_components_that_are_stars_take_no_round(spark, monkeypatch):
+    from ripplegraph.llm import components
+
+    taken = []
+    monkeypatch.setattr(components, "checkpointed", lambda df: taken.append(1) or df.localCheckpoint())
+    for edges, tables in (([(2 * k, 2 * k + 1) for k in range(50)] + [(-7, k) for k in range(-6, 0)] + [(5, 4), (3, 3)], 1), ([(1, 2), (2, 3)], 2), ([], 1)):
+        taken.clear()
+        got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "u long, v long")).collect()))
+        assert len(taken) == tables
+        assert got == ({**{2 * k: 2 * k for k in range(50)}, **{2 * k + 1: 2 * k for k in range(50)}, **dict.fromkeys(range(-7, 0), -7)} if len(edges) > 9 else dict.fromkeys((1, 2, 3), 1) if edges else {})
+
+
 def test_representatives(spark, odd_docs, no_docs):
     words = [f"w{k}" for k in range(200)]
     copy = [*words[:100], "changed", *words[101:]]
