@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 
 from ripplegraph.model import Graph, GraphError, Scratch, Snapshot, checkpointed
@@ -229,6 +230,44 @@ def test_scratch_deletes_what_is_not_kept(spark):
     assert not there(b)
 
 
+def test_shuffle_files_go_with_the_table_they_were_written_for(spark):
+    import time
+
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {x for x in manager.getAllFiles().mkString("\n").split("\n") if "shuffle_" in x and x.endswith(".data")}
+    before = files()
+    setting = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    checkpointed(spark.range(5000).groupBy("id").count())
+    end = time.time() + 20
+    while (left := files() - before) and time.time() < end:
+        time.sleep(0.5)
+    assert not left
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+
+
+def test_results_leave_no_tables_of_rounds(spark):
+    """A diff, layers, sizes, marks and sums leave one table each; closures the half-named pairs and the ids."""
+    with Scratch(spark.range(1)) as scratch:
+        base, head = world(spark), world(spark, **({"tokens": TOKENS, "edges": EDGES, "ids": IDS} | next(iter(EDITS.values()))))
+        deps = graph.dependencies(base.graph.edges, base.followed)
+        of = spark.createDataFrame([(IDS[0],)], "id string")
+        left = []
+        for f in (lambda: delta.diff(base, head), lambda: reach.sizes(deps), lambda: reach.dependents(deps, of), lambda: delta.sums_of(base), lambda: delta.frontiers(of, of, deps), lambda: reach.closure(deps)):
+            before = set(scratch.paths)
+            f()
+            left.append(len(scratch.paths - before))
+        assert left == [1, 1, 1, 1, 1, 2]
+
+
+def test_sums_do_not_depend_on_how_rows_fall_into_batches():
+    rows = [("a", 2, b"A"), (None, None, b"x"), (None, None, b""), ("b", 0, b"B"), ("c", 3, b""), (None, None, b"y"), (None, None, b"zz"), (None, None, b"w")]
+    table = pa.table({"id": pa.array([r[0] for r in rows], pa.string()), "n": pa.array([r[1] for r in rows], pa.int64()), "entry": pa.array([r[2] for r in rows], pa.binary())})
+    wanted = [(i, n, hashlib.sha256(b"p" + data).hexdigest()) for i, n, data in (("a", 2, b"Ax"), ("b", 0, b"B"), ("c", 3, b"yzzw"))]
+    for size in range(1, 9):
+        got = [tuple(r.values()) for b in hashing._streamed(table.to_batches(size), b"p") for r in b.to_pylist()]
+        assert got == wanted
+
+
 def test_rules_of_graphs(spark):
     s = world(spark)
     assert graph.validated(s.graph) is s.graph
